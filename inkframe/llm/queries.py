@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import language_id, mixing, url_filter
 from .staging import table
 
 #: Fixed values of the contract: (action, host, path).
@@ -28,7 +28,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.link_edges(pages))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.filter("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES = {
+    "op10_language_id": op10_language_id,
     "op7_source_mix": op7_source_mix,
     "op9_url_filter": op9_url_filter,
 }
