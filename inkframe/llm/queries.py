@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, url_filter
+from . import html_extract, language_id, mixing, url_filter
 from .staging import table
 
 #: Fixed values of the contract: (action, host, path).
@@ -34,7 +34,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op10_language_id": op10_language_id,
     "op7_source_mix": op7_source_mix,
     "op9_url_filter": op9_url_filter,
