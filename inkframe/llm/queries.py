@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, url_filter
-from .staging import table
+from . import html_extract, language_id, mixing, packing, url_filter
+from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
 URL_RULES = (
@@ -38,7 +39,14 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "packing")
+    parts = stage.put("pieces", packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(parts, stage)
+
+
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op1_html_extract": op1_html_extract,
     "op10_language_id": op10_language_id,
     "op7_source_mix": op7_source_mix,
