@@ -57,7 +57,8 @@ def _by_rank(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in printable]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and i <= max(joined)}
+    top = max(joined)
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and i <= top}
     return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
 
 
