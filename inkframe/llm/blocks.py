@@ -112,7 +112,7 @@ def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         n = max(n, 1 << 16)
         inverse = pow(BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(n, b, np.uint64))).astype(np.uint64)) for b in (BASE, inverse)]
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (BASE, inverse)]
     return _POWERS
 
 

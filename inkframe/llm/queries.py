@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, packing, url_filter
+from . import html_extract, language_id, mixing, near_dedup, packing, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -45,7 +45,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts, stage)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op1_html_extract": op1_html_extract,
     "op10_language_id": op10_language_id,
