@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import byte_dedup, html_extract, language_id, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -53,7 +53,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,

@@ -8,14 +8,14 @@ group. Rows number at most one per entry, so the tables grow with the input and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pack, runs, unpack
+from .blocks import mixed, pack, runs, unpack
 
 #: Bytes of text whose entries one bucket, and whose rows one document group, holds on average.
 GROUP_BYTES = 16_000_000
@@ -58,7 +58,7 @@ class Spool:
 
     def add(self, hash_: np.ndarray, extra: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> None:
         """``doc`` counts within ``ids`` and ``groups``, the documents of this batch."""
-        self.parts.append((hash_, extra, (doc + self.docs).astype(np.uint32), pos.astype(np.uint32)))
+        self.parts.append((hash_, extra, (doc + self.docs).astype(np.uint32), pos.astype(np.uint64)))
         self.ids.append(ids)
         self.groups.append(groups)
         self.docs += len(ids)
@@ -83,7 +83,7 @@ class Spool:
             d, i, g = _table(doc[a:b], ids, groups)
             h = hash_[a:b]
             delta = np.concatenate((h[:1], h[1:] - h[:-1])) if not whole else h[:0]
-            out.append((int(bucket[a]), whole, pack(delta), pack(extra[a:b]) if not whole else b"", pack(d), pack(pos[a:b]), pack(i), pack(g.astype(np.int32))))
+            out.append((int(bucket[a]), whole, pack(delta), pack(extra[a:b]) if not whole else b"", pack(d), pack(pos[a:b].astype(np.uint64)), pack(i), pack(g.astype(np.int32))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, [pa.int32(), pa.bool_(), *[pa.binary()] * 6])], _NAMES)
 
 
@@ -100,7 +100,7 @@ def merged(rows: pa.Table, extra_type=np.uint32) -> tuple[tuple[np.ndarray, ...]
         whole, h, e, d, p, i, g = (rows.column(c)[r] for c in _NAMES[1:])
         whole = whole.as_py()
         i, d = _read(i, np.int64), _read(d, np.uint32).astype(np.int64)
-        own = [d + base[whole], _read(p, np.uint32).astype(np.int64), i, _read(g, np.int32)]
+        own = [d + base[whole], _read(p, np.uint64).astype(np.int64), i, _read(g, np.int32)]
         base[whole] += len(i)
         found[whole].append(own if whole else [np.cumsum(_read(h, np.uint64)), _read(e, extra_type), *own])
     out = []
@@ -120,7 +120,7 @@ def group_rows(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, groups: np.nda
     out = []
     for a, b in zip(*runs(groups[doc] if len(doc) else doc)):
         d, i, _ = _table(doc[a:b], ids, groups)
-        out.append((int(groups[doc[a]]), pack(d), pack(pos[a:b].astype(np.uint32)), pack(i)))
+        out.append((int(groups[doc[a]]), pack(d), pack(pos[a:b].astype(np.uint64)), pack(i)))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int32(), *[pa.binary()] * 3])], ["g", "doc", "pos", "ids"])
 
 
@@ -131,7 +131,7 @@ def places(rows: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = ids[order]
     for r in range(rows.num_rows):
         own = _read(rows.column("ids")[r], np.int64)
-        d, p = _read(rows.column("doc")[r], np.uint32).astype(np.int64), _read(rows.column("pos")[r], np.uint32).astype(np.int64)
+        d, p = _read(rows.column("doc")[r], np.uint32).astype(np.int64), _read(rows.column("pos")[r], np.uint64).astype(np.int64)
         lo, hi = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
         for k in range(int((hi - lo).max(initial=0))):
             some = (lo + k < hi)[d]
@@ -140,6 +140,24 @@ def places(rows: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(poss)
 
 
-def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches that have rows."""
-    return (b for b in batches if b.num_rows)
+def settle(spool: Spool, is_anchor: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Probe entries as rows: what an anchor and a probe of this batch decide already goes on as whole rows."""
+    h, extra, doc, pos, ids, groups = spool.columns()
+    a, b = runs(h)
+    block = is_anchor(pos)
+    if not len(h):
+        return
+    met = (b - a > 1) & np.logical_or.reduceat(block, a)
+    hit = np.repeat(met, b - a)
+    # one entry speaks for the batch's hits: an anchor, as the index needs one
+    first = np.zeros(len(h), bool)
+    order = np.lexsort((~block, np.repeat(np.arange(len(a)), b - a)))
+    first[order[a]] = True
+    send = ~hit | first
+    yield spool.rows(h[send], extra[send], doc[send], pos[send], ids, groups)
+    if hit.any():
+        by = np.argsort(doc[hit], kind="stable")
+        d = doc[hit][by]
+        spread = mixed(d.astype(np.uint64) // np.uint64(4096))  # some bucket or other
+        order = np.argsort(spread, kind="stable")
+        yield spool.rows(spread[order], extra[:0], d[order], pos[hit][by][order], ids, groups, whole=True)

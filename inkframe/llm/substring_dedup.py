@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Words, mixed, rolling, runs, steps
-from .spool import BUCKETS, GROUPS, Spool, group_rows, grouped, merged, n_groups, places
+from .spool import BUCKETS, GROUPS, Spool, group_rows, grouped, merged, n_groups, places, settle
 from .staging import Stage
 
 BLOCK, WINDOW = 10, 20
@@ -38,27 +38,8 @@ def _windows(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     return value[at], at, words.doc[at]
 
 
-def _settle(spool: Spool) -> Iterator[pa.RecordBatch]:
-    """Probe entries: what a block and a window of this batch decide already goes on as whole rows."""
-    h, extra, doc, pos, ids, groups = spool.columns()
-    a, b = runs(h)
-    block = pos % BLOCK == 0
-    if not len(h):
-        return
-    met = (b - a > 1) & np.logical_or.reduceat(block, a)
-    hit = np.repeat(met, b - a)
-    # one entry speaks for the batch's hits: a block, as the index needs one
-    first = np.zeros(len(h), bool)
-    order = np.lexsort((~block, np.repeat(np.arange(len(a)), b - a)))
-    first[order[a]] = True
-    send = ~hit | first
-    yield spool.rows(h[send], extra[send], doc[send], pos[send], ids, groups)
-    if hit.any():
-        by = np.argsort(doc[hit], kind="stable")
-        d = doc[hit][by]
-        spread = mixed(d.astype(np.uint64) // np.uint64(4096))  # some bucket or other
-        order = np.argsort(spread, kind="stable")
-        yield spool.rows(spread[order], extra[:0], d[order], pos[hit][by][order], ids, groups, whole=True)
+def _is_block(pos: np.ndarray) -> np.ndarray:
+    return pos % BLOCK == 0
 
 
 def anchor_hits(docs: DataFrame, n: int) -> DataFrame:
@@ -74,8 +55,8 @@ def anchor_hits(docs: DataFrame, n: int) -> DataFrame:
                 h, at, doc = _windows(words, words.hashes(), BLOCK)
                 spool.add(h & ~np.uint64(0xFFFFF), np.zeros(len(h), np.uint8), doc, at - words.first[doc], ids[lo:hi], groups[lo:hi])
                 if spool.full():
-                    yield from _settle(spool)
-        yield from _settle(spool)
+                    yield from settle(spool, _is_block)
+        yield from settle(spool, _is_block)
 
     def met(rows: pa.Table) -> pa.Table:
         (h, _, doc, pos, ids, groups), (d2, p2, i2, g2) = merged(rows, np.uint8)
