@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, html_extract, language_id, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import byte_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -57,7 +57,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_media_columns": op3_media_columns,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
