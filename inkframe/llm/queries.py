@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, byte_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -61,7 +61,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(table(spark, sf_dir, "documents"))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
+    "op2_additive_ann": op2_additive_ann,
     "op3_media_columns": op3_media_columns,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
