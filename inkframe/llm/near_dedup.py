@@ -7,9 +7,10 @@ agree in a component with the probability Jaccard similarity of the documents.
 
 Equal texts are one document from the start. Signatures are cut into bands; documents that share
 a band are candidates. Star links to one member of each band bucket are verified first, on the
-whole texts, by the exact probability Jaccard similarity; what they join is one component. Only
-bucket members in different components are then still paired, so a group of near copies costs
-links in proportion to its size, and no link between two components is lost.
+whole texts, by the exact probability Jaccard similarity; what they join is one component. Bucket
+members of different components are then compared by their signatures, in blocks inside the tasks,
+and only those that may reach the threshold become rows to be read in full, each pair once. So a
+group of near copies costs rows in proportion to its links, and no link between components is lost.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. A text of fewer than five
 words is one shingle of all its words.
@@ -36,8 +37,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 32 bands of 6 components: a pair of similarity 0.8 shares a band with probability 0.99994.
 BANDS, ROWS = 32, 6
-#: Pairs whose signatures estimate less than this (seven standard errors below 0.8) aren't read in full.
-SURE_BELOW = 0.6
+#: Components of a signature: the bands' and more, for the estimate alone.
+COMPONENTS = 768
+#: Pairs whose signatures estimate less than the threshold by this many standard errors aren't read in full.
+ERRORS = 4.0
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 4096
 
 _SPLIT = np.frombuffer(bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256)), np.uint8)
 
@@ -113,7 +118,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signed(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, band keys, signature) of every text with words."""
+    """(id, band keys, signature) of every text with words. A signature is the bands' components
+    in 16 bits each and the others in 8."""
     m = bands * rows
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +131,35 @@ def signed(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                     continue
                 # only texts with words get a signature
                 own, doc = np.unique(doc, return_inverse=True)
-                sig = signatures(doc, value, weight, len(own), m)
-                keys = _band_keys(sig, bands, rows)
+                sig = mixed(signatures(doc, value, weight, len(own), COMPONENTS))
+                keys = _band_keys(sig[:, :m], bands, rows)
+                kept = np.concatenate((sig[:, :m].astype(np.uint16).view(np.uint8), sig[:, m:].astype(np.uint8)), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(own)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([s.astype(np.uint16).tobytes() for s in sig], pa.binary())],
+                    [ids.slice(lo, hi - lo).take(pa.array(own)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([k.tobytes() for k in kept], pa.binary())],
                     ["id", "keys", "signature"],
                 )
 
     return reps.select("id", "text").mapInArrow(made, "id long, keys array<long>, signature binary")
 
 
+class Signs:
+    """Stored signatures of several texts: ``bands`` in 16 bits, ``rest`` in 8."""
+
+    def __init__(self, stored: list[bytes], m: int):
+        flat = np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), -1)
+        self.bands, self.rest = np.ascontiguousarray(flat[:, : 2 * m]).view(np.uint16), flat[:, 2 * m :]
+
+
+def estimate(same: np.ndarray, same_rest: np.ndarray, m: int) -> np.ndarray:
+    """Similarity from agreeing components; of the 8-bit ones some agree by chance."""
+    rest = COMPONENTS - m
+    return (same + (same_rest - rest / 256) / (1 - 1 / 256)) / COMPONENTS
+
+
+def sure_below(threshold: float) -> float:
+    return threshold - ERRORS * (threshold * (1 - threshold) / COMPONENTS) ** 0.5
+
+
 def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = sig.reshape(len(sig), bands, rows)
     key = np.zeros(parts.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
@@ -173,13 +198,52 @@ def alike(pairs: DataFrame, marks: DataFrame, m: int, at_least: float) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, m) for c in ("sa", "sb"))
-            mask = pa.array((x == y).mean(1) >= at_least)
+            x, y = (Signs(b.column(c).to_pylist(), m) for c in ("sa", "sb"))
+            mask = pa.array(estimate((x.bands == y.bands).sum(1), (x.rest == y.rest).sum(1), m) >= at_least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     return both.mapInArrow(kept, "a long, b long")
 
 
+def apart_alike(members: DataFrame, bands: int, rows: int, at_least: float) -> DataFrame:
+    """Pairs (a, b) of bucket members (key, band, hub, id, class, signature, n) of different
+    components whose signatures are alike. A pair is given by the first band that it shares.
+
+    A bucket of more than BLOCK members is compared block by block, each pair of blocks a group.
+    """
+    m = bands * rows
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+
+    def compared(rows_: pa.Table) -> pa.Table:
+        block, x, y = (rows_.column(c).to_numpy() for c in ("block", "x", "y"))
+        ids, of, hub = (rows_.column(c).to_numpy() for c in ("id", "class", "hub"))
+        band = rows_.column("band")[0].as_py()
+        signs = Signs(rows_.column("signature").to_pylist(), m)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out: list[tuple] = []
+        for lo in range(0, len(left), 32):
+            i = left[lo : lo + 32]
+            good = (of[i][:, None] != of[right]) & (ids[i] != hub[i])[:, None] & (ids[right] != hub[right])
+            if x[0] == y[0]:
+                good &= ids[i][:, None] < ids[right]
+            cols = np.flatnonzero(good.any(0))
+            if not len(cols):
+                continue
+            j = right[cols]
+            same = signs.bands[i][:, None] == signs.bands[j]
+            good = good[:, cols] & (same.reshape(len(i), len(j), bands, rows).all(3).argmax(2) == band)
+            u, v = np.nonzero(good)
+            about = estimate(same[u, v].sum(1), (signs.rest[i[u]] == signs.rest[j[v]]).sum(1), m) >= at_least
+            out.append((ids[i[u[about]]], ids[j[v[about]]]))
+        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(compared, "a long, b long")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs`` (doc_id, text); doc_id must be an integer."""
     stage = Stage(docs.sparkSession, "near")
@@ -194,23 +258,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     reps = stage.put("texts", texts)
     marks = stage.put("signatures", signed(reps, bands, rows))
     signs = marks.select("id", "signature")
-    bucket = marks.select("id", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    groups = stage.put("buckets", bucket.join(shared, "key").select("key", "hub", "id"))
+    bucket = marks.select("id", F.posexplode("keys").alias("band", "key"))
+    shared = bucket.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    groups = stage.put("buckets", bucket.join(shared, "key").select("key", "band", "hub", "n", "id"))
     star = stage.put("star", groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = stage.put("links", verified(alike(star, signs, bands * rows, SURE_BELOW), reps, threshold))
+    cut = sure_below(threshold)
+    links = stage.put("links", verified(alike(star, signs, bands * rows, cut), reps, threshold))
     comp = stage.put("joined", components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), stage, "cc"))
-    # what the stars left apart: bucket members of different components
-    placed = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    apart = stage.put("apart", placed.join(split, "key"))
-    x, y = apart.withColumnsRenamed({"id": "a", "class": "ca"}), apart.withColumnsRenamed({"id": "b", "class": "cb"})
-    rest = x.join(y, "key").filter("ca < cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = stage.put("more", verified(alike(rest, signs, bands * rows, SURE_BELOW), reps, threshold))
+    # what the stars left apart: buckets with members of different components
+    placed = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi and lo is not null").select("key")
+    apart = placed.filter("n > 2").join(split, "key").join(signs, "id")
+    more = stage.put("more", verified(apart_alike(apart, bands, rows, cut), reps, threshold))
     edges = links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = components(edges, stage, "all").withColumnsRenamed({"node": "id"})
     of_text = ids.join(final, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"))
     out = member.join(of_text, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = stage.put("classes", out)
-    stage.drop("texts", "signatures", "buckets", "star", "links", "joined", "apart", "more", "members", "ids")
+    stage.drop("texts", "signatures", "buckets", "star", "links", "joined", "more", "members", "ids")
     return out
