@@ -31,10 +31,12 @@ from .staging import Stage
 
 WINDOW, ANCHOR = 100, 50
 #: Shards for each document group.
-SHARDS = 4
+SHARDS = 2
 #: A run of windows is stored as first place * SPAN + number of windows.
 SPAN = 4096
 SPANS = BUCKETS + ", text binary"
+#: Bytes of spans whose suffixes are sorted together, anchor by anchor.
+SORTED = 600_000
 
 
 class Anchored:
@@ -77,7 +79,7 @@ def anchor_hits(docs: DataFrame, n: int) -> DataFrame:
         spool = Spool(n)
         for batch in batches:
             ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "g"))
-            for lo, hi, texts in steps(batch, most=2_000_000):
+            for lo, hi, texts in steps(batch, most=1_000_000):
                 own = Anchored(texts)
                 spool.add(own.hash, np.zeros(len(own.hash), np.uint8), own.doc, own.anchor, ids[lo:hi], groups[lo:hi])
                 if spool.full():
@@ -112,7 +114,7 @@ def spans(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
             live = np.sort((hit_doc << 32) | hit_at)
             base = 0
             for batch in left.to_batches():
-                for lo, hi, texts in steps(batch, most=2_000_000):
+                for lo, hi, texts in steps(batch, most=1_000_000):
                     own = Anchored(texts)
                     code = ((own.doc + base + lo) << 32) | own.anchor
                     k = np.searchsorted(live, code)
@@ -203,14 +205,27 @@ def repeated(rows: pa.Table) -> pa.Table:
         lead = lead[np.argsort(hash_[lead], kind="stable")]
         a, b = runs(hash_[lead])
         lead = lead[np.repeat(b - a > 1, b - a)]
-        if len(lead):
-            d, p = _equal_windows(text, off, lead, ids[doc], pos // SPAN)
+        for part in _pieces(hash_[lead], off[lead + 1] - off[lead]):
+            d, p = _equal_windows(text, off, lead[part], ids[doc], pos // SPAN)
             gone_doc.append(doc[d])
             gone_pos.append(p)
     out = group_rows(np.concatenate(gone_doc).astype(np.int64), np.concatenate(gone_pos), np.concatenate((ids, i2)), np.concatenate((groups, g2)))
     return pa.Table.from_batches([out])
 
 
+def _pieces(hash_: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Runs of whole anchors of about SORTED bytes; an anchor with more is a piece of its own."""
+    _, b = runs(hash_)
+    total = np.cumsum(size)
+    lo = 0
+    while lo < len(hash_):
+        done = total[lo - 1] if lo else 0
+        k = np.searchsorted(total[b - 1], done + SORTED, "right") - 1
+        k = max(k, np.searchsorted(b, lo, "right"))
+        yield slice(lo, int(b[k]))
+        lo = int(b[k])
+
+
 def _equal_windows(text: bytes, off: np.ndarray, lead: np.ndarray, who: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(span, coded run) of the windows in these spans of which an equal one is earlier."""
     size = off[lead + 1] - off[lead]

@@ -224,8 +224,10 @@ def _order_of_names(names: list[int], symbols: int) -> list[int]:
 
     if len(lms) > 1:
         ordered = [i for i in induced(lms) if small[i] and i > 0 and not small[i - 1]]
-        stop = dict(zip(lms, [*lms[1:], n - 1]))
-        name, current, before = {}, -1, None
+        stop, name = [0] * n, [0] * n
+        for i, j in zip(lms, [*lms[1:], n - 1]):
+            stop[i] = j
+        current, before = -1, None
         for i in ordered:
             piece = names[i : stop[i] + 1]
             if piece != before:

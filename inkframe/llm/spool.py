@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .blocks import mixed, pack, runs, unpack
 
 #: Bytes of text whose entries one bucket, and whose rows one document group, holds on average.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 6_000_000
 #: Entries that a task gathers before it writes its rows.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 BUCKETS = "bucket int, whole boolean, hash binary, extra binary, doc binary, pos binary, ids binary, groups binary"
 GROUPS = "g int, doc binary, pos binary, ids binary"
 _NAMES = ["bucket", "whole", "hash", "extra", "doc", "pos", "ids", "groups"]

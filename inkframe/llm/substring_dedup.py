@@ -49,7 +49,7 @@ def anchor_hits(docs: DataFrame, n: int) -> DataFrame:
         spool = Spool(n)
         for batch in batches:
             ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "g"))
-            for lo, hi, texts in steps(batch, most=4_000_000):
+            for lo, hi, texts in steps(batch, most=1_000_000):
                 words = Words(texts)
                 # 44 bits pick candidates; what they let through by chance the extension drops
                 h, at, doc = _windows(words, words.hashes(), BLOCK)
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
             hit_doc, hit_at = hit_doc[order], hit_at[order]
             base = 0
             for batch in left.to_batches():
-                for lo, hi, texts in steps(batch, most=4_000_000):
+                for lo, hi, texts in steps(batch, most=1_000_000):
                     x, y = np.searchsorted(hit_doc, (base + lo, base + hi))
                     if x == y:
                         continue
@@ -163,7 +163,7 @@ def _kept(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, Words, np
     rep_doc, rep_at = rep_doc[order], rep_at[order]
     base = 0
     for batch in left.to_batches():
-        for lo, hi, texts in steps(batch, most=4_000_000):
+        for lo, hi, texts in steps(batch, most=1_000_000):
             words = Words(texts)
             x, y = np.searchsorted(rep_doc, (base + lo, base + hi))
             mark = np.zeros(len(words.start) + WINDOW + 1, np.int64)
