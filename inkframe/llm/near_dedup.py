@@ -277,3 +277,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     out = stage.put("classes", out)
     stage.drop("texts", "signatures", "buckets", "star", "links", "joined", "more", "members", "ids")
     return out
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each class, once; rows without a doc_id stay."""
+    found = classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))

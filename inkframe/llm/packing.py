@@ -256,7 +256,7 @@ def bin_completion(count: dict[int, int], capacity: int, nodes: int = 1_500, bra
 def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY, nodes: int = 1_500) -> DataFrame:
     """``parts`` (with a length column) plus sequence_id and offset."""
     spark = parts.sparkSession
-    order = [c for c in ("doc_id", "piece") if c in parts.columns]
+    order = parts.columns  # rows equal in all columns may change places
     salted = parts.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     counted = stage.put("lengths", salted.groupBy("length", "salt_").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

@@ -31,11 +31,13 @@ def n_groups(docs: DataFrame) -> int:
     return max(4, -(-total // GROUP_BYTES))
 
 
-def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id, text and the document's group; a null doc_id counts as the largest."""
+def grouped(docs: DataFrame, groups: int, keep: bool = False) -> DataFrame:
+    """doc_id, text and the document's group; a null doc_id counts as the largest. With ``keep``
+    each row also carries all columns of ``docs`` but the text, under the prefix ``own_``."""
     last = F.lit((1 << 63) - 1)
     own = F.coalesce(F.col("doc_id").cast("long"), last)
-    return docs.select(own.alias("doc_id"), "text", F.pmod(F.xxhash64(own), F.lit(groups)).cast("int").alias("g"))
+    more = [F.col(c).alias(f"own_{c}") for c in docs.columns if c != "text"] if keep else []
+    return docs.select(own.alias("doc_id"), "text", F.pmod(F.xxhash64(own), F.lit(groups)).cast("int").alias("g"), *more)
 
 
 def _table(doc: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -144,14 +144,14 @@ def repeats(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(not_first, GROUPS)
 
 
-def removed_words(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+def removed_words(docs: DataFrame, stage: Stage, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(grouped documents, group table of the repeated windows)."""
     n = n_groups(docs)
     own = grouped(docs, n)
     hits = stage.put("hits", anchor_hits(own, n))
     found = stage.put("repeats", repeats(own, hits, n))
     stage.drop("hits")
-    return own, found
+    return grouped(docs, n, keep), found
 
 
 def _kept(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, Words, np.ndarray, int]]:
@@ -198,3 +198,36 @@ def digests(docs: DataFrame) -> DataFrame:
     done = stage.put("digests", done)
     stage.drop("repeats")
     return done.selectExpr(f"nullif(doc_id, {(1 << 63) - 1}) AS doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated words cut out of the text, each with the white space after it, and
+    ``n_chars``, where there is one, counted anew. Texts that lose nothing are unchanged."""
+    own, found = removed_words(docs, Stage(docs.sparkSession, "cuts"), keep=True)
+    names = docs.columns
+
+    def cut(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows:
+            for rows, texts, words, keep in _kept(left, right):
+                out = list(texts)
+                bounds = np.append(words.start, len(words.data))
+                for k, (x, y) in enumerate(zip(words.first[:-1], words.first[1:])):
+                    if keep[x:y].all():
+                        continue
+                    a, b = runs(keep[x:y])
+                    top = int(words.offset[k + 1]) - 1  # without the space between texts
+                    ends = np.minimum(bounds[x + b], top)
+                    starts = bounds[x + a].copy()
+                    starts[0] = words.offset[k]
+                    out[k] = b"".join(words.data[p:q].tobytes() for p, q, good in zip(starts, ends, keep[x + a]) if good).decode("utf-8", "surrogatepass")
+                columns = {c: rows.column(f"own_{c}") for c in names if c != "text"}
+                columns["text"] = pa.array(out, pa.string())
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([o if n is t else len(n) for o, n, t in zip(columns["n_chars"].to_pylist(), out, texts)], columns["n_chars"].type)
+                parts.append(pa.Table.from_arrays([columns[c] for c in names], names))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table({c: pa.array([], left.column(c if c == "text" else f"own_{c}").type) for c in names})
+
+    return own.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(cut, docs.schema)
