@@ -1,0 +1,65 @@
+import math
+
+from pyspark.sql import functions as F
+
+from inkframe.functions import labels
+from inkframe.operators import boxes as B
+from inkframe.operators import context as C
+from inkframe.operators import feedback as K
+from inkframe.operators import metrics as M
+
+
+def test_priority_matches_published_metrics():
+    # The published quality of the classifier
+    got = M.priority(0.9623326634555063, 0.9565532223026791, 0.9873724291346458, 0.9898296438367393, 0.9936611573877527)
+    assert math.isclose(got, 0.9739226725463704, rel_tol=0, abs_tol=1e-12)
+
+
+def test_metrics_of_eight_samples(spark):
+    pairs = spark.createDataFrame(list(zip([0, 1, 2, 2, 1, 0, 3, 3], [0, 1, 2, 1, 1, 0, 3, 2])), "truth int, pred int")
+    assert abs(M.averages(pairs).first().accuracy - 6 / 8) < 1e-12
+    assert {(r.truth, r.pred): r.n for r in M.confusion(pairs).collect()}[(2, 1)] == 1
+    never = M.per_class(pairs.unionByName(spark.createDataFrame([(4, 0)], "truth int, pred int"))).filter("label = 4").first()
+    assert (never.precision, never.recall, never.f1, never.support) == (0.0, 0.0, 0.0, 1)
+
+
+def test_rows_and_containment(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 20), (1, 2, 50, 2, 10, 20), (1, 3, 0, 100, 10, 20), (1, 4, 52, 5, 3, 3)], "image_id long, glyph_id long, x long, y long, w long, h long")
+    assert {r.glyph_id: r.line for r in B.rows(boxes).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert [(r["inner"], r["outer"]) for r in B.contained(boxes).collect()] == [(4, 2)]
+    assert [r.glyph_id for r in B.reading_order(boxes).orderBy("place").collect()] == [1, 2, 4, 3]
+    assert {r.glyph_id for r in B.clear_of(boxes).collect()} == {1, 2, 3}
+
+
+def test_merge_takes_in_what_the_grown_box_reaches(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 20, 0, 10, 10), (1, 3, 40, 0, 10, 10), (1, 4, 200, 0, 5, 5)], "image_id long, glyph_id long, x long, y long, w long, h long")
+    got = sorted((r.x, r.w, r.n_parts) for r in B.merge_fragments(boxes, 12).collect())
+    assert got == [(0, 50, 3), (200, 5, 1)]
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("  x ",), ("−",), (None,), ("plus",), ("7",), ("a b",)], "l string")
+    got = [(r.n, r.t) for r in df.select(labels.normal_label(F.col("l")).alias("n"), labels.label_token(F.col("l")).alias("t")).collect()]
+    assert got == [("*", "multiply"), ("-", "minus"), ("", "unknown"), ("+", "plus"), ("7", "7"), ("a b", "unknown")]
+
+
+def test_context_flips():
+    assert C.corrected(list("/2+3"), [0.5, 0.9, 0.9, 0.9])[0] == list("72+3")
+    assert C.corrected(list("1+/2"), [0.9, 0.7, 0.6, 0.9])[0] == list("1+72")
+    assert C.corrected(list("1+-2"), [0.9, 0.6, 0.9, 0.9])[0] == list("14-2")
+    assert C.corrected(list("12-"), [0.9, 0.9, 0.5])[0] == list("121")
+    assert C.corrected(list("**3"), [0.5, 0.5, 0.9])[0] == list("**3")  # * resembles no digit
+    assert C.corrected([], []) == ([], [])
+
+
+def test_beam_reads_a_whole_expression():
+    options = [[("/", 0.9), ("(", 0.6)], [("1", 0.9)], [("+", 0.9)], [("7", 0.8), ("2", 0.7)], [(")", 0.9), ("4", 0.5)]]
+    assert C.best_reading(options) == "(1+7)"
+    assert C.best_reading([[("+", 1.0)]]) is None
+
+
+def test_feedback_sets(spark):
+    rows = spark.createDataFrame([(1, 10, "2024-01-01", "corrected", 3), (2, 10, "2024-01-02", "corrected", 3), (3, 10, "2024-01-01", "rejected", 3), (4, 11, "2024-01-01", "rejected", 5), (5, 11, "2024-01-01", "rejected", 5)], "event_id long, analysis_id long, saved_at string, action string, label_idx long").withColumn("saved_at", F.to_timestamp("saved_at"))
+    assert {r.event_id for r in K.last_writes(rows).collect()} == {2, 3, 4, 5}
+    assert [(r.analysis_id, r.label_idx) for r in K.conflicts(rows).collect()] == [(10, 3)]
+    assert {r.analysis_id: r.message for r in K.messages(rows).collect()} == {10: "Saved 2 corrections and 1 rejection.", 11: "Saved 2 rejections."}
