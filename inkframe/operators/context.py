@@ -74,31 +74,50 @@ def correct_sequences(seq: DataFrame) -> DataFrame:
 
 
 def step(state: tuple[int, bool], char: str) -> tuple[int, bool] | None:
-    """(open parentheses, whether a term must come) after one more character; None if it can't stand here."""
+    """(open parentheses, whether a term must come) after one more character; None if it can't stand here.
+
+    A parenthesis or digit after a term multiplies, so both may follow one."""
     depth, term = state
     if char.isdigit():
         return depth, False
     if char == "(":
-        return (depth + 1, True) if term else None
+        return depth + 1, True
     if char == ")":
         return (depth - 1, False) if depth and not term else None
-    if term:
-        return (depth, True) if char == "-" else None
-    return depth, True
+    return (depth, True) if not term or char == "-" else None
+
+
+# What a pair of neighbours adds to a reading's score, by the kinds of both.
+BONUS = {("digit", "operator"): 0.05, (")", "operator"): 0.05, ("operator", "digit"): 0.04, ("(", "digit"): 0.04, ("(", "-"): 0.04, (")", "digit"): 0.03, (")", "("): 0.03, ("digit", "("): 0.03, ("digit", "digit"): 0.01}
+
+
+def _kind(char: str) -> str:
+    return "digit" if char.isdigit() else char if char in "()" else "operator"
+
+
+def bonus(left: str, right: str) -> float:
+    if not left:
+        return 0.0
+    if (left, right) == ("(", "-"):
+        return BONUS["(", "-"]
+    return BONUS.get((_kind(left), _kind(right)), 0.0)
 
 
 def best_reading(options: list[list[tuple[str, float]]], width: int = 64) -> str | None:
     """The best-scored sequence of one option a place that is a whole expression, by beam search; the first of equals."""
-    beam: dict[tuple[int, bool], tuple[float, str]] = {(0, True): (0.0, "")}
+    beam: dict[tuple, tuple[float, str]] = {(0, True, ""): (0.0, "")}
     for place in options:
-        grown: dict[tuple[int, bool], tuple[float, str]] = {}
-        for state, (score, text) in beam.items():
+        grown: dict[tuple, tuple[float, str]] = {}
+        for (depth, term, last), (score, text) in beam.items():
             for char, conf in place:
-                new = step(state, char)
-                if new is not None and (new not in grown or score + conf > grown[new][0]):
-                    grown[new] = (score + conf, text + char)
+                if (new := step((depth, term), char)) is None:
+                    continue
+                key, total = (*new, char), score + conf + bonus(last, char)
+                if key not in grown or total > grown[key][0]:
+                    grown[key] = (total, text + char)
         beam = dict(sorted(grown.items(), key=lambda kv: -kv[1][0])[:width])
-    return beam.get((0, False), (0.0, None))[1]
+    whole = [v for (depth, term, _), v in beam.items() if depth == 0 and not term]
+    return max(whole, key=lambda v: v[0])[1] if whole else None
 
 
 def read_lines(options: DataFrame) -> DataFrame:

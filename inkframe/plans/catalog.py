@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions import shapes as S
 from ..operators import boxes as B
 from ..operators import context as C
 from ..operators import expressions as X
 from ..operators import feedback as K
+from ..operators import lines as L
 from ..operators import metrics as M
 from ..operators import pixels as P
 from ..sources import derived as D
@@ -444,3 +446,53 @@ b AS (SELECT glyph_id, v, round(CASE WHEN na = n0 THEN 0 ELSE (s0*na - sa*n0)::D
 k AS (SELECT *, row_number() OVER (PARTITION BY glyph_id ORDER BY btw DESC, v) AS k FROM b) SELECT glyph_id, v AS threshold FROM k WHERE k = 1""")
 def otsu_threshold(spark, sf_dir):
     return P.otsu(D.pixels(spark, sf_dir))
+
+
+# --- shapes and lines
+
+_FEATURES = """shape AS (SELECT o_orderkey AS glyph_id, o_custkey AS image_id, ((o_orderkey*101)%1000/1000.0)::DOUBLE AS conf, ((o_orderkey*7)%21/10.0)::DOUBLE AS aspect, ((o_orderkey*13)%100/100.0)::DOUBLE AS fill, ((o_orderkey*17)%100/100.0)::DOUBLE AS "left",
+ ((o_orderkey*19)%100/100.0)::DOUBLE AS "right", ((o_orderkey*23)%100/100.0)::DOUBLE AS top, ((o_orderkey*29)%100/100.0)::DOUBLE AS bottom, ((o_orderkey*31)%100/100.0)::DOUBLE AS center, ((o_orderkey*37)%100/100.0)::DOUBLE AS center_row,
+ ((o_orderkey*41)%100/100.0)::DOUBLE AS center_col, ((o_orderkey*43)%140/100.0)::DOUBLE AS diag_primary, ((o_orderkey*47)%140/100.0)::DOUBLE AS diag_secondary, ((o_orderkey*53)%3//2)::INT AS holes, (2+o_orderkey%27)::INT AS content_h, (2+o_orderkey%17)::INT AS content_w FROM orders)"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    hundredth = lambda m, n=100: (k * m % n / 100.0).cast("double")
+    measures = {"fill": 13, "left": 17, "right": 19, "top": 23, "bottom": 29, "center": 31, "center_row": 37, "center_col": 41}
+    return D.read(spark, sf_dir, "orders").select(
+        k.alias("glyph_id"), F.col("o_custkey").alias("image_id"), (k * 101 % 1000 / 1000.0).cast("double").alias("conf"), (k * 7 % 21 / 10.0).cast("double").alias("aspect"), *[hundredth(m).alias(n) for n, m in measures.items()],
+        hundredth(43, 140).alias("diag_primary"), hundredth(47, 140).alias("diag_secondary"), F.floor(k * 53 % 3 / 2).cast("int").alias("holes"), (2 + k % 27).cast("int").alias("content_h"), (2 + k % 17).cast("int").alias("content_w"))
+
+
+@query(f"WITH {_FEATURES} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({S.rule_sql(n)}) AS n FROM shape" for n in S.names()))
+def shape_rules(spark, sf_dir):
+    counts = _shapes(spark, sf_dir).agg(*[F.count_if(S.looks_like(n)).alias(n) for n in S.names()])
+    return counts.unpivot([], S.names(), "rule", "n")
+
+
+@query(f"""WITH {_FEATURES}, c AS (SELECT *, CASE WHEN (glyph_id % 4) IN (0, 1) THEN conf * CASE WHEN aspect >= 2.5 OR (aspect BETWEEN 0.65 AND 1.55 AND center_row >= 0.55 AND fill >= 0.55) THEN 0.60::DOUBLE ELSE 1.0 END ELSE conf END AS rc,
+ (['1','7','-','/'])[glyph_id%4+1] AS char FROM shape)
+SELECT glyph_id, round(rc, 6) AS read_conf, CASE WHEN rc >= 0.75 THEN char WHEN char IN ('1','-') THEN CASE WHEN aspect >= 2.0 AND center_row >= 0.60 THEN '-' WHEN aspect < 0.8 AND fill >= 0.60 THEN '1' ELSE '-' END
+ WHEN char IN ('7','/') THEN CASE WHEN top >= 0.10 THEN '7' WHEN aspect >= 1.8 THEN '/' ELSE '7' END END AS read FROM c""")
+def dual_reading(spark, sf_dir):
+    s = _shapes(spark, sf_dir).withColumns({"char": F.element_at(F.array(*[F.lit(c) for c in "17-/"]), (F.col("glyph_id") % 4 + 1).cast("int")), "symmetry": F.col("center_row"), "density": F.col("fill")})
+    return L.dual_reading(s).select("glyph_id", F.round("read_conf", 6).alias("read_conf"), "read")
+
+
+@query(_ROWS + """, g AS (SELECT image_id, line, count(*) AS n, count(*) FILTER (char BETWEEN '0' AND '9') AS d, count(*) FILTER (char IN ('+','-','*','/')) AS o, count(*) FILTER (char IN ('(',')')) AS p, avg(conf) AS c, sum(w*h) AS area,
+ (max(x+w)-min(x))/greatest(1.0, max(y+h)-min(y))::DOUBLE AS aspect FROM r GROUP BY image_id, line), b AS (SELECT *, max(area) OVER (PARTITION BY image_id) AS best FROM g)
+SELECT image_id, line, n, round(d*5.0+p*2.5+o*1.5+n*1.4::DOUBLE+c*2.5+least(3.0, area/greatest(1.0, best)::DOUBLE*3.0) - CASE WHEN n=1 AND o=1 THEN 10 ELSE 0 END - CASE WHEN n<=2 AND d=0 THEN 8 ELSE 0 END - CASE WHEN n<=2 AND o>=1 AND d+p<=1 THEN 5 ELSE 0 END
+ - CASE WHEN aspect>=8 AND o>=1 AND d+p<=1 THEN 8 ELSE 0 END - CASE WHEN d=0 AND o>0 AND p=0 THEN 4 ELSE 0 END, 6) AS score FROM b""")
+def line_score(spark, sf_dir):
+    return L.line_scores(B.rows(D.glyphs(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+@query()
+def line_clusters(spark, sf_dir):
+    return L.cluster(D.glyphs(spark, sf_dir), 28.0, 0.65)
+
+
+@query(D.with_("binary_eval") + " SELECT count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy, round(avg(CASE WHEN truth = 1 THEN pred END), 6) AS recall FROM binary_eval")
+def case_accuracy(spark, sf_dir):
+    hit = (F.col("truth") == F.col("pred")).cast("double")
+    return D.binary_eval(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("truth") == 1, F.col("pred").cast("double"))), 6).alias("recall"))
