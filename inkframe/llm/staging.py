@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: delete its shuffle files after, and keep Arrow batches of long texts small.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,14 +38,16 @@ class Stage:
     def put(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return the written table. Its shuffle files go as soon as it is written."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             fresh = df.select("*")  # the clean-up mode is fixed when a Dataset is made
             writer = fresh.write.option("compression", "zstd")
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
