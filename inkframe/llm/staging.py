@@ -18,7 +18,7 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", "")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     own = spark.conf.get("inkframe.shared.dir", "")
