@@ -15,7 +15,7 @@ def stream_folder(spark: SparkSession) -> str:
     """A new folder on the shared file system."""
     import tempfile
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="inkframe-")
+    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="inkframe-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
