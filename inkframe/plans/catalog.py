@@ -46,6 +46,8 @@ _STATUS = """CASE WHEN template IN (0,1,2,7,8) OR (template = 3 AND b > 0) THEN
  WHEN template = 5 THEN 'Validation failed: Expression cannot end with ''*''.' WHEN template = 6 THEN 'Validation failed: Unmatched ''('' - parentheses are not balanced.'
  ELSE 'Validation failed: Two consecutive operators ''+'' and ''-'' at position ' || (length(a::VARCHAR) + 1) || '.' END"""
 
+_VALUE = """CASE template WHEN 0 THEN ((a+b)*c)::DOUBLE WHEN 1 THEN a::DOUBLE/c-b WHEN 2 THEN (c*(a-b))::DOUBLE WHEN 3 THEN a::DOUBLE/nullif(b,0) WHEN 7 THEN (a+b)::DOUBLE WHEN 8 THEN a::DOUBLE END"""
+
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.expressions(spark, sf_dir).withColumn("tokens", F.split("raw", ""))
@@ -75,6 +77,13 @@ def expr_validate(spark, sf_dir):
     return c.select("o_orderkey", F.coalesce(X.validation_error(F.col("e")), F.lit("OK")).alias("status"))
 
 
+@query(_CLEANED + f", s AS (SELECT *, {_STATUS} AS status FROM n) SELECT o_orderkey, CASE WHEN starts_with(status, 'Validation failed: ') THEN substr(status, 20) ELSE 'OK' END AS status FROM s")
+def expr_validate_all(spark, sf_dir):
+    """expr_validate on all ten forms."""
+    c = _tokens(spark, sf_dir).withColumn("e", X.multiply(F.array_join(X.auto_correct(X.clean(F.col("tokens"))), "")))
+    return c.select("o_orderkey", F.coalesce(X.validation_error(F.col("e")), F.lit("OK")).alias("status"))
+
+
 @query(_CLEANED + f" SELECT template, {_STATUS} = 'ok' AS ok, count(*) AS n FROM n GROUP BY ALL")
 def expr_status_counts(spark, sf_dir):
     return X.evaluate(_tokens(spark, sf_dir)).groupBy("template", F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
@@ -93,6 +102,17 @@ def line_summary(spark, sf_dir):
     return X.line_summary(e).withColumn("result", F.when(F.col("n_lines") == 1, "one").otherwise(F.col("result")))
 
 
+@query(_CLEANED + f""", s AS (SELECT *, {_STATUS} AS status, {_VALUE} AS value, o_orderkey // 40 AS image_id FROM n)
+SELECT image_id, count(*) AS n_lines, CASE WHEN count(*) = 1 THEN min(expression) ELSE 'Detected ' || count(*) || ' lines' END AS expression,
+ CASE WHEN count(*) = 1 THEN round(min(value), 6) END AS value,
+ CASE WHEN count(*) > 1 THEN count(*) FILTER (status = 'ok') || '/' || count(*) || ' lines evaluated successfully' END AS summary FROM s GROUP BY image_id""")
+def line_summary_values(spark, sf_dir):
+    """line_summary with the operator's result of every single-line image, as a rounded double."""
+    e = X.evaluate(_tokens(spark, sf_dir)).withColumn("image_id", F.floor(F.col("o_orderkey") / 40))
+    one = F.col("n_lines") == 1
+    return X.line_summary(e).withColumns({"value": F.round(F.when(one, F.col("result")).cast("double"), 6), "summary": F.when(~one, F.col("result"))}).drop("result")
+
+
 # --- boxes
 
 _ROWS = D.with_("glyphs") + """,
