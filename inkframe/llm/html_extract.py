@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CONTENT_WORDS = frozenset("article articlebody post postbody entry story content main maincontent body text".split())
@@ -82,6 +83,7 @@ class _Blocks(HTMLParser):
         self.top = _Element("html", [], None)
         self.blocks: list[tuple[str, Block]] = []
         self.now: Block | None = None
+        self.in_head = False
 
     def _break(self) -> None:
         if self.now and (text := self.now.text):
@@ -97,7 +99,25 @@ class _Blocks(HTMLParser):
         if at.parent:
             self.top = at.parent
 
+    def _leave_head(self, always: bool = False) -> None:
+        """Close an open head, whose end tag is optional, and what is open in it; a noscript or template in it ends at its own end tag or at body."""
+        at, head, inside, held = self.top, None, False, False
+        while at.parent:
+            inside |= at.tag in ("noscript", "template")
+            if at.tag == "head":
+                head, held = at, inside
+            at = at.parent
+        if head and held and not always:
+            return
+        self.in_head = False
+        if head:
+            self.top = head.parent
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.in_head and tag not in HEAD_TAGS:
+            self._leave_head(tag == "body")
+        elif tag == "head":
+            self.in_head = True
         if tag in BLOCK_TAGS:
             self._break()
             if tag in CLOSES_P:
@@ -119,6 +139,8 @@ class _Blocks(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.in_head and self.top.tag == "head" and data.strip():
+            self._leave_head()
         if self.top.silent:
             return
         if not self.now:
