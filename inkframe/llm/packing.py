@@ -70,7 +70,8 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are the tokenizer's own matter.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_rank = _by_rank(path)
 
     def whole(self, text: str) -> bytes:
@@ -83,7 +84,7 @@ class Tokens(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return b"".join(map(self.__getitem__, _WORDS.findall(text)))
         return self.whole(text)
 

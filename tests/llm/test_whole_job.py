@@ -1,6 +1,10 @@
 """Inputs that an earlier round left out or cut."""
 
-from inkframe.llm import html_extract
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from inkframe.llm import html_extract, packing
 
 
 def test_head_without_end_tag():
@@ -11,3 +15,10 @@ def test_head_without_end_tag():
     ):
         assert html_extract.main_text(page.format(text)) == text
     assert html_extract.main_text("<head><title>T</title></head>" + f"<p>{text}") == text
+
+
+def test_added_tokens_are_the_tokenizers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.tokens(path), Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "é漢<|endoftext|>", "<|endoftext", "plain words"):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
