@@ -7,8 +7,8 @@ most (``RATIO``). Each of ``SLOTS`` slots of the filter holds one bit a language
 the slots of a trigram and so returns all its languages at once. A text's hits per language,
 less the hits that false positives explain, decide.
 
-The filter has SLOTS 64-bit masks (8 MB) whatever the corpus's size, so it may be collected and
-sent to the tasks; up to 64 languages, more raise an error.
+The filter has SLOTS 64-bit masks (8 MB) for each 64 languages whatever the corpus's size, so it
+may be collected and sent to the tasks.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for all texts if
 nothing was learned; equal scores go to the language first by code point; repeated rows count as
@@ -88,7 +88,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     langs: list[str]
-    masks: np.ndarray  # one 64-bit mask a slot
+    masks: np.ndarray  # one row for each 64 languages, in it one 64-bit mask a slot
     false_rate: np.ndarray  # of each language
 
 
@@ -102,17 +102,14 @@ def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
     by_gram = grams.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("of"))
     by_gram = by_gram.persist()
     try:
-        totals = {r.lang: r.n for r in by_gram.select(F.explode("of").alias("o")).groupBy("o.lang").agg(F.sum("o.n").alias("n")).limit(65).collect()}
+        totals = {r.lang: r.n for r in by_gram.select(F.explode("of").alias("o")).groupBy("o.lang").agg(F.sum("o.n").alias("n")).collect()}  # one row a language
         langs = sorted(totals)
-        if len(langs) > 64:
-            raise ValueError("the masks hold up to 64 languages")
-        masks = np.zeros(slots, np.uint64)
+        masks = np.zeros((max(1, -(-len(langs) // 64)), slots), np.uint64)
         if langs:
             total = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(totals[k])))])
-            bit = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(int(np.uint64(1 << i).view(np.int64))))])
-            shares = F.transform("of", lambda o: F.struct(bit[o["lang"]].alias("bit"), (o["n"] / total[o["lang"]]).alias("share")))
+            shares = F.transform("of", lambda o: F.struct(o["lang"].alias("lang"), (o["n"] / total[o["lang"]]).alias("share")))
             own = by_gram.select("gram", shares.alias("s")).withColumn("top", F.array_max(F.transform("s", lambda x: x["share"])))
-            own = own.select("gram", F.aggregate(F.filter("s", lambda x: (x["share"] >= MIN_SHARE) & (x["share"] >= RATIO * F.col("top"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")).filter("mask <> 0")
+            own = own.select("gram", F.filter("s", lambda x: (x["share"] >= MIN_SHARE) & (x["share"] >= RATIO * F.col("top"))).alias("s"))
 
             def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -120,11 +117,14 @@ def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
                     mask = b.column("mask").to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(mask, PROBES))], ["slot", "mask"])
 
-            got = own.mapInArrow(slotted, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most
-            masks[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+            for w, word in enumerate(masks):
+                bit = F.create_map(*[x for i, k in enumerate(langs[64 * w : 64 * w + 64]) for x in (F.lit(k), F.lit(int(np.uint64(1 << i).view(np.int64))))])
+                some = own.select("gram", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.coalesce(bit[x["lang"]], F.lit(0).cast("long")))).alias("mask")).filter("mask <> 0")
+                got = some.mapInArrow(slotted, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most
+                word[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     finally:
         by_gram.unpersist()
-    fill = np.array([np.mean((masks >> np.uint64(i)) & np.uint64(1)) for i in range(len(langs))])
+    fill = np.array([np.mean((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(langs))])
     return Model(langs, masks, fill**PROBES)
 
 
@@ -144,15 +144,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, texts in steps(batch):
                 gram, doc = trigrams(texts)
                 n = np.bincount(doc, minlength=hi - lo)
-                hit = np.bitwise_and.reduce([masks[s] for s in slots_of(gram, len(masks))])
-                share = np.zeros((max(1, len(langs)), hi - lo))
+                slots = slots_of(gram, masks.shape[1])
+                best, top = np.zeros(hi - lo, np.int64), np.full(hi - lo, -1.0)
                 for i in range(len(langs)):
-                    c = np.bincount(doc, (hit >> np.uint64(i)) & np.uint64(1), hi - lo)
-                    share[i] = np.clip((c / np.maximum(n, 1) - false_rate[i]) / max(1e-9, 1 - false_rate[i]), 0, 1)
-                best = share.argmax(0)
+                    if i % 64 == 0:
+                        hit = np.bitwise_and.reduce([masks[i // 64][s] for s in slots])
+                    c = np.bincount(doc, (hit >> np.uint64(i % 64)) & np.uint64(1), hi - lo)
+                    share = np.clip((c / np.maximum(n, 1) - false_rate[i]) / max(1e-9, 1 - false_rate[i]), 0, 1)
+                    more = share > top
+                    best[more], top[more] = i, share[more]
                 known = (n > 0) & bool(langs)
                 pred += [langs[b] if k else "und" for b, k in zip(best, known)]
-                score.append(np.where(known, share.max(0), 0.0))
+                score.append(np.where(known, top, 0.0))
             flat = np.concatenate(score) if score else np.empty(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(flat)], [*names, "lang_pred", "score"])
 

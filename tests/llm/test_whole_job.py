@@ -1,10 +1,12 @@
 """Inputs that an earlier round left out or cut."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from inkframe.llm import html_extract, packing
+from inkframe.llm import html_extract, language_id, packing
 
 
 def test_head_without_end_tag():
@@ -22,3 +24,12 @@ def test_added_tokens_are_the_tokenizers():
     own, plain = packing.tokens(path), Tokenizer.from_file(path)
     for text in ("a <|endoftext|> b", "<|endoftext|>", "é漢<|endoftext|>", "<|endoftext", "plain words"):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(5)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4)] for i in range(70)}
+    docs = spark.createDataFrame([(i, " ".join(w * 3), k) for i, (k, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.langs == sorted(words)
+    assert all(r.lang == r.lang_pred for r in language_id.predict(docs, model).collect())
