@@ -13,8 +13,9 @@ results. Input columns beside page_id, url, html are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,17 @@ from .components import components
 from .staging import Stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tags that name another url of the same page.
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: Tags that name another url of the same page, and those that give the base of its links.
+LINK = r"(?i)<link\b[^>]*>"
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"(?i)<base\b[^>]*>"
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: A text as character references and what lies between them; in attributes a name without ; must not go on with a letter, digit or =.
+REFERENCES = r"&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;|&[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9=;])|[^&]+|&"
+#: Names of references as html defines them, and the numbers that it reads as Windows-1252.
+NAMED = html5 | {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+#: The same as lines of one text, as Spark plans with a map of this size are slow; a url is read without tabs and line feeds.
+NAMES = "\n" + "".join(f"{k}\t{v.strip(chr(9) + chr(10))}\n" for k, v in NAMED.items())
 
 
 def host_of(url: Column) -> Column:
@@ -52,25 +59,74 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.coalesce(*[F.when(fits, F.struct(F.lit(a).alias("action"), F.lit(r).alias("rule"))) for a, r, fits in tests])
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) node keys from canonical links and refresh redirects in the html."""
-    found = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").contains("://")).select(
-        "url",
-        F.explode(
-            F.concat(
-                F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1)),
-                F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, TARGET, 1)),
-            )
-        ).alias("to"),
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that the plan holds once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The attribute's value, trimmed; empty if there is none."""
+    found = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)]))
+
+
+def decoded(text: Column) -> Column:
+    """Character references of an attribute's value replaced by their characters."""
+
+    def named(k: Column) -> Column:
+        line = F.concat(F.lit("\n"), k, F.lit("\t"))
+        return F.when(F.contains(F.lit(NAMES), line), F.substring_index(F.call_function("split_part", F.lit(NAMES), line, F.lit(2)), "\n", 1))
+
+    def char(code: Column) -> Column:
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.coalesce(named(code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32"))
+
+    def one(t: Column) -> Column:
+        hexed = F.regexp_extract(t, r"^&#[xX]0*([0-9A-Fa-f]{1,6});?$", 1)
+        digits = F.regexp_extract(t, r"^&#0*([0-9]{1,7});?$", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(digits != "", digits).cast("long")
+        return F.when(t.startswith("&#"), let(code, char)).when(t.startswith("&"), F.coalesce(named(F.substr(t, F.lit(2))), t)).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCES), F.lit(0)), one), "")
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a link ``to`` on the page ``base`` leads to; null for one of another kind, as mailto:."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path_of(base), r"(?s)^(.*)/", 1), F.lit("/"))
+    path = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), "/")
+    steps = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))
+    plain = F.aggregate(
+        steps, F.expr("cast(array() as array<string>)"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+        lambda done: F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done),
+    )
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (to == ""), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(path == "", F.concat(site, path_of(base), F.when(rest.startswith("?"), F.lit("")).otherwise(F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)), rest))
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(plain, "/"), rest))
     )
-    scheme = F.regexp_extract("url", r"(?s)^(.*?://)", 1)
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst) node keys from canonical links and refresh redirects in the html.
+
+    Relative links are resolved against the page's url, or its first base tag that has a link."""
+    links = F.filter(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    bases = F.filter(F.transform(F.regexp_extract_all("html", F.lit(BASE), F.lit(0)), lambda t: decoded(attribute(t, "href"))), lambda b: b != "")
+    base = let(F.try_element_at(bases, F.lit(1)), lambda b: F.coalesce(resolved(F.col("url"), b), F.col("url")))
+    targets = F.concat(
+        F.transform(links, lambda t: decoded(attribute(t, "href"))),
+        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: decoded(F.regexp_extract(t, TARGET, 1))),
     )
-    return found.select(url_key(F.col("url")).alias("src"), url_key(full).alias("dst")).filter("src <> dst").distinct()
+    keys = let(base, lambda b: F.transform(targets, lambda t: let(resolved(b, t), url_key)))
+    found = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").contains("://"))
+    return found.select(url_key(F.col("url")).alias("src"), F.explode(keys).alias("dst")).filter("src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from inkframe.llm import html_extract, language_id, packing
+from inkframe.llm import html_extract, language_id, packing, queries, url_filter
 
 
 def test_head_without_end_tag():
@@ -33,3 +33,18 @@ def test_more_than_64_languages(spark):
     model = language_id.train(docs)
     assert model.langs == sorted(words)
     assert all(r.lang == r.lang_pred for r in language_id.predict(docs, model).collect())
+
+
+def test_link_targets(spark):
+    pages = [
+        (1, "http://a.org/x/y/p", '<meta http-equiv=refresh content="0; url=page2.html">'), (2, "http://a.org/x/y/p", '<link rel="canonical" href="../z?q=1">'), (3, "http://a.org/x/y/p?n=1#f", '<link rel="nofollow Canonical" href="?id=1&amp;b=2">'),
+        (4, "http://a.org", "<link href='b/./c/..' rel='canonical'>"), (5, "http://a.org/p", '<link rel=canonical href="/go?u=http://b.org/">'), (6, "http://a.org/p", '<link rel=canonical href="mailto:x"><link rel=canonical href="#top"><link rel=alternate href=/canonical>'),
+        (7, "http://a.org/p", '<base href="//b.org/d/"><link rel=canonical href="e&#x20AC;&#233;&copy;&copy=1">'), (8, "http://a.org/p", "<link rel=canonical href=HTTP://B.org/&#38;x>"),
+    ]
+    edges = url_filter.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(tuple(r) for r in edges.collect()) == sorted([
+        ("a.org/x/y/p", "a.org/x/y/page2.html"), ("a.org/x/y/p", "a.org/x/z?q=1"), ("a.org/x/y/p?n=1", "a.org/x/y/p?id=1&b=2"), ("a.org/", "a.org/b/"), ("a.org/p", "a.org/go?u=http://b.org/"),
+        ("a.org/p", "b.org/d/e€é©&copy=1"), ("a.org/p", "b.org/&x"),
+    ])
+    blocked = spark.createDataFrame([(1, "http://a.org/en/x", '<meta http-equiv="refresh" content="0; url=../y">'), (2, "http://a.org/y", '<link rel=canonical href="//blog.example.com/en/1">')], "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge(blocked, queries.URL_RULES, url_filter.link_edges(blocked)).collect()} == {"block"}
