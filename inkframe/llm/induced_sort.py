@@ -4,8 +4,9 @@ Suffixes that start with the same byte form a queue. Scanning the queues in byte
 suffix hands its predecessor to the end of the queue of the predecessor's byte: first the
 suffixes that are larger than their successor, then, backwards, those that are smaller. The
 leftmost small ones (LMS) seed the scan; their order comes from their substrings' names, sorted
-by the same induction and, where names repeat, by recursion on the string of names. A tuple
-carries, beside its place, the prefix it shares with the one before it in its queue: one more
+by the same induction and, where names repeat, by recursion on the string of names, two digits
+a name, which also tells how many names neighbours share; ``DEPTH`` recursions down, where a
+symbol stands for many bytes, names are sorted by doubling. A tuple carries, beside its place, the prefix it shares with the one before it in its queue: one more
 than the least value between the two suffixes that induced them.
 
 Queues beyond ``MEMORY`` bytes are kept in an unnamed scratch file, which goes with the task.
@@ -20,7 +21,9 @@ import numpy as np
 from .blocks import runs
 
 #: Bytes of queued tuples that a sort keeps in memory.
-MEMORY = 256_000_000
+MEMORY = 4_000_000
+#: Strings of names that are sorted by induction; the names of the last one are sorted by doubling.
+DEPTH = 1
 
 
 class Queues:
@@ -182,67 +185,54 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_shared:
     return place, shared
 
 
-def _order_of_names(names: list[int], symbols: int) -> list[int]:
-    """Suffix order of a string of names that ends in its smallest, by recursive induction."""
-    n = len(names)
-    if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[-1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = names[i] < names[i + 1] or names[i] == names[i + 1] and small[i + 1]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    size = [0] * symbols
-    for c in names:
-        size[c] += 1
-    head, total = [0] * symbols, 0
-    for c in range(symbols):
-        head[c] = total
-        total += size[c]
-
-    def induced(seeds: list[int]) -> list[int]:
-        order = [-1] * n
-        tail = [h + s for h, s in zip(head, size)]
-        for i in reversed(seeds):
-            tail[names[i]] -= 1
-            order[tail[names[i]]] = i
-        front = head[:]
-        for k in range(n):
-            j = order[k] - 1
-            if j >= 0 and not small[j]:
-                c = names[j]
-                order[front[c]] = j
-                front[c] += 1
-        tail = [h + s for h, s in zip(head, size)]
-        for k in range(n - 1, -1, -1):
-            j = order[k] - 1
-            if j >= 0 and small[j]:
-                c = names[j]
-                tail[c] -= 1
-                order[tail[c]] = j
-        return order
-
-    if len(lms) > 1:
-        ordered = [i for i in induced(lms) if small[i] and i > 0 and not small[i - 1]]
-        stop, name = [0] * n, [0] * n
-        for i, j in zip(lms, [*lms[1:], n - 1]):
-            stop[i] = j
-        current, before = -1, None
-        for i in ordered:
-            piece = names[i : stop[i] + 1]
-            if piece != before:
-                current, before = current + 1, piece
-            name[i] = current
-        if current + 1 < len(lms):
-            lms = [lms[k] for k in _order_of_names([name[i] for i in lms], current + 1)]
-        else:
-            lms = ordered
-    return induced(lms)
-
-
-def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+def _by_doubling(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the recursion: ranks of prefixes of twice as many names each time, until all differ."""
+    n, rank, k = len(names), names.astype(np.int64), 1
+    while True:
+        order = np.argsort(rank, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = rank[order[1:]] != rank[order[:-1]]
+        if new.all():
+            break
+        rank[order] = np.cumsum(new)
+        after = np.zeros(n, np.int64)
+        after[:-k] = rank[k:]
+        rank, k = rank * (n + 1) + after, 2 * k
+    equal = np.zeros(n, np.int64)
+    equal[1:] = common(names, order[:-1], order[1:], np.full(n - 1, 100), 32)
+    return order, equal
+
+
+def _order_of_names(names: np.ndarray, symbols: int, memory: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of a string of names that ends in its smallest, and how many names each suffix
+    shares with the one before (up to 100), by induction on a string of two digits a name."""
+    if depth >= DEPTH:
+        return _by_doubling(names)
+    digits = 2 if symbols > 255 else 1
+    base = int(np.ceil(symbols ** (1 / digits)))
+    text = np.zeros(digits * len(names) + 1, np.int32)
+    text[:-1] = np.stack([names // base ** (digits - 1 - d) % base + 1 for d in range(digits)], 1).ravel()
+    place, shared = suffix_order(text, base + 1, 100 * digits, memory, depth + 1)
+    at = np.flatnonzero((place % digits == 0) & (place < len(text) - 1))
+    least = np.minimum.reduceat(shared[1:], at)[:-1] if len(at) > 1 and len(shared) > at[-1] + 1 else np.array([shared[a + 1 : b + 1].min() for a, b in zip(at[:-1], at[1:])], np.uint8)
+    return place[at] // digits, np.concatenate((np.zeros(1, np.int64), least.astype(np.int64) // digits))
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Symbols that suffixes of ``text`` (ends in its only 0) share, up to ``most``; eight bytes are compared at a time."""
+    kind = f"<u{bits // 8}"
+    four = np.ndarray(len(text), "<u8", text.astype(kind).tobytes() + bytes(8), strides=(bits // 8,))
+    out, live = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+    while len(live):
+        x = four[a[live] + out[live]] ^ four[b[live] + out[live]]
+        out[live] += sum(((x << np.uint64(s)) == 0).astype(np.int64) for s in range(bits, 64, bits)) + (x == 0)
+        live = live[(x == 0) & (out[live] < most[live])]
+    return np.minimum(out, most)
+
+
+def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(places, shared): the suffixes of ``text`` in order, and the prefix each shares with the
-    one before, up to ``cap`` (at most 200). ``text`` ends in its only 0."""
+    one before, up to ``cap`` (at most 200). ``text`` ends in its only 0; symbols have 16 bits."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32), np.zeros(1, np.uint8)
@@ -256,45 +246,22 @@ def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY)
     ordered = place[is_lms[place]]
     del place
     # names: equal substrings from one LMS place to the next are neighbours now
-    stop = np.append(lms[1:], n - 1)
-    length = np.zeros(n, np.int32)
-    length[lms] = stop - lms + 1
-    table = PrefixHash(text)
-    h = table.of(ordered, length[ordered])
-    new = np.ones(len(ordered), bool)
-    new[1:] = (h[1:] != h[:-1]) | (length[ordered[1:]] != length[ordered[:-1]])
+    index = np.zeros(n, np.int32)
+    index[lms] = np.arange(len(lms))
+    rank = index[ordered]
+    length = np.append(lms[1:], n - 1) - lms + 1
+    new = np.ones(len(lms), bool)
+    twin = np.flatnonzero(length[rank[1:]] == length[rank[:-1]])
+    size = length[rank[twin]].astype(np.int64)
+    new[twin + 1] = common(text, ordered[twin], ordered[twin + 1], size) < size
+    base = np.zeros(len(lms), np.int64)
     if not new.all():
-        name = np.zeros(n, np.int32)
-        name[ordered] = np.cumsum(new) - 1
-        ordered = lms[np.array(_order_of_names(name[lms].tolist(), int(new.sum())), np.int64)]
-    shared = np.concatenate((np.zeros(1, np.uint8), table.shared(ordered[:-1], ordered[1:], cap)))
-    return induce(text, small, ordered, shared, symbols, cap, memory)
-
-
-class PrefixHash:
-    """Hashes of any substring of a text."""
-
-    def __init__(self, text: np.ndarray):
-        from .blocks import _powers
-
-        n = len(text)
-        self.power, self.inverse = _powers(n + 1)
-        self.total = np.concatenate(([np.uint64(0)], np.cumsum(self.power[:n] * (text.astype(np.uint64) + np.uint64(1)))))
-        self.n = n
-
-    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.total[start + length] - self.total[start]) * self.inverse[start]
-
-    def shared(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-        """Common prefixes of suffix pairs, up to ``cap``, by halving."""
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        most = np.minimum(cap, self.n - np.maximum(a, b))
-        low = np.zeros(len(a), np.int64)
-        step = 1 << (cap.bit_length() - 1)
-        while step:
-            up = low + step
-            fits = up <= most
-            k = np.where(fits, step, 0)
-            low += np.where(fits & (self.of(a + low, k) == self.of(b + low, k)), step, 0)
-            step >>= 1
-        return low.astype(np.uint8)
+        name = np.zeros(len(lms), np.int64)
+        name[rank] = np.cumsum(new) - 1
+        rank, equal = _order_of_names(name, int(new.sum()), memory, depth)
+        base = (np.append(lms, n - 1)[np.minimum(rank + equal, len(lms))] - lms[rank]).astype(np.int64)
+    # what a pair shares: its equal names, as the recursion found them, and the start of the first different ones
+    ordered, base = lms[rank], np.minimum(base, cap)
+    shared = base.copy()
+    shared[1:] += common(text, ordered[:-1] + base[1:], ordered[1:] + base[1:], cap - base[1:])
+    return induce(text, small, ordered, shared.astype(np.uint8), symbols, cap, memory)

@@ -32,12 +32,30 @@ def n_groups(docs: DataFrame) -> int:
 
 
 def grouped(docs: DataFrame, groups: int, keep: bool = False) -> DataFrame:
-    """doc_id, text and the document's group; a null doc_id counts as the largest. With ``keep``
-    each row also carries all columns of ``docs`` but the text, under the prefix ``own_``."""
-    last = F.lit((1 << 63) - 1)
-    own = F.coalesce(F.col("doc_id").cast("long"), last)
-    more = [F.col(c).alias(f"own_{c}") for c in docs.columns if c != "text"] if keep else []
-    return docs.select(own.alias("doc_id"), "text", F.pmod(F.xxhash64(own), F.lit(groups)).cast("int").alias("g"), *more)
+    """doc_id, tie, text, the document's group and own_doc_id, as it was.
+
+    A document is told from others by doc_id and tie, a digest of its id and text, and ordered by
+    them; a null doc_id counts as the largest. With ``keep`` each row also carries all columns of
+    ``docs`` but the text, under the prefix ``own_``."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    tie = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    more = [F.col(c).alias(f"own_{c}") for c in docs.columns if c not in ("text", "doc_id")] if keep else []
+    kept = F.col("doc_id") if keep else F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), tie.alias("tie"), "text", F.pmod(tie, F.lit(groups)).cast("int").alias("g"), kept.alias("own_doc_id"), *more)
+
+
+def identities(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """(doc_id, tie) of each row."""
+    return np.stack([rows.column(c).to_numpy().astype(np.int64) if isinstance(rows, pa.Table) else rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tie")], 1)
+
+
+def by_identity(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort keys of ``np.lexsort`` that put documents in order."""
+    return ids[:, 1], ids[:, 0]
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a != b).any(1)
 
 
 def _table(doc: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +90,7 @@ class Spool:
     def columns(self) -> tuple[np.ndarray, ...]:
         """hash, extra, doc, pos, ids, groups, sorted by hash; the spool is empty after."""
         hash_, extra, doc, pos = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else [np.empty(0, np.uint64)] * 4
-        ids, groups = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (self.ids, self.groups))
+        ids, groups = (np.concatenate(c) if c else none for c, none in ((self.ids, np.empty((0, 2), np.int64)), (self.groups, np.empty(0, np.int32))))
         self.clear()
         order = np.argsort(hash_, kind="stable")
         return hash_[order], extra[order], doc[order], pos[order], ids, groups
@@ -85,7 +103,7 @@ class Spool:
             d, i, g = _table(doc[a:b], ids, groups)
             h = hash_[a:b]
             delta = np.concatenate((h[:1], h[1:] - h[:-1])) if not whole else h[:0]
-            out.append((int(bucket[a]), whole, pack(delta), pack(extra[a:b]) if not whole else b"", pack(d), pack(pos[a:b].astype(np.uint64)), pack(i), pack(g.astype(np.int32))))
+            out.append((int(bucket[a]), whole, pack(delta), pack(extra[a:b]) if not whole else b"", pack(d), pack(pos[a:b].astype(np.uint64)), pack(i.T.ravel()), pack(g.astype(np.int32))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, [pa.int32(), pa.bool_(), *[pa.binary()] * 6])], _NAMES)
 
 
@@ -93,6 +111,10 @@ def _read(b: pa.Scalar, dtype) -> np.ndarray:
     return unpack(b.as_py(), dtype)
 
 
+def read_ids(b: pa.Scalar) -> np.ndarray:
+    return _read(b, np.int64).reshape(2, -1).T
+
+
 def merged(rows: pa.Table, extra_type=np.uint32) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """The entries of one bucket sorted by hash, and those of its whole rows:
     (hash, extra, doc, pos, ids, groups) and (doc, pos, ids, groups)."""
@@ -101,13 +123,14 @@ def merged(rows: pa.Table, extra_type=np.uint32) -> tuple[tuple[np.ndarray, ...]
     for r in range(rows.num_rows):
         whole, h, e, d, p, i, g = (rows.column(c)[r] for c in _NAMES[1:])
         whole = whole.as_py()
-        i, d = _read(i, np.int64), _read(d, np.uint32).astype(np.int64)
+        i, d = read_ids(i), _read(d, np.uint32).astype(np.int64)
         own = [d + base[whole], _read(p, np.uint64).astype(np.int64), i, _read(g, np.int32)]
         base[whole] += len(i)
         found[whole].append(own if whole else [np.cumsum(_read(h, np.uint64)), _read(e, extra_type), *own])
     out = []
     for whole, n in ((False, 6), (True, 4)):
-        cols = [np.concatenate(c) for c in zip(*found[whole])] or [np.empty(0, np.int64)] * n
+        none = [np.empty(0, np.int64)] * (n - 2) + [np.empty((0, 2), np.int64), np.empty(0, np.int32)]
+        cols = [np.concatenate(c) for c in zip(*found[whole])] or none
         if not whole and len(cols[0]):
             order = np.argsort(cols[0], kind="stable")
             cols[:4] = [c[order] for c in cols[:4]]
@@ -122,22 +145,24 @@ def group_rows(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, groups: np.nda
     out = []
     for a, b in zip(*runs(groups[doc] if len(doc) else doc)):
         d, i, _ = _table(doc[a:b], ids, groups)
-        out.append((int(groups[doc[a]]), pack(d), pack(pos[a:b].astype(np.uint64)), pack(i)))
+        out.append((int(groups[doc[a]]), pack(d), pack(pos[a:b].astype(np.uint64)), pack(i.T.ravel())))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int32(), *[pa.binary()] * 3])], ["g", "doc", "pos", "ids"])
 
 
 def places(rows: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, pos) of a group's rows, doc counted within ``ids``; a repeated doc_id gets its places each time."""
+    """(doc, pos) of a group's rows, doc counted within ``ids``; a repeated document gets its places each time."""
     docs, poss = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    order = np.argsort(ids, kind="stable")
-    ordered = ids[order]
+    order = np.lexsort((ids[:, 0], ids[:, 1]))
+    ordered = ids[order, 1]
     for r in range(rows.num_rows):
-        own = _read(rows.column("ids")[r], np.int64)
+        own = read_ids(rows.column("ids")[r])
         d, p = _read(rows.column("doc")[r], np.uint32).astype(np.int64), _read(rows.column("pos")[r], np.uint64).astype(np.int64)
-        lo, hi = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
+        lo, hi = np.searchsorted(ordered, own[:, 1], "left"), np.searchsorted(ordered, own[:, 1], "right")
         for k in range(int((hi - lo).max(initial=0))):
-            some = (lo + k < hi)[d]
-            docs.append(order[(lo + k)[d[some]]])
+            here = order[np.minimum(lo + k, len(order) - 1)]
+            fits = (lo + k < hi) & (ids[here, 0] == own[:, 0])
+            some = fits[d]
+            docs.append(here[d[some]])
             poss.append(p[some])
     return np.concatenate(docs), np.concatenate(poss)
 

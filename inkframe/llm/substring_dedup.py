@@ -8,11 +8,12 @@ keeps the earliest place, and neighbouring hits make up the maximal repeats that
 
 Both lookups are Spark shuffles by hash range. A task first settles what repeats inside its own
 batch and sends one entry for it, so a passage in a third of all documents is a few entries a task.
-Window hashes have 96 bits, so equal ones are equal words for all practical sizes.
+Equal windows are those of equal 128-bit hashes, made of two independent hashes of each word's bytes.
 
 Defined results: a null or empty text has no words; a text of fewer than twenty words loses
-nothing; places are ordered by (doc_id, word), a null doc_id last; rows that repeat a document
-(same doc_id and text) are one document and get equal results; an empty table gives an empty result.
+nothing; places are ordered by (doc_id, digest of the text, word), a null doc_id last, so rows that share
+a doc_id but not the text are documents of their own; rows that repeat a document (same doc_id and text) are one
+document and get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Words, mixed, rolling, runs, steps
-from .spool import BUCKETS, GROUPS, Spool, group_rows, grouped, merged, n_groups, places, settle
+from .spool import BUCKETS, GROUPS, Spool, by_identity, differ, group_rows, grouped, identities, merged, n_groups, places, settle
 from .staging import Stage
 
 BLOCK, WINDOW = 10, 20
+#: Seed of the second word hash.
+SECOND = 0x9E3779B9
 
 
 def _windows(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +51,7 @@ def anchor_hits(docs: DataFrame, n: int) -> DataFrame:
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spool = Spool(n)
         for batch in batches:
-            ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "g"))
+            ids, groups = identities(batch), batch.column("g").to_numpy(zero_copy_only=False)
             for lo, hi, texts in steps(batch, most=1_000_000):
                 words = Words(texts)
                 # 44 bits pick candidates; what they let through by chance the extension drops
@@ -92,12 +95,12 @@ def _later(h: np.ndarray, extra: np.ndarray, doc: np.ndarray, pos: np.ndarray, i
         return out
     same = h[1:] == h[:-1]
     some = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
-    order = some[np.lexsort((pos[some], ids[doc[some]], extra[some], h[some]))]
+    order = some[np.lexsort((pos[some], *by_identity(ids[doc[some]]), extra[some], h[some]))]
     h, extra, who, pos = h[order], extra[order], ids[doc[order]], pos[order]
     new = np.ones(len(order), bool)
     new[1:] = (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    out[order] = (who != who[start]) | (pos != pos[start])
+    out[order] = differ(who, who[start]) | (pos != pos[start])
     return out
 
 
@@ -109,7 +112,7 @@ def repeats(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
         spool = Spool(n)
         if right.num_rows and left.num_rows:
             left = left.combine_chunks()
-            ids, groups = (left.column(c).to_numpy() for c in ("doc_id", "g"))
+            ids, groups = identities(left), left.column("g").to_numpy()
             hit_doc, hit_at = places(right, ids)
             order = np.argsort(hit_doc, kind="stable")
             hit_doc, hit_at = hit_doc[order], hit_at[order]
@@ -128,14 +131,14 @@ def repeats(docs: DataFrame, hits: DataFrame, n: int) -> DataFrame:
                     np.add.at(mark, np.maximum(place - (WINDOW - BLOCK), 0), 1)
                     np.add.at(mark, place + 1, -1)
                     near = np.cumsum(mark)[at] > 0
-                    extra = (rolling(mixed(h), WINDOW)[at[near]] >> np.uint64(32)).astype(np.uint32)
+                    extra = rolling(words.hashes(SECOND), WINDOW)[at[near]]
                     spool.add(value[near], extra, doc[near], at[near] - words.first[doc[near]], ids[base + lo : base + hi], groups[base + lo : base + hi])
                 base += batch.num_rows
             out = list(_repeats(spool))
         return pa.Table.from_batches(out or [spool.rows(*spool.columns())])
 
     def not_first(rows: pa.Table) -> pa.Table:
-        (h, extra, doc, pos, ids, groups), (d2, p2, i2, g2) = merged(rows)
+        (h, extra, doc, pos, ids, groups), (d2, p2, i2, g2) = merged(rows, np.uint64)
         later = _later(h, extra, doc, pos, ids)
         doc, pos = np.concatenate((doc[later], d2 + len(ids))), np.concatenate((pos[later], p2))
         return pa.Table.from_batches([group_rows(doc.astype(np.int64), pos, np.concatenate((ids, i2)), np.concatenate((groups, g2)))])
@@ -157,7 +160,7 @@ def removed_words(docs: DataFrame, stage: Stage, keep: bool = False) -> tuple[Da
 def _kept(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, Words, np.ndarray, int]]:
     """(rows, their words, whether each word stays) of one document group."""
     left = left.combine_chunks()
-    ids = left.column("doc_id").to_numpy()
+    ids = identities(left)
     rep_doc, rep_at = places(right, ids)
     order = np.argsort(rep_doc, kind="stable")
     rep_doc, rep_at = rep_doc[order], rep_at[order]
@@ -183,7 +186,7 @@ def digests(docs: DataFrame) -> DataFrame:
         out: list[list] = [[], [], [], []]
         if left.num_rows:
             for rows, texts, words, keep in _kept(left, right):
-                out[0] += rows.column("doc_id").to_pylist()
+                out[0] += rows.column("own_doc_id").to_pylist()
                 for t, x, y in zip(texts, words.first[:-1], words.first[1:]):
                     own = keep[x:y]
                     removed = int(y - x - own.sum())
@@ -197,7 +200,7 @@ def digests(docs: DataFrame) -> DataFrame:
     done = own.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(summed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     done = stage.put("digests", done)
     stage.drop("repeats")
-    return done.selectExpr(f"nullif(doc_id, {(1 << 63) - 1}) AS doc_id", "n_words", "n_removed", "kept_sha256")
+    return done
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

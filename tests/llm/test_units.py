@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from inkframe.llm import ann, html_extract, language_id, media, near_dedup, packing
 from inkframe.llm.blocks import Words, pack, rolling, unpack, within
-from inkframe.llm.byte_dedup import WINDOW, Anchored
+from inkframe.llm.byte_dedup import WINDOW, anchored
 from inkframe.llm.induced_sort import suffix_order
 
 
@@ -59,7 +59,7 @@ def test_suffix_order_and_shared_prefixes(values, spill):
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(3)
     base = "".join(rng.choices("abcdef ", k=400))
-    own = Anchored([base, "x" * 37 + base[50:350] + "y" * 40, None, "short"])
+    own = next(anchored([base, "x" * 37 + base[50:350] + "y" * 40, None, "short"]))
     runs_ = list(zip(own.doc, own.start, own.count, own.anchor, own.hash))
     lead = {}
     for d, s, n, p, h in runs_:

@@ -1,12 +1,15 @@
 """Inputs that an earlier round left out or cut."""
 
+import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from inkframe.llm import html_extract, language_id, packing, queries, url_filter
+from inkframe.llm import byte_dedup, html_extract, language_id, packing, queries, substring_dedup, url_filter
+from inkframe.llm.blocks import Words
 
 
 def test_head_without_end_tag():
@@ -48,3 +51,65 @@ def test_link_targets(spark):
     ])
     blocked = spark.createDataFrame([(1, "http://a.org/en/x", '<meta http-equiv="refresh" content="0; url=../y">'), (2, "http://a.org/y", '<link rel=canonical href="//blog.example.com/en/1">')], "page_id long, url string, html string")
     assert {r.verdict for r in url_filter.judge(blocked, queries.URL_RULES, url_filter.link_edges(blocked)).collect()} == {"block"}
+
+
+def brute_removed(rows, split, join, n):
+    """For (doc_id, text) in any order: (doc_id, units, removed) by (doc_id, nulls last, digest of the text, place)."""
+    seen, out = {}, []
+    for i, t in rows:
+        units = split(t or "")
+        for p in range(len(units) - n + 1):
+            own = (i is None, i or 0, t, p)
+            w = join(units[p : p + n])
+            seen[w] = min(seen.get(w, own), own)
+    for i, t in rows:
+        units = split(t or "")
+        gone = [False] * len(units)
+        for p in range(len(units) - n + 1):
+            if seen[join(units[p : p + n])] < (i is None, i or 0, t, p):
+                gone[p : p + n] = [True] * n
+        out.append((i, units, gone))
+    return out
+
+
+def shared_ids():
+    """One doc_id with several texts, and several texts without doc_id; no passage is in two texts of one id."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    p, q, r, s = words(25), words(40), words(6), words(60)
+    return [(1, p), (5, p + " tail"), (5, q), (5, r), (7, "unrelated words here"), (None, s), (None, "and " + p), (None, r), (None, ""), (9, s + " more"), (9, q), (9, None)]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = shared_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g) if not y).encode()).hexdigest()) for i, w, g in brute_removed(rows, str.split, tuple, 20)]
+    assert sum(w[2] for w in want) == 25 * 2 + 40 + 60
+    assert sorted(map(tuple, substring_dedup.digests(docs).collect()), key=str) == sorted(want, key=str)
+    want = [
+        (i, len(b), sum(g), sum(y and (k == 0 or not g[k - 1]) for k, y in enumerate(g)), hashlib.sha256(bytes(x for x, y in zip(b, g) if not y)).hexdigest())
+        for i, b, g in brute_removed(rows, str.encode, bytes, 100)
+    ]
+    assert sum(w[2] for w in want) > 300
+    assert sorted(map(tuple, byte_dedup.digests(docs).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("limits", [{"memory": 500}, {"piece": 700}, {"shard": 3000, "sort": 300, "piece": 700, "memory": 0}])
+def test_a_line_in_every_document_with_other_neighbours(spark, limits):
+    """Shards beyond a task's share, sorts beyond memory and texts beyond one look."""
+    rng = random.Random(4)
+    junk = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line, few = junk(99), [junk(120) for _ in range(3)]
+    rows = [(k, junk(rng.randint(0, 90)) + line + junk(rng.randint(0, 90)) + rng.choice(few)[rng.randint(0, 9) :]) for k in range(120)] + [(500, junk(2000) + line + few[0] + few[1])]
+    want = [(i, sum(g), hashlib.sha256(bytes(x for x, y in zip(b, g) if not y)).hexdigest()) for i, b, g in brute_removed(rows, str.encode, bytes, 100)]
+    got = byte_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), byte_dedup.Limits(**limits)).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert sum(w[1] for w in want) > 8000 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_word_hashes_have_no_polynomial_collisions():
+    word = "a"
+    for _ in range(13):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    h = Words([word, other, word, word[:-1], "ab", "ab ab"]).hashes()
+    assert len({*h[:2].tolist(), *h[3:5].tolist()}) == 4 and h[0] == h[2] and h[4] == h[5] == h[6]
