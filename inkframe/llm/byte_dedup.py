@@ -57,8 +57,8 @@ class Limits:
     longer one is taken in pieces that overlap by a window.
     """
 
-    shard: int = 48_000_000
-    sort: int = 1_500_000
+    shard: int = 16_000_000
+    sort: int = 1_000_000
     memory: int = MEMORY
     piece: int = 8_000_000
 
@@ -159,7 +159,9 @@ class Spans:
         return self.count + WINDOW - 1
 
     def text(self) -> bytes:
-        return self.data[within(self.first, self.first + self.length())].tobytes()
+        """The spans one after the other, put together a few thousand at a time."""
+        end = self.first + self.length()
+        return b"".join(self.data[within(self.first[k : k + 4096], end[k : k + 4096])].tobytes() for k in range(0, len(self), 4096))
 
     def reduced(self) -> tuple[Spans, np.ndarray]:
         """The earliest of equal spans, and the places of the others, whose windows are repeats."""
