@@ -16,8 +16,9 @@ Words are lower-cased runs of letters, digits and non-ASCII characters. A text o
 words is one shingle of all its words.
 
 Defined results: a null text is a class of its own; texts without words join only texts equal to
-them; repeated rows (same doc_id) with equal text are one member each; the class id is the smallest
-doc_id in the class; an empty table gives an empty result.
+them; rows belong together by their texts alone, so rows that share a doc_id, or have none, are classed like
+others; repeated rows are one member each; the class id is the smallest doc_id in the class, null if no member has
+one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -244,18 +245,26 @@ def apart_alike(members: DataFrame, bands: int, rows: int, at_least: float) -> D
     return dealt.groupBy("key", "x", "y").applyInArrow(compared, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs`` (doc_id, text); doc_id must be an integer."""
-    stage = Stage(docs.sparkSession, "near")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # equal texts are one text: only its digest is kept for the members
-    digest = own.select("doc_id", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("digest"))
-    member = stage.put("members", digest)
-    first = member.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    ids = stage.put("ids", first)
-    # one row an id even where a doc_id is repeated with different texts
-    texts = own.filter("text is not null").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    reps = stage.put("texts", texts)
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc (a null doc_id counts as the largest), no_id and the text's digest, null for a null text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(
+        F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("doc"), doc_id.isNull().alias("no_id"),
+        F.when(F.col("text").isNotNull(), F.unhex(F.sha2("text", 256))).alias("digest"), *more,
+    )
+
+
+def text_classes(docs: DataFrame, stage: Stage, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(digest, class_id, doc, no_id, leads) for every distinct text of ``docs``.
+
+    doc and no_id are those of the first row with the text; class_id is the smallest doc_id of the class; one
+    text of each class, that of its first row, leads."""
+    # equal texts are one text, told from others by its digest and named by a number of its own
+    first = _keyed(docs).filter("digest is not null").groupBy("digest").agg(F.min(F.struct("no_id", "doc")).alias("first"))
+    ids = stage.put("ids", first.select("digest", "first.no_id", "first.doc", F.monotonically_increasing_id().alias("id")))
+    key = ["digest", "doc", "no_id"]
+    # the key holds the row's own doc_id, so that a group of copies doesn't meet in one task
+    reps = stage.put("texts", _keyed(docs, "text").join(ids, key).groupBy(*key, "id").agg(F.first("text").alias("text")).select("id", "text"))
     marks = stage.put("signatures", signed(reps, bands, rows))
     signs = marks.select("id", "signature")
     bucket = marks.select("id", F.posexplode("keys").alias("band", "key"))
@@ -272,15 +281,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     more = stage.put("more", verified(apart_alike(apart, bands, rows, cut), reps, threshold))
     edges = links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = components(edges, stage, "all").withColumnsRenamed({"node": "id"})
-    of_text = ids.join(final, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"))
-    out = member.join(of_text, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = stage.put("classes", out)
-    stage.drop("texts", "signatures", "buckets", "star", "links", "joined", "more", "members", "ids")
+    of = stage.put("of", ids.join(final, "id", "left").withColumn("class", F.coalesce("class", "id")))
+    head = of.groupBy("class").agg(F.min(F.struct("no_id", "doc", "digest")).alias("head"))
+    out = of.join(head, "class").select(
+        "digest", F.when(~F.col("head.no_id"), F.col("head.doc")).alias("class_id"), "doc", "no_id", (F.col("digest") == F.col("head.digest")).alias("leads")
+    )
+    out = stage.put("text-classes", out)
+    stage.drop("texts", "signatures", "buckets", "star", "links", "joined", "more", "ids", "of")
     return out
 
 
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs`` (doc_id, text); doc_id must be an integer."""
+    stage = Stage(docs.sparkSession, "near")
+    found = text_classes(docs, stage, **options).select("digest", "class_id", F.lit(True).alias("known"))
+    own = F.when(~F.col("no_id"), F.col("doc"))
+    out = _keyed(docs).join(found, "digest", "left")
+    return out.select(own.alias("doc_id"), F.when(F.col("known"), F.col("class_id")).otherwise(own).alias("class_id"))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each class, once; rows without a doc_id stay."""
-    found = classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of ``docs`` of each class: the first by doc_id (nulls last), then by digest of the text.
+
+    A row with a null text is a class of its own; rows that repeat its doc_id are one, those without doc_id all stay."""
+    stage = Stage(docs.sparkSession, "near")
+    found = text_classes(docs, stage, **options).filter("leads").select("digest", "doc", "no_id")
+    names = docs.columns
+    rows = _keyed(docs, F.struct(*[F.col(c) for c in names]).alias("row_"))
+    key = ["digest", "doc", "no_id"]
+    kept = rows.join(found, key, "left_semi").dropDuplicates(key)
+    none = rows.filter("digest is null")
+    kept = kept.unionByName(none.filter("not no_id").dropDuplicates(["doc"])).unionByName(none.filter("no_id"))
+    return kept.select(*[F.col("row_").getField(c).alias(c) for c in names])
