@@ -35,29 +35,41 @@ BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".spli
 CONTENT_WORDS = frozenset("article articlebody post postbody entry story content main maincontent body text".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar header masthead footer sidebar aside widget related recommended comment comments commentlist respond disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager tags toolbar search copyright legal disclaimer form".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Boilerplate that stays so whatever it holds, as reader comments written as articles.
+HARD_TAGS = frozenset("nav footer aside menu dialog".split())
+HARD_WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored sponsors nav navbar navigation menu menubar footer aside related recommended comment comments commentlist respond disqus reply replies cookie cookies consent gdpr".split())
 CLOSES_P = BLOCK_TAGS - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr".split())
 SELF_CLOSING = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
 
-#: The classifier's weights: log-odds of content.
-WEIGHTS = {"bias": -0.6, "content": 4.0, "boiler": -6.0, "links": -3.0, "length": 0.45, "sentence": 0.4, "p": 0.8, "heading": 0.5, "item": -0.4, "legal": -1.5}
-#: Smoothness: between neighbours, and between blocks of one parent.
-NEAR, SIBLING = 0.5, 0.5
+#: The classifier's weights: log-odds of content. A mark of boilerplate outweighs all else; without marks, length
+#: and sentences speak for content and links against it, so a block alone may be wrong and its neighbours decide.
+WEIGHTS = {"bias": 0.2, "content": 3.0, "boiler": -6.0, "links": -3.0, "length": 0.45, "sentence": 0.4, "p": 0.6, "heading": 0.4, "item": -0.3, "legal": -1.5}
+MOST_LENGTH = 2.0
+#: Smoothness: between neighbours (less with their distance in the tree), and between blocks of one parent.
+NEAR, SIBLING = 1.5, 0.75
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "content", "boiler", "silent", "link", "depth", "parent")
+    """An open element. mark: 1 inside content, -1 inside boilerplate, 0 in neither; the nearest marked ancestor
+    decides, but only an article or main element is content inside boilerplate, and none inside hard boilerplate."""
+
+    __slots__ = ("tag", "mark", "hard", "silent", "link", "depth", "parent")
 
     def __init__(self, tag: str, attrs: list, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         own = dict(attrs)
-        marks = set(_WORD.findall(f"{own.get('class') or ''} {own.get('id') or ''}".lower())) if tag not in ("html", "body") else set()
+        words = set(_WORD.findall(f"{own.get('class') or ''} {own.get('id') or ''}".lower())) if tag not in ("html", "body") else set()
         role = (own.get("role") or "").lower()
-        boiler = tag in BOILER_TAGS or role in BOILER_ROLES or bool(marks & BOILER_WORDS) or own.get("aria-hidden") == "true"
-        content = not boiler and (tag in CONTENT_TAGS or role in ("main", "article") or bool(marks & CONTENT_WORDS))
-        self.content = bool(content or parent and parent.content)
-        self.boiler = bool(boiler or parent and parent.boiler)
+        self.mark, self.hard = (parent.mark, parent.hard) if parent else (0, False)
+        if tag in BOILER_TAGS or role in BOILER_ROLES or words & BOILER_WORDS or own.get("aria-hidden") == "true":
+            self.mark = -1
+            self.hard = self.hard or tag in HARD_TAGS or bool(words & HARD_WORDS)
+        elif tag in CONTENT_TAGS or role in ("main", "article"):
+            self.mark = -1 if self.hard else 1
+        elif self.mark == 0 and words & CONTENT_WORDS:
+            self.mark = 1
         self.silent = tag in SILENT_TAGS or "hidden" in own or bool(parent and parent.silent)
         self.link = tag == "a" or bool(parent and parent.link)
 
@@ -156,8 +168,8 @@ class _Blocks(HTMLParser):
 def score(text: str, block: Block) -> float:
     """Log-odds that the block is content."""
     e, w = block.element, WEIGHTS
-    s = w["bias"] + w["content"] * e.content + w["boiler"] * e.boiler
-    s += w["links"] * min(1.0, block.linked / max(1, len(text))) + w["length"] * math.log1p(text.count(" "))
+    s = w["bias"] + w["content"] * (e.mark > 0) + w["boiler"] * (e.mark < 0)
+    s += w["links"] * min(1.0, block.linked / max(1, len(text))) + min(MOST_LENGTH, w["length"] * math.log1p(text.count(" ")))
     s += w["sentence"] * (text[-1] in ".!?…”\"") + w["legal"] * ("©" in text or "(c)" in text)
     if e.tag == "p":
         s += w["p"]
@@ -181,12 +193,13 @@ def apart(a: _Element, b: _Element) -> int:
 
 
 def smoothness(elements: list[_Element]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours and blocks of one parent, but for a block of content and one of boilerplate by their marks."""
     edges, last = [], {}
     for i, e in enumerate(elements):
-        if i:
+        if i and e.mark * elements[i - 1].mark >= 0:
             edges.append((i - 1, i, NEAR / (1 + apart(elements[i - 1], e))))
         key = id(e.parent or e)
-        if key in last:
+        if key in last and e.mark * elements[last[key]].mark >= 0:
             edges.append((last[key], i, SIBLING))
         last[key] = i
     return edges
@@ -259,16 +272,19 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                     break
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
+def labelled(html: str | None) -> list[tuple[str, float, bool]]:
+    """(text, classifier's log-odds of content, whether the cut keeps it) of each block in page order."""
     parser = _Blocks()
-    parser.feed(html)
+    parser.feed(html or "")
     parser.close()
     parser._break()
-    blocks = parser.blocks
-    keep = minimum_cut([score(t, b) for t, b in blocks], smoothness([b.element for _, b in blocks]))
-    return "\n".join(t for (t, _), k in zip(blocks, keep) if k)
+    gain = [score(t, b) for t, b in parser.blocks]
+    keep = minimum_cut(gain, smoothness([b.element for _, b in parser.blocks]))
+    return [(t, g, k) for (t, _), g, k in zip(parser.blocks, gain, keep)]
+
+
+def main_text(html: str | None) -> str:
+    return "\n".join(t for t, _, k in labelled(html) if k)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -1,14 +1,16 @@
 """Inputs that an earlier round left out or cut."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkframe.llm import byte_dedup, html_extract, language_id, packing, queries, substring_dedup, url_filter
+from inkframe.llm import byte_dedup, html_extract, language_id, near_dedup, packing, queries, substring_dedup, url_filter
 from inkframe.llm.blocks import Words
 
 
@@ -113,3 +115,68 @@ def test_word_hashes_have_no_polynomial_collisions():
     other = word.translate(str.maketrans("ab", "ba"))
     h = Words([word, other, word, word[:-1], "ab", "ab ab"]).hashes()
     assert len({*h[:2].tolist(), *h[3:5].tolist()}) == 4 and h[0] == h[2] and h[4] == h[5] == h[6]
+
+
+def test_near_classes_of_rows_that_share_an_id(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    p, q = words(80), words(90)
+    near = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    p_, q_ = " ".join(p), " ".join(q)
+    rows = [(1, p_), (5, near(p, 40)), (5, q_), (5, "six other words stand in here"), (None, near(q, 3)), (None, near(q, 60)), (None, "nobody has this text, it has no copy"), (8, near(p, 70)), (8, None), (8, None), (None, None), (5, q_)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("d"), "class": F.lit(1), "doc": F.lit(2)})
+    # q's class has row 5, by an equal doc_id only; its other members have none
+    want = [(1, 1), (5, 1), (5, 5), (5, 5), (None, 5), (None, 5), (None, None), (8, 1), (8, 8), (8, 8), (None, None), (5, 5)]
+    assert sorted(map(tuple, near_dedup.classes(docs).collect()), key=str) == sorted(want, key=str)
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, p_), (5, q_), (5, rows[3][1]), (None, rows[6][1]), (8, None), (None, None)], key=str)
+
+
+LONG = "A paragraph of the article that has enough words to be told from a menu."
+CUT_PAGES = {
+    f"<div><p>{LONG}</p><p><a href=x>Read the source</a></p><p>{LONG}</p></div>": [LONG, "Read the source", LONG],  # moved by the cut
+    "<div>" + "".join(f"<p><a href=x>{w}</a></p>" for w in ("Home", "News", "About", "Contact")) + f"</div><div><p>{LONG}</p><p>{LONG}</p></div>": [LONG, LONG],
+    f'<div class="search-results"><article><p>{LONG}</p></article></div>': [LONG],
+    "<table><tr><td>Plain page without any semantic markup</td></tr></table>": ["Plain page without any semantic markup"],
+    f"<form><main><p>{LONG}</p></main></form>": [LONG],
+    f'<article><p>{LONG}</p><section class="comments"><article><p>I liked it very much, said a reader of the page.</p></article></section></article>': [LONG],
+    f'<article><h1>T</h1><p>{LONG}</p><div class="ad"><p>{LONG} {LONG} {LONG}</p></div><p>Short</p><ul><li><a href=x>one</a></li></ul></article>': ["T", LONG, "Short", "one"],
+    f"<nav><ul><li><a>x</a></li></ul></nav><aside><article><p>{LONG}</p></article></aside><p>{LONG}": [LONG],
+    "hello": ["hello"],
+    "<footer>x</footer>": [],
+}
+
+
+def test_pages_where_the_cut_and_nested_marks_decide(spark):
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(CUT_PAGES)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert [got[k] for k in range(len(CUT_PAGES))] == ["\n".join(v) for v in CUT_PAGES.values()]
+    first = html_extract.labelled(next(iter(CUT_PAGES)))
+    assert [(g > 0, k) for _, g, k in first] == [(True, True), (False, True), (True, True)]
+
+
+def test_cut_labels_are_the_cheapest_of_all():
+    """All labellings of small pages: the cut's has the least cost."""
+    rng = random.Random(2)
+    tags = ["<p>{}</p>", "<p><a href=x>{}</a></p>", "<li>{}</li>", "<div><p>{}</p></div>", "<h2>{}</h2>", "<article><p>{}</p></article>", "<nav><a>{}</a></nav>", "<div><a>{}</a>", "</div>{}"]
+    moved = 0
+    for _ in range(60):
+        page = "".join(rng.choice(tags).format(" ".join(["word"] * rng.randint(1, 9)) + rng.choice(["", "."])) for _ in range(rng.randint(1, 9)))
+        parser = html_extract._Blocks()
+        parser.feed(page)
+        parser.close()
+        parser._break()
+        edges = html_extract.smoothness([b.element for _, b in parser.blocks])
+        found = html_extract.labelled(page)
+        gain = [g for _, g, _ in found]
+        cost = lambda keep: sum(np.logaddexp(0, -g if k else g) for g, k in zip(gain, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])
+        least = min(cost(keep) for keep in itertools.product([True, False], repeat=len(gain)))
+        assert cost([k for _, _, k in found]) < least + 1e-6
+        moved += sum((g > 0) != k for _, g, k in found)
+    assert moved > 10
+
+
+def test_very_long_page():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(20_000))
+    assert html_extract.main_text(f"<nav><a>x</a></nav><article>{body}</article>").count("\n") == 19_999
