@@ -7,13 +7,16 @@ corrects the code's length. A query's products with all codewords are a table; a
 the sum of its codewords' entries, times the stored ratio. The best ``SHORTLIST`` of each query are
 scored again with the original vectors in double precision.
 
-Vectors are coded where they lie. Codes travel in blocks of ``BLOCK`` rows, queries in blocks of
-``QUERY_BLOCK``; each pair of blocks is one task's work and gives a shortlist a query. All rows are
-candidates of all queries; the sample only fits the codebooks.
-
-Defined results: vectors that are null, zero, of another length than the first of the sample, or
-hold null or non-finite components take no part, nor do rows without an id; rows that repeat an id
-count once, with the least vector; an empty table gives an empty result; ties go to the smaller id.
+Vectors are coded where they lie. Codes travel in blocks of ``BLOCK`` rows, queries in as few blocks as
+keep all cores busy and hold at most ``QUERY_BLOCK``; each pair of blocks is one task's work and gives a shortlist a
+query. A block's codes go once to each block of queries. All rows are candidates of all queries; the sample
+only fits the codebooks.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
+nor do rows without an id; inner products exist between vectors of one length, so those of another length than
+most have (the larger of equally common ones) take no part either; every row is a candidate and a
+query of its own, so rows that repeat an id find each other; an empty table gives an empty result; ties
+go to the smaller id.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .staging import Stage
 BOOKS, WORDS, BEAM = 24, 256, 4
 SAMPLE = 12_000
 SHORTLIST = 200
-BLOCK, QUERY_BLOCK = 65_536, 256
+BLOCK, QUERY_BLOCK = 65_536, 4_096
 ROUNDS = 6
 
 
@@ -96,37 +99,37 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = SHORTLIST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that ``is_query`` picks."""
     spark = vectors.sparkSession
     stage = Stage(spark, "ann")
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
+    every = stage.put("vectors", good.withColumn("row", F.monotonically_increasing_id()))
     result = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()  # one row
+    if not sizes:
         return spark.createDataFrame([], result)
-    d = len(sample[0].v)
-    base = stage.put("vectors", good.filter(F.size("v") == d))
-    books = fit(np.array([r.v for r in sample if len(r.v) == d]))
+    d, n_rows = sizes[0]["d"], sizes[0]["count"]
+    base = every.filter(F.size("v") == d)
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
+    books = fit(np.array([r.v for r in sample]))
     sent = spark.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
-    n_rows = base.count()
-    n_blocks = max(1, -(-n_rows // BLOCK))
+    n_blocks = max(1, -(-n_rows // block))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("vec_id").to_numpy()
-            for lo in range(0, len(ids), 1024):
+            rows = b.column("row").to_numpy()
+            for lo in range(0, len(rows), 1024):
                 codes, ratio = encode(_matrix(b.column("v").slice(lo, 1024), d), sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1024]), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["vec_id", "code", "ratio"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 1024]), b.column("vec_id").slice(lo, 1024), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["row", "vec_id", "code", "ratio"])
 
-    codes = base.mapInArrow(coded, "vec_id long, code binary, ratio float").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    codes = base.mapInArrow(coded, "row long, vec_id long, code binary, ratio float").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     codes = stage.put("codes", codes)
-    queries = base.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    queries = stage.put("queries", base.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"))
+    n_query_blocks = max(1, -(-queries.count() // query_block), -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
+    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     # a block's codes as one row, so that sending it to each query block is one row each
-    packed = codes.groupBy("block").agg(F.collect_list(F.struct("vec_id", "code", "ratio")).alias("of"))
+    packed = codes.groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "code", "ratio")).alias("of"))
     packed = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     m = len(books)
 
@@ -134,30 +137,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = S
         got: list[tuple] = []
         if left.num_rows and right.num_rows:
             rows = right.column("of").combine_chunks().flatten()
-            ids = rows.field("vec_id").to_numpy()
+            row, ids = rows.field("row").to_numpy(), rows.field("vec_id").to_numpy()
             code = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(-1, m)
             ratio = rows.field("ratio").to_numpy()
-            asker = left.column("query_id").to_numpy()
-            table = np.einsum("qd,mwd->qmw", _matrix(left.column("v"), d).astype(np.float32), sent.value, optimize=True)
+            asker, vectors = left.column("query").to_numpy(), _matrix(left.column("v"), d).astype(np.float32)
             for lo in range(0, len(asker), 32):
-                s = scores(table[lo : lo + 32], code, ratio)
-                s[asker[lo : lo + 32, None] == ids[None, :]] = -np.inf
-                n = min(shortlist, len(ids))
+                table = np.einsum("qd,mwd->qmw", vectors[lo : lo + 32], sent.value, optimize=True)
+                s = scores(table, code, ratio)
+                s[asker[lo : lo + 32, None] == row[None, :]] = -np.inf
+                n = min(shortlist, len(row))
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                got.append((np.repeat(asker[lo : lo + 32], n), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "about": pa.array(cols[2], pa.float32())})
+                got.append((np.repeat(asker[lo : lo + 32], n), row[best].ravel(), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.float32)]
+        return pa.table({**{c: pa.array(v, pa.int64()) for c, v in zip(("query", "row", "vec_id"), cols)}, "about": pa.array(cols[3], pa.float32())})
 
-    near = asked.groupBy("query_block", "block").cogroup(packed.groupBy("query_block", "block")).applyInArrow(matched, "query_id long, vec_id long, about float").filter("query_id <> vec_id")
-    by_about = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    near = near.withColumn("n", F.row_number().over(by_about)).filter(F.col("n") <= shortlist).select("query_id", "vec_id")
-    both = near.join(base.withColumnRenamed("v", "w"), "vec_id").join(queries, "query_id")
+    near = asked.groupBy("query_block", "block").cogroup(packed.groupBy("query_block", "block")).applyInArrow(matched, "query long, row long, vec_id long, about float").filter("query <> row")
+    by_about = Window.partitionBy("query").orderBy(F.desc("about"), "vec_id", "row")
+    near = near.withColumn("n", F.row_number().over(by_about)).filter(F.col("n") <= shortlist).select("query", "row")
+    both = near.join(base.withColumnRenamed("v", "w"), "row").join(queries, "query")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, w = _matrix(b.column("v"), d), _matrix(b.column("w"), d)
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(np.sum(v * w, axis=1))], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("query", "query_id", "row", "vec_id")], pa.array(np.sum(v * w, axis=1))], ["query", "query_id", "row", "vec_id", "score"])
 
-    scored = both.select("query_id", "vec_id", "v", "w").mapInArrow(exact, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = both.select("query", "query_id", "row", "vec_id", "v", "w").mapInArrow(exact, "query long, query_id long, row long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -287,31 +287,53 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("blocks", [{}, {"block": 100, "query_block": 7, "shortlist": 60}])
+def test_nearest_neighbours(spark, blocks):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 8)).round(2)
     x[40] = x[20]  # ties
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(700, None), (720, [0.0] * 8), (740, [float("nan")] + [1.0] * 7), (760, [None] + [1.0] * 7), (780, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (800, [1.0] * 3)]
-    df = spark.createDataFrame(rows + rows[:30], "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "score": F.lit(2), "query_id": F.lit(3)})
-    out = ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    odd = [(700, None), (720, [0.0] * 8), (740, [float("nan")] + [1.0] * 7), (760, [None] + [1.0] * 7), (780, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)] + [(k, [1.0] * 3) for k in range(-40, 0)]
+    good = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    good += good[:30]  # repeated rows, queries among them
+    df = spark.createDataFrame(odd + good, "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "score": F.lit(2), "query_id": F.lit(3), "row": F.lit(4), "query": F.lit(5)})
     got = {}
-    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
-        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-9)
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    assert sorted(got) == list(range(0, 700, 20)) and all(len(set(v)) == 20 for v in got.values())
-    hits = 0
-    for q, found in got.items():
-        p = x @ x[q]
-        p[q] = -np.inf
-        want = np.lexsort((np.arange(700), -p))[:20].tolist()
-        hits += len(set(want) & set(found))
-        assert found == sorted(found, key=lambda v: (-p[v], v))
-    assert hits / (20 * len(got)) >= 0.97
-    few = ann.search(df.filter("vec_id < 5"), F.col("vec_id") % 20 == 0, k=20)
-    assert [r.rank for r in few.orderBy("rank").collect()] == [1, 2, 3, 4]
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20, **blocks).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ids, y = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    hits = total = 0
+    assert sorted(got) == list(range(0, 700, 20))
+    for q in got:
+        own = np.flatnonzero(ids == q)
+        p = y @ y[own[0]]
+        rest = np.delete(np.arange(len(y)), own[0])
+        want = rest[np.lexsort((ids[rest], -p[rest]))[:20]]
+        found = sorted(got[q])
+        assert [f[0] for f in found] == sorted([*range(1, 21)] * len(own))
+        for rank, v, s in found:
+            assert s == pytest.approx(float(x[q] @ x[v]), abs=1e-9)
+        hits += len(own) * 20 if sorted(f[1] for f in found) == sorted(ids[want].tolist() * len(own)) else sum(f[1] in ids[want] for f in found)
+        total += 20 * len(own)
+    assert hits / total >= 0.97
+    few = ann.search(df.filter("vec_id between 30 and 44"), F.col("vec_id") % 20 == 0, k=20)
+    assert [r.rank for r in few.orderBy("rank").collect()] == list(range(1, 15))
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_recall_on_a_given_table(spark):
+    table = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{table}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in queries.op2_additive_ann(spark, table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        p = x @ x[ids == q][0]
+        p[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, -p))[:20]].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
