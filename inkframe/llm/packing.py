@@ -2,13 +2,13 @@
 
 Pieces have integer lengths up to the capacity, so what decides the packing is how many pieces
 have each length: at most ``capacity`` numbers, however many documents there are. That histogram
-is all the driver sees. A branch-and-bound search completes the bin around the largest remaining
-length with undominated fillings, pruned by the waste that the lower bound still allows; best-fit
-decreasing is the first incumbent. A filling is applied to as many bins as the counts allow at
-once, so the plan has some thousands of lines at most.
+is all the driver sees. Best-fit decreasing gives the first incumbent; a filling is applied to as many
+bins as the counts allow at once, so the plan has some thousands of lines. A branch-and-bound search then
+repacks the wasteful bins into one fewer, again and again: it completes the bin around the largest remaining
+length with undominated fillings, pruned by the waste that the incumbent less one bin would leave.
 
-Spark then numbers the pieces of each length (salted, so that one common length is not one task)
-and joins them to the plan by length and number range.
+Spark then numbers the pieces of each length (salted by their number, so that a common length is not
+one task) and looks each number's place up in the plan.
 
 Defined results: a null text is the empty text, which still holds the end id; repeated rows are
 packed as often as they occur; an empty table gives an empty result.
@@ -20,7 +20,8 @@ import json
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,13 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import Stage
 
 CAPACITY = 1024
 END_ID = 2
-#: Numbering runs inside (length, salt).
-SALTS = 64
+#: Pieces of one length that one task sorts and numbers, about.
+NUMBERED = 200_000
+#: More than there are pieces of one length.
+FAR = 1 << 48
+#: Wasteful bins that a search empties at most, and how many full ones it empties too, search by search.
+MOST_TAIL, TAILS = 2_000, (0, 30, 100, 300, 1_000)
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
 
@@ -209,72 +215,116 @@ def fillings(left: dict[int, int], sizes: list[int], room: int, most: int, tries
     return (out or [f for _, f in found[:1]])[:most]
 
 
-def bin_completion(count: dict[int, int], capacity: int, nodes: int = 1_500, branch: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """A plan [(lengths of a bin, number of such bins)] for the counts of each length.
+def complete(count: dict[int, int], capacity: int, most: int, nodes: int, branch: int = 3) -> list[tuple[int, ...]] | None:
+    """At most ``most`` bins that hold all pieces, by depth-first bin completion of one bin a node; None if
+    there are none, or none were found in ``nodes`` nodes. Waste beyond what ``most`` bins leave prunes a branch."""
+    left, sizes = dict(count), sorted(count)
+    spare = most * capacity - sum(s * n for s, n in count.items())
 
-    Depth-first search with ``branch`` fillings a node. Waste so far beyond what the incumbent
-    would allow prunes a branch. ``nodes`` bounds the search, not the result: the incumbent is a
-    whole packing at all times.
-    """
-    count = {s: n for s, n in count.items() if n}
-    if not count:
-        return []
-    bound = lower_bound(count, capacity)
-    incumbent = best_fit(count, capacity)
-    best = sum(t for _, t in incumbent)
-    total = sum(s * n for s, n in count.items())
-    seen = 0
-    # a node: counts left, its plan so far, bins so far, waste so far, fillings not yet tried
-    stack: list[tuple] = []
-
-    def opened(left: dict[int, int], sizes: list[int]) -> list[tuple[int, ...]]:
+    def options() -> list[tuple[int, ...]]:
         largest = sizes[-1]
         own = left | {largest: left[largest] - 1}
         rest = sizes if own[largest] else sizes[:-1]
         return [(largest, *f) for f in fillings(own, rest, capacity - largest, branch)]
 
-    left, sizes = dict(count), sorted(count)
-    stack.append((left, sizes, [], 0, 0, opened(left, sizes)))
-    while stack and best > bound and seen < nodes:
-        left, sizes, plan, bins, waste, todo = stack[-1]
-        if not todo:
-            stack.pop()
-            continue
-        seen += 1
-        chosen = todo.pop(0)
-        left, sizes, plan = dict(left), list(sizes), list(plan)
-        times = _apply(left, sizes, list(chosen), plan)
-        bins, waste = bins + times, waste + times * (capacity - sum(chosen))
-        if total + waste > (best - 1) * capacity:  # even with no more waste it isn't better
+    plan: list[tuple[int, ...]] = []
+    todo = [options()]
+    while sizes or spare < 0:
+        if spare < 0 or not todo[-1]:
+            todo.pop()
+            if not plan:
+                return None
+            for s in plan[-1]:
+                if not left[s]:
+                    insort(sizes, s)
+                left[s] += 1
+            spare += capacity - sum(plan.pop())
             continue
-        if not sizes:
-            best, incumbent = bins, plan
+        if nodes <= 0:
+            return None
+        nodes -= 1
+        plan.append(todo[-1].pop(0))
+        for s in plan[-1]:
+            left[s] -= 1
+            if not left[s]:
+                sizes.remove(s)
+        spare -= capacity - sum(plan[-1])
+        todo.append(options() if sizes and spare >= 0 else [])
+    return plan
+
+
+def bin_completion(count: dict[int, int], capacity: int, nodes: int = 4_000) -> list[tuple[tuple[int, ...], int]]:
+    """A plan [(lengths of a bin, number of such bins)] for the counts of each length.
+
+    Best-fit decreasing is the first incumbent, and what it fills without waste stays. Its most wasteful bins,
+    and so many of its full bins of many pieces as ``TAILS`` says, are emptied; bin completion looks for a packing of
+    their pieces that needs a bin less, until the lower bound is met or no tail gives one. ``nodes`` bounds
+    each search, not the result: the incumbent is a whole packing at all times.
+    """
+    count = {s: n for s, n in count.items() if n}
+    if not count:
+        return []
+    bound, plan = lower_bound(count, capacity), Counter()
+    for bin_, times in best_fit(count, capacity):
+        plan[tuple(sorted(bin_, reverse=True))] += times
+
+    def emptied(bins: list[tuple[int, ...]], most: int) -> Counter:
+        out = Counter()
+        for b in bins:
+            if out.total() >= most:
+                break
+            out[b] = min(plan[b], most - out.total())
+        return out
+
+    tails = list(TAILS)
+    while tails and plan.total() > bound:
+        wasteful = emptied(sorted((b for b in plan if sum(b) < capacity), key=lambda b: (sum(b), b)), MOST_TAIL)
+        full = emptied(sorted((b for b in plan if sum(b) == capacity and len(b) > 1), key=lambda b: (-len(b), b)), tails[0])
+        own = Counter()
+        for b, times in (wasteful + full).items():
+            for s in b:
+                own[s] += times
+        n = (wasteful + full).total()
+        better = complete(own, capacity, n - 1, nodes + 2 * n) if n else None
+        if better is None:
+            tails.pop(0)
             continue
-        stack.append((left, sizes, plan, bins, waste, opened(left, sizes)))
-    return incumbent
+        plan = plan - wasteful - full + Counter(better)
+    return sorted(plan.items(), reverse=True)
 
 
-def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY, nodes: int = 1_500) -> DataFrame:
+def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY, nodes: int = 4_000) -> DataFrame:
     """``parts`` (with a length column) plus sequence_id and offset."""
     spark = parts.sparkSession
     order = parts.columns  # rows equal in all columns may change places
-    salted = parts.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    counted = stage.put("lengths", salted.groupBy("length", "salt_").agg(F.count("*").alias("n")))
-    histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = bin_completion(histogram, capacity, nodes)
     lines, used, sequence = [], {}, 0
     for lengths, bins in plan:
         offset = 0
         for s in lengths:
             lo = used.get(s, 0)
-            lines.append((s, lo, lo + bins, sequence - lo, offset))
+            lines.append((s, lo, sequence - lo, offset))
             used[s] = lo + bins
             offset += s
         sequence += bins
-    plan_df = spark.createDataFrame(lines, "length_ long, lo long, hi long, shift long, offset long")
+    # a line says where the pieces of one length from number lo on go; its size is bounded by the capacity
+    table = np.array(sorted(lines), np.int64).reshape(-1, 4)
+    sent = spark.sparkContext.broadcast((table[:, 0] * FAR + table[:, 1], table[:, 2], table[:, 3]))
+    salts = F.element_at(F.array(*[F.lit(-(-histogram.get(k, 0) // NUMBERED) or 1) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
+    salted = parts.withColumn("salt_", F.pmod(F.xxhash64(*order), salts))
+    counted = stage.put("lengths", salted.groupBy("length", "salt_").agg(F.count("*").alias("n")))
     base = counted.withColumn("base_", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt_").orderBy(*order)) - 1
-    numbered = salted.withColumn("row_", rank).join(base, ["length", "salt_"]).withColumn("at_", F.col("base_") + F.col("row_"))
-    # the plan is bounded by the capacity and the search, not by the corpus
-    placed = numbered.join(F.broadcast(plan_df), (F.col("length") == F.col("length_")) & (F.col("at_") >= F.col("lo")) & (F.col("at_") < F.col("hi")))
-    return placed.select(*parts.columns, (F.col("at_") + F.col("shift")).alias("sequence_id"), "offset")
+    numbered = salted.withColumn("row_", rank).join(base, ["length", "salt_"])
+    numbered = numbered.select(*order, (F.col("base_") + F.col("row_")).cast("long").alias("at_"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shift, offset = sent.value
+        for b in batches:
+            at = b.column("at_").to_numpy()
+            line = np.searchsorted(first, b.column("length").to_numpy().astype(np.int64) * FAR + at, "right") - 1
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in order], pa.array(at + shift[line]), pa.array(offset[line])], [*order, "sequence_id", "offset"])
+
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return numbered.mapInArrow(placed, schema)
