@@ -40,7 +40,7 @@ from .staging import Stage
 
 WINDOW, ANCHOR = 100, 50
 #: Shards for each document group.
-SHARDS = 2
+SHARDS = 8
 #: A run of windows is stored as first place * SPAN + number of windows.
 SPAN = 4096
 SPANS = BUCKETS + ", text binary, size long"
@@ -57,8 +57,8 @@ class Limits:
     longer one is taken in pieces that overlap by a window.
     """
 
-    shard: int = 16_000_000
-    sort: int = 1_000_000
+    shard: int = 24_000_000
+    sort: int = 600_000
     memory: int = MEMORY
     piece: int = 8_000_000
 

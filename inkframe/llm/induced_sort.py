@@ -21,7 +21,7 @@ import numpy as np
 from .blocks import runs
 
 #: Bytes of queued tuples that a sort keeps in memory.
-MEMORY = 4_000_000
+MEMORY = 2_000_000
 #: Strings of names that are sorted by induction; the names of the last one are sorted by doubling.
 DEPTH = 1
 
