@@ -18,7 +18,7 @@ LEAST_SCORE = 0.25
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: texts without letters, and those unlike all languages, go."""
-    model = language_id.train(docs.filter(~language_id.held_out()))
+    model = language_id.train(docs.filter(language_id.learned()))
     found = language_id.predict(docs, model)
     return found.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
 
