@@ -1,15 +1,16 @@
 """Mixing sources to target weights by hash-random order, distributed prefix sums and exact cuts.
 
-Every document gets a hash-random key for each epoch. Keys are uniform, so their leading hex
+Every document gets a hash-random key. Keys are uniform, so their leading hex
 digits are equal ranges of the sorted order: sizes are summed per (source, range), a running sum
 over the ranges gives each range its offset, and only then are documents sorted inside their own
 range. A source that holds a third of all rows is spread over all ranges, and no task sorts more
-than one range of one source. Reruns give the same mix: keys depend on the document and the
-epoch alone.
+than one range of one source. Sources that repeat are taken whole for each full epoch, then in key order.
+Reruns give the same mix: the order depends on the rows alone.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; repeated rows (same doc_id) are told apart by an ordinal; an empty table gives an
-empty result; a source without words has target 0.
+last in order; rows that share a doc_id share a key and are taken by size, then by digest of the text, and of rows
+that are equal in all of these it makes no difference which is taken; an empty table gives an empty
+result; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import Stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the key that name a range: 16 ** 3 ranges a source.
 RANGE_DIGITS = 3
@@ -59,8 +62,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     Whole epochs take every document; in the last one documents are taken in key order until the
     source's budget of words is spent, the document at the cut up to the cut.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    # repeated rows: equal doc_ids share a key, so the tie needs an order of its own
+    rows = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    if not keep:  # the sizes are read twice, the texts once
+        rows = Stage(docs.sparkSession, "mix").put("sizes", rows)
     keyed = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     keyed = keyed.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
     ranges = keyed.groupBy("source", "part").agg(F.sum("size").alias("range_size"))
@@ -70,7 +74,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     t = targets.alias("t")
     plan = offsets.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select(
         F.col("r.source").alias("p_source"), F.col("r.part").alias("p_part"), "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
