@@ -31,7 +31,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
-    model = language_id.train(docs.filter("not held_out"))
+    model = language_id.train(docs.filter(language_id.learned()))
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
@@ -105,7 +105,7 @@ WITH RECURSIVE u AS (
          CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
          CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) ELSE '' END AS rest
   FROM pages),
-k AS (SELECT *, CASE WHEN ok THEN host || CASE WHEN rest = '' THEN '/' ELSE rest END END AS key FROM u),
+k AS (SELECT *, CASE WHEN ok THEN host || rest END AS key FROM u),
 raw AS (
   SELECT key AS src, url, unnest(list_concat(
     list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
@@ -118,12 +118,12 @@ full_url AS (
   FROM raw),
 dst AS (
   SELECT src, translate(regexp_extract(t, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || CASE WHEN regexp_extract(t, '^(?s:.*?)://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(t, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END AS dst
+         || regexp_extract(t, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS dst
   FROM full_url WHERE t IS NOT NULL),
 e AS (SELECT src AS a, dst AS b FROM dst WHERE src <> dst UNION SELECT dst, src FROM dst WHERE src <> dst),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 rules(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-seen AS (SELECT DISTINCT b AS node, split_part(b, '/', 1) AS nh FROM reach),
+seen AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?]*') AS nh FROM reach),
 node_fit AS (SELECT node, arg_max(action, length(h || p) * 2 + (action = 'allow')::INT) AS action
              FROM seen, rules WHERE (nh = h OR ends_with(nh, '.' || h)) AND starts_with(regexp_extract(substr(node, length(nh) + 1), '^([^?#]*)', 1), p) GROUP BY node),
 cls AS (SELECT r.a AS node, bool_or(f.action = 'allow') AS al, bool_or(f.action = 'block') AS bl

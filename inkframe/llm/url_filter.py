@@ -47,9 +47,10 @@ def path_of(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """The url that stands for a node: the host lower-cased, the fragment dropped; null without ://."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    """The url that stands for a node: the host lower-cased, the fragment dropped; null without ://.
+
+    An empty path stays empty, as rules look at the path that a url has."""
+    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
