@@ -3,11 +3,12 @@
 Training counts the letter trigrams of every labelled text per language, as a Spark aggregation
 over the whole corpus. A trigram belongs to a language if it is common enough there
 (``MIN_SHARE`` of the language's trigrams) and not much rarer than in the language that uses it
-most (``RATIO``). Each of ``SLOTS`` slots of the filter holds one bit a language; a lookup ANDs
+most (``RATIO``). Each slot of the filter holds one bit a language; a lookup ANDs
 the slots of a trigram and so returns all its languages at once. A text's hits per language,
 less the hits that false positives explain, decide.
 
-The filter has SLOTS 64-bit masks (8 MB) for each 64 languages whatever the corpus's size, so it
+A language has at most 1 / MIN_SHARE trigrams whatever the corpus's size, and the filter has ROOM slots for
+each trigram of the language that has most: MOST_SLOTS 64-bit masks (64 MB) for each 64 languages at most, so it
 may be collected and sent to the tasks.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for all texts if
@@ -22,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import mixed, steps
 
-SLOTS = 1 << 20
+#: Slots for each trigram of the language that has most; at least, and at most.
+ROOM, LEAST_SLOTS, MOST_SLOTS = 10, 1 << 16, 1 << 23
 PROBES = 3
 MIN_SHARE = 2e-6
 RATIO = 0.2
@@ -92,7 +94,7 @@ class Model:
     false_rate: np.ndarray  # of each language
 
 
-def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
+def train(labelled: DataFrame, slots: int | None = None) -> Model:
     """Learn from all rows (lang, text) of ``labelled`` that have both."""
     grams = (
         labelled.filter("lang is not null and text is not null").select("lang", "text")
@@ -104,13 +106,18 @@ def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
     try:
         totals = {r.lang: r.n for r in by_gram.select(F.explode("of").alias("o")).groupBy("o.lang").agg(F.sum("o.n").alias("n")).collect()}  # one row a language
         langs = sorted(totals)
-        masks = np.zeros((max(1, -(-len(langs) // 64)), slots), np.uint64)
+        masks = np.zeros((1, LEAST_SLOTS), np.uint64)
         if langs:
             total = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(totals[k])))])
             shares = F.transform("of", lambda o: F.struct(o["lang"].alias("lang"), (o["n"] / total[o["lang"]]).alias("share")))
             own = by_gram.select("gram", shares.alias("s")).withColumn("top", F.array_max(F.transform("s", lambda x: x["share"])))
             own = own.select("gram", F.filter("s", lambda x: (x["share"] >= MIN_SHARE) & (x["share"] >= RATIO * F.col("top"))).alias("s"))
 
+            if slots is None:
+                most = own.select(F.explode("s").alias("o")).groupBy("o.lang").count().agg(F.max("count")).first()[0] or 1
+                slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (ROOM * most - 1).bit_length()))
+            masks = np.zeros((-(-len(langs) // 64), slots), np.uint64)
+
             def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     at = slots_of(b.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), slots)
@@ -120,7 +127,7 @@ def train(labelled: DataFrame, slots: int = SLOTS) -> Model:
             for w, word in enumerate(masks):
                 bit = F.create_map(*[x for i, k in enumerate(langs[64 * w : 64 * w + 64]) for x in (F.lit(k), F.lit(int(np.uint64(1 << i).view(np.int64))))])
                 some = own.select("gram", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.coalesce(bit[x["lang"]], F.lit(0).cast("long")))).alias("mask")).filter("mask <> 0")
-                got = some.mapInArrow(slotted, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most
+                got = some.mapInArrow(slotted, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row a slot
                 word[got["slot"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     finally:
         by_gram.unpersist()
@@ -162,6 +169,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(scored, schema)
 
 
-def held_out(doc_id: str = "doc_id"):
+def learned(doc_id: str = "doc_id") -> Column:
+    """The documents that training may see; one without an id isn't among them."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 != 0
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
     """The fifth of the documents that training never sees."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -139,16 +139,29 @@ def test_near_group_whose_members_differ_from_each_other(spark):
     assert got == brute_classes(texts)
 
 
-@pytest.mark.parametrize("kind", ["plain", "repeated", "extra", "empty"])
-def test_media(spark, docs, kind):
+def stored(text):
+    """What the contract says of a text's payload, its image and the features read back."""
     import zlib
 
-    got = rows_of(media.stored_and_read(variants(spark, docs)[kind]), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    raw = (text or "").encode()
+    p = raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff")
+    m = b"P5\n576 " + str(len(p) // 576).encode() + b"\n255\n" + p
+    rows = [p[k : k + 576] for k in range(0, len(p), 576)]
+    mean = sum(p) / len(p)
+    std = (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5
+    dy = [abs(x - y) for a, b in zip(rows, rows[1:]) for x, y in zip(a, b)]
+    dx = [abs(x - y) for a in rows for x, y in zip(a, a[1:])]
+    bins = [sum(x // 16 == k for x in p) for k in range(16)]
+    feature = f"mean={mean:.3f};std={std:.3f};dy={sum(dy) / max(1, len(dy)):.3f};dx={sum(dx) / len(dx):.3f};hist=" + ",".join(map(str, bins))
+    return len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated", "extra", "empty"])
+def test_media(spark, docs, kind):
+    got = rows_of(media.stored_and_read(variants(spark, docs)[kind]), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     want = []
     for r in docs.collect():
-        p = media.payload_of(r.text)
-        m = media.encoded(p)
-        want.append((r.doc_id, len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest()))
+        want.append((r.doc_id, *stored(r.text)))
     assert got == sorted({"repeated": want * 2, "empty": []}.get(kind, want))
 
 
@@ -181,7 +194,7 @@ def test_packing(spark, docs, kind):
     assert len(bins) <= -(-total // 1024) + 1
 
 
-@pytest.mark.parametrize("kind", ["plain", "extra", "empty"])
+@pytest.mark.parametrize("kind", ["plain", "repeated", "extra", "empty"])
 def test_mixing_against_sql(spark, docs, kind):
     df = variants(spark, docs)[kind]
     c = duckdb.connect()

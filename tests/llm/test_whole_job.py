@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkframe.llm import byte_dedup, html_extract, language_id, near_dedup, packing, queries, substring_dedup, url_filter
+from inkframe.llm import byte_dedup, html_extract, language_id, media, near_dedup, packing, queries, substring_dedup, url_filter
 from inkframe.llm.blocks import Words
 from inkframe.llm.staging import Stage
 
@@ -49,7 +50,7 @@ def test_link_targets(spark):
     ]
     edges = url_filter.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert sorted(tuple(r) for r in edges.collect()) == sorted([
-        ("a.org/x/y/p", "a.org/x/y/page2.html"), ("a.org/x/y/p", "a.org/x/z?q=1"), ("a.org/x/y/p?n=1", "a.org/x/y/p?id=1&b=2"), ("a.org/", "a.org/b/"), ("a.org/p", "a.org/go?u=http://b.org/"),
+        ("a.org/x/y/p", "a.org/x/y/page2.html"), ("a.org/x/y/p", "a.org/x/z?q=1"), ("a.org/x/y/p?n=1", "a.org/x/y/p?id=1&b=2"), ("a.org", "a.org/b/"), ("a.org/p", "a.org/go?u=http://b.org/"),
         ("a.org/p", "b.org/d/e€é©&copy=1"), ("a.org/p", "b.org/&x"),
     ])
     blocked = spark.createDataFrame([(1, "http://a.org/en/x", '<meta http-equiv="refresh" content="0; url=../y">'), (2, "http://a.org/y", '<link rel=canonical href="//blog.example.com/en/1">')], "page_id long, url string, html string")
@@ -228,3 +229,73 @@ def test_plain_words_are_the_tokenizers_on_given_documents(spark):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for text in texts:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_long_media_come_back_from_many_chunks(spark):
+    from test_operators import stored
+
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh é", k=150_000))
+    rows = [(1, long), (2, long[70_000:] + long), (3, long), (None, "x" * 70_000), (5, None)]
+    got = media.stored_and_read(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(((i, *stored(t)) for i, t in rows), key=str)
+    assert len(media.cuts(media.encoded(media.payload_of(long)))) > 5
+
+
+def test_language_against_plain_sets(spark):
+    """The same model with sets in place of the filter, and its accuracy on documents that it never saw."""
+    table = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, table).collect()}
+    rows = spark.read.parquet(f"{table}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        words, out = [], []
+        for c in (text or "").lower():
+            words.append(c if c.isalpha() else " ")
+        for w in "".join(words).split():
+            out += [f" {w} "[k : k + 3] for k in range(len(w))]
+        return out
+
+    counts = {}
+    for r in rows:
+        if r.lang is not None and not got[r.doc_id].held_out:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    total = {k: c.total() for k, c in counts.items()}
+    top = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top.get(g, 0), n / total[k])
+    known = {k: {g for g, n in c.items() if n / total[k] >= language_id.MIN_SHARE and n / total[k] >= language_id.RATIO * top[g]} for k, c in counts.items()}
+    same = seen = right = 0
+    for r in rows:
+        own = grams(r.text)
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        share = {k: sum(g in s for g in own) / len(own) for k, s in known.items()}
+        best = max(sorted(share), key=share.get)
+        same += best == got[r.doc_id].lang_pred and abs(share[best] - got[r.doc_id].score) < 0.02
+        if got[r.doc_id].held_out and r.lang is not None:
+            seen += 1
+            right += got[r.doc_id].lang_pred == r.lang
+    assert same >= 0.995 * len([r for r in rows if grams(r.text)])
+    assert seen > 50 and right / seen >= 0.95
+
+
+def test_documents_without_id_are_not_learned_from(spark):
+    docs = spark.createDataFrame([(None, "wort und satz", "de"), (1, "word and more", "en"), (2, "more words", "en")], "doc_id long, text string, lang string")
+    assert language_id.train(docs.filter(language_id.learned())).langs == ["en"]
+
+
+def test_thousands_of_aliases_of_one_blocked_page(spark):
+    """A long chain and a star of links in a written table, and pages without id; host and path as the url has them."""
+    chain = [(k, f"http://h{k}.org/p", f'<link rel=canonical href="http://h{k + 1}.org/p">') for k in range(60)]
+    star = [(1000 + k, f"http://s.org/{k}", '<meta http-equiv="refresh" content="0; url=http://h60.org/p">') for k in range(3000)]
+    rest = [(None, "http://h60.org/p", '<link rel=canonical href="https://a.example.com/en/x">'), (None, "http://free.org", None), (9000, "http://root.com", '<link rel=canonical href="http://b.example.com/en/y">'), (9001, "http://root.com/", None)]
+    folder = Stage(spark, "test-urls")
+    pages = folder.put("pages", spark.createDataFrame(chain + star + rest, "page_id long, url string, html string"))
+    got = url_filter.judge(pages, queries.URL_RULES, folder.put("edges", url_filter.link_edges(pages))).collect()
+    verdict = {(r.page_id, r.host): (r.rule, r.verdict) for r in got}
+    assert len(got) == 3064 and sum(v == (None, "block") for v in verdict.values()) == 3062
+    assert verdict[None, "free.org"] == (None, "allow") and verdict[9001, "root.com"] == ("com/", "allow") and verdict[9000, "root.com"] == (None, "block")
