@@ -119,13 +119,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signed(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, band keys, signature) of every text with words. A signature is the bands' components
+    """(id, doc, band keys, signature) of every text with words. A signature is the bands' components
     in 16 bits each and the others in 8."""
     m = bands * rows
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id")
+            ids, docs = b.column("id"), b.column("doc")
             for lo, hi, texts in steps(b, most=2_000_000):
                 doc, value, weight = shingles(texts)
                 if not len(doc):
@@ -136,11 +136,11 @@ def signed(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = _band_keys(sig[:, :m], bands, rows)
                 kept = np.concatenate((sig[:, :m].astype(np.uint16).view(np.uint8), sig[:, m:].astype(np.uint8)), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(own)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([k.tobytes() for k in kept], pa.binary())],
-                    ["id", "keys", "signature"],
+                    [*[c.slice(lo, hi - lo).take(pa.array(own)) for c in (ids, docs)], pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([k.tobytes() for k in kept], pa.binary())],
+                    ["id", "doc", "keys", "signature"],
                 )
 
-    return reps.select("id", "text").mapInArrow(made, "id long, keys array<long>, signature binary")
+    return reps.select("id", "doc", "text").mapInArrow(made, "id long, doc long, keys array<long>, signature binary")
 
 
 class Signs:
@@ -264,11 +264,12 @@ def text_classes(docs: DataFrame, stage: Stage, threshold: float = THRESHOLD, ba
     ids = stage.put("ids", first.select("digest", "first.no_id", "first.doc", F.monotonically_increasing_id().alias("id")))
     key = ["digest", "doc", "no_id"]
     # the key holds the row's own doc_id, so that a group of copies doesn't meet in one task
-    reps = stage.put("texts", _keyed(docs, "text").join(ids, key).groupBy(*key, "id").agg(F.first("text").alias("text")).select("id", "text"))
+    reps = stage.put("texts", _keyed(docs, "text").join(ids, key).groupBy(*key, "id").agg(F.first("text").alias("text")).select("id", "doc", "text"))
     marks = stage.put("signatures", signed(reps, bands, rows))
     signs = marks.select("id", "signature")
-    bucket = marks.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = bucket.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    bucket = marks.select("id", "doc", F.posexplode("keys").alias("band", "key"))
+    # the hub is the oldest document, as copies are more like what they were made from than like one another
+    shared = bucket.groupBy("key").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.id").alias("hub"), "n")
     groups = stage.put("buckets", bucket.join(shared, "key").select("key", "band", "hub", "n", "id"))
     star = stage.put("star", groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     cut = sure_below(threshold)
