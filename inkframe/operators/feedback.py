@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import VOCABULARY, label_token, normal_label
 from ..sources.derived import vocabulary_at
 
 
@@ -54,3 +55,74 @@ def windowed_counts(feedback: DataFrame, width: str = "1 day") -> DataFrame:
 
 def labels_used(feedback: DataFrame) -> DataFrame:
     return feedback.select(vocabulary_at(F.col("label_idx")).alias("char")).distinct()
+
+
+def pending(characters: DataFrame) -> DataFrame:
+    """Characters (char, corrected_char, rejected) with an open correction or rejection, and which."""
+    changed = (F.coalesce("corrected_char", F.lit("")) != "") & ~F.col("corrected_char").eqNullSafe(F.col("char"))
+    kind = F.when(F.coalesce("rejected", F.lit(False)), "rejected").when(changed, "corrected")
+    return characters.withColumn("pending", kind).filter("pending is not null")
+
+
+def validated(items: DataFrame, characters: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(analysis_id, error): why a request can't be saved; null if it can.
+
+    items: (analysis_id, ord, action, character_id, corrected_char), in the request's order. Corrections are looked at
+    before rejections, the first item that fails decides; a character must not be in both."""
+    own = items.withColumns({"character_id": F.trim(F.coalesce("character_id", F.lit(""))), "label": normal_label(F.col("corrected_char")), "correction": F.col("action") == "corrected"})
+    known = characters.select("analysis_id", F.col("character_id"), F.lit(True).alias("is_known"))
+    met = own.join(known, ["analysis_id", "character_id"], "left")
+    what = F.when(F.col("correction"), "A correction").otherwise("A rejection")
+    bad = (
+        F.when(F.col("character_id") == "", F.concat(what, F.lit(" is missing character_id.")))
+        .when(F.col("correction") & ~F.col("label").isin(*VOCABULARY), F.concat(F.lit("Unsupported correction label: "), F.when(F.col("label") == "", "(empty)").otherwise(F.col("label"))))
+        .when(F.col("is_known").isNull(), F.concat(F.lit("Unknown character_id: "), F.col("character_id")))
+    )
+    seen = met.withColumn("bad", bad)
+    first = seen.filter("bad is not null").groupBy("analysis_id").agg(F.min_by("bad", F.struct(~F.col("correction"), "ord")).alias("first"))
+    both = seen.groupBy("analysis_id", "character_id").agg(F.count_if("correction").alias("c"), F.count_if(~F.col("correction")).alias("r")).filter("c > 0 and r > 0").select("analysis_id").distinct()
+    asked = own.select("analysis_id").distinct()
+    out = asked.join(analyses.select("analysis_id", F.lit(True).alias("stored")), "analysis_id", "left").join(first, "analysis_id", "left").join(both.withColumn("both", F.lit(True)), "analysis_id", "left")
+    error = (
+        F.when(F.col("stored").isNull(), "The selected analysis could not be found.").when(F.col("first").isNotNull(), F.col("first"))
+        .when(F.col("both"), "A character cannot be corrected and rejected at the same time.")
+    )
+    return out.select("analysis_id", error.alias("error"))
+
+
+def entries(items: DataFrame, characters: DataFrame, analyses: DataFrame, saved_at: Column) -> DataFrame:
+    """Log entries of the requests that can be saved: of corrections of one character the last, rejections all.
+
+    characters: (analysis_id, character_id, char, conf, raw_char, raw_conf, adjusted, line_index, x, y, w, h);
+    analyses: (analysis_id, source_filename)."""
+    good = validated(items, characters, analyses).filter("error is null").select("analysis_id")
+    own = items.join(good, "analysis_id").withColumn("character_id", F.trim("character_id"))
+    latest = F.row_number().over(Window.partitionBy("analysis_id", "character_id", "action").orderBy(F.desc("ord")))
+    own = own.withColumn("k", latest).filter("k = 1 or action = 'rejected'").join(characters, ["analysis_id", "character_id"]).join(analyses, "analysis_id")
+    said, label = label_token(F.col("char")), normal_label(F.col("corrected_char"))
+    stem = F.concat(F.col("analysis_id").cast("string"), F.lit("_"), F.col("character_id"), F.lit("_pred-"), said)
+    correction = F.col("action") == "corrected"
+    path = F.when(correction, F.concat(F.lit("corrections/"), label_token(label), F.lit("/"), stem, F.lit("_label-"), label_token(label), F.lit(".png"))).otherwise(
+        F.concat(F.lit("rejections/pred_"), said, F.lit("/"), stem, F.lit("_rejected.png")))
+    return own.select(
+        utc_iso(saved_at).alias("saved_at"), "analysis_id", "source_filename", "character_id", F.col("char").alias("predicted_char"), F.when(correction, label).alias("corrected_char"),
+        F.bround("conf", 3).alias("confidence"), "raw_char", F.bround("raw_conf", 3).alias("raw_conf"), "adjusted", "line_index", F.array("x", "y", "w", "h").alias("rect"), path.alias("saved_image_path"), "action", "ord")
+
+
+def reports(entries_: DataFrame) -> DataFrame:
+    """A row a saved request: its corrections and rejections in order, and the message."""
+    one = F.struct("ord", "character_id", "predicted_char", "corrected_char", "confidence", "saved_image_path")
+    some = lambda action: F.sort_array(F.collect_list(F.when(F.col("action") == action, one)))
+    return entries_.groupBy("analysis_id", "source_filename").agg(some("corrected").alias("corrections"), some("rejected").alias("rejections")).join(messages(entries_), "analysis_id")
+
+
+def utc_iso(at: Column) -> Column:
+    """A time as text in UTC, with fractions only where there are some."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    micro = F.date_format(utc, "SSSSSS")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micro != "000000", F.concat(F.lit("."), micro)).otherwise(""), F.lit("Z"))
+
+
+def analysis_id(at: Column, random: Column) -> Column:
+    """A name for an analysis: its second in UTC and eight hexadecimal digits of ``random``, a uuid."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd'T'HHmmss"), F.lit("_"), F.substring(F.replace(random, F.lit("-"), F.lit("")), 1, 8))

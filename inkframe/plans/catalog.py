@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +16,12 @@ from ..operators import metrics as M
 from ..operators import pixels as P
 from ..sources import derived as D
 from ..streaming.feedback import counted_stream
+from .registry import ORACLE, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 WIDTH, HEIGHT = 1000, 300
 WEIGHTS = {"slim": 0.35, "count_cap": 20.0, "count": 1.4, "span_cap": 8.0, "span": 9.0, "height_cap": 6.0, "height": 12.0, "row_base": 4.0, "row": 3.0, "line": 2.5, "tiny": 5.0, "width_cv": 0.8, "height_cv": 0.7, "cv": 2.0, "aspect": 0.4, "aspect_weight": 3.0, "slim_weight": 4.0, "touch": 0.8}
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- expressions
 
 _CLEANED = D.with_("exprs") + r""",
@@ -233,11 +219,6 @@ def wide_boxes(spark, sf_dir):
     return B.split_counts(D.glyphs(spark, sf_dir))
 
 
-@query()
-def merge_fixpoint(spark, sf_dir):
-    return B.merge_fragments(D.glyphs(spark, sf_dir))
-
-
 # --- scores and metrics
 
 _SOFT = D.with_("scores") + """,
@@ -288,7 +269,8 @@ def per_class_prf(spark, sf_dir):
 
 
 @query(_CLASS + """ SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(precision*support)/sum(support), 6) AS weighted_precision,
- round(sum(f1*support)/sum(support), 6) AS weighted_f1, round(sum(recall*support)/sum(support), 6) AS accuracy FROM f""")
+ round(sum(f1*support)/sum(support), 6) AS weighted_f1, round(sum(recall*support)/sum(support), 6) AS accuracy, round(sum(recall*support)/sum(support), 6) AS weighted_recall,
+ (SELECT round(sum(hit)/sum(said), 6) FROM c) AS micro_precision, (SELECT round(sum(hit)/sum(support), 6) FROM c) AS micro_recall, (SELECT round(2*sum(hit)/(sum(said)+sum(support)), 6) FROM c) AS micro_f1 FROM f""")
 def macro_metrics(spark, sf_dir):
     a = M.averages(_predicted(spark, sf_dir))
     return a.select(*[F.round(c, 6).alias(c) for c in a.columns])
@@ -307,17 +289,6 @@ def priority_score(spark, sf_dir):
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
-@query(_SOFT + """, h AS (SELECT truth, vec_id, round_even(8*greatest(0.0, 0.992::DOUBLE-conf) + 10*greatest(0.0, 0.04::DOUBLE-margin) + (truth<>pred)::INT, 9) AS hardness FROM d),
-k AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY hardness DESC, vec_id) AS rank FROM h) SELECT truth, vec_id, round(hardness, 6) AS hardness, rank::INT AS rank FROM k WHERE rank <= 10""")
-def hard_examples(spark, sf_dir):
-    return M.hard_examples(_predicted(spark, sf_dir), 10).withColumn("hardness", F.round("hardness", 6))
-
-
-@query(D.with_("scores") + " SELECT vec_id, label AS truth, CASE label WHEN 1 THEN 1.5 WHEN 7 THEN 2.5 ELSE 1.0 END::DOUBLE AS weight, unnest(range(1, CASE label WHEN 7 THEN 4 WHEN 1 THEN 3 ELSE 2 END))::INT AS copy FROM scores")
-def sample_weights(spark, sf_dir):
-    return M.weighted_rows(D.scores(spark, sf_dir).withColumnRenamed("label", "truth"), {1: 1.5, 7: 2.5}, {7: 3, 1: 2})
-
-
 @query(D.with_("feedback") + " SELECT action, label_idx, count(*) AS n FROM feedback GROUP BY ROLLUP (action, label_idx)")
 def label_counts_rollup(spark, sf_dir):
     return M.label_rollup(D.feedback(spark, sf_dir))
@@ -330,13 +301,6 @@ def running_best(spark, sf_dir):
     return M.running_best(log).drop("value")
 
 
-@query(D.with_("scores") + """ SELECT 'base' AS part, count(*) AS n, round(sum(1.0::DOUBLE), 6) AS weight FROM scores UNION ALL SELECT 'hard', count(*), round(sum(1.2::DOUBLE), 6) FROM scores WHERE label IN (2, 3)""")
-def training_union(spark, sf_dir):
-    s = D.scores(spark, sf_dir).select("vec_id", "label")
-    base, hard = s.withColumns({"part": F.lit("base"), "w": F.lit(1.0)}), s.filter("label in (2, 3)").withColumns({"part": F.lit("hard"), "w": F.lit(1.2)})
-    return base.unionByName(hard).groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
-
-
 # --- feedback
 
 def _vocabulary(spark: SparkSession) -> DataFrame:
@@ -371,12 +335,6 @@ def confidence_summary(spark, sf_dir):
     return K.confidence_summary(D.glyphs(spark, sf_dir))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN '*' WHEN 'view' THEN '-' WHEN 'click' THEN '+' ELSE '7' END AS label, CASE event_type WHEN 'purchase' THEN 'multiply' WHEN 'view' THEN 'minus' WHEN 'click' THEN 'plus' ELSE '7' END AS token FROM events""")
-def label_alias(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "purchase", "  × ").when(F.col("event_type") == "view", "−").when(F.col("event_type") == "click", "plus").otherwise(" 7")
-    return D.read(spark, sf_dir, "events").select("event_id", labels.normal_label(raw).alias("label"), labels.label_token(raw).alias("token"))
-
-
 @query(_SOFT + """, x AS (SELECT vec_id, unnest(p) AS v, generate_subscripts(p, 1) - 1 AS idx FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, idx DESC) AS rank FROM x)
 SELECT vec_id, string_agg((['0','1','2','3','4','5','6','7','8','9','+','-','*','/','(',')'])[idx+1] || ' ' || floor(round_even(v, 6)*100+0.5)::BIGINT || '%', ' · ' ORDER BY rank) AS summary FROM k WHERE rank <= 5 GROUP BY vec_id""")
 def topk_json(spark, sf_dir):
@@ -516,3 +474,6 @@ def line_clusters(spark, sf_dir):
 def case_accuracy(spark, sf_dir):
     hit = (F.col("truth") == F.col("pred")).cast("double")
     return D.binary_eval(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("truth") == 1, F.col("pred").cast("double"))), 6).alias("recall"))
+
+
+from . import records, vision  # noqa: E402, F401  register their queries
