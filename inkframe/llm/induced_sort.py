@@ -5,8 +5,8 @@ suffix hands its predecessor to the end of the queue of the predecessor's byte:
 suffixes that are larger than their successor, then, backwards, those that are smaller. The
 leftmost small ones (LMS) seed the scan; their order comes from their substrings' names, sorted
 by the same induction and, where names repeat, by recursion on the string of names, two digits
-a name, which also tells how many names neighbours share; ``DEPTH`` recursions down, where a
-symbol stands for many bytes, names are sorted by doubling. A tuple carries, beside its place, the prefix it shares with the one before it in its queue: one more
+a name, which also tells how many names neighbours share; the recursion ends with a string of names
+that fits in memory, which is sorted there by doubling. A tuple carries, beside its place, the prefix it shares with the one before it in its queue: one more
 than the least value between the two suffixes that induced them.
 
 Queues beyond ``MEMORY`` bytes are kept in an unnamed scratch file, which goes with the task.
@@ -22,8 +22,6 @@ from .blocks import runs
 
 #: Bytes of queued tuples that a sort keeps in memory.
 MEMORY = 2_000_000
-#: Strings of names that are sorted by induction; the names of the last one are sorted by doubling.
-DEPTH = 1
 
 
 class Queues:
@@ -186,7 +184,7 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_shared:
 
 
 def _by_doubling(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The end of the recursion: ranks of prefixes of twice as many names each time, until all differ."""
+    """The end of the recursion, in memory: ranks of prefixes of twice as many names each time, until all differ."""
     n, rank, k = len(names), names.astype(np.int64), 1
     while True:
         order = np.argsort(rank, kind="stable")
@@ -203,16 +201,16 @@ def _by_doubling(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, equal
 
 
-def _order_of_names(names: np.ndarray, symbols: int, memory: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _order_of_names(names: np.ndarray, symbols: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a string of names that ends in its smallest, and how many names each suffix
     shares with the one before (up to 100), by induction on a string of two digits a name."""
-    if depth >= DEPTH:
+    if names.astype(np.int64).nbytes <= memory:
         return _by_doubling(names)
     digits = 2 if symbols > 255 else 1
     base = int(np.ceil(symbols ** (1 / digits)))
     text = np.zeros(digits * len(names) + 1, np.int32)
     text[:-1] = np.stack([names // base ** (digits - 1 - d) % base + 1 for d in range(digits)], 1).ravel()
-    place, shared = suffix_order(text, base + 1, 100 * digits, memory, depth + 1)
+    place, shared = suffix_order(text, base + 1, 100 * digits, memory)
     at = np.flatnonzero((place % digits == 0) & (place < len(text) - 1))
     least = np.minimum.reduceat(shared[1:], at)[:-1] if len(at) > 1 and len(shared) > at[-1] + 1 else np.array([shared[a + 1 : b + 1].min() for a, b in zip(at[:-1], at[1:])], np.uint8)
     return place[at] // digits, np.concatenate((np.zeros(1, np.int64), least.astype(np.int64) // digits))
@@ -230,7 +228,7 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, bit
     return np.minimum(out, most)
 
 
-def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """(places, shared): the suffixes of ``text`` in order, and the prefix each shares with the
     one before, up to ``cap`` (at most 200). ``text`` ends in its only 0; symbols have 16 bits."""
     n = len(text)
@@ -258,7 +256,7 @@ def suffix_order(text: np.ndarray, symbols: int, cap: int, memory: int = MEMORY,
     if not new.all():
         name = np.zeros(len(lms), np.int64)
         name[rank] = np.cumsum(new) - 1
-        rank, equal = _order_of_names(name, int(new.sum()), memory, depth)
+        rank, equal = _order_of_names(name, int(new.sum()), memory)
         base = (np.append(lms, n - 1)[np.minimum(rank + equal, len(lms))] - lms[rank]).astype(np.int64)
     # what a pair shares: its equal names, as the recursion found them, and the start of the first different ones
     ordered, base = lms[rank], np.minimum(base, cap)
