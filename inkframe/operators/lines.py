@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,30 +9,28 @@ from pyspark.sql import functions as F
 def cluster(glyphs: DataFrame, floor: float, ratio: float) -> DataFrame:
     """(image_id, glyph_id, line): glyphs from top to bottom join the first line whose mean centre is
     near enough, else open one. The centre moves with each glyph, so an image is one fold."""
+    g = glyphs.groupBy("image_id").agg(
+        F.sort_array(F.collect_list(F.struct((F.col("y") + F.col("h") / 2.0).cast("double").alias("cy"), F.col("glyph_id").cast("long").alias("glyph_id")))).alias("c"), F.greatest(F.lit(floor), F.median("h") * ratio).alias("near"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cy = pdf["y"] + pdf["h"] / 2.0
-        near = max(floor, float(pdf["h"].median()) * ratio)
-        lines: list[list[float]] = []  # sum of centres, members
-        out = []
-        for c, g in sorted(zip(cy.tolist(), pdf["glyph_id"].tolist())):
-            k = next((i for i, (total, n) in enumerate(lines) if abs(c - total / n) <= near), None)
-            if k is None:
-                k = len(lines)
-                lines.append([0.0, 0])
-            lines[k][0] += c
-            lines[k][1] += 1
-            out.append((pdf["image_id"].iloc[0], g, k))
-        return pd.DataFrame(out, columns=["image_id", "glyph_id", "line"])
-
-    return glyphs.groupBy("image_id").applyInPandas(fold, "image_id long, glyph_id long, line long")
-
-
-def line_scores(lined: DataFrame) -> DataFrame:
-    """(image_id, line, score): digits, parentheses and operators count for a line; lone operators against it."""
+    def put(lines: Column, c: Column) -> Column:
+        fits = lambda k: F.coalesce(F.abs(c["cy"] - F.try_element_at(lines, k)["total"] / F.size(F.try_element_at(lines, k)["ids"])) <= F.col("near"), F.lit(False))
+        at = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), fits), F.lit(1))
+        new = F.struct(c["cy"].alias("total"), F.array(c["glyph_id"]).alias("ids"))
+        joined = F.transform(lines, lambda t, k: F.when(k + 1 == at, F.struct((t["total"] + c["cy"]).alias("total"), F.concat(t["ids"], F.array(c["glyph_id"])).alias("ids"))).otherwise(t))
+        return F.when(at.isNull(), F.concat(lines, F.array(new))).otherwise(joined)
+
+    lines = F.aggregate("c", F.array().cast("array<struct<total:double,ids:array<bigint>>>"), put)
+    rows = g.select("image_id", F.posexplode(F.transform(lines, lambda t: t["ids"])).alias("line", "ids"))
+    return rows.select("image_id", F.explode("ids").alias("glyph_id"), F.col("line").cast("long").alias("line"))
+
+
+def line_scores(lined: DataFrame, area: str | None = None) -> DataFrame:
+    """(image_id, line, score): digits, parentheses and operators count for a line; lone operators against it.
+
+    ``area``: a column with the line's area, else the sum over its boxes."""
     digit, op, paren = (F.count_if(F.col("char").rlike(p)) for p in ("^[0-9]$", "^[-+*/]$", "^[()]$"))
     g = lined.groupBy("image_id", "line").agg(
-        F.count("*").alias("n"), digit.alias("d"), op.alias("o"), paren.alias("p"), F.avg("conf").alias("c"), F.sum(F.col("w") * F.col("h")).alias("area"),
+        F.count("*").alias("n"), digit.alias("d"), op.alias("o"), paren.alias("p"), F.avg("conf").alias("c"), (F.first(area) if area else F.sum(F.col("w") * F.col("h"))).alias("area"),
         ((F.max(F.col("x") + F.col("w")) - F.min("x")) / F.greatest(F.lit(1.0), (F.max(F.col("y") + F.col("h")) - F.min("y")).cast("double"))).alias("aspect"))
     from pyspark.sql import Window
 

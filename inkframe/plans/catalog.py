@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions import shapes as S
 from ..operators import boxes as B
 from ..operators import context as C
 from ..operators import expressions as X
@@ -442,12 +441,6 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         hundredth(43, 140).alias("diag_primary"), hundredth(47, 140).alias("diag_secondary"), F.floor(k * 53 % 3 / 2).cast("int").alias("holes"), (2 + k % 27).cast("int").alias("content_h"), (2 + k % 17).cast("int").alias("content_w"))
 
 
-@query(f"WITH {_FEATURES} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({S.rule_sql(n)}) AS n FROM shape" for n in S.names()))
-def shape_rules(spark, sf_dir):
-    counts = _shapes(spark, sf_dir).agg(*[F.count_if(S.looks_like(n)).alias(n) for n in S.names()])
-    return counts.unpivot([], S.names(), "rule", "n")
-
-
 @query(f"""WITH {_FEATURES}, c AS (SELECT *, CASE WHEN (glyph_id % 4) IN (0, 1) THEN conf * CASE WHEN aspect >= 2.5 OR (aspect BETWEEN 0.65 AND 1.55 AND center_row >= 0.55 AND fill >= 0.55) THEN 0.60::DOUBLE ELSE 1.0 END ELSE conf END AS rc,
  (['1','7','-','/'])[glyph_id%4+1] AS char FROM shape)
 SELECT glyph_id, round(rc, 6) AS read_conf, CASE WHEN rc >= 0.75 THEN char WHEN char IN ('1','-') THEN CASE WHEN aspect >= 2.0 AND center_row >= 0.60 THEN '-' WHEN aspect < 0.8 AND fill >= 0.60 THEN '1' ELSE '-' END
@@ -476,4 +469,4 @@ def case_accuracy(spark, sf_dir):
     return D.binary_eval(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("truth") == 1, F.col("pred").cast("double"))), 6).alias("recall"))
 
 
-from . import records, vision  # noqa: E402, F401  register their queries
+from . import reading, records, vision  # noqa: E402, F401  register their queries
