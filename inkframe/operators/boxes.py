@@ -223,17 +223,18 @@ def merge_digit_pairs(boxes: DataFrame, ink: Ink, passes: int = 4) -> DataFrame:
 
     In a pass a merged pair is passed over, so of a run of pairs that fit every other one is merged; an image of n
     boxes has at most n - 1 passes, and more passes than it needs change nothing."""
+    boxes = boxes.withColumn("n_all", F.count("*").over(_image()))
     for k in range(passes):
         order = _image().orderBy("x", "glyph_id")
         fits = reduce(lambda p, q: p | q, [F.col(c) for c in PAIR_RULES])
-        w = neighbours(boxes, ink).withColumn("fits", fits & (F.lit(k) < F.greatest(F.lit(1), F.count("*").over(_image()) - 1)))
+        w = neighbours(boxes, ink).withColumn("fits", fits & (F.lit(k) < F.greatest(F.lit(1), F.col("n_all") - 1)))
         w = w.withColumn("place", F.row_number().over(order)).withColumn("last", F.coalesce(F.max(F.when(~F.col("fits"), F.col("place"))).over(order), F.lit(0)))
         taken = F.col("fits") & ((F.col("place") - F.col("last")) % 2 == 1)
         w = w.withColumn("taken", taken).withColumn("group", F.col("place") - F.coalesce(F.lag("taken").over(order), F.lit(False)).cast("int"))
         boxes = w.groupBy("image_id", "group").agg(
-            F.min("glyph_id").alias("glyph_id"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(Box().right).alias("r"), F.max(Box().bottom).alias("b")
-        ).select("image_id", "glyph_id", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"))
-    return boxes
+            F.min("glyph_id").alias("glyph_id"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(Box().right).alias("r"), F.max(Box().bottom).alias("b"), F.first("n_all").alias("n_all")
+        ).select("image_id", "n_all", "glyph_id", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"))
+    return boxes.drop("n_all")
 
 
 def _with_medians(boxes: DataFrame) -> DataFrame:

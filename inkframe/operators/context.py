@@ -103,8 +103,9 @@ def bonus(left: str, right: str) -> float:
     return BONUS.get((_kind(left), _kind(right)), 0.0)
 
 
-def best_reading(options: list[list[tuple[str, float]]], width: int = 64) -> str | None:
-    """The best-scored sequence of one option a place that is a whole expression, by beam search; the first of equals."""
+def best_reading(options: list[list[tuple[str, float]]], width: int = 64) -> str:
+    """The best-scored sequence of one option a place that is a whole expression, by beam search, the first of equals;
+    each place's first option if there is none."""
     beam: dict[tuple, tuple[float, str]] = {(0, True, ""): (0.0, "")}
     for place in options:
         grown: dict[tuple, tuple[float, str]] = {}
@@ -117,7 +118,7 @@ def best_reading(options: list[list[tuple[str, float]]], width: int = 64) -> str
                     grown[key] = (total, text + char)
         beam = dict(sorted(grown.items(), key=lambda kv: -kv[1][0])[:width])
     whole = [v for (depth, term, _), v in beam.items() if depth == 0 and not term]
-    return max(whole, key=lambda v: v[0])[1] if whole else None
+    return max(whole, key=lambda v: v[0])[1] if whole else "".join(place[0][0] for place in options)
 
 
 def read_lines(options: DataFrame) -> DataFrame:

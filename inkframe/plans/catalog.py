@@ -26,10 +26,11 @@ WEIGHTS = {"slim": 0.35, "count_cap": 20.0, "count": 1.4, "span_cap": 8.0, "span
 _CLEANED = D.with_("exprs") + r""",
 t AS (SELECT *, regexp_replace(regexp_replace(raw, '\++', '+', 'g'), '\*+', '*', 'g') AS cleaned FROM exprs),
 n AS (SELECT *, regexp_replace(regexp_replace(cleaned, '([0-9)])\(', '\1*(', 'g'), '\)([0-9])', ')*\1', 'g') AS expression FROM t)"""
-_STATUS = """CASE WHEN template IN (0,1,2,7,8) OR (template = 3 AND b > 0) THEN 'ok'
- WHEN template = 3 THEN 'Division by zero is not allowed.' WHEN template = 4 THEN 'Validation failed: Expression cannot start with ''+''.'
- WHEN template = 5 THEN 'Validation failed: Expression cannot end with ''*''.' WHEN template = 6 THEN 'Validation failed: Unmatched ''('' - parentheses are not balanced.'
- ELSE 'Validation failed: Two consecutive operators ''+'' and ''-'' at position ' || (length(a::VARCHAR) + 1) || '.' END"""
+_STATUS = """CASE WHEN regexp_full_match(expression, '[0-9]+') THEN 'ok' WHEN regexp_matches(expression, '^[+*/)]') THEN 'Validation failed: Expression cannot start with ''' || left(expression, 1) || '''.'
+ WHEN regexp_matches(expression, '[-+*/(]$') THEN 'Validation failed: Expression cannot end with ''' || right(expression, 1) || '''.'
+ WHEN regexp_matches(expression, '[-+*/][-+*/]') THEN 'Validation failed: Two consecutive operators ''' || left(regexp_extract(expression, '[-+*/][-+*/]'), 1) || ''' and ''' || right(regexp_extract(expression, '[-+*/][-+*/]'), 1) || ''' at position ' || strpos(expression, regexp_extract(expression, '[-+*/][-+*/]')) || '.'
+ WHEN length(replace(expression, '(', '')) <> length(replace(expression, ')', '')) THEN 'Validation failed: Unmatched ''('' - parentheses are not balanced.'
+ WHEN regexp_matches(expression, '/0([-+*/)]|$)') THEN 'Division by zero is not allowed.' ELSE 'ok' END"""
 
 _VALUE = """CASE template WHEN 0 THEN ((a+b)*c)::DOUBLE WHEN 1 THEN a::DOUBLE/c-b WHEN 2 THEN (c*(a-b))::DOUBLE WHEN 3 THEN a::DOUBLE/nullif(b,0) WHEN 7 THEN (a+b)::DOUBLE WHEN 8 THEN a::DOUBLE END"""
 
@@ -56,9 +57,9 @@ def expr_implicit_mul(spark, sf_dir):
     return c.select("o_orderkey", "cleaned", X.multiply(F.col("cleaned")).alias("expression")).filter("expression <> cleaned").drop("cleaned")
 
 
-@query(_CLEANED + f", s AS (SELECT *, {_STATUS} AS status FROM n) SELECT o_orderkey, CASE WHEN starts_with(status, 'Validation failed: ') THEN substr(status, 20) ELSE 'OK' END AS status FROM s WHERE template <> 8")
+@query(_CLEANED + f", s AS (SELECT *, {_STATUS} AS status FROM n) SELECT o_orderkey, CASE WHEN starts_with(status, 'Validation failed: ') THEN substr(status, 20) ELSE 'OK' END AS status FROM s")
 def expr_validate(spark, sf_dir):
-    c = _tokens(spark, sf_dir).filter("template <> 8").withColumn("e", X.multiply(F.array_join(X.auto_correct(X.clean(F.col("tokens"))), "")))
+    c = _tokens(spark, sf_dir).withColumn("e", X.multiply(F.array_join(X.auto_correct(X.clean(F.col("tokens"))), "")))
     return c.select("o_orderkey", F.coalesce(X.validation_error(F.col("e")), F.lit("OK")).alias("status"))
 
 
@@ -79,12 +80,13 @@ def expr_paren_depth(spark, sf_dir):
     return D.expressions(spark, sf_dir).select("o_orderkey", X.depth(F.col("raw")).cast("long").alias("depth"))
 
 
-@query(_CLEANED + f""", s AS (SELECT *, {_STATUS} AS status, o_orderkey // 40 AS image_id FROM n)
+@query(_CLEANED + f""", s AS (SELECT *, {_STATUS} AS status, {_VALUE} AS value, o_orderkey // 40 AS image_id FROM n)
 SELECT image_id, count(*) AS n_lines, CASE WHEN count(*) = 1 THEN min(expression) ELSE 'Detected ' || count(*) || ' lines' END AS expression,
- CASE WHEN count(*) = 1 THEN 'one' ELSE count(*) FILTER (status = 'ok') || '/' || count(*) || ' lines evaluated successfully' END AS result FROM s GROUP BY image_id""")
+ CASE WHEN count(*) > 1 THEN count(*) FILTER (status = 'ok') || '/' || count(*) || ' lines evaluated successfully' WHEN min(status) <> 'ok' THEN NULL WHEN regexp_full_match(min(expression), '[0-9]+') THEN min(expression)
+  WHEN min(value) = floor(min(value)) THEN min(value)::BIGINT::VARCHAR ELSE min(value)::VARCHAR END AS result FROM s GROUP BY image_id""")
 def line_summary(spark, sf_dir):
     e = X.evaluate(_tokens(spark, sf_dir)).withColumn("image_id", F.floor(F.col("o_orderkey") / 40))
-    return X.line_summary(e).withColumn("result", F.when(F.col("n_lines") == 1, "one").otherwise(F.col("result")))
+    return X.line_summary(e)
 
 
 @query(_CLEANED + f""", s AS (SELECT *, {_STATUS} AS status, {_VALUE} AS value, o_orderkey // 40 AS image_id FROM n)
@@ -151,13 +153,10 @@ def box_filter(spark, sf_dir):
     return B.size_filter(D.glyphs(spark, sf_dir), WIDTH, HEIGHT).select("image_id", "glyph_id")
 
 
-@query(D.with_("glyphs") + " SELECT image_id, count(*) FILTER (w >= 28 AND h <= 40) AS n_line_like, round(avg((w >= 28 AND h <= 40)::INT), 6) AS line_share FROM (SELECT image_id, w, h FROM glyphs) GROUP BY image_id")
+@query(D.with_("glyphs") + " SELECT image_id, count(*) FILTER (w >= 27 AND h <= 42) AS n_line_like, round(avg((w >= 27 AND h <= 42)::INT), 6) AS line_share FROM glyphs GROUP BY image_id")
 def line_like_share(spark, sf_dir):
-    from ..functions.geometry import Box
-
-    b = Box()
-    like = (b.w >= 28) & (b.h <= 40)
-    return D.glyphs(spark, sf_dir).groupBy("image_id").agg(F.count_if(like).alias("n_line_like"), F.round(F.avg(like.cast("double")), 6).alias("line_share"))
+    """On pictures of 150 x 1400, where a line is at least 27 wide and at most 42 high."""
+    return B.line_share(D.glyphs(spark, sf_dir), 150, 1400).withColumn("line_share", F.round("line_share", 6))
 
 
 _SCORES = D.with_("glyphs") + """,

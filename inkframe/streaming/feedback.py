@@ -12,7 +12,7 @@ from ..sources.derived import read
 
 
 def stream_folder(spark: SparkSession) -> str:
-    """A new folder on the shared file system."""
+    """A new folder on the shared file system that the cluster names; a local one only where it names none, as in tests."""
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="inkframe-")
@@ -20,14 +20,22 @@ def stream_folder(spark: SparkSession) -> str:
 
 
 def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by action from a stream over the events file: late rows up to a day, duplicates dropped."""
-    path = f"{sf_dir}/events.parquet"
+    """Daily counts by action from a stream over the events: late rows up to a day, duplicates dropped.
+
+    Each batch appends the counts that it changed to a table, under the batch's number, so that neither the driver nor
+    the state holds windows that are closed; the last count of each window stands. A batch that is tried again writes
+    the same counts under the same number."""
     schema = read(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).parquet(path if path.endswith("/") else sf_dir + "/events.parque[t]")
+    # a stream reads folders or patterns: the bracket makes one of a path that may be a file or a folder
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     feedback = rows.select("event_id", F.col("ts").cast("timestamp").alias("saved_at"), F.when(F.col("event_type").isin("purchase", "signup"), "rejected").otherwise("corrected").alias("action"))
     fresh = feedback.withWatermark("saved_at", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     folder = stream_folder(spark)
-    name = "counts_" + uuid.uuid4().hex[:8]
-    job = windowed_counts(fresh).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/counts")
+
+    job = windowed_counts(fresh).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    counts = spark.read.schema("win_start timestamp, action string, n long, batch int").parquet(f"{folder}/counts")
+    return counts.groupBy("win_start", "action").agg(F.max_by("n", "batch").alias("n"))
