@@ -299,3 +299,82 @@ def test_thousands_of_aliases_of_one_blocked_page(spark):
     verdict = {(r.page_id, r.host): (r.rule, r.verdict) for r in got}
     assert len(got) == 3064 and sum(v == (None, "block") for v in verdict.values()) == 3062
     assert verdict[None, "free.org"] == (None, "allow") and verdict[9001, "root.com"] == ("com/", "allow") and verdict[9000, "root.com"] == (None, "block")
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark):
+    """Repeated rows, rows without id or with one id and several texts, clashing columns; each stage on what the one before left."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    vocabulary = [a + b + c for a in ("lo", "ma", "ri", "te", "su") for b in ("ver", "nal", "dor", "mi") for c in ("a", "en", "ist", "o", "ung")]
+    words = lambda n: [rng.choice(vocabulary) + str(rng.randint(0, 99)) for _ in range(n)]
+    base, passage = words(150), words(40)
+    near = [*base[:70], "other", *base[71:]]
+    texts = [(1, base), (2, base), (3, near), (4, words(60) + passage + words(20)), (4, words(30) + passage), (None, passage + words(50)), (None, words(80)), (7, words(500)), (7, words(90)), (8, ["***"])]
+    rows = [(i, " ".join(t), "xx", f"s{k % 2}", len(" ".join(t))) for k, (i, t) in enumerate(texts)] + [(9, None, "xx", "s0", 0), (None, "", None, None, 0)]
+    rows += rows[:2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage, now = Stage(spark, "test-stages"), docs
+    steps = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        out = stage.put(name, steps[name](spark, now, "unused"))
+        return out, sorted(map(tuple, out.collect()), key=str)
+
+    now, one = after("language_id")
+    assert one == sorted((r for r in rows if r[1] and r[1] != "***"), key=str)
+
+    now, two = after("near_dedup")
+    distinct = sorted({(r[0] is None, r[0] or 0, r[1]) for r in one})
+    doc, value, weight = near_dedup.shingles([t for *_, t in distinct])
+    sets = [(value[doc == k], weight[doc == k]) for k in range(len(distinct))]
+    leads = [k for k in range(len(distinct)) if not any(near_dedup.probability_jaccard(sets[k], sets[j]) >= 0.8 for j in range(k))]
+    assert sorted((r[0], r[1]) for r in two if r[0]) == sorted((i, t) for none, i, t in (distinct[k] for k in leads) if not none)
+    assert {r[1] for r in two} == {distinct[k][2] for k in leads} and len(two) == len(leads) < len(distinct)
+
+    now, three = after("substring_dedup")
+    tie = {(r.doc_id, r.text): r.tie for r in substring_dedup.grouped(spark.createDataFrame(two, docs.schema), 4).select(F.col("own_doc_id").alias("doc_id"), "text", "tie").collect()}
+    seen = {}
+    for i, t, *_ in two:
+        w = t.split(" ")
+        for p in range(len(w) - 19):
+            own = (i is None, i or 0, tie[i, t], p)
+            key = tuple(w[p : p + 20])
+            seen[key] = min(seen.get(key, own), own)
+    want = []
+    for i, t, *_ in two:
+        w = t.split(" ")
+        gone = {q for p in range(len(w) - 19) if seen[tuple(w[p : p + 20])] < (i is None, i or 0, tie[i, t], p) for q in range(p, p + 20)}
+        want.append((i, [x for q, x in enumerate(w) if q not in gone]))
+    assert sorted(((r[0], r[1].split()) for r in three), key=str) == sorted(want, key=str) and sum(len(w) for _, w in want) < sum(len(r[1].split()) for r in two)
+    assert all(r[4] == len(r[1]) for r in three)
+
+    size = {}
+    for r in three:
+        size[r[3]] = size.get(r[3], 0) + len(r[1].split())
+    now, four = after("source_mix")
+    taken = {}
+    for r in four:
+        taken[r[3]] = taken.get(r[3], 0) + len(r[1].split())
+    budget = 1.5 * sum(size.values())
+    share = {"s0": min(2 * size["s0"], 3 / 4 * budget), "s1": min(2 * size["s1"], 1 / 4 * budget)}
+    if share["s0"] < 3 / 4 * budget:
+        share["s1"] = min(2 * size["s1"], budget - share["s0"])
+    elif share["s1"] < 1 / 4 * budget:
+        share["s0"] = min(2 * size["s0"], budget - share["s1"])
+    assert all(abs(taken[s] - share[s]) <= 1 for s in share)
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = sorted(len(tokenizer.encode(r[1], add_special_tokens=False).ids) + 1 for r in four)
+    packed = steps["best_fit_packing"](spark, now, "unused").collect()
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in packed) == sum(lengths) and sum(r.piece == 0 for r in packed) == len(four)
+    for own in bins.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert len(bins) == -(-sum(lengths) // 1024)
