@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.geometry import Box, broken, inside, line_like, overlap_ratio, pair_measures, pair_rules, union
 
 def _image():
@@ -184,19 +185,21 @@ def merge_broken(boxes: DataFrame) -> DataFrame:
 
     def absorbed(state: Column, _: Column) -> Column:
         box = state["box"]
-        fits = lambda k: ~F.get(state["used"], k) & broken(pair_measures(Box(box), Box(F.get("r", k)), mw=F.col("mw"), mh=F.col("mh")))
-        at = F.try_element_at(F.filter(places, fits), F.lit(1))
-        other = F.get("r", at)
-        grown = F.struct(*union(Box(box), Box(other)), (box["n"] + 1).alias("n"))
-        more = F.struct(as_box(grown, grown["n"]).alias("box"), mark(state["used"], at).alias("used"), F.lit(True).alias("go"))
+        fits = lambda k: ~F.get(state["used"], k) & let([F.get("r", k)], lambda o: broken(pair_measures(Box(box), Box(o), mw=F.col("mw"), mh=F.col("mh"))))
+        found = F.when(state["go"], F.try_element_at(F.filter(places, fits), F.lit(1)))
         still = F.struct(box.alias("box"), state["used"].alias("used"), F.lit(False).alias("go"))
-        return F.when(~state["go"], state).when(at.isNull(), still).otherwise(more)
+
+        def grown(at: Column, other: Column) -> Column:
+            both = let([F.struct(*union(Box(box), Box(other)))], lambda u: as_box(u, box["n"] + 1))
+            return F.when(at.isNull(), still).otherwise(F.struct(both.alias("box"), mark(state["used"], at).alias("used"), F.lit(True).alias("go")))
+
+        return let([found], lambda at: let([at, F.get("r", at)], grown))
 
     def step(state: Column, i: Column) -> Column:
         own = F.get("r", i)
         first = F.struct(as_box(own, F.lit(1)).alias("box"), mark(state["used"], i).alias("used"), F.lit(True).alias("go"))
-        done = F.aggregate(places, first, absorbed)
-        return F.when(F.get(state["used"], i), state).otherwise(F.struct(done["used"].alias("used"), F.concat(state["out"], F.array(done["box"])).alias("out")))
+        done = let([F.aggregate(places, first, absorbed)], lambda d: F.struct(d["used"].alias("used"), F.concat(state["out"], F.array(d["box"])).alias("out")))
+        return F.when(F.get(state["used"], i), state).otherwise(done)
 
     out = F.aggregate(places, F.struct(used.alias("used"), none.alias("out")), step, lambda s: s["out"])
     return g.select("image_id", F.explode(out).alias("b")).select("image_id", *[F.col(f"b.{c}").alias(c) for c in "xywh"], F.col("b.n").cast("long").alias("n_parts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 
 def cluster(glyphs: DataFrame, floor: float, ratio: float) -> DataFrame:
     """(image_id, glyph_id, line): glyphs from top to bottom join the first line whose mean centre is
@@ -16,8 +18,8 @@ def cluster(glyphs: DataFrame, floor: float, ratio: float) -> DataFrame:
         fits = lambda k: F.coalesce(F.abs(c["cy"] - F.try_element_at(lines, k)["total"] / F.size(F.try_element_at(lines, k)["ids"])) <= F.col("near"), F.lit(False))
         at = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), fits), F.lit(1))
         new = F.struct(c["cy"].alias("total"), F.array(c["glyph_id"]).alias("ids"))
-        joined = F.transform(lines, lambda t, k: F.when(k + 1 == at, F.struct((t["total"] + c["cy"]).alias("total"), F.concat(t["ids"], F.array(c["glyph_id"])).alias("ids"))).otherwise(t))
-        return F.when(at.isNull(), F.concat(lines, F.array(new))).otherwise(joined)
+        joined = lambda at: F.transform(lines, lambda t, k: F.when(k + 1 == at, F.struct((t["total"] + c["cy"]).alias("total"), F.concat(t["ids"], F.array(c["glyph_id"])).alias("ids"))).otherwise(t))
+        return let([at], lambda at: F.when(at.isNull(), F.concat(lines, F.array(new))).otherwise(joined(at)))
 
     lines = F.aggregate("c", F.array().cast("array<struct<total:double,ids:array<bigint>>>"), put)
     rows = g.select("image_id", F.posexplode(F.transform(lines, lambda t: t["ids"])).alias("line", "ids"))

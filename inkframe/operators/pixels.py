@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 INK = 128
 
 
@@ -128,10 +130,10 @@ def labelled_runs(runs: DataFrame, corners: bool = True) -> DataFrame:
 
     def step(acc: Column, r: Column) -> Column:
         meets = F.filter(acc, lambda a: (a["y"] == r["y"] - 1) & (a["x0"] <= r["x1"] + reach) & (a["x1"] >= r["x0"] - reach))
-        parts = F.transform(meets, lambda a: a["part"])
-        own = F.coalesce(F.array_min(parts), F.size(acc))
+        parts = F.array_distinct(F.transform(meets, lambda a: a["part"]))
         with_part = lambda a, part: F.struct(a["y"].alias("y"), a["x0"].alias("x0"), a["x1"].alias("x1"), part.cast("int").alias("part"))
-        return F.concat(F.transform(acc, lambda a: with_part(a, F.when(F.array_contains(parts, a["part"]), own).otherwise(a["part"]))), F.array(with_part(r, own)))
+        named = lambda parts, own: F.when(F.size(parts) <= 1, acc).otherwise(F.transform(acc, lambda a: with_part(a, F.when(F.array_contains(parts, a["part"]), own).otherwise(a["part"]))))
+        return let([parts], lambda parts: let([parts, F.coalesce(F.array_min(parts), F.size(acc))], lambda parts, own: F.concat(named(parts, own), F.array(with_part(r, own)))))
 
     out = F.aggregate("r", F.expr("cast(array() as array<struct<y:int,x0:int,x1:int,part:int>>)"), step)
     return g.select("glyph_id", F.explode(out).alias("r")).select("glyph_id", "r.*")

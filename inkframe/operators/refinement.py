@@ -10,7 +10,7 @@ A glyph has place, x, y, w, h, char, conf, raw_char, raw_conf, top_k (char, conf
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import shapes as S
+from ..functions.columns import let
 from .context import bonus, corrected, step
 from .lines import line_scores
 
@@ -69,12 +70,6 @@ def median_height(items: Column) -> Column:
     return median(F.transform(items, lambda g: g["h"].cast("double")))
 
 
-def let(values: Sequence[Column], body: Callable[..., Column]) -> Column:
-    """``body`` of values that the plan holds once each."""
-    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return F.element_at(F.transform(F.array(packed), lambda p: body(*[p[f"v{i}"] for i in range(len(values))])), 1)
-
-
 def _ratio(f: Column, a: str, b: str, factor: float) -> Column:
     return f[a] >= f[b] * factor
 
@@ -185,8 +180,8 @@ def first_fit(items: Column, tolerance: Column) -> Column:
         cy = center_y(g)
         at = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(groups), F.lit(1))), lambda k: F.coalesce(F.abs(cy - F.try_element_at(groups, k)["total"] / F.try_element_at(groups, k)["n"]) <= tolerance, F.lit(False))), F.lit(1))
         new = F.struct(cy.cast("double").alias("total"), F.lit(1).alias("n"), F.array(g).alias("items"))
-        joined = F.transform(groups, lambda t, k: F.when(k + 1 == at, F.struct((t["total"] + cy).alias("total"), (t["n"] + 1).alias("n"), F.concat(t["items"], F.array(g)).alias("items"))).otherwise(t))
-        return F.when(at.isNull(), F.concat(groups, F.array(new))).otherwise(joined)
+        joined = lambda at: F.transform(groups, lambda t, k: F.when(k + 1 == at, F.struct((t["total"] + cy).alias("total"), (t["n"] + 1).alias("n"), F.concat(t["items"], F.array(g)).alias("items"))).otherwise(t))
+        return let([at], lambda at: F.when(at.isNull(), F.concat(groups, F.array(new))).otherwise(joined(at)))
 
     return F.aggregate(ordered, none, put)
 
