@@ -57,8 +57,8 @@ class Limits:
     longer one is taken in pieces that overlap by a window.
     """
 
-    shard: int = 24_000_000
-    sort: int = 600_000
+    shard: int = 16_000_000
+    sort: int = 400_000
     memory: int = MEMORY
     piece: int = 8_000_000
 
@@ -272,6 +272,7 @@ def repeated(rows: pa.Table, size: int, limits: Limits) -> pa.Table:
     """The group table of the windows of one shard that also start earlier."""
     found, (d2, p2, i2, g2) = _read(rows, size)
     doc, pos = _repeats(found, limits)
+    pa.default_memory_pool().release_unused()  # before the next shard comes
     out = group_rows(np.concatenate((doc, d2 + len(found.ids))).astype(np.int64), np.concatenate((pos, p2)), np.concatenate((found.ids, i2)), np.concatenate((found.groups, g2)))
     return pa.Table.from_batches([out])
 
