@@ -217,3 +217,20 @@ def test_files_come_back(spark, tmp_path):
     files.write_summary(log, f"{tmp_path}/summary")
     assert spark.read.json(f"{tmp_path}/summary").first().epoch == 1
     assert spark.range(1).select(files.data_uri(F.lit(b"abc")), files.data_uri(F.lit(None).cast("binary"))).first()[:] == ("data:image/png;base64,YWJj", "")
+
+
+def test_drawn_symbols_look_like_what_they_are(spark):
+    from inkframe.functions import shapes as S
+    from inkframe.operators import drawing
+
+    pixels = drawing.drawn(drawing.parameters(spark, 12)).withColumn("glyph_id", F.expr("ascii(symbol) * 1000L + number"))
+    assert pixels.count() == 6 * 12 * 784 and pixels.exceptAll(drawing.drawn(drawing.parameters(spark, 12)).withColumn("glyph_id", F.expr("ascii(symbol) * 1000L + number"))).count() == 0
+    f = P.glyph_features(pixels.select("glyph_id", "y", "x", "v"), F.col("v") >= 128)
+    rows = f.select("glyph_id", "fill", "aspect", "left", "right", "diag_primary", "diag_secondary", S.looks_like("minus").alias("minus")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(chr(r.glyph_id // 1000), []).append(r)
+    assert sorted(by) == sorted("+-*/()") and all(len(v) == 12 for v in by.values())
+    assert all(r.left > r.right and r.aspect < 0.7 for r in by["("]) and all(r.right > r.left and r.aspect < 0.7 for r in by[")"])
+    assert all(r.diag_secondary > r.diag_primary + 0.1 for r in by["/"]) and all(r.aspect > 2 for r in by["-"]) and all(0.6 < r.aspect < 1.6 for r in by["+"] + by["*"])
+    assert P.holes(pixels.select("glyph_id", "y", "x", "v"), F.col("v") >= 128).count() == 0
