@@ -96,25 +96,32 @@ def line_share(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.count_if(like).alias("n_line_like"), F.avg(like.cast("double")).alias("line_share"))
 
 
-def candidate_scores(boxes: DataFrame, width: int, height: int, weights: dict[str, float]) -> DataFrame:
-    """A score per candidate (image_id) of two boxes or more: count, span, height and evenness for it; clutter against it."""
-    b = Box()
+# What counts for and against a candidate's boxes.
+CANDIDATE = {
+    "count": 2.2, "count_cap": 18.0, "span": 6.0, "span_cap": 5.0, "height": 30.0, "height_cap": 4.0, "row_base": 2.5, "row": 4.0, "fill": 4.0, "fill_cap": 2.0, "line": 3.5, "tiny": 22.0, "width_cv": 0.90, "width_cv_weight": 4.0,
+    "height_cv": 0.75, "height_cv_weight": 4.0, "aspect": 0.36, "aspect_weight": 18.0, "slim": 0.20, "slim_weight": 22.0, "touch": 0.8, "region": 0.45, "region_weight": 10.0,
+}
+
+
+def candidate_scores(boxes: DataFrame, width: int, height: int, weights: dict[str, float] = CANDIDATE) -> DataFrame:
+    """(image_id, n, span_ratio, score) of each candidate (image_id) of two boxes or more, with fill, and region_frac, the
+    region's share of the picture (0 for none): count, span, height, evenness and fill speak for it; clutter against it."""
+    b, k = Box(), weights
     w = boxes.withColumns({"mw": F.median("w").over(_image()), "mh": F.median("h").over(_image()), "ma": F.median(b.area).over(_image())})
     tiny = (b.w <= F.greatest(F.lit(18.0), F.col("mw") * 0.42)) | (b.h <= F.greatest(F.lit(24.0), F.col("mh") * 0.42)) | (b.area <= F.greatest(F.lit(180.0), F.col("ma") * 0.28))
     touch = (b.x <= 1) | (b.y <= 1) | (b.right >= width - 1) | (b.bottom >= height - 1)
-    high = F.greatest(F.lit(1.0), F.col("mh"))
     g = w.groupBy("image_id").agg(
-        F.count("*").alias("n"), F.first("mw").alias("mw"), F.first("mh").alias("mh"), ((F.max(b.right) - F.min("x")) / float(width)).alias("span"),
+        F.count("*").alias("n"), F.first("mw").alias("mw"), F.first("mh").alias("mh"), ((F.max(b.right) - F.min("x")) / float(width)).alias("span"), F.median("fill").alias("fill"), F.first("region_frac").alias("region"),
         F.stddev_pop(b.center_y).alias("sy"), F.stddev_pop("w").alias("sw"), F.stddev_pop("h").alias("sh"),
-        F.avg((b.w / F.greatest(F.lit(1), b.h) < weights["slim"]).cast("double")).alias("slim"), F.avg(tiny.cast("double")).alias("tiny"),
+        F.avg((b.w / F.greatest(F.lit(1), b.h) < k["slim"]).cast("double")).alias("slim"), F.avg(tiny.cast("double")).alias("tiny"),
         F.count_if(line_like(b, width, height)).alias("lines"), F.count_if(touch).alias("touch")).filter("n >= 2")
-    high, wide = F.greatest(F.lit(1.0), F.col("mh")), F.greatest(F.lit(1.0), F.col("mw"))
-    over = lambda c, k: F.greatest(F.lit(0.0), c - weights[k])
+    high, wide, c = F.greatest(F.lit(1.0), F.col("mh")), F.greatest(F.lit(1.0), F.col("mw")), F.col
+    over = lambda value, name: F.greatest(F.lit(0.0), value - k[name]) * k[f"{name}_weight"]
+    most = lambda value, name: F.least(F.lit(k[f"{name}_cap"]), value * k[name])
     score = (
-        F.least(F.lit(weights["count_cap"]), F.col("n") * weights["count"]) + F.least(F.lit(weights["span_cap"]), F.col("span") * weights["span"])
-        + F.least(F.lit(weights["height_cap"]), F.col("mh") / height * weights["height"]) + F.greatest(F.lit(0.0), weights["row_base"] - F.col("sy") / high * weights["row"])
-        - F.col("lines") * weights["line"] - F.col("tiny") * weights["tiny"] - over(F.col("sw") / wide, "width_cv") * weights["cv"] - over(F.col("sh") / high, "height_cv") * weights["cv"]
-        - F.greatest(F.lit(0.0), weights["aspect"] - F.col("mw") / high) * weights["aspect_weight"] - over(F.col("slim"), "slim") * weights["slim_weight"] - F.col("touch") * weights["touch"])
+        most(c("n"), "count") + most(c("span"), "span") + most(c("mh") / height, "height") + F.greatest(F.lit(0.0), k["row_base"] - c("sy") / high * k["row"]) + most(c("fill"), "fill")
+        - c("lines") * k["line"] - c("tiny") * k["tiny"] - over(c("sw") / wide, "width_cv") - over(c("sh") / high, "height_cv")
+        - F.greatest(F.lit(0.0), k["aspect"] - c("mw") / high) * k["aspect_weight"] - over(c("slim"), "slim") - c("touch") * k["touch"] - over(c("region"), "region"))
     return g.select("image_id", "n", F.col("span").alias("span_ratio"), score.alias("score"))
 
 
@@ -125,16 +132,24 @@ def dominant_row(boxes: DataFrame) -> DataFrame:
     return ranked.filter((F.col("rank") == 1) & (F.col("n") >= F.greatest(F.lit(3), F.bround(F.col("total") / 2).cast("int")))).select("image_id", "line", "n", "area")
 
 
-def validation(boxes: DataFrame, width: int, height: int, max_rows: int, std_abs: float, std_ratio: float) -> DataFrame:
-    """(image_id, status): the first test that an image's boxes fail, or valid."""
-    lines = rows(boxes).groupBy("image_id").agg((F.max("line") + 1).alias("n_rows"), F.count("*").alias("n"), F.median("w").alias("mw"), F.stddev_pop("w").alias("sw"), F.count_if(line_like(Box(), width, height)).alias("lines"))
-    status = (
-        F.when(F.col("n") < 2, "too few")
-        .when(F.col("n_rows") > max_rows, "too many rows")
-        .when(F.col("lines") >= F.greatest(F.lit(2), F.bround(F.col("n") * 0.4).cast("int")), "line dominated")
-        .when(F.col("sw") > F.greatest(F.lit(std_abs), F.col("mw") * std_ratio), "widths too inconsistent")
-        .otherwise("valid"))
-    return lines.select("image_id", status.alias("status"))
+def validation(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, reason): the first test that an image's boxes fail, or Valid generic region result."""
+    b = Box()
+    order = _image().orderBy("cy")
+    snap = F.greatest(F.lit(18), F.floor(F.median("h").over(_image()) * 0.70))
+    step = boxes.withColumns({"cy": b.center_y, "snap": snap}).withColumn("step", F.col("cy") - F.lag("cy").over(order))
+    g = step.groupBy("image_id").agg(
+        (F.count_if(F.col("step") > F.col("snap")) + 1).alias("rows"), F.count("*").alias("n"), F.median("h").alias("mh"), F.median("w").alias("mw"), F.stddev_pop("w").alias("sw"),
+        F.count_if(line_like(b, width, height)).alias("lines"), F.avg((b.w / F.greatest(F.lit(1), b.h) < 0.18).cast("double")).alias("slim"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = F.col
+    # At most two rows; half of the boxes, and two, are lines; 18 boxes of which 55 % are slim; widths that spread by 18 and 2.2 medians
+    reason = (
+        F.when(c("n") < 2, text("Too few rects (", c("n"), " < 2)")).when(c("mh") <= 0, "Invalid median height").when(c("rows") > 2, text("Too many rows (", c("rows"), ")"))
+        .when(c("lines") >= F.greatest(F.lit(2), F.bround(c("n") * 0.50).cast("int")), text("Line dominated (", c("lines"), "/", c("n"), ")"))
+        .when((c("n") >= 18) & (c("slim") >= 0.55), text("Vertical-guide dominated (", F.format_number("slim", 2), ")"))
+        .when(c("sw") > F.greatest(F.lit(18.0), c("mw") * 2.2), "Widths too inconsistent").otherwise("Valid generic region result"))
+    return g.select("image_id", reason.alias("reason"))
 
 
 def middle_width(boxes: DataFrame) -> DataFrame:

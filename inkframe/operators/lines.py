@@ -37,6 +37,7 @@ def line_scores(lined: DataFrame, area: str | None = None) -> DataFrame:
     from pyspark.sql import Window
 
     best = F.max("area").over(Window.partitionBy("image_id"))
+    # The weights of a line's score
     n, d, o, p = (F.col(c) for c in ("n", "d", "o", "p"))
     few = (n <= 2) & (o >= 1) & (d + p <= 1)
     less = lambda test, k: F.when(test, k).otherwise(0.0)
@@ -54,6 +55,7 @@ def shape_hint(aspect: Column, symmetry: Column, density: Column) -> Column:
 def dual_reading(rows: DataFrame) -> DataFrame:
     """``rows`` (char, conf, aspect, symmetry, density, top) with read and read_conf: a digit against its
     shape loses confidence, and a doubtful 1, -, 7 or / is decided by its shape."""
+    # Bounds of the shapes, and what a digit against its shape keeps of its confidence
     char, a = F.col("char"), F.col("aspect")
     conf = F.when(char.rlike("^[0-9]$") & (shape_hint(a, F.col("symmetry"), F.col("density")) == "operator"), F.col("conf") * 0.60).otherwise(F.col("conf"))
     one = F.when((a >= 2.0) & (F.col("symmetry") >= 0.60), "-").when((a < 0.8) & (F.col("density") >= 0.60), "1").otherwise("-")

@@ -209,6 +209,7 @@ def main_line(items: Column) -> Column:
 
 # --- numbers
 
+# Bounds and orders of both decision lists, and the scores of candidates.
 #: A number's glyphs: (classes, test of measures f and flags s, class), first match first. Classes None: any.
 NUMBER_RULES: list[tuple[str | None, Callable[[Column, Column], Column], str]] = [
     ("/()", lambda f, s: s["one"] & ~(s["open_boundary"] | s["close_boundary"]), "1"),

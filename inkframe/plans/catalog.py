@@ -18,7 +18,6 @@ from ..streaming.feedback import counted_stream
 from .registry import ORACLE, QUERIES, query
 
 WIDTH, HEIGHT = 1000, 300
-WEIGHTS = {"slim": 0.35, "count_cap": 20.0, "count": 1.4, "span_cap": 8.0, "span": 9.0, "height_cap": 6.0, "height": 12.0, "row_base": 4.0, "row": 3.0, "line": 2.5, "tiny": 5.0, "width_cv": 0.8, "height_cv": 0.7, "cv": 2.0, "aspect": 0.4, "aspect_weight": 3.0, "slim_weight": 4.0, "touch": 0.8}
 
 
 # --- expressions
@@ -160,22 +159,27 @@ def line_like_share(spark, sf_dir):
 
 
 _SCORES = D.with_("glyphs") + """,
-m AS (SELECT *, median(w) OVER (PARTITION BY image_id) AS mw, median(h) OVER (PARTITION BY image_id) AS mh, median(w*h) OVER (PARTITION BY image_id) AS ma FROM glyphs),
-g AS (SELECT image_id, count(*) AS n, first(mw) AS mw, first(mh) AS mh, (max(x+w)-min(x))/1000.0::DOUBLE AS span, stddev_pop(y+h/2.0) AS sy, stddev_pop(w) AS sw, stddev_pop(h) AS sh,
- avg((w/greatest(1,h) < 0.35)::INT) AS slim, avg((w <= greatest(18, mw*0.42) OR h <= greatest(24, mh*0.42) OR w*h <= greatest(180, ma*0.28))::INT) AS tiny,
+m AS (SELECT *, ((glyph_id*13)%60/100.0)::DOUBLE AS fill, median(w) OVER (PARTITION BY image_id) AS mw, median(h) OVER (PARTITION BY image_id) AS mh, median(w*h) OVER (PARTITION BY image_id) AS ma FROM glyphs),
+g AS (SELECT image_id, count(*) AS n, first(mw) AS mw, first(mh) AS mh, (max(x+w)-min(x))/1000.0::DOUBLE AS span, stddev_pop(y+h/2.0) AS sy, stddev_pop(w) AS sw, stddev_pop(h) AS sh, median(fill) AS fill, (image_id%10/10.0)::DOUBLE AS region,
+ avg((w/greatest(1,h) < 0.20)::INT) AS slim, avg((w <= greatest(18, mw*0.42) OR h <= greatest(24, mh*0.42) OR w*h <= greatest(180, ma*0.28))::INT) AS tiny,
  count(*) FILTER (w >= 180 AND h <= 18) AS lines, count(*) FILTER (x <= 1 OR y <= 1 OR x+w >= 999 OR y+h >= 299) AS touch FROM m GROUP BY image_id HAVING count(*) >= 2),
-s AS (SELECT image_id, n, span AS span_ratio, least(20.0, n*1.4::DOUBLE) + least(8.0, span*9.0) + least(6.0, mh/300*12.0) + greatest(0.0, 4.0 - sy/greatest(1,mh)*3.0) - lines*2.5 - tiny*5.0
- - greatest(0.0, sw/greatest(1,mw)-0.8::DOUBLE)*2.0 - greatest(0.0, sh/greatest(1,mh)-0.7::DOUBLE)*2.0 - greatest(0.0, 0.4::DOUBLE-mw/greatest(1,mh))*3.0 - greatest(0.0, slim-0.35::DOUBLE)*4.0 - touch*0.8::DOUBLE AS score FROM g)"""
+s AS (SELECT image_id, n, span AS span_ratio, least(18.0, n*2.2::DOUBLE) + least(5.0, span*6.0) + least(4.0, mh/300*30.0) + greatest(0.0, 2.5 - sy/greatest(1,mh)*4.0) + least(2.0, fill*4.0) - lines*3.5 - tiny*22.0
+ - greatest(0.0, sw/greatest(1,mw)-0.9::DOUBLE)*4.0 - greatest(0.0, sh/greatest(1,mh)-0.75::DOUBLE)*4.0 - greatest(0.0, 0.36::DOUBLE-mw/greatest(1,mh))*18.0 - greatest(0.0, slim-0.20::DOUBLE)*22.0 - touch*0.8::DOUBLE - greatest(0.0, region-0.45::DOUBLE)*10.0 AS score FROM g)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.glyphs(spark, sf_dir).withColumns({"fill": (F.col("glyph_id") * 13 % 60 / 100.0).cast("double"), "region_frac": (F.col("image_id") % 10 / 10.0).cast("double")})
+    return B.candidate_scores(g, WIDTH, HEIGHT).withColumns({"span_ratio": F.round("span_ratio", 6), "score": F.round("score", 6)})
 
 
 @query(_SCORES + " SELECT image_id, n, round(span_ratio, 6) AS span_ratio, round(score, 6) AS score FROM s")
 def candidate_score(spark, sf_dir):
-    return B.candidate_scores(D.glyphs(spark, sf_dir), WIDTH, HEIGHT, WEIGHTS).withColumns({"span_ratio": F.round("span_ratio", 6), "score": F.round("score", 6)})
+    return _candidates(spark, sf_dir)
 
 
 @query(_SCORES + ", k AS (SELECT image_id % 10 AS batch, image_id, round(score, 6) AS score, row_number() OVER (PARTITION BY image_id % 10 ORDER BY round(score, 6) DESC, n DESC, image_id) AS k FROM s) SELECT batch, image_id, score FROM k WHERE k = 1")
 def best_candidate(spark, sf_dir):
-    s = B.candidate_scores(D.glyphs(spark, sf_dir), WIDTH, HEIGHT, WEIGHTS).withColumn("score", F.round("score", 6)).withColumn("batch", F.col("image_id") % 10)
+    s = _candidates(spark, sf_dir).withColumn("batch", F.col("image_id") % 10)
     k = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("score"), F.desc("n"), "image_id"))
     return s.withColumn("k", k).filter("k = 1").select("batch", "image_id", "score")
 
@@ -187,10 +191,12 @@ def dominant_row(spark, sf_dir):
     return B.dominant_row(D.glyphs(spark, sf_dir))
 
 
-@query(_ROWS + """, g AS (SELECT image_id, max(line)+1 AS nr, count(*) AS n, median(w) AS mw, stddev_pop(w) AS sw, count(*) FILTER (w >= 180 AND h <= 18) AS lines FROM r GROUP BY image_id)
-SELECT image_id, CASE WHEN n < 2 THEN 'too few' WHEN nr > 3 THEN 'too many rows' WHEN lines >= greatest(2, round_even(n*0.4, 0)) THEN 'line dominated' WHEN sw > greatest(8.0, mw*0.4) THEN 'widths too inconsistent' ELSE 'valid' END AS status FROM g""")
+@query(D.with_("glyphs") + """, c AS (SELECT image_id, y+h/2.0 AS cy, greatest(18, floor(median(h) OVER (PARTITION BY image_id)*0.70)) AS snap FROM glyphs), st AS (SELECT image_id, cy-lag(cy) OVER (PARTITION BY image_id ORDER BY cy) AS d, snap FROM c), rw AS (SELECT image_id, count(*) FILTER (d > snap)+1 AS nr FROM st GROUP BY image_id),
+g AS (SELECT image_id, count(*) AS n, median(w) AS mw, stddev_pop(w) AS sw, count(*) FILTER (w >= 36 AND h <= 33) AS lines, avg((w/greatest(1, h) < 0.18)::INT) AS slim FROM glyphs GROUP BY image_id)
+SELECT image_id, CASE WHEN n < 2 THEN 'Too few rects (' || n || ' < 2)' WHEN nr > 2 THEN 'Too many rows (' || nr || ')' WHEN lines >= greatest(2, round_even(n*0.50, 0)) THEN 'Line dominated (' || lines || '/' || n || ')' WHEN n >= 18 AND slim >= 0.55 THEN 'Vertical-guide dominated (' || printf('%.2f', slim) || ')'
+ WHEN sw > greatest(18.0, mw*2.2) THEN 'Widths too inconsistent' ELSE 'Valid generic region result' END AS reason FROM g JOIN rw USING (image_id)""")
 def generic_validation(spark, sf_dir):
-    return B.validation(D.glyphs(spark, sf_dir), WIDTH, HEIGHT, 3, 8.0, 0.4)
+    return B.validation(D.glyphs(spark, sf_dir), 200, 1100)
 
 
 @query(D.with_("glyphs") + """, g AS (SELECT image_id, count(*) AS n, list_sort(list(w)) AS ws FROM glyphs GROUP BY image_id)
