@@ -32,15 +32,16 @@ def test_rows_and_containment(spark):
 
 
 def test_merge_takes_in_what_the_grown_box_reaches(spark):
-    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 20, 0, 10, 10), (1, 3, 40, 0, 10, 10), (1, 4, 200, 0, 5, 5)], "image_id long, glyph_id long, x long, y long, w long, h long")
-    got = sorted((r.x, r.w, r.n_parts) for r in B.merge_fragments(boxes, 12).collect())
-    assert got == [(0, 50, 3), (200, 5, 1)]
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 20, 20), (1, 2, 2, 24, 18, 20), (1, 3, 1, 48, 19, 20), (1, 4, 200, 0, 20, 20)], "image_id long, glyph_id long, x long, y long, w long, h long")
+    got = sorted((r.x, r.y, r.w, r.h, r.n_parts) for r in B.merge_broken(boxes).collect())
+    # the first two stand on one another, and what they have become on the third
+    assert got == [(0, 0, 20, 68, 3), (200, 0, 20, 20, 1)]
 
 
 def test_labels(spark):
     df = spark.createDataFrame([("  x ",), ("−",), (None,), ("plus",), ("7",), ("a b",)], "l string")
     got = [(r.n, r.t) for r in df.select(labels.normal_label(F.col("l")).alias("n"), labels.label_token(F.col("l")).alias("t")).collect()]
-    assert got == [("*", "multiply"), ("-", "minus"), ("", "unknown"), ("+", "plus"), ("7", "7"), ("a b", "unknown")]
+    assert got == [("*", "mul"), ("−", "unknown"), ("", "unknown"), ("+", "plus"), ("7", "7"), ("a b", "unknown")]
 
 
 def test_context_flips():
@@ -55,7 +56,7 @@ def test_context_flips():
 def test_beam_reads_a_whole_expression():
     options = [[("/", 0.9), ("(", 0.6)], [("1", 0.9)], [("+", 0.9)], [("7", 0.8), ("2", 0.7)], [(")", 0.9), ("4", 0.5)]]
     assert C.best_reading(options) == "(1+7)"
-    assert C.best_reading([[("+", 1.0)]]) is None
+    assert C.best_reading([[("+", 1.0), ("*", 0.5)], [("/", 0.3)]]) == "+/"  # none is whole
 
 
 def test_feedback_sets(spark):
