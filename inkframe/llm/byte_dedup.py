@@ -57,8 +57,8 @@ class Limits:
     longer one is taken in pieces that overlap by a window.
     """
 
-    shard: int = 16_000_000
-    sort: int = 400_000
+    shard: int = 24_000_000
+    sort: int = 600_000
     memory: int = MEMORY
     piece: int = 8_000_000
 
