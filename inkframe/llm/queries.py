@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, byte_dedup, exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -65,7 +65,12 @@ def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
+    "op11_exact_dedup": op11_exact_dedup,
     "op2_additive_ann": op2_additive_ann,
     "op3_media_columns": op3_media_columns,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -79,6 +84,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_exact_dedup": """
+SELECT doc_id, MAX(doc_id) OVER same AS keep_id, COUNT(*) OVER same AS group_size, doc_id = MAX(doc_id) OVER same AS kept, sha256(COALESCE(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))""",
     "op7_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

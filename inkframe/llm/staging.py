@@ -29,11 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stage:
-    """A folder of one job's staged tables; ``drop`` removes tables that no later step reads."""
+    """A folder of one job's staged tables; ``drop`` removes tables that no later step reads, and the folder goes with the driver."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, place: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def put(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return the written table. Its shuffle files go as soon as it is written."""
@@ -51,11 +58,9 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._at(f"{self.root}/{name}")
+            fs.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
