@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_dedup, exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, ball_tree, byte_dedup, exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -69,7 +69,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op11_exact_dedup": op11_exact_dedup,
     "op2_additive_ann": op2_additive_ann,
     "op3_media_columns": op3_media_columns,
@@ -83,7 +88,25 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
 }
 
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds written out one after the other: a recursive query can't hold the sums."""
+    nearest = lambda c: f"""SELECT v.id, v.q, arg_min(c.c, (list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.c)) AS c,
+         min(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS d FROM v, {c} c GROUP BY v.id, v.q"""
+    parts = [f"""WITH v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY sha256('3:' || id)) - 1 AS c, q FROM v QUALIFY c < {k})"""]
+    for i in range(rounds):
+        parts.append(f"""a{i} AS MATERIALIZED ({nearest(f'c{i}')}),
+s{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i),
+c{i + 1} AS MATERIALIZED (SELECT c.c, COALESCE(m.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT c, list((floor(s::DOUBLE / n) - (floor(s::DOUBLE / n) * n > s)::INT)::BIGINT ORDER BY i) AS q FROM s{i} GROUP BY c) m USING (c))""")
+    return ",\n".join([*parts, f"z AS MATERIALIZED ({nearest(f'c{rounds}')})"]) + f"""
+SELECT z.id AS vec_id, z.c::INT AS cluster, z.d AS distance, CAST(SUM(z.d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(SUM(z.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} c ON z.c = c.c"""
+
+
 ORACLE = {
+    "op12_centroid_clustering": _clustering_sql(),
     "op11_exact_dedup": """
 SELECT doc_id, MAX(doc_id) OVER same AS keep_id, COUNT(*) OVER same AS group_size, doc_id = MAX(doc_id) OVER same AS kept, sha256(COALESCE(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY COALESCE(text, ''))""",
