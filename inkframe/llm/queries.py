@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ball_tree, byte_dedup, exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, ball_tree, byte_dedup, divergence, exact_dedup, html_extract, language_id, media, mixing, near_dedup, packing, substring_dedup, url_filter
 from .staging import Stage, table
 
 #: Fixed values of the contract: (action, host, path).
@@ -73,7 +73,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_source_divergence": op13_source_divergence,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op11_exact_dedup": op11_exact_dedup,
     "op2_additive_ann": op2_additive_ann,
@@ -106,6 +111,23 @@ FROM z JOIN c{rounds} c ON z.c = c.c"""
 
 
 ORACLE = {
+    "op13_source_divergence": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS MATERIALIZED (SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, sum(n) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+full_ AS MATERIALIZED (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0)::HUGEINT AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS MATERIALIZED (SELECT lang, source, term, n, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS p FROM full_),
+lng AS MATERIALIZED (SELECT lang, term, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))::BIGINT AS p FROM (SELECT lang, term, sum(n) AS n FROM full_ GROUP BY ALL)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(p.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+          UNION ALL
+          SELECT o.lang, o.source, 'term', o.term, (((o.p - l.p) * (o.p - l.p)) // l.p)::BIGINT FROM own o JOIN lng l ON o.lang = l.lang AND o.term = l.term WHERE o.n > 0 AND o.p > l.p)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 200""",
     "op12_centroid_clustering": _clustering_sql(),
     "op11_exact_dedup": """
 SELECT doc_id, MAX(doc_id) OVER same AS keep_id, COUNT(*) OVER same AS group_size, doc_id = MAX(doc_id) OVER same AS kept, sha256(COALESCE(text, '')) AS text_sha256
