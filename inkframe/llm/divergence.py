@@ -9,8 +9,9 @@ A source without a term counts it zero times, so a pair's value has a part for e
 where both lack the term; ``PAIRS`` therefore sums, over the terms that a source has, what its value differs from that number, and Spark adds
 the number once for each kept term.
 
-Shards hold ``SHARD_ROWS`` partial counts on average whatever the corpus's size. A task's counts are written out at ``HELD`` entries, so the most frequent term
-has a few rows a task. Totals reach a shard by a join on its languages, not by broadcast.
+There are four shards for each part that the corpus is read in, up to ``SHARDS``; DuckDB adds a shard's counts up as they come, so what it holds are the shard's
+distinct terms. A task's counts go out at ``HELD`` entries, so the most frequent term has a few rows a task. They travel as one compressed block of columns for
+each shard, not as a row each. Totals reach a shard by a join on its languages, not by broadcast.
 
 Defined results: null text, lang and source are empty ones; a repeated row is a document of its own; ids are not read; a group without terms, and one of a
 language without kept terms, has pairs (value 0 in the latter case) and no terms; an empty table gives an empty result; other columns are not read.
@@ -18,24 +19,29 @@ language without kept terms, has pairs (value 0 in the latter case) and no terms
 
 from __future__ import annotations
 
+import io
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import runs
 from .staging import Stage
 
 LEAST_DOCUMENTS, TOP = 3, 200
-SHARD_ROWS, HELD, STEP = 400_000, 250_000, 1 << 20
+SHARDS, HELD, STEP = 16_384, 250_000, 1 << 20
 #: Rows that DuckDB takes before it adds equal ones up, and what it may use.
 FOLD, DUCK = 1_500_000, "600MB"
 SCALE = 1_000_000_000
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
-COUNTS = "lang string, source string, term string, n long, d long"
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("d", pa.int64())])
+#: A shard's partial counts of one task travel as one compressed block; a row without block names a group.
+BLOCKS = "shard int, lang string, source string, block binary"
+PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 def words(text: bytes) -> Iterator[list[bytes]]:
@@ -52,38 +58,61 @@ def words(text: bytes) -> Iterator[list[bytes]]:
         at = end + 1
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: occurrences and documents of each group's terms, and a row without term for each group."""
-    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def out() -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), (n, d) in seen.items():
-            terms = list(n)
-            for column, values in zip(columns, ([lang] * len(terms), [source] * len(terms), terms, n.values(), [d[t] for t in terms])):
-                column.extend(values)
-            for column, value in zip(columns, (lang, source, None, 0, 0)):
-                column.append(value)
-        seen.clear()
-        text = pa.array(columns[2], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), text, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], schema=_COUNTS)
-
-    size = 0
-    for b in batches:
-        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary())):
-            if (lang, source) not in seen:
-                seen[lang, source] = Counter(), Counter()
-            n, d = seen[lang, source]
-            before, own = len(n), set()
-            for some in words(text.as_py()):
-                n.update(some)
-                own.update(some)
-            d.update(own)
-            size += len(n) - before
-            if size >= HELD:
-                yield out()
-                size = 0
-    yield out()
+def _blocks(seen: dict[tuple[str, str], tuple[Counter, Counter]], shards: int) -> Iterator[tuple[int, bytes]]:
+    """The counts of ``seen`` by shard."""
+    groups = list(seen)
+    sizes = [len(n) for n, _ in seen.values()]
+    flat = [t for n, _ in seen.values() for t in n]
+    if not flat:
+        return
+    place = pa.array(np.repeat(np.arange(len(groups), dtype=np.int32), sizes))
+    column = lambda k: pa.DictionaryArray.from_arrays(place, pa.array([g[k] for g in groups], pa.string()))
+    numbers = lambda values: pa.array(np.fromiter(values, np.int64, len(flat)))
+    whole = pa.table({
+        "lang": column(0), "source": column(1), "term": pa.array(flat, pa.binary()).cast(pa.string()),
+        "n": numbers(x for n, _ in seen.values() for x in n.values()), "d": numbers(d[t] for n, d in seen.values() for t in n)})
+    start = np.repeat([zlib.crc32(g[0].encode()) for g in groups], sizes)
+    shard = np.fromiter(map(zlib.crc32, flat, start.tolist()), np.int64, len(flat)) % shards
+    order = np.argsort(shard, kind="stable")
+    lo, hi = runs(shard[order])
+    whole = whole.take(order)
+    for i, j in zip(lo.tolist(), hi.tolist()):
+        sink = io.BytesIO()
+        with pa.ipc.new_stream(sink, whole.schema, options=PACKED) as writer:
+            writer.write_table(whole.slice(i, j - i))
+        yield int(shard[order[i]]), sink.getvalue()
+
+
+def counted(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Partial counts as rows of BLOCKS: occurrences and documents of each group's terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(None, *g, None) for g in seen] + [(k, None, None, block) for k, block in _blocks(seen, shards)]
+            seen.clear()
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "lang", "source", "block"])
+
+        size = 0
+        for b in batches:
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary())):
+                if (lang, source) not in seen:
+                    seen[lang, source] = Counter(), Counter()
+                n, d = seen[lang, source]
+                before, own = len(n), set()
+                for some in words(text.as_py()):
+                    n.update(some)
+                    own.update(some)
+                d.update(own)
+                size += len(n) - before
+                if size >= HELD:
+                    yield out()
+                    size = 0
+        yield out()
+
+    return run
 
 
 # --- in a shard
@@ -97,8 +126,8 @@ def _do(con: duckdb.DuckDBPyConnection, sql: str) -> list[tuple]:
     return con.execute(sql).fetchall()
 
 
-def _add(con: duckdb.DuckDBPyConnection, batch: pa.RecordBatch, *inserts: str) -> None:
-    con.register("batch", pa.Table.from_batches([batch]))
+def _add(con: duckdb.DuckDBPyConnection, batch: pa.Table, *inserts: str) -> None:
+    con.register("batch", batch)
     for sql in inserts:
         _do(con, sql)
     con.unregister("batch")
@@ -115,15 +144,16 @@ FROM counts QUALIFY sum(d) OVER (PARTITION BY lang, term) >= {least}"""
 
 
 def kept(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From a shard's partial counts the counts (lang, source, term, n, first) of terms in at least ``least`` documents."""
+    """From the blocks of a task's shards the counts (lang, source, term, n, first) of terms in at least ``least`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
         _do(con, "CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, d BIGINT)")
         size = 0
-        for b in batches:
-            _add(con, b, "INSERT INTO counts SELECT lang, source, term, n, d FROM batch")
-            size += b.num_rows
+        for block in (x for b in batches for x in b.column("block")):
+            rows = pa.ipc.open_stream(block.as_buffer()).read_all()
+            _add(con, rows, "INSERT INTO counts SELECT lang, source, term, n, d FROM batch")
+            size += rows.num_rows
             if size >= FOLD:
                 _do(con, f"CREATE OR REPLACE TABLE counts AS {ADDED}")
                 size = _do(con, "SELECT count(*) FROM counts")[0][0] // 2
@@ -162,7 +192,7 @@ def compared(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         _do(con, "CREATE TABLE k (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT)")
         _do(con, "CREATE TABLE g0 (lang VARCHAR, source VARCHAR, total BIGINT, lang_total BIGINT, terms BIGINT, z BIGINT)")
         for b in batches:
-            _add(con, b, "INSERT INTO k SELECT lang, source, term, n FROM batch WHERE term IS NOT NULL", "INSERT INTO g0 SELECT lang, source, total, lang_total, terms, z FROM batch WHERE term IS NULL")
+            _add(con, pa.Table.from_batches([b]), "INSERT INTO k SELECT lang, source, term, n FROM batch WHERE term IS NOT NULL", "INSERT INTO g0 SELECT lang, source, total, lang_total, terms, z FROM batch WHERE term IS NULL")
         _do(con, "CREATE TABLE g AS SELECT DISTINCT * FROM g0")
         _do(con, FAR)
         _do(con, CELLS)
@@ -178,10 +208,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
     """(lang, source, part, item, value, rank): for each group the other sources by distance, and its most telling terms."""
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "divergence")
     texts = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = stage.put("counts", texts.mapInArrow(counted, COUNTS))
-    groups = counts.filter("term is null").select("lang", "source").distinct()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD_ROWS))
-    by_term = counts.filter("term is not null").repartition(shards, "lang", "term").mapInArrow(kept(least), "lang string, source string, term string, n long, first int")
+    # the more parts a corpus is read in, the more shards, as long as a block has some rows
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SHARDS, 4 * texts.rdd.getNumPartitions()))
+    counts = stage.put("counts", texts.mapInArrow(counted(shards), BLOCKS))
+    groups = counts.filter("block is null").select("lang", "source").distinct()
+    by_term = counts.filter("block is not null").select("shard", "block").repartition(shards, "shard").mapInArrow(kept(least), "lang string, source string, term string, n long, first int")
     terms = stage.put("kept", by_term.withColumn("shard", F.spark_partition_id()))
 
     # totals: a group's occurrences of kept terms, its language's, and how many terms its language keeps
