@@ -36,7 +36,7 @@ from .staging import Stage
 LEAST_DOCUMENTS, TOP = 3, 200
 SHARDS, HELD, STEP = 16_384, 250_000, 1 << 20
 #: Rows that DuckDB takes before it adds equal ones up, and what it may use.
-FOLD, DUCK = 1_500_000, "600MB"
+FOLD, DUCK, BLOCKS_AT_ONCE = 1_500_000, "600MB", 64
 SCALE = 1_000_000_000
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 #: A shard's partial counts of one task travel as one compressed block; a row without block names a group.
@@ -133,6 +133,16 @@ def _add(con: duckdb.DuckDBPyConnection, batch: pa.Table, *inserts: str) -> None
     con.unregister("batch")
 
 
+def _insert(con: duckdb.DuckDBPyConnection, held: list[pa.Table]) -> int:
+    """Put the rows of some blocks into the table of counts."""
+    if not held:
+        return 0
+    rows = pa.concat_tables(held)
+    held.clear()
+    _add(con, rows, "INSERT INTO counts SELECT lang, source, term, n, d FROM batch")
+    return rows.num_rows
+
+
 def _rows(con: duckdb.DuckDBPyConnection, sql: str) -> Iterator[pa.RecordBatch]:
     yield from con.sql(sql).to_arrow_reader(100_000)
 
@@ -149,14 +159,16 @@ def kept(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
         _do(con, "CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, d BIGINT)")
-        size = 0
+        size, held = 0, []
         for block in (x for b in batches for x in b.column("block")):
-            rows = pa.ipc.open_stream(block.as_buffer()).read_all()
-            _add(con, rows, "INSERT INTO counts SELECT lang, source, term, n, d FROM batch")
-            size += rows.num_rows
+            held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+            if len(held) < BLOCKS_AT_ONCE:
+                continue
+            size += _insert(con, held)
             if size >= FOLD:
                 _do(con, f"CREATE OR REPLACE TABLE counts AS {ADDED}")
                 size = _do(con, "SELECT count(*) FROM counts")[0][0] // 2
+        _insert(con, held)
         _do(con, f"CREATE OR REPLACE TABLE counts AS {ADDED}")
         yield from _rows(con, KEPT.format(least=least))
         con.close()

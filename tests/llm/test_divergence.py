@@ -54,6 +54,7 @@ def test_against_plain_counts(spark, rows, top):
 def test_counts_that_are_written_out_early_and_added_up_in_parts(monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 40)
     monkeypatch.setattr(divergence, "FOLD", 50)
+    monkeypatch.setattr(divergence, "BLOCKS_AT_ONCE", 4)
     monkeypatch.setattr(divergence, "STEP", 16)
     rows = sample()
     column = lambda k: pa.array([r[k] or "" for r in rows], pa.string())
