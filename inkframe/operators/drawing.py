@@ -6,7 +6,7 @@ executor, and any part of the set can be made alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of each symbol: largest shift of the centre (x, y), sizes, strokes' widths, largest angle, spread of the noise.
@@ -24,10 +24,10 @@ def uniform(name: str | Column, *key: Column, part: int = 0) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
-def parameters(spark: SparkSession, per_symbol: int, seed: str = "42") -> DataFrame:
-    """(symbol, number, cx, cy, size, thickness, angle, noise, shift): how each picture is drawn."""
-    rows = spark.createDataFrame([(s, dx, dy, *size, *wide, angle, noise) for s, (dx, dy, size, wide, angle, noise) in SYMBOLS.items()], "symbol string, dx int, dy int, s0 int, s1 int, t0 int, t1 int, turn double, noise double")
-    each = rows.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(per_symbol - 1))))
+def parameters(numbers: DataFrame, seed: str = "42") -> DataFrame:
+    """(symbol, number, cx, cy, size, thickness, angle, noise, shift): how a picture of each symbol is drawn for each of ``numbers`` (number)."""
+    fields = lambda s, dx, dy, size, wide, turn, noise: F.struct(*[F.lit(v).alias(k) for k, v in zip(("symbol", "dx", "dy", "s0", "s1", "t0", "t1", "turn", "noise"), (s, dx, dy, *size, *wide, turn, noise))])
+    each = numbers.select("number", F.explode(F.array(*[fields(s, *how) for s, how in SYMBOLS.items()])).alias("of")).select("number", "of.*")
     u = lambda name: uniform(name, F.lit(seed), F.col("symbol"), F.col("number"))
     whole = lambda name, lo, hi: (lo + F.floor(u(name) * (hi - lo + 1))).cast("int").alias(name)
     c = F.col

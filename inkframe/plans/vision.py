@@ -444,19 +444,24 @@ def row_reach(spark, sf_dir):
 
 # --- training pictures
 
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"))
+
+
 _U = lambda name: f"(('0x' || substr(md5('42:' || symbol || ':' || number || ':{name}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
 
 
 @query(f"""WITH s AS (SELECT unnest(['+','-','*','/','(',')']) AS symbol, unnest([2,2,2,1,1,1]) AS dx, unnest([2,1,2,1,2,2]) AS dy, unnest([10,10,10,13,14,14]) AS s0, unnest([17,17,16,18,18,18]) AS s1, unnest([3,2,2,2,2,2]) AS t1, unnest([10.0,4.0,8.0,5.0,6.0,6.0])::DOUBLE AS turn, unnest([7.0,5.0,6.0,4.0,4.0,4.0])::DOUBLE AS noise),
-e AS (SELECT *, unnest(range(200)) AS number FROM s)
+e AS (SELECT s.*, s_suppkey AS number FROM s, supplier)
 SELECT symbol, number, (14-dx+floor({_U('cx')}*(2*dx+1)))::INT AS cx, (14-dy+floor({_U('cy')}*(2*dy+1)))::INT AS cy, (s0+floor({_U('size')}*(s1-s0+1)))::INT AS size, (1+floor({_U('thickness')}*t1))::INT AS thickness, round(({_U('angle')}*2-1)*turn, 6) AS angle, noise, (-10+floor({_U('shift')}*21))::INT AS shift FROM e""")
 def drawing_parameters(spark, sf_dir):
-    return _rounded(drawing.parameters(spark, 200), "angle")
+    """A picture of each symbol for each supplier's key."""
+    return _rounded(drawing.parameters(_numbers(spark, sf_dir)), "angle")
 
 
 @query()
 def drawn_symbols(spark, sf_dir):
-    """A few pictures of each symbol, measured: share of ink, mean of ink and of ground."""
-    d = drawing.drawn(drawing.parameters(spark, 20))
+    """The pictures of ``drawing_parameters``, measured: share of ink, mean of ink and of ground."""
+    d = drawing.drawn(drawing.parameters(_numbers(spark, sf_dir)))
     ink = F.col("v") >= 128
     return d.groupBy("symbol", "number").agg(F.avg(ink.cast("double")).alias("share"), F.avg(F.when(ink, F.col("v"))).alias("light"), F.avg(F.when(~ink, F.col("v"))).alias("dark"))

@@ -220,17 +220,24 @@ def test_files_come_back(spark, tmp_path):
 
 
 def test_drawn_symbols_look_like_what_they_are(spark):
-    from inkframe.functions import shapes as S
     from inkframe.operators import drawing
 
-    pixels = drawing.drawn(drawing.parameters(spark, 12)).withColumn("glyph_id", F.expr("ascii(symbol) * 1000L + number"))
-    assert pixels.count() == 6 * 12 * 784 and pixels.exceptAll(drawing.drawn(drawing.parameters(spark, 12)).withColumn("glyph_id", F.expr("ascii(symbol) * 1000L + number"))).count() == 0
-    f = P.glyph_features(pixels.select("glyph_id", "y", "x", "v"), F.col("v") >= 128)
-    rows = f.select("glyph_id", "fill", "aspect", "left", "right", "diag_primary", "diag_secondary", S.looks_like("minus").alias("minus")).collect()
+    drawn = lambda: drawing.drawn(drawing.parameters(spark.range(40).toDF("number"))).withColumn("glyph_id", F.expr("ascii(symbol) * 1000L + number"))
+    pixels = drawn()
+    assert pixels.count() == 6 * 40 * 784 and pixels.exceptAll(drawn()).count() == 0
+    ink = F.col("v") >= 128
+    rows = P.glyph_features(pixels.select("glyph_id", "y", "x", "v"), ink).select("glyph_id", "aspect", "diag_primary", "diag_secondary").collect()
     by = {}
     for r in rows:
         by.setdefault(chr(r.glyph_id // 1000), []).append(r)
-    assert sorted(by) == sorted("+-*/()") and all(len(v) == 12 for v in by.values())
-    assert all(r.left > r.right and r.aspect < 0.7 for r in by["("]) and all(r.right > r.left and r.aspect < 0.7 for r in by[")"])
-    assert all(r.diag_secondary > r.diag_primary + 0.1 for r in by["/"]) and all(r.aspect > 2 for r in by["-"]) and all(0.6 < r.aspect < 1.6 for r in by["+"] + by["*"])
-    assert P.holes(pixels.select("glyph_id", "y", "x", "v"), F.col("v") >= 128).count() == 0
+    assert sorted(by) == sorted("+-*/()") and all(len(v) == 40 for v in by.values())
+    assert all(r.aspect < 0.7 for r in by["("] + by[")"]) and all(r.aspect > 2 for r in by["-"]) and all(0.6 < r.aspect < 1.6 for r in by["+"] + by["*"])
+    assert all(r.diag_secondary > r.diag_primary + 0.1 for r in by["/"])
+    assert P.holes(pixels.select("glyph_id", "y", "x", "v"), ink).count() == 0
+    # a parenthesis bends: its ends lie on one side of its middle, however it is turned
+    places = pixels.filter(ink).groupBy("symbol", "number").agg(F.collect_list(F.struct("y", "x")).alias("at")).filter("symbol in ('(', ')')").collect()
+    for r in places:
+        top, bottom = min(p.y for p in r["at"]), max(p.y for p in r["at"])
+        mean = lambda lo, hi: (lambda xs: sum(xs) / len(xs))([p.x for p in r["at"] if lo <= p.y <= hi])
+        bend = (mean(top, top + 1) + mean(bottom - 1, bottom)) / 2 - mean((top + bottom) // 2 - 1, (top + bottom + 1) // 2 + 1)
+        assert bend > 0.3 if r.symbol == "(" else bend < -0.3, (r.symbol, r.number, bend)
