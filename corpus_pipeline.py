@@ -19,8 +19,10 @@ LEAST_SCORE = 0.25
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: texts without letters, and those unlike all languages, go."""
     model = language_id.train(docs.filter(language_id.learned()))
-    found = language_id.predict(docs, model)
-    return found.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+    # the input may have columns of the prediction's names: all but the text get names of their own
+    own = docs.toDF(*[c if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)])
+    found = language_id.predict(own, model).filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def test_cut_labels_are_the_cheapest_of_all():
         parser = html_extract._Blocks()
         parser.feed(page)
         parser.close()
-        parser._break()
+        parser.settle()
         edges = html_extract.smoothness([b.element for _, b in parser.blocks])
         found = html_extract.labelled(page)
         gain = [g for _, g, _ in found]
@@ -378,3 +378,13 @@ def test_pipeline_stage_by_stage_against_brute_force(spark):
             at += n
         assert at <= 1024
     assert len(bins) == -(-sum(lengths) // 1024)
+
+
+def test_language_stage_hands_on_columns_of_the_predictions_names(spark):
+    import corpus_pipeline
+
+    texts = ["the quick brown fox jumps over the lazy dog and runs away", "der schnelle braune Fuchs springt über den faulen Hund und rennt", "12345 !!!"]
+    docs = spark.createDataFrame([(i, texts[i % 3], ["en", "de", "en"][i % 3], "s", 1, "q", "mine", 2.5) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, own_1 double")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.dtypes == docs.dtypes and out.count() == 40
+    assert {(r.score, r.lang_pred, r.own_1) for r in out.collect()} == {("q", "mine", 2.5)}
