@@ -76,13 +76,14 @@ def _edges() -> Column:
 
 
 def polarity(pixels: DataFrame) -> DataFrame:
-    """(glyph_id, edge_mean, bright, dark): brightness of the frame, shares of bright (180 and up) and dark (to 40) pixels."""
+    """(glyph_id, edge_mean, bright, dark, character): brightness of the frame, shares of bright (180 and up) and dark (to 40) pixels, whether it is 28 x 28."""
     w = pixels.withColumn("e", _edges())
-    return w.groupBy("glyph_id").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("edge_mean"), F.avg((F.col("v") >= 180).cast("double")).alias("bright"), F.avg((F.col("v") <= 40).cast("double")).alias("dark"))
+    return w.groupBy("glyph_id").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("edge_mean"), F.avg((F.col("v") >= 180).cast("double")).alias("bright"), F.avg((F.col("v") <= 40).cast("double")).alias("dark"), ((F.max("x") == 27) & (F.max("y") == 27)).alias("character"))
 
 
-def is_white_on_black(edge_mean: Column, bright: Column, dark: Column) -> Column:
-    return (edge_mean <= 35) & bright.between(0.02, 0.45) & (dark >= 0.45)
+def is_white_on_black(edge_mean: Column, bright: Column, dark: Column, character: Column) -> Column:
+    """Whether a picture is already a normalised character; one of another size never is."""
+    return character & (edge_mean <= 35) & bright.between(0.02, 0.45) & (dark >= 0.45)
 
 
 def is_normalized(edge_mean: Column, bright: Column, dark: Column) -> Column:
@@ -95,7 +96,7 @@ def ink_map(colours: DataFrame, whole: bool = True) -> DataFrame:
     darker of grey and of the darkest channel counts. ``whole``: the rule for whole pictures, not for single characters."""
     g = colours.withColumn("v", gray(F.col("b"), F.col("g"), F.col("r")))
     p = polarity(g)
-    light = (F.col("edge_mean") <= 35) & (F.col("bright") <= 0.45) if whole else is_white_on_black(F.col("edge_mean"), F.col("bright"), F.col("dark"))
+    light = (F.col("edge_mean") <= 35) & (F.col("bright") <= 0.45) if whole else is_white_on_black(F.col("edge_mean"), F.col("bright"), F.col("dark"), F.col("character"))
     dark = F.greatest(255 - F.col("v"), 255 - F.least("b", "g", "r"))
     return g.join(p, "glyph_id").select("glyph_id", "y", "x", F.when(light, F.col("v")).otherwise(dark).cast("int").alias("v"))
 

@@ -474,4 +474,4 @@ def case_accuracy(spark, sf_dir):
     return D.binary_eval(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("truth") == 1, F.col("pred").cast("double"))), 6).alias("recall"))
 
 
-from . import reading, records, vision  # noqa: E402, F401  register their queries
+from . import photos, reading, records, vision  # noqa: E402, F401  register their queries

@@ -48,7 +48,7 @@ def polarity_tests(spark, sf_dir):
     c = _colours(spark, sf_dir)
     p = P.polarity(c.withColumn("v", P.gray(F.col("b"), F.col("g"), F.col("r"))))
     own = [F.col(x) for x in ("edge_mean", "bright", "dark")]
-    return p.select("glyph_id", F.round("edge_mean", 6).alias("edge_mean"), P.is_white_on_black(*own).alias("light_on_dark"), P.is_normalized(*own).alias("normalized"))
+    return p.select("glyph_id", F.round("edge_mean", 6).alias("edge_mean"), P.is_white_on_black(*own, F.col("character")).alias("light_on_dark"), P.is_normalized(*own).alias("normalized"))
 
 
 @query(_COLOURS + """, s AS (SELECT glyph_id, y, x, CASE WHEN greatest(b,g,r) = 0 THEN 0 ELSE floor((greatest(b,g,r)-least(b,g,r))*255.0::DOUBLE/greatest(b,g,r)+0.5) END::INT AS sat, greatest(b,g,r)-least(b,g,r) AS spread, 255-v AS dn FROM gr),

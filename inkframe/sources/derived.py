@@ -66,6 +66,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("glyph_id", y.cast("long").alias("y"), x.cast("long").alias("x"), F.when(ink, 100 + (x * 7 + y * 11 + g) % 150).otherwise((x + y + g) % 20).cast("long").alias("v"))
 
 
+def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(glyph_id, y, x, v): ink maps of pages of some sizes for the suppliers' keys, by formula: strokes and ruled lines on uneven ground,
+    every fourth one even and faint, every seventh one a screen of dots."""
+    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
+    g, x, y = F.col("glyph_id"), F.col("x"), F.col("y")
+    grid = ids.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), 41 + g % 3 * 7))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), 59 + g % 4 * 8)))
+    stroke = (F.abs((x + g) % 23 - 9 - F.floor(y / 9)) <= 1 + g % 2) & (y > 6) & (y < 36) & ((x * 5 + y * 3 + g) % 17 != 0)
+    ruled = (y % 19 == 17) & ((x + g) % 31 != 0)
+    ground = F.when(g % 4 == 0, 12).otherwise(20 + F.floor(x * (2 + g % 3) / 2) + F.floor(y / 2)) + (x * 7 + y * 13 + g) % 6
+    v = F.when(g % 7 == 1, F.when((x % 9 == 4) & (y % 9 == 4), 255).otherwise(0)).when(stroke, ground + F.when(g % 4 == 0, 25).otherwise(90) + (x * 3 + y) % 40).when(ruled, ground + 35).otherwise(ground)
+    return grid.select("glyph_id", "y", "x", F.least(F.lit(255), v).cast("int").alias("v"))
+
+
 #: The same tables as SQL, for the queries' SQL.
 SQL = {
     "vocab": "vocab AS (SELECT unnest(['0','1','2','3','4','5','6','7','8','9','+','-','*','/','(',')']) AS char, unnest(range(16)) AS idx)",
