@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters
+from ..operators import filters, masks
 from ..sources import derived as D
 from .registry import query
 
@@ -66,3 +66,26 @@ def normalized_characters(spark, sf_dir):
 def preprocessed_characters(spark, sf_dir):
     """What a classifier gets of a character's ink map."""
     return _sums(filters.preprocessed(_characters(spark, sf_dir)))
+
+
+def _covered(runs: DataFrame) -> DataFrame:
+    """(glyph_id, y, n_runs, n_ink) of each row that has runs."""
+    return runs.groupBy("glyph_id", "y").agg(F.count("*").alias("n_runs"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n_ink"))
+
+
+@query()
+def ruled_line_runs(spark, sf_dir):
+    """Ruled lines of the pages' lighter pixels, gaps healed."""
+    return _covered(masks.ruled_lines(masks.row_runs(D.photographs(spark, sf_dir), F.col("v") >= 70)))
+
+
+@query()
+def ruled_lines_less_strokes(spark, sf_dir):
+    runs = masks.row_runs(D.photographs(spark, sf_dir), F.col("v") >= 70)
+    return _covered(masks.without_strokes(runs, masks.ruled_lines(runs)))
+
+
+@query()
+def page_grids(spark, sf_dir):
+    """Ruled lines and guides that are taken away, pixels a row."""
+    return masks.grid_lines(D.photographs(spark, sf_dir), F.col("v") >= 70).groupBy("glyph_id", "y").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
