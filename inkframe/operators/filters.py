@@ -402,7 +402,8 @@ def centred(of: Lines) -> Lines:
 
 def normalized(of: Lines) -> Lines:
     """A character's ink, cleaned, strengthened, cleaned again and centred."""
-    return centred(one_character(strengthened(one_character(of))))
+    strong = staged(strengthened(staged(one_character(of), "character")), "strong")
+    return centred(staged(one_character(strong), "character"))
 
 
 def preprocessed(of: Lines) -> Lines:
