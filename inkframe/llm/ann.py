@@ -13,14 +13,17 @@ query. A block's codes go once to each block of queries. All rows are candidates
 only fits the codebooks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
-nor do rows without an id; inner products exist between vectors of one length, so those of another length than
-most have (the larger of equally common ones) take no part either; every row is a candidate and a
-query of its own, so rows that repeat an id find each other; an empty table gives an empty result; ties
-go to the smaller id.
+nor do rows without an id; inner products exist between vectors of one length, so a row's neighbours are those of its
+length; every row is a candidate and a query of its own, so rows that repeat an id find each other; an empty table gives
+an empty result; ties go to the smaller id.
+
+The commonest length, and each with more than ``FEW`` components in all, has codebooks of its own. The vectors of a rarer
+length fit in one task, where each is compared with each query: all such lengths are one job.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,10 @@ SAMPLE = 12_000
 SHORTLIST = 200
 BLOCK, QUERY_BLOCK = 65_536, 4_096
 ROUNDS = 6
+#: Components of all vectors of a length that one task compares directly (32 MB).
+FEW = 4_000_000
+#: What a search returns.
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -99,18 +106,46 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = SHORTLIST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = SHORTLIST, block: int = BLOCK, query_block: int = QUERY_BLOCK, few: int = FEW) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that ``is_query`` picks."""
     spark = vectors.sparkSession
     stage = Stage(spark, "ann")
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     every = stage.put("vectors", good.withColumn("row", F.monotonically_increasing_id()))
-    result = "query_id long, rank int, vec_id long, score double"
-    sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()  # one row
-    if not sizes:
-        return spark.createDataFrame([], result)
-    d, n_rows = sizes[0]["d"], sizes[0]["count"]
-    base = every.filter(F.size("v") == d)
+    lengths = every.groupBy(F.size("v").alias("d")).count()
+    common = lengths.orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    if not common:
+        return spark.createDataFrame([], FOUND)
+    d = common[0]["d"]
+    many = common + lengths.filter((F.col("d") != d) & (F.col("d") * F.col("count") > few)).collect()  # one row for each FEW components of the table at most
+    found = [_coded(stage, every.filter(F.size("v") == n["d"]), n["d"], n["count"], is_query, k, shortlist, block, query_block) for n in many]
+    rest = every.filter(~F.size("v").isin([n["d"] for n in many]))
+    if not rest.isEmpty():
+        found.append(_compared(rest.select("row", "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks")), k))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _compared(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each row that asks, by products with all rows of its length."""
+
+    def nearest(of: pa.Table) -> pa.Table:
+        v, row, ids = _matrix(of.column("v"), len(of.column("v")[0])), of.column("row").to_numpy(), of.column("vec_id").to_numpy()
+        got: list[tuple] = []
+        for i in np.flatnonzero(of.column("asks").to_numpy(zero_copy_only=False)):
+            score = np.sum(v * v[i], axis=1)
+            order = np.lexsort((row, ids, -score))
+            best = order[order != i][:k]
+            got.append((np.full(len(best), ids[i]), np.arange(1, len(best) + 1), ids[best], score[best]))
+        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0)] * 4
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.table({c: pa.array(x.astype(t.to_pandas_dtype()), t) for c, x, t in zip(("query_id", "rank", "vec_id", "score"), cols, types)})
+
+    return rows.groupBy(F.size("v").alias("d")).applyInArrow(nearest, FOUND)
+
+
+def _coded(stage: Stage, base: DataFrame, d: int, n_rows: int, is_query: Column, k: int, shortlist: int, block: int, query_block: int) -> DataFrame:
+    """The search among the rows (row, vec_id, v) of length ``d`` by their codes."""
+    spark = base.sparkSession
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
     books = fit(np.array([r.v for r in sample]))
     sent = spark.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
@@ -124,8 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = S
                 yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 1024]), b.column("vec_id").slice(lo, 1024), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["row", "vec_id", "code", "ratio"])
 
     codes = base.mapInArrow(coded, "row long, vec_id long, code binary, ratio float").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
-    codes = stage.put("codes", codes)
-    queries = stage.put("queries", base.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"))
+    codes = stage.put(f"codes_{d}", codes)
+    queries = stage.put(f"queries_{d}", base.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"))
     n_query_blocks = max(1, -(-queries.count() // query_block), -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
     asked = queries.withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     # a block's codes as one row, so that sending it to each query block is one row each

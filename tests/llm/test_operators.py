@@ -300,7 +300,7 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block": 100, "query_block": 7, "shortlist": 60}])
+@pytest.mark.parametrize("blocks", [{}, {"block": 100, "query_block": 7, "shortlist": 60, "few": 100}])
 def test_nearest_neighbours(spark, blocks):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 8)).round(2)
@@ -314,6 +314,8 @@ def test_nearest_neighbours(spark, blocks):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     ids, y = np.array([i for i, _ in good]), np.array([v for _, v in good])
     hits = total = 0
+    for q in (-40, -20):  # vectors of another length: compared in one task, or by codes of their own
+        assert sorted(got.pop(q)) == [(rank, v, 3.0) for rank, v in enumerate([i for i in range(-40, 0) if i != q][:20], 1)]
     assert sorted(got) == list(range(0, 700, 20))
     for q in got:
         own = np.flatnonzero(ids == q)
@@ -329,6 +331,9 @@ def test_nearest_neighbours(spark, blocks):
     assert hits / total >= 0.97
     few = ann.search(df.filter("vec_id between 30 and 44"), F.col("vec_id") % 20 == 0, k=20)
     assert [r.rank for r in few.orderBy("rank").collect()] == list(range(1, 15))
+    lengths = df.select("vec_id", F.slice(F.array_repeat(F.lit(2.0), 8), 1, (F.abs("vec_id") % 4 + 1).cast("int")).alias("embedding")).filter("vec_id between 1 and 12")
+    got = {(r.query_id, r.vec_id, r.score) for r in ann.search(lengths.dropDuplicates(["vec_id"]), F.col("vec_id") > 8).collect()}
+    assert got == {(q, v, 4.0 * (q % 4 + 1)) for q in range(9, 13) for v in range(1, 13) if v != q and v % 4 == q % 4}
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
