@@ -196,24 +196,26 @@ def shrunk(of: Lines, to: Column, *keep: str) -> Lines:
     return of.withColumn("vs", whole(F.transform("vs", lambda v: v.cast("double")), to)).select("glyph_id", "y", *keep, "vs")
 
 
-def _stretched(vs: Column, to: Column) -> Column:
-    """For each of ``to`` pixels (first, second, weights in 2048ths of both): the pixels to take it from."""
+def _stretched(vs: Column, to: Column, by_area: bool) -> Column:
+    """For each of ``to`` pixels (first, second, weights in 2048ths of both): the pixels to take it from. ``by_area``: the first one
+    alone as long as it covers the pixel."""
     def place(n, j):
-        f = (j + 0.5) * n / to - 0.5
+        f = j * n / to if by_area else (j + 0.5) * n / to - 0.5
         i = F.floor(f).cast("int")
         inside = (i >= 0) & (i < n - 1)
-        part = F.when(inside, f - i).otherwise(0.0)
+        over = F.greatest(F.lit(0.0), (j + 1) - (i + 1) * to / n)
+        part = F.when(inside, over - F.floor(over) if by_area else f - i).otherwise(0.0)
         at = _clamped(n, i)
         return F.struct(at.alias("a"), F.least(n - 1, at + 1).alias("b"), F.bround((1 - part) * 2048).cast("int").alias("wa"), F.bround(part * 2048).cast("int").alias("wb"))
     return let([vs], lambda v: F.transform(F.sequence(F.lit(0), to - 1), lambda j: place(F.size(v), j)))
 
 
-def stretched(of: Lines, w: Column, h: Column, *keep: str) -> Lines:
+def stretched(of: Lines, w: Column, h: Column, *keep: str, by_area: bool = False) -> Lines:
     """Pictures resampled to w x h from the two nearest pixels along each axis, in 2048ths."""
-    along = let([F.col("vs"), _stretched(F.col("vs"), w)], lambda v, places: F.transform(places, lambda p: _at(v, p["a"]) * p["wa"] + _at(v, p["b"]) * p["wb"]))
+    along = let([F.col("vs"), _stretched(F.col("vs"), w, by_area)], lambda v, places: F.transform(places, lambda p: _at(v, p["a"]) * p["wa"] + _at(v, p["b"]) * p["wb"]))
     up = turned(of.withColumn("vs", along), *keep)
     part = lambda s, weight: F.shiftright(weight * F.shiftright(s, 4), 16)
-    down = let([F.col("vs"), _stretched(F.col("vs"), h)], lambda v, places: F.transform(places, lambda p: F.shiftright(part(_at(v, p["a"]), p["wa"]) + part(_at(v, p["b"]), p["wb"]) + 2, 2)))
+    down = let([F.col("vs"), _stretched(F.col("vs"), h, by_area)], lambda v, places: F.transform(places, lambda p: F.shiftright(part(_at(v, p["a"]), p["wa"]) + part(_at(v, p["b"]), p["wb"]) + 2, 2)))
     return turned(up.withColumn("vs", down), *keep)
 
 

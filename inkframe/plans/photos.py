@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters, masks
+from ..operators import augment, filters, masks
+from ..operators import metrics as M
 from ..sources import derived as D
 from .registry import query
 
 
-def _sums(of: DataFrame) -> DataFrame:
-    """(glyph_id, y, n_light, total): pixels above 0, and the sum of each pixel times its place."""
+def _sums(of: DataFrame, *key: str) -> DataFrame:
+    """(*key, y, n_light, total), the key glyph_id unless given: pixels above 0, and the sum of each pixel times its place."""
     weighted = F.aggregate(F.transform("vs", lambda v, x: (v * (x + 1)).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
-    return of.select("glyph_id", "y", F.size(F.filter("vs", lambda v: v > 0)).alias("n_light"), weighted.alias("total"))
+    return of.select(*(key or ("glyph_id",)), "y", F.size(F.filter("vs", lambda v: v > 0)).alias("n_light"), weighted.alias("total"))
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -89,3 +90,11 @@ def ruled_lines_less_strokes(spark, sf_dir):
 def page_grids(spark, sf_dir):
     """Ruled lines and guides that are taken away, pixels a row."""
     return masks.grid_lines(D.photographs(spark, sf_dir), F.col("v") >= 70).groupBy("glyph_id", "y").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+
+
+@query()
+def training_pictures(spark, sf_dir):
+    """A training set's pictures of the suppliers' characters, those of target, corrected and hard rows augmented: checksums of their lines."""
+    rows = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), D.vocabulary_at(F.col("s_suppkey") % 16).alias("label"))
+    found = augment.training_pictures(M.training_rows(rows, rows.filter("id % 3 = 0"), rows.filter("id % 5 = 0")), _characters(spark, sf_dir))
+    return _sums(found, "part", "id", "copy")

@@ -161,12 +161,15 @@ def by_area(a, w, h):
     return half_even(weights(a.shape[0], h) @ a @ weights(a.shape[1], w).T)
 
 
-def by_neighbours(a, w, h):
+def by_neighbours(a, w, h, by_area=False):
     def places(n, to):
         for j in range(to):
             f = (j + 0.5) * n / to - 0.5
             i = math.floor(f)
             part = f - i
+            if by_area:
+                i = j * n // to
+                part = max(0.0, (j + 1) - (i + 1) * to / n) % 1.0
             if i < 0 or i >= n - 1:
                 i, part = (0 if i < 0 else n - 1), 0.0
             yield i, min(n - 1, i + 1), round((1 - part) * 2048), round(part * 2048)
@@ -293,3 +296,45 @@ def normalized(a):
 
 def preprocessed(a):
     return centred(character_ink(a))
+
+
+def warped(a, m):
+    """From the four pixels around each place that the matrix m of the way back names, in 32nds."""
+    h, w = a.shape
+    p = np.pad(a, 1)
+    out = np.zeros_like(a)
+    for y in range(h):
+        for x in range(w):
+            i = (int(np.rint(m[0] * x * 1024)) + int(np.rint((m[1] * y + m[2]) * 1024)) + 16) >> 5
+            j = (int(np.rint(m[3] * x * 1024)) + int(np.rint((m[4] * y + m[5]) * 1024)) + 16) >> 5
+            u, v, r, b = i >> 5, j >> 5, i & 31, j & 31
+            if -1 <= u < w and -1 <= v < h:
+                q = p[v + 1 : v + 3, u + 1 : u + 3]
+                out[y, x] = (q[0, 0] * (32 - r) * (32 - b) + q[0, 1] * r * (32 - b) + q[1, 0] * (32 - r) * b + q[1, 1] * r * b + 512) >> 10
+    return out
+
+
+def softened(a):
+    p = np.pad(a, 1, mode="reflect")
+    k = np.array([27, 202, 27])
+    h, w = a.shape
+    return (sum(p[j : j + h, i : i + w] * k[j] * k[i] for j in range(3) for i in range(3)) + 32768) >> 16
+
+
+def fitted(a):
+    canvas = np.zeros((28, 28), int)
+    if not a.any():
+        return canvas
+    ys, xs = np.nonzero(a)
+    crop = a[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+    h, w = crop.shape
+    scale = min(20 / h, 20 / w)
+    nw, nh = max(1, round(w * scale)), max(1, round(h * scale))
+    y, x = (28 - nh) // 2, (28 - nw) // 2
+    canvas[y : y + nh, x : x + nw] = by_neighbours(crop, nw, nh, by_area=True) if scale > 1 else by_area(crop, nw, nh)
+    return canvas
+
+
+def lesser_shade(a):
+    ink = 255 - above_otsu(blur(a, 3))
+    return 255 - ink if np.count_nonzero(ink) > ink.size // 2 else ink
