@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import augment, filters, masks
+from ..operators import augment, filters, masks, splitting
 from ..operators import metrics as M
 from ..sources import derived as D
 from .registry import query
@@ -98,3 +98,25 @@ def training_pictures(spark, sf_dir):
     rows = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), D.vocabulary_at(F.col("s_suppkey") % 16).alias("label"))
     found = augment.training_pictures(M.training_rows(rows, rows.filter("id % 3 = 0"), rows.filter("id % 5 = 0")), _characters(spark, sf_dir))
     return _sums(found, "part", "id", "copy")
+
+
+#: From here on a page's pixel is a stroke's.
+STROKE = 100
+
+
+def wide_boxes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages (image_id, y, x, v) and boxes (image_id, glyph_id, x, y, w, h) on them: five narrow ones and two that hold several strokes."""
+    pages = D.photographs(spark, sf_dir).withColumnRenamed("glyph_id", "image_id")
+    g, k = F.col("image_id"), F.col("k")
+    boxes = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    wide = k >= 5
+    return pages, boxes.select(
+        "image_id", (g * 7 + k).alias("glyph_id"), F.when(wide, (k - 5) * 3 + g % 5).otherwise(9 * k + g % 7).alias("x"), (4 + (g + k) % 5).alias("y"),
+        F.when(wide, 24 + g * 5 % 32).otherwise(8 + (g + k) % 4).alias("w"), (16 + (g * 3 + k) % 12).alias("h"))
+
+
+@query()
+def recursive_splits(spark, sf_dir):
+    """Wide boxes of the pages cut at valleys, by parts or evenly, until none is wide."""
+    pages, boxes = wide_boxes(spark, sf_dir)
+    return splitting.split_boxes(pages, F.col("v") >= STROKE, boxes)
