@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
+from ..operators import halves
 from ..operators import refinement as R
 from ..sources import derived as D
 from .registry import query
@@ -135,3 +136,26 @@ def refined_lines(spark, sf_dir):
     items = _items(spark, sf_dir).select("image_id", F.col("g").alias("item"))
     lines = R.refine_images(items)
     return lines.select("image_id", "line", F.array_join(F.transform("items", lambda g: g["char"]), "").alias("expression"), "numeric", "score", F.size(F.filter("items", lambda g: g["adjusted"])).alias("n_adjusted"))
+
+
+def halves_and_pictures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Glyphs (image_id, place, x, y, w, h), closer to one another than in other queries, and their pictures (image_id, place, y, x, v) of other
+    sizes than their boxes: rings, halves of rings to both sides, strokes with a bar, and every thirteenth one empty."""
+    k = F.col("glyph_id")
+    g = _glyphs(spark, sf_dir).select("image_id", k.cast("int").alias("place"), (k * 37 % 150).alias("x"), "y", (4 + k * 13 % 24).alias("w"), (12 + k * 17 % 50).alias("h"))
+    c, pw, ph = F.col("place"), 5 + F.col("place") % 6, 7 + F.col("place") % 7
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    dots = g.select("image_id", "place", pw.alias("pw"), ph.alias("ph"), F.explode(every(ph)).alias("y")).withColumn("x", F.explode(every(F.col("pw"))))
+    u, v, kind = F.col("x"), F.col("y"), c % 4
+    rim = (v == 1) | (v == F.col("ph") - 1)
+    left, right = (kind != 1) & (u == 0), (kind != 0) & (u == F.col("pw") - 1)
+    ink = F.when(kind == 3, (u == F.floor(F.col("pw") / 2)) | (v == 3)).otherwise((v >= 1) & (rim | left | right)) & (c % 13 != 0)
+    return g, dots.select("image_id", "place", "y", "x", F.when(ink, 255).otherwise(0).alias("v"))
+
+
+@query()
+def pasted_halves(spark, sf_dir):
+    """Glyphs that may be halves of one digit: the digit that both make up as one picture, and its measures."""
+    glyphs, pictures = halves_and_pictures(spark, sf_dir)
+    f = F.col("f")
+    return halves.together(glyphs, pictures).select("image_id", "left", "right", R.pair_char(f).alias("char"), *[F.round(f[m], 6).alias(m) for m in ("holes", "aspect", "fill", "center", "center_col", "diag_primary", "diag_secondary")])
