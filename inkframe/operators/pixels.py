@@ -155,6 +155,33 @@ def holes(pixels: DataFrame, ink: Column) -> DataFrame:
     return free.filter("x > 0 and y > 0 and x + w - 1 < mx and y + h - 1 < my").select("glyph_id", "part", "x", "y", "area")
 
 
+# Fixed value: least area of a part or a hole that is counted.
+COUNTED = 6
+
+
+def part_counts(pixels: DataFrame, ink: Column) -> DataFrame:
+    """(glyph_id, n_parts) of every picture: parts of six pixels or more."""
+    n = parts_of(pixels, ink).groupBy("glyph_id").agg(F.count_if(F.col("area") >= COUNTED).alias("n_parts"))
+    return pixels.select("glyph_id").distinct().join(n, "glyph_id", "left").select("glyph_id", F.coalesce("n_parts", F.lit(0)).alias("n_parts"))
+
+
+def hole_counts(pixels: DataFrame, ink: Column) -> DataFrame:
+    """(glyph_id, n_holes) of every picture: holes that an outline through the ink around them gives an area of six or more.
+
+    That outline has the hole's pixels inside and the ink beside them on it, so its area is inside + outline / 2 - 1. Ink within a
+    hole counts as outline; a hole that has any is larger than six."""
+    size = pixels.groupBy("glyph_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    runs = labelled_runs(row_runs(pixels, ~ink), corners=False)
+    inner = runs.groupBy("glyph_id", "part").agg(F.min("x0").alias("x"), F.max("x1").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    inner = inner.join(size, "glyph_id").filter("x > 0 and t > 0 and r < mx and b < my").select("glyph_id", "part", "area")
+    dots = runs.join(inner, ["glyph_id", "part"]).select("glyph_id", "part", "area", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    steps = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    around = dots.select("glyph_id", "part", "area", steps.alias("p")).select("glyph_id", "part", "area", "p.*").distinct()
+    beside = around.join(dots.drop("area"), ["glyph_id", "part", "y", "x"], "left_anti").groupBy("glyph_id", "part", "area").agg(F.count("*").alias("beside"))
+    n = beside.groupBy("glyph_id").agg(F.count_if(F.col("area") + F.col("beside") / 2 - 1 >= COUNTED).alias("n_holes"))
+    return size.select("glyph_id").join(n, "glyph_id", "left").select("glyph_id", F.coalesce("n_holes", F.lit(0)).alias("n_holes"))
+
+
 def without_specks(parts: DataFrame, least: int) -> DataFrame:
     """Parts of some area; where a picture has none, its largest, the first of equals."""
     w = parts.withColumns({"k": F.row_number().over(_picture().orderBy(F.desc("area"), "part")), "any": F.max(F.col("area") >= least).over(_picture())})

@@ -241,3 +241,14 @@ def test_drawn_symbols_look_like_what_they_are(spark):
         mean = lambda lo, hi: (lambda xs: sum(xs) / len(xs))([p.x for p in r["at"] if lo <= p.y <= hi])
         bend = (mean(top, top + 1) + mean(bottom - 1, bottom)) / 2 - mean((top + bottom) // 2 - 1, (top + bottom + 1) // 2 + 1)
         assert bend > 0.3 if r.symbol == "(" else bend < -0.3, (r.symbol, r.number, bend)
+
+
+def test_only_holes_and_parts_of_some_area_count(spark):
+    """Outlines of holes by their ink: one pixel 2, two 4, three in a row 6, four in a square 7, eight around an island more."""
+    pictures = {1: ["#####", "#.###", "#####"], 2: ["######", "#..###", "######"], 3: ["#####", "#...#", "#####"], 4: ["####", "#..#", "#..#", "####"], 5: ["#####", "#...#", "#.#.#", "#...#", "#####"], 6: ["#####", "#...."], 7: ["....", "...."], 8: ["####", "#.##", "##.#", "####"]}
+    rows = [(k, y, x, int(c == "#")) for k, a in pictures.items() for y, line in enumerate(a) for x, c in enumerate(line)]
+    df = spark.createDataFrame(rows, "glyph_id long, y long, x long, v int")
+    ink = F.col("v") == 1
+    assert {r.glyph_id: r.n_holes for r in P.hole_counts(df, ink).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0, 8: 0}
+    assert {r.glyph_id: r.n_parts for r in P.part_counts(df, ink).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, 8: 1}
+    assert {r.glyph_id: r.n_parts for r in P.part_counts(df, ~ink).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1, 8: 0}
