@@ -118,13 +118,13 @@ def part_counts(spark, sf_dir):
     return P.part_counts(D.pixels(spark, sf_dir), F.col("v") % 5 == 0)
 
 
-@query(_REC + _reach("v % 5 < 2", _FOUR) + """, near AS (SELECT DISTINCT r.g, r.root, r.y+dy AS y, r.x+dx AS x FROM rooted r, (VALUES (0,1),(0,-1),(1,0),(-1,0)) AS d(dy, dx)),
+@query(_REC + _reach("v % 16 < 8", _FOUR) + """, near AS (SELECT DISTINCT r.g, r.root, r.y+dy AS y, r.x+dx AS x FROM rooted r, (VALUES (0,1),(0,-1),(1,0),(-1,0)) AS d(dy, dx)),
 beside AS (SELECT n.g AS glyph_id, n.root, count(*) AS beside FROM near n ANTI JOIN rooted r ON r.g = n.g AND r.root = n.root AND r.y = n.y AND r.x = n.x GROUP BY ALL),
 hole AS (SELECT glyph_id, area + beside/2.0 - 1 AS whole FROM part JOIN beside USING (glyph_id, root) WHERE x > 0 AND y > 0 AND x+w-1 < 27 AND y+h-1 < 27)
 SELECT s_suppkey AS glyph_id, count(*) FILTER (whole >= 6) AS n_holes FROM supplier LEFT JOIN hole ON glyph_id = s_suppkey GROUP BY ALL""")
 def hole_counts(spark, sf_dir):
     """Holes with an outline of area six or more in a net of ink."""
-    return P.hole_counts(D.pixels(spark, sf_dir), F.col("v") % 5 >= 2)
+    return P.hole_counts(D.pixels(spark, sf_dir), F.col("v") % 16 >= 8)
 
 
 @query(_PX + """, b AS (SELECT glyph_id, count(*) FILTER (i) AS n, count(*) AS size, sum(e) FILTER (i)/sum(e)::DOUBLE AS edge, (max(x) FILTER (i)-min(x) FILTER (i)+1)*(max(y) FILTER (i)-min(y) FILTER (i)+1) AS box FROM (SELECT *, v >= 128 AS i, (y=0)::INT+(y=27)::INT+(x=0)::INT+(x=27)::INT AS e FROM pixels) GROUP BY glyph_id)
