@@ -175,8 +175,10 @@ def training_rows(base: DataFrame, corrected: DataFrame, hard: DataFrame, seed:
     return placed_by_hash(every, ["part", "id", "copy"], seed)
 
 
-def placed_by_hash(rows: DataFrame, key: Sequence[str], seed: str, digits: int = 2) -> DataFrame:
-    """``rows`` with place, counted from 0 in the order of a hash of the seed and the key."""
+def placed_by_hash(rows: DataFrame, key: Sequence[str], seed: str, digits: int = 4) -> DataFrame:
+    """``rows`` with place, counted from 0 in the order of a hash of the seed and the key.
+
+    The hash's first ``digits`` make ranges: 65,536 by four, of 15 million rows each where there are a trillion. One task adds up the ranges' sizes."""
     keyed = rows.withColumn("key_", F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key]))).withColumn("range_", F.substring("key_", 1, digits))
     sizes = keyed.groupBy("range_").agg(F.count("*").alias("n_"))
     before = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")

@@ -58,7 +58,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(glyph_id, y, x, v): 28 x 28 pictures of the glyphs whose order key ends in 00, by formula."""
+    """(glyph_id, y, x, v): 28 x 28 pictures for the suppliers' keys, by formula."""
     ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
     grid = ids.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(783))))
     y, x, g = F.floor(F.col("p") / 28), F.col("p") % 28, F.col("glyph_id")
