@@ -371,11 +371,12 @@ def distinct_regions(regions: DataFrame, least_area: int = 64) -> DataFrame:
     return big.groupBy("image_id", "x0", "y0", "x1", "y1").agg(F.min("ord").alias("ord"))
 
 
-def merged_regions(regions: DataFrame, width: int, height: int) -> DataFrame:
+def merged_regions(regions: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
     """Regions in sorted order, each joined to the last one if they are near in both directions; a fold an image."""
-    px, py = max(10, int(width * 0.02)), max(10, int(height * 0.02))
+    pad = lambda side: F.first(F.greatest(F.lit(10), F.floor((side if isinstance(side, Column) else F.lit(side)) * 0.02)))
     names = ("x0", "y0", "x1", "y1")
-    g = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in names]))).alias("r"))
+    g = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in names]))).alias("r"), pad(width).alias("px"), pad(height).alias("py"))
+    px, py = F.col("px"), F.col("py")
 
     def step(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))

@@ -110,14 +110,16 @@ def inside(runs: Runs, some: DataFrame) -> Runs:
     return merged(j.withColumns({"x0": F.greatest("x0", "bx").cast("int"), "x1": F.least(F.col("x1"), F.col("bx") + F.col("bw") - 1).cast("int")}).select(*runs.columns))
 
 
-def _least(pair: tuple[int, float], last: str) -> Column:
+def _least(pair: tuple[int, Column | float], last: str) -> Column:
     return F.greatest(F.lit(pair[0]), F.bround((F.col(last) + 1) * pair[1]).cast("int"))
 
 
-def ruled_lines(runs: Runs, lower: bool = False) -> Runs:
-    """Runs of horizontal lines whose gaps are healed; a high one gives the rows around its fullest row. ``lower``: only those of the lower part of the picture."""
+def ruled_lines(runs: Runs, lower: bool = False, span: Column | float = RULED["span"][1], gap: float = RULED["gap"][1], height: float = RULED["height"][1]) -> Runs:
+    """Runs of horizontal lines whose gaps are healed; a high one gives the rows around its fullest row. ``lower``: only those of the lower part of the picture.
+
+    span, gap, height: parts of the picture's width and height."""
     r = RULED
-    span, gap, most = _least(r["span"], "mx"), _least(r["gap"], "mx"), _least(r["height"], "my")
+    span, gap, most = _least((r["span"][0], span), "mx"), _least((r["gap"][0], gap), "mx"), _least((r["height"][0], height), "my")
     big = runs.filter((F.col("my") + 1 >= r["frame"][0]) & (F.col("mx") + 1 >= r["frame"][1]))
     seed = staged(closed(opened(closed(big, gap), span), F.greatest(F.lit(3), F.floor(gap / 2).cast("int"))), "seed")
     found = boxes(seed).filter(F.col("bw") >= span)

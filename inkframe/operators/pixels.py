@@ -1,13 +1,16 @@
 """Pictures as pixel rows (glyph_id, y, x, v): ink, projections, boxes, densities, thresholds, components, features.
 
 A picture is a group; what looks at a picture's neighbours in a row or column is a window, and
-connected components are a fold over its runs of ink, so nothing leaves the JVM.
+connected components are a fold over its runs of ink, so that small pictures don't leave the JVM.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import let
 
@@ -124,10 +127,54 @@ def row_runs(pixels: DataFrame, ink: Column) -> DataFrame:
     return pixels.filter(ink).withColumn("isle", F.col("x") - F.row_number().over(order)).groupBy("glyph_id", "y", "isle").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("isle")
 
 
+#: Pictures of more runs have their parts found by numpy: the fold copies what it has for each run.
+FOLDED = 300
+
+
 def labelled_runs(runs: DataFrame, corners: bool = True) -> DataFrame:
-    """Runs with part: what hangs together in a picture, over ``corners`` too. Numbered by the part's first run."""
-    g = runs.groupBy("glyph_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]))).alias("r"))
-    reach = 1 if corners else 0
+    """Runs with part: what hangs together in a picture, over ``corners`` too. Numbered by the part's first run.
+
+    Pictures of up to ``FOLDED`` runs are a fold in the JVM. Runs of larger ones are grouped by picture, whose parts cost little more than sorting them:
+    a task then holds one picture's runs, some sixty bytes each. Runs of one row don't overlap."""
+    own = runs.select("glyph_id", *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]).withColumn("n", F.count("*").over(_picture()))
+    return _folded(own.filter(F.col("n") <= FOLDED), int(corners)).unionByName(_grouped(own.filter(F.col("n") > FOLDED).drop("n"), int(corners)))
+
+
+def hanging_together(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """Of runs in the order of rows and places, the place of the first run of each one's part.
+
+    Runs that meet in the next row are a stretch of the order. The first runs of two parts that meet are hung to the lesser one, all at once, until none do."""
+    n, low = len(y), int(x0.min())
+    wide = int(x1.max()) - low + reach + 2
+    start, end = (y.astype(np.int64) * wide + x.astype(np.int64) - low for x in (x0, x1))
+    first, after = np.searchsorted(end, start + wide - reach), np.searchsorted(start, end + wide + reach, side="right")
+    count = np.maximum(after - first, 0)
+    u = np.repeat(np.arange(n), count)
+    v = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(u))
+    part = np.arange(n)
+    while True:
+        a, b = part[u], part[v]
+        apart = a != b
+        if not apart.any():
+            return part
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(part, np.maximum(a, b), np.minimum(a, b))
+        while (part[part] != part).any():
+            part = part[part]
+
+
+def _grouped(runs: DataFrame, reach: int) -> DataFrame:
+    def found(t: pa.Table) -> pa.Table:
+        y, x0, x1 = (t.column(c).to_numpy() for c in ("y", "x0", "x1"))
+        order = np.lexsort((x0, y))
+        part = hanging_together(y[order], x0[order], x1[order], reach)
+        return t.take(pa.array(order)).append_column("part", pa.array(part, pa.int32()))
+
+    return runs.groupBy("glyph_id").applyInArrow(found, T.StructType([*runs.schema.fields, T.StructField("part", T.IntegerType())]))
+
+
+def _folded(runs: DataFrame, reach: int) -> DataFrame:
+    g = runs.groupBy("glyph_id").agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("r"))
 
     def step(acc: Column, r: Column) -> Column:
         meets = F.filter(acc, lambda a: (a["y"] == r["y"] - 1) & (a["x0"] <= r["x1"] + reach) & (a["x1"] >= r["x0"] - reach))

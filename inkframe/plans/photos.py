@@ -1,11 +1,12 @@
-"""Queries over pages and characters that are filtered whole: a checksum for each line of pixels. No SQL; tests hold every pixel against plain numpy."""
+"""Queries over pages and characters that are filtered whole: a checksum for each line of pixels. No SQL but for ``density_bands``; tests hold
+every pixel, box and region against plain numpy."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import augment, filters, masks, splitting
+from ..operators import augment, filters, masks, regions, splitting
 from ..operators import metrics as M
 from ..sources import derived as D
 from .registry import query
@@ -120,3 +121,43 @@ def recursive_splits(spark, sf_dir):
     """Wide boxes of the pages cut at valleys, by parts or evenly, until none is wide."""
     pages, boxes = wide_boxes(spark, sf_dir)
     return splitting.split_boxes(pages, F.col("v") >= STROKE, boxes)
+
+
+def _underlined(spark, sf_dir) -> tuple[DataFrame, Column]:
+    return D.underlined(spark, sf_dir).withColumnRenamed("glyph_id", "image_id"), F.col("v") >= STROKE
+
+
+@query()
+def component_boxes(spark, sf_dir):
+    """Boxes of what hangs together on underlined pages."""
+    return regions.components(*_underlined(spark, sf_dir))
+
+
+@query()
+def blobs_on_lines(spark, sf_dir):
+    """What wide blobs of those pages hold when their line is taken away."""
+    return regions.blobs_on_lines(*_underlined(spark, sf_dir))
+
+
+@query()
+def components_with_blobs(spark, sf_dir):
+    return regions.components_with_blobs(*_underlined(spark, sf_dir))
+
+
+@query(D.with_("underlined") + """, rows_ AS (SELECT glyph_id AS image_id, y, count(*) FILTER (v >= 100) AS n FROM underlined GROUP BY ALL),
+sized AS (SELECT image_id, count(*) AS height, greatest(9, count(*)//40*2+1) AS kernel FROM rows_ GROUP BY image_id),
+smooth AS (SELECT a.image_id, a.y, height, sum(b.n) AS s FROM rows_ a JOIN sized USING (image_id) JOIN rows_ b ON b.image_id = a.image_id AND abs(b.y-a.y) <= kernel//2 GROUP BY ALL),
+cut AS (SELECT *, greatest((sum(s) OVER p+sqrt((height*sum(s*s) OVER p-sum(s) OVER p*sum(s) OVER p)::DOUBLE)*0.35::DOUBLE)/height, max(s) OVER p*0.22::DOUBLE) AS cutoff FROM smooth WINDOW p AS (PARTITION BY image_id)),
+isle AS (SELECT *, y-row_number() OVER (PARTITION BY image_id ORDER BY y) AS isle FROM cut WHERE s >= cutoff),
+runs AS (SELECT image_id, isle, min(y) AS y0, max(y)+1 AS y1, first(height) AS height FROM isle GROUP BY ALL)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY y0) AS k, y0, y1, height FROM runs WHERE y1 = height OR y1-y0 >= greatest(20, floor(height*0.04))""")
+def density_bands(spark, sf_dir):
+    """Dense stretches of rows of underlined pages."""
+    pages, ink = _underlined(spark, sf_dir)
+    return regions.density_bands(pages.withColumn("i", ink))
+
+
+@query()
+def proposed_regions(spark, sf_dir):
+    """Regions of underlined pages that may hold an expression, in the order they are tried."""
+    return regions.proposed_regions(*_underlined(spark, sf_dir))

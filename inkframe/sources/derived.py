@@ -79,6 +79,26 @@ def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("glyph_id", "y", "x", F.least(F.lit(255), v).cast("int").alias("v"))
 
 
+def underlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(glyph_id, y, x, v): lines of characters on pages of some sizes for the suppliers' keys, by formula: rings, strokes and bars over an underline that
+    touches them, lies apart, crosses the whole page or is absent, some joined to the next one, a second line on high pages, every eleventh page empty."""
+    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
+    g, x, y = F.col("glyph_id"), F.col("x"), F.col("y")
+    grid = ids.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), 47 + g % 3 * 26))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), 119 + g % 5 * 20)))
+    row, cell, u = F.floor(y / 46), F.floor(x / 18), x % 18
+    t, wide = y % 46, 6 + (g + cell) % 4
+    top, base = 6 + (cell * 5 + g) % 5, 32
+    low = base - F.when(g % 4 == 1, 4).otherwise(0)
+    body = (u >= 4) & (u < 4 + wide) & (t >= top) & (t < low)
+    ring = body & ((u < 6) | (u >= 2 + wide) | (t < top + 2) | ((t >= low - 5) & (t < low - 3)))
+    shape = F.when(cell % 3 == 0, ring).when(cell % 3 == 1, body & (u >= 6) & (u < 10)).otherwise(body & ((t < top + 4) | (u >= 1 + wide)))
+    bridge = ((cell + g) % 5 == 0) & (u >= 8) & (t >= top + 6) & (t < top + 8)
+    line = (g % 4 != 3) & (((t == base) & ((x + g) % 37 != 0)) | (t == base + 1)) & F.when(g % 4 == 2, F.lit(True)).otherwise((x >= 8) & (x < 100 + g % 5 * 20))
+    speck = (x * 31 + y * 17 + g * 7) % 997 == 0
+    ink = (g % 11 != 5) & (((row == 0) | (g % 3 == 2)) & (shape | bridge | line) & (x < 112 + g % 5 * 20) | ((row == 0) & line) | speck)
+    return grid.select("glyph_id", "y", "x", F.when(ink, 160 + (x * 7 + y * 11 + g) % 90).otherwise((x + y + g) % 20).cast("int").alias("v"))
+
+
 #: The same tables as SQL, for the queries' SQL.
 SQL = {
     "vocab": "vocab AS (SELECT unnest(['0','1','2','3','4','5','6','7','8','9','+','-','*','/','(',')']) AS char, unnest(range(16)) AS idx)",
@@ -95,6 +115,12 @@ SQL = {
     "pixels": """pixels AS (SELECT s_suppkey AS glyph_id, p//28 AS y, p%28 AS x,
   CASE WHEN abs(p%28-14) <= 2+s_suppkey%5 AND p//28 >= 3+s_suppkey%4 AND p//28 <= 24-s_suppkey%3 THEN 100+((p%28)*7+(p//28)*11+s_suppkey)%150 ELSE (p%28+p//28+s_suppkey)%20 END AS v
   FROM supplier, (SELECT unnest(range(784)) AS p))""",
+    "underlined": """grid AS (SELECT s_suppkey AS g, y, x, y//46 AS rw, y%46 AS t, x//18 AS cell, x%18 AS u FROM supplier, range(100) r(y), range(200) c(x) WHERE y <= 47+s_suppkey%3*26 AND x <= 119+s_suppkey%5*20),
+cells AS (SELECT *, 6+(g+cell)%4 AS wide, 6+(cell*5+g)%5 AS top, 32 AS base, 32-CASE WHEN g%4 = 1 THEN 4 ELSE 0 END AS low FROM grid),
+bodies AS (SELECT *, u >= 4 AND u < 4+wide AND t >= top AND t < low AS body, g%4 != 3 AND ((t = base AND (x+g)%37 != 0) OR t = base+1) AND (g%4 = 2 OR (x >= 8 AND x < 100+g%5*20)) AS line FROM cells),
+shapes AS (SELECT *, body AND CASE cell%3 WHEN 0 THEN u < 6 OR u >= 2+wide OR t < top+2 OR (t >= low-5 AND t < low-3) WHEN 1 THEN u >= 6 AND u < 10 ELSE t < top+4 OR u >= 1+wide END AS shape,
+  (cell+g)%5 = 0 AND u >= 8 AND t >= top+6 AND t < top+8 AS bridge, (x*31+y*17+g*7)%997 = 0 AS speck FROM bodies),
+underlined AS (SELECT g AS glyph_id, y, x, CASE WHEN g%11 != 5 AND (((rw = 0 OR g%3 = 2) AND (shape OR bridge OR line) AND x < 112+g%5*20) OR (rw = 0 AND line) OR speck) THEN 160+(x*7+y*11+g)%90 ELSE (x+y+g)%20 END AS v FROM shapes)""",
 }
 
 

@@ -15,12 +15,12 @@ def boxes(a):
         yield min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1
 
 
-def ruled(a, lower=False):
+def ruled(a, lower=False, parts=(0.28, 0.05, 0.10)):
     h, w = a.shape
     mask = np.zeros_like(a)
     if h < 4 or w < 16:
         return mask
-    span, gap, most = max(24, round(w * 0.28)), max(5, round(w * 0.05)), max(4, round(h * 0.10))
+    span, gap, most = max(24, round(w * parts[0])), max(5, round(w * parts[1])), max(4, round(h * parts[2]))
     seed = plain.closing(plain.opening(plain.closing(a, plain.box(gap, 1)), plain.box(span, 1)), plain.box(max(3, gap // 2), 1))
     for x, y, u, v in boxes(seed):
         if u < span or (lower and y + v / 2 < h * 0.4):
