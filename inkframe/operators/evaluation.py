@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import expressions as X
+from . import halves
+from . import refinement as R
 
 
 def length_status(wanted: Column, got: Column) -> Column:
@@ -79,6 +81,17 @@ def replayed(cases: DataFrame, records: DataFrame) -> DataFrame:
     return own.withColumns({"expr_match": same("pred_expr", "expected_expression"), "result_match": same("pred_result", "expected_result")}).drop("known", "unfit")
 
 
+def replayed_glyphs(cases: DataFrame, glyphs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
+    """``replayed`` of records whose raw glyphs (analysis_id, item) are refined into lines first.
+
+    pictures (analysis_id, place, y, x, v): the glyphs' own, on which halves are measured. A record of which no line is left has, like one of several, no one expression."""
+    items = glyphs.select(F.col("analysis_id").alias("image_id"), "item")
+    lines = R.refine_images(items) if pictures is None else halves.refine_pictures(items, pictures.withColumnRenamed("analysis_id", "image_id"))
+    read = lines.groupBy(F.col("image_id").alias("analysis_id")).agg(F.count("*").cast("int").alias("n_lines"), F.first(F.transform("items", lambda g: g["char"])).alias("tokens"))
+    known = glyphs.select("analysis_id").distinct().join(read, "analysis_id", "left")
+    return replayed(cases, known.select("analysis_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
+
+
 def case_totals(cases: DataFrame) -> DataFrame:
     """One row of a replay: how many cases, and how many right; 0 without cases."""
     share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
-from ..operators import halves
+from ..operators import evaluation, halves
 from ..operators import refinement as R
 from ..sources import derived as D
 from .registry import query
@@ -138,6 +138,16 @@ def refined_lines(spark, sf_dir):
     return lines.select("image_id", "line", F.array_join(F.transform("items", lambda g: g["char"]), "").alias("expression"), "numeric", "score", F.size(F.filter("items", lambda g: g["adjusted"])).alias("n_adjusted"))
 
 
+@query()
+def replayed_glyphs(spark, sf_dir):
+    """Each image's glyphs refined and read again, against a sum for its key."""
+    glyphs = _items(spark, sf_dir).select(F.col("image_id").alias("analysis_id"), F.col("g").alias("item"))
+    k = F.col("analysis_id")
+    cases = glyphs.select("analysis_id").distinct().withColumn("expected_expression", F.concat((k % 9 + 1).cast("string"), F.lit("+"), (k % 7 + 1).cast("string")))
+    columns = ("expected_expression", "expected_result", "pred_expr", "pred_result", "pred_error", "expr_match", "result_match")
+    return evaluation.replayed_glyphs(cases, glyphs).select("analysis_id", *columns)
+
+
 def halves_and_pictures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Glyphs (image_id, place, x, y, w, h), closer to one another than in other queries, and their pictures (image_id, place, y, x, v) of other
     sizes than their boxes: rings, halves of rings to both sides, strokes with a bar, and every thirteenth one empty."""

@@ -250,3 +250,17 @@ def test_halves_of_a_digit(spark):
     df = df.withColumn("together", F.array(F.struct(F.lit(2).alias("left"), F.lit(3).alias("right"), f.alias("f"))))
     got = df.select(R.merged_halves(F.col("items"), F.col("together"), F.lit(28.0)).alias("c")).first().c
     assert "".join(g["char"] for g in got) == "129567" and got[2]["raw_char"] == "34" and got[2]["adjusted"]
+
+
+def test_stored_glyphs_are_refined_before_they_are_compared(spark):
+    from inkframe.operators import evaluation as E
+
+    rows = [r for k, (text, wrong) in enumerate(GOLDEN) for r in rows_of(k, text, wrong)]
+    rows += rows_of(7, "1+2", {}) + rows_of(7, "3+4", {}, y=400)
+    glyphs = items(spark, rows).withColumnRenamed("image_id", "analysis_id")
+    cases = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(GOLDEN)] + [(7, "1+2")], "analysis_id long, expected_expression string")
+    got = {r.analysis_id: r for r in E.replayed_glyphs(cases, glyphs).collect()}
+    assert {k: r.expr_match for k, r in got.items()} == {0: False, 1: True, 2: True, 3: True, 7: False} and got[1].result_match
+    assert got[0].pred_expr == "(7*7)*3+5/6" and (got[7].pred_expr, got[7].pred_result, got[7].pred_error) == ("Detected multiple lines", None, "Expected a single expression line.")
+    with pytest.raises(Exception, match="Missing analysis record"):
+        E.replayed_glyphs(spark.createDataFrame([(99, "1+2")], "analysis_id long, expected_expression string"), glyphs).collect()
