@@ -3,9 +3,10 @@
 A vector is coded as the sum of one full-dimensional codeword from each of several codebooks. The
 codebooks are fitted to residuals on a bounded sample; encoding keeps the best ``BEAM`` partial
 sums at each codebook. With the codes goes each vector's norm over its code's norm, which
-corrects the code's length. A query's products with all codewords are a table; a vector's score is
-the sum of its codewords' entries, times the stored ratio. The best ``SHORTLIST`` of each query are
-scored again with the original vectors in double precision.
+corrects the code's length. Directions are coded, so that short, long and very long vectors are coded alike; longer vectors
+have more codebooks, up to ``MOST_BOOKS``. A query's products with all codewords are a table; a vector's score is
+the sum of its codewords' entries, times the stored ratio. The best ``SHORTLIST`` of each query, and all that come within ``SPREAD`` of
+their code's usual error of its k-th, are scored again with the original vectors in double precision. Equal vectors are searched as one.
 
 Vectors are coded where they lie. Codes travel in blocks of ``BLOCK`` rows, queries in as few blocks as
 keep all cores busy and hold at most ``QUERY_BLOCK``; each pair of blocks is one task's work and gives a shortlist a
@@ -34,6 +35,10 @@ from pyspark.sql import functions as F
 from .staging import Stage
 
 BOOKS, WORDS, BEAM = 24, 256, 4
+#: Components that one codebook stands for, at most; and how many codebooks there are at most.
+A_BOOK, MOST_BOOKS = 8 / 3, 96
+#: Usual errors of a code within which a vector may be among the nearest.
+SPREAD = 3.0
 SAMPLE = 12_000
 SHORTLIST = 200
 BLOCK, QUERY_BLOCK = 65_536, 4_096
@@ -93,6 +98,31 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[:, 0], ratio.astype(np.float32)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length one, lengths)."""
+    top = np.abs(x).max(1, keepdims=True)
+    unit = x / top
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    return unit / norm, (norm * top)[:, 0]
+
+
+def errors(unit: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """How far each vector of length one is from its code's direction."""
+    code = np.zeros(unit.shape, np.float32)
+    for b in range(codes.shape[1]):
+        code += books[b][codes[:, b]]
+    code /= np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12)
+    return np.linalg.norm(unit - code, axis=1).astype(np.float32)
+
+
+def promising(s: np.ndarray, wide: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of the ``shortlist`` best scores of each query and of those that ``wide`` may lift to its k-th."""
+    n = s.shape[1]
+    least = np.partition(s, n - min(shortlist, n), axis=1)[:, n - min(shortlist, n), None]
+    kth = np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n), None]
+    return np.nonzero((s >= least) | (s + wide >= kth))
+
+
 def scores(tables: np.ndarray, codes: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """queries x vectors: sums of table entries. ``tables``: queries x books x words."""
     out = np.take(tables[:, 0], codes[:, 0], axis=1)
@@ -146,25 +176,33 @@ def _compared(rows: DataFrame, k: int) -> DataFrame:
 def _coded(stage: Stage, base: DataFrame, d: int, n_rows: int, is_query: Column, k: int, shortlist: int, block: int, query_block: int) -> DataFrame:
     """The search among the rows (row, vec_id, v) of length ``d`` by their codes."""
     spark = base.sparkSession
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
-    books = fit(np.array([r.v for r in sample]))
-    sent = spark.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
+    # of equal vectors k + 1 rows are enough, and the first one stands for them in the search
+    copies = Window.partitionBy("v").orderBy("vec_id", "row")
+    members = base.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).withColumn("leader", F.first("row").over(copies))
+    members = stage.put(f"members_{d}", members.select("leader", "copy", "row", "vec_id", F.when(F.col("copy") == 1, F.col("v")).alias("v")))
+    single = members.filter("copy = 1").select("row", "vec_id", "v")
+    sample = single.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
+    books = fit(directions(np.array([r.v for r in sample]))[0], books=min(MOST_BOOKS, max(BOOKS, round(d / A_BOOK))))
+    sent = spark.sparkContext.broadcast(books)  # MOST_BOOKS * WORDS vectors at most
+    longest = float(single.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])  # one number
     n_blocks = max(1, -(-n_rows // block))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column("row").to_numpy()
             for lo in range(0, len(rows), 1024):
-                codes, ratio = encode(_matrix(b.column("v").slice(lo, 1024), d), sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 1024]), b.column("vec_id").slice(lo, 1024), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], ["row", "vec_id", "code", "ratio"])
+                unit, norm = directions(_matrix(b.column("v").slice(lo, 1024), d) / longest)
+                codes, ratio = encode(unit, sent.value)
+                off = errors(unit, codes, sent.value) * norm
+                yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 1024]), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((ratio * norm).astype(np.float32)), pa.array(off.astype(np.float32))], ["row", "code", "ratio", "off"])
 
-    codes = base.mapInArrow(coded, "row long, vec_id long, code binary, ratio float").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
+    codes = single.mapInArrow(coded, "row long, code binary, ratio float, off float").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     codes = stage.put(f"codes_{d}", codes)
     queries = stage.put(f"queries_{d}", base.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"))
     n_query_blocks = max(1, -(-queries.count() // query_block), -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
     asked = queries.withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     # a block's codes as one row, so that sending it to each query block is one row each
-    packed = codes.groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "code", "ratio")).alias("of"))
+    packed = codes.groupBy("block").agg(F.collect_list(F.struct("row", "code", "ratio", "off")).alias("of"))
     packed = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     m = len(books)
 
@@ -172,24 +210,24 @@ def _coded(stage: Stage, base: DataFrame, d: int, n_rows: int, is_query: Column,
         got: list[tuple] = []
         if left.num_rows and right.num_rows:
             rows = right.column("of").combine_chunks().flatten()
-            row, ids = rows.field("row").to_numpy(), rows.field("vec_id").to_numpy()
+            row = rows.field("row").to_numpy()
             code = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(-1, m)
-            ratio = rows.field("ratio").to_numpy()
-            asker, vectors = left.column("query").to_numpy(), _matrix(left.column("v"), d).astype(np.float32)
+            ratio, off = rows.field("ratio").to_numpy(), rows.field("off").to_numpy()
+            asker, vectors = left.column("query").to_numpy(), directions(_matrix(left.column("v"), d))[0].astype(np.float32)
+            wide = off * np.float32(SPREAD / np.sqrt(d))
             for lo in range(0, len(asker), 32):
                 table = np.einsum("qd,mwd->qmw", vectors[lo : lo + 32], sent.value, optimize=True)
                 s = scores(table, code, ratio)
-                s[asker[lo : lo + 32, None] == row[None, :]] = -np.inf
-                n = min(shortlist, len(row))
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                got.append((np.repeat(asker[lo : lo + 32], n), row[best].ravel(), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.float32)]
-        return pa.table({**{c: pa.array(v, pa.int64()) for c, v in zip(("query", "row", "vec_id"), cols)}, "about": pa.array(cols[3], pa.float32())})
-
-    near = asked.groupBy("query_block", "block").cogroup(packed.groupBy("query_block", "block")).applyInArrow(matched, "query long, row long, vec_id long, about float").filter("query <> row")
-    by_about = Window.partitionBy("query").orderBy(F.desc("about"), "vec_id", "row")
-    near = near.withColumn("n", F.row_number().over(by_about)).filter(F.col("n") <= shortlist).select("query", "row")
-    both = near.join(base.withColumnRenamed("v", "w"), "row").join(queries, "query")
+                q, near = promising(s, wide, k + 1, shortlist + 1)
+                got.append((asker[lo + q], row[near], s[q, near], wide[near]))
+        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.float32)] * 2
+        return pa.table({**{c: pa.array(v, pa.int64()) for c, v in zip(("query", "row"), cols)}, **{c: pa.array(v, pa.float32()) for c, v in zip(("about", "wide"), cols[2:])}})
+
+    near = asked.groupBy("query_block", "block").cogroup(packed.groupBy("query_block", "block")).applyInArrow(matched, "query long, row long, about float, wide float")
+    of_query = Window.partitionBy("query")
+    near = near.withColumn("n", F.row_number().over(of_query.orderBy(F.desc("about"), "row")))
+    near = near.withColumn("kth", F.min(F.when(F.col("n") <= k + 1, F.col("about"))).over(of_query)).filter((F.col("n") <= shortlist + 1) | (F.col("about") + F.col("wide") >= F.col("kth"))).select("query", "row")
+    both = near.join(single.withColumnRenamed("v", "w"), "row").join(queries, "query")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,5 +235,8 @@ def _coded(stage: Stage, base: DataFrame, d: int, n_rows: int, is_query: Column,
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("query", "query_id", "row", "vec_id")], pa.array(np.sum(v * w, axis=1))], ["query", "query_id", "row", "vec_id", "score"])
 
     scored = both.select("query", "query_id", "row", "vec_id", "v", "w").mapInArrow(exact, "query long, query_id long, row long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = of_query.orderBy(F.desc("score"), "vec_id", "row")
+    # k + 1 vectors, as the query's own row may be the only one of its vector
+    leading = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("query", "query_id", F.col("row").alias("leader"), "score")
+    found = leading.join(members.select("leader", "row", "vec_id"), "leader").filter("row <> query")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -337,6 +337,27 @@ def test_nearest_neighbours(spark, blocks):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["copies", "tiny", "long"])
+def test_nearest_neighbours_of_copies_tiny_and_long_vectors(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 192 if kind == "long" else 16))
+    if kind == "copies":
+        x[rng.permutation(1200)[:500]] = x[0] * 2
+    x = x * 1e-25 if kind == "tiny" else x
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=20, shortlist=40).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    hits = 0
+    for q in range(0, 1200, 100):
+        p = np.sum(x * x[q], axis=1)
+        p[q] = -np.inf
+        want = np.lexsort((np.arange(1200), -p))[:20].tolist()
+        assert sorted(got[q]) == list(range(1, 21))
+        hits += sum(v in want for v in got[q].values())
+    assert hits / 240 >= 0.98
+
+
 def test_recall_on_a_given_table(spark):
     table = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{table}/embeddings.parquet").collect()
