@@ -304,10 +304,16 @@ def band_filter(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return _with_medians(first).filter(~out).select(*boxes.columns)
 
 
+def spread(c: Column) -> Column:
+    """The standard deviation of whole numbers from their exact sums, so that it doesn't depend on the rows' order."""
+    v, n = c.cast("decimal(18,0)"), F.count(c)
+    return F.sqrt((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double")) / n
+
+
 def band_validation(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """(image_id, reason): the first test that a band's boxes (with score) fail, or Valid band result."""
     mh = F.median("h")
-    n = boxes.groupBy("image_id").agg(F.count("*").alias("n"), F.first("score").alias("score"), mh.alias("mh"), F.stddev_pop("h").alias("sh"), F.count_if(line_like(Box(), width, height)).alias("lines"))
+    n = boxes.groupBy("image_id").agg(F.count("*").alias("n"), F.first("score").alias("score"), mh.alias("mh"), spread(F.col("h")).alias("sh"), F.count_if(line_like(Box(), width, height)).alias("lines"))
     order = _image().orderBy("cy")
     snap = F.greatest(F.lit(18), F.floor(F.median("h").over(_image()) * 0.65))
     step = boxes.withColumns({"cy": Box().center_y, "snap": snap}).withColumn("step", F.col("cy") - F.lag("cy").over(order))
@@ -415,7 +421,7 @@ def region_scores(regions: DataFrame, boxes: DataFrame, width: int, height: int)
     one = lambda c: F.greatest(F.lit(1.0), c.cast("double"))
     g = w.groupBy("image_id", "ord").agg(
         F.count("*").alias("n"), F.first("mw").alias("mw"), F.first("mh").alias("mh"), F.first(rw).alias("rw"), F.first(rh).alias("rh"), F.first("fg_ratio").alias("fg"),
-        F.count_if((b.w >= rw * 0.28) & (b.h <= F.greatest(F.lit(10.0), F.col("mh") * 0.45))).alias("lines"), (F.max(b.right) - F.min("x")).alias("sx"), (F.max(b.bottom) - F.min("y")).alias("sy"), F.stddev_pop(b.center_y).alias("jitter"))
+        F.count_if((b.w * 25 >= rw * 7) & (b.h <= F.greatest(F.lit(10.0), F.col("mh") * 0.45))).alias("lines"), (F.max(b.right) - F.min("x")).alias("sx"), (F.max(b.bottom) - F.min("y")).alias("sy"), (spread(b.center_y * 2) / 2).alias("jitter"))
     c = F.col
     most = lambda cap, v: F.least(F.lit(cap), v)
     score = (

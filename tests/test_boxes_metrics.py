@@ -64,3 +64,18 @@ def test_feedback_sets(spark):
     assert {r.event_id for r in K.last_writes(rows).collect()} == {2, 3, 4, 5}
     assert [(r.analysis_id, r.label_idx) for r in K.conflicts(rows).collect()] == [(10, 3)]
     assert {r.analysis_id: r.message for r in K.messages(rows).collect()} == {10: "Saved 2 corrections and 1 rejection.", 11: "Saved 2 rejections."}
+
+
+def test_scores_of_regions_take_bounds_exactly(spark):
+    """A box of 7 in a region of 25 is 0.28 wide, though 25 * 0.28 is above 7 in floating point."""
+    regions = spark.createDataFrame([(1, 0, 0, 0, 25, 30, 0.18)], "image_id long, ord long, x0 int, y0 int, x1 int, y1 int, fg_ratio double")
+    got = {}
+    for w in (6, 7):
+        boxes = spark.createDataFrame([(1, 2, 3, w, 10)], "image_id long, x long, y long, w long, h long")
+        got[w] = B.region_scores(regions, boxes, 200, 120).first().score
+    assert got[7] < got[6] - 1.0
+
+
+def test_spread_of_heights_is_exact_in_any_order(spark):
+    rows = spark.range(3000).selectExpr("id % 2 AS k", "IF(id < 1500, 69, 11) AS h").repartition(7)
+    assert {r.s for r in rows.groupBy("k").agg(B.spread(F.col("h")).alias("s")).collect()} == {29.0}
