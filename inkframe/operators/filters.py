@@ -1,8 +1,8 @@
 """Pictures as lines (glyph_id, y, vs): filters that look around a pixel, and what is made of them.
 
-A line is one row of a picture, so that work along x is a list function and is dealt out line by line; ``turned`` makes lines of columns,
-after which the same function works along y. A filter that is separable costs two turns, and no task holds a picture. Only the elliptic
-closing of the background looks at a window of lines of one picture, at most ``REACH`` above and below, of pictures that are at most ``SMALL_SIDE`` pixels wide and high.
+A line is one row of a picture, so that work along x is a list function and is dealt out line by line. What looks at several lines takes a
+picture's lines together: ``each`` gathers them in one row and gives a small function the picture as an array, so a filter costs one shuffle of lines and none of
+pixels, and a task holds one batch of pictures. Pictures' parts, scores and choices are tables, joined by picture.
 
 Results are those of the common 8-bit image operations: outside its frame a picture has nothing for minima and maxima, is mirrored without its
 last pixel for Gaussian blurs, and repeats its last pixel for medians and local means.
@@ -11,10 +11,14 @@ last pixel for Gaussian blurs, and repeats its last pixel for medians and local
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import let
 from ..sources.staged import staged
@@ -22,7 +26,6 @@ from . import pixels as P
 
 # Fixed values of the background's estimate: least spread to act on, least kernel, its part of the shorter side, side to shrink to, least kernel then, least mean after.
 SPREAD, KERNEL, PART, SMALL_SIDE, SMALL_KERNEL, LEAST_MEAN = 18.0, 61, 6, 600, 11, 5.0
-REACH = 50
 # Fixed values of contrast: clip limits by mean brightness, tiles a side, rows and columns of the bright-detail kernel.
 CLIPS, TILES, DETAIL = ((30, 4.0), (60, 3.0), (None, 2.0)), 8, 15
 # Fixed values of thresholds: local blocks (least, part of the shorter side, most), offsets, a character's block; least parts (pixels, share).
@@ -45,9 +48,35 @@ def pixels_of(of: Lines, *keep: str) -> DataFrame:
     return of.select("glyph_id", F.col("y").cast("long").alias("y"), *keep, F.posexplode("vs").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
 
 
+def _rows_of(of: pa.Array) -> np.ndarray:
+    """The array of a picture's lines (y, vs)."""
+    vs = of.field("vs")
+    return vs.flatten().to_numpy(zero_copy_only=False).reshape(len(vs), -1)
+
+
+def each(of: Lines, f: Callable[..., np.ndarray], *keep: str, about: dict[str, Column] | None = None, kind: str = "int") -> Lines:
+    """(glyph_id, y, *keep, vs): ``f`` of each picture as an array, with the values ``about`` the picture; ``keep`` are columns that a picture's lines share."""
+    named = {f"about_{k}": v for k, v in (about or {}).items()}
+    names = list(about or {})
+    whole = of.withColumns(named) if named else of
+    whole = whole.groupBy("glyph_id").agg(*[F.first(c).alias(c) for c in (*keep, *named)], F.array_sort(F.collect_list(F.struct("y", "vs"))).alias("l"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared, values = ["glyph_id", *keep], {k: b.column(f"about_{k}").to_pylist() for k in names}
+            for i in range(b.num_rows):
+                out = f(_rows_of(b.column("l")[i].values), **{k: v[i] for k, v in values.items()})
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel().astype(np.int32 if kind == "int" else np.float64)))
+                own = [b.column(c).take(pa.array(np.full(len(out), i))) for c in shared]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(out), dtype=np.int32)), lines], [*shared, "y", "vs"])
+
+    fields = [whole.schema["glyph_id"], *[whole.schema[c] for c in keep], T.StructField("y", T.IntegerType()), T.StructField("vs", T.ArrayType(T.IntegerType() if kind == "int" else T.DoubleType()))]
+    return whole.mapInArrow(made, T.StructType(fields)).select("glyph_id", "y", *keep, "vs")
+
+
 def turned(of: Lines, *keep: str) -> Lines:
     """The columns as lines."""
-    return lines(pixels_of(of, *keep).select("glyph_id", F.col("x").alias("y"), F.col("y").alias("x"), "v", *keep), *keep)
+    return each(of, np.transpose, *keep, kind="int" if of.schema["vs"].dataType.elementType in (T.IntegerType(), T.LongType()) else "double")
 
 
 def sizes(of: Lines) -> DataFrame:
@@ -68,10 +97,6 @@ def _clamped(n: Column, i: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, i))
 
 
-def _mirrored(n: Column, i: Column) -> Column:
-    return _clamped(n, F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i))
-
-
 # --- minima and maxima
 
 def slid(vs: Column, lo: Column, hi: Column, best: Callable[[Column], Column]) -> Column:
@@ -82,88 +107,104 @@ def slid(vs: Column, lo: Column, hi: Column, best: Callable[[Column], Column]) -
     return _along(vs, body)
 
 
-def _reach(k: Column | int) -> tuple[Column, Column]:
-    k = F.lit(k) if isinstance(k, int) else k
-    half = F.floor(k / 2).cast("int")
-    return -half, (k - 1 - half).cast("int")
-
-
-def closed(of: Lines, w: Column | int, h: Column | int, *keep: str, first=F.array_max, then=F.array_min) -> Lines:
-    """Maxima, then minima, under a rectangle of w x h whose anchor is its middle, the later one if even. ``keep`` holds what w and h name."""
-    (xl, xh), (yl, yh) = _reach(w), _reach(h)
-    own = lambda d, lo, hi, best: d.withColumn("vs", slid(F.col("vs"), lo, hi, best))
-    up = turned(own(of, xl, xh, first), *keep)
-    return own(turned(own(own(up, yl, yh, first), yl, yh, then), *keep), xl, xh, then)
+def _shifted(a: np.ndarray, lo: int, hi: int, axis: int, both: Callable) -> np.ndarray:
+    """The best of the pixels from lo to hi along an axis that lie in the picture; lo <= 0 <= hi."""
+    a = np.moveaxis(a, axis, 0)
+    out = a.copy()
+    for d in range(lo, hi + 1):
+        if 0 < d < len(a):
+            both(out[:-d], a[d:], out=out[:-d])
+        elif -len(a) < d < 0:
+            both(out[-d:], a[:d], out=out[-d:])
+    return np.moveaxis(out, 0, axis)
 
 
-def opened(of: Lines, w: Column | int, h: Column | int, *keep: str) -> Lines:
-    return closed(of, w, h, *keep, first=F.array_min, then=F.array_max)
+def _under(a: np.ndarray, w: int, h: int, both: Callable) -> np.ndarray:
+    return _shifted(_shifted(a, -(w // 2), w - 1 - w // 2, 1, both), -(h // 2), h - 1 - h // 2, 0, both)
 
 
-def _under_ellipse(of: Lines, k: Column, both: Callable[[Column, Column], Column], *keep: str) -> Lines:
-    """The best of the pixels under an ellipse: each line's bests within 0, 1, ... pixels to both sides are found once, from one another, and
-    a line takes from those above and below the bests of the ellipse's width there."""
-    r = F.col("r_")
+def closed(of: Lines, w: int, h: int, *keep: str) -> Lines:
+    """Maxima, then minima, under a rectangle of w x h whose anchor is its middle, the later one if even."""
+    return each(of, lambda a: _under(_under(a, w, h, np.maximum), w, h, np.minimum), *keep)
 
-    def wider(a: Column) -> Column:
-        return F.transform(a, lambda v, i: both(both(v, F.coalesce(F.get(a, i - 1), v)), F.coalesce(F.get(a, i + 1), v)))
 
-    levels = F.aggregate(F.sequence(F.lit(1), r), F.array("vs"), lambda acc, i: F.concat(acc, F.array(let([F.element_at(acc, -1)], wider))))
-    d = of.withColumn("r_", F.floor(k / 2).cast("int")).withColumn("levels", levels)
-    d = d.withColumn("near_", F.collect_list(F.struct("y", "levels")).over(Window.partitionBy("glyph_id").orderBy("y").rangeBetween(-REACH, REACH)))
+def opened(of: Lines, w: int, h: int, *keep: str) -> Lines:
+    return each(of, lambda a: _under(_under(a, w, h, np.minimum), w, h, np.maximum), *keep)
 
-    def taken(acc: Column, other: Column) -> Column:
-        dy = other["y"] - F.col("y")
-        dx = F.bround(r * F.sqrt((r * r - dy * dy) / (r * r))).cast("int")
-        return F.zip_with(acc, F.element_at(other["levels"], dx + 1), lambda a, b: both(a, b))
 
-    inside = F.filter("near_", lambda o: F.abs(o["y"] - F.col("y")) <= r)
-    return d.withColumn("vs", F.aggregate(inside, F.col("vs"), taken)).select("glyph_id", "y", *keep, "vs")
+def _under_ellipse(a: np.ndarray, k: int, both: Callable) -> np.ndarray:
+    """The best of the pixels under an ellipse of k x k: that of each line within 0, 1, ... pixels to both sides is found once, from the one before."""
+    r = k // 2
+    reach = [int(np.rint(r * math.sqrt((r * r - dy * dy) / (r * r)))) for dy in range(r + 1)]
+    out, level = a.copy(), a
+    for dx in range(r + 1):
+        level = _shifted(level, -1, 1, 1, both) if dx else level
+        for dy in (d for d in range(min(r, len(a) - 1) + 1) if reach[d] == dx):
+            both(out[dy:], level[: len(a) - dy], out=out[dy:])
+            both(out[: len(a) - dy], level[dy:], out=out[: len(a) - dy])
+    return out
 
 
 def closed_by_ellipse(of: Lines, k: Column, *keep: str) -> Lines:
-    """Maxima, then minima, under an ellipse of k x k, k odd and at most 2 * REACH + 1, of pictures of any size."""
-    return _under_ellipse(_under_ellipse(of, k, F.greatest, *keep), k, F.least, *keep)
+    """Maxima, then minima, under an ellipse of k x k, k odd."""
+    return each(of, lambda a, k: _under_ellipse(_under_ellipse(a, k, np.maximum), k, np.minimum), *keep, about={"k": k})
 
 
 # --- weighted means
 
-def _blurred_along(vs: Column, weights: list[int]) -> Column:
-    r = len(weights) // 2
-    return _along(vs, lambda v, n, x: sum((_at(v, _mirrored(n, x + d)) * weights[d + r] for d in range(-r, r + 1)), F.lit(0)))
+def _weighed(a: np.ndarray, weights: np.ndarray, mirrored: bool) -> np.ndarray:
+    """Weighted sums around each pixel of a line; outside, a line is mirrored without its last pixel or repeats it."""
+    n, r, x = a.shape[1], len(weights) // 2, np.arange(a.shape[1])
+    out = np.zeros(a.shape, weights.dtype)
+    for d in range(-r, r + 1):
+        i = x + d
+        i = np.where(i < 0, -i, np.where(i > n - 1, 2 * (n - 1) - i, i)) if mirrored else i
+        out += a[:, np.clip(i, 0, n - 1)] * weights[d + r]
+    return out
+
+
+def _weighed_both(a: np.ndarray, weights: np.ndarray, mirrored: bool) -> np.ndarray:
+    return _weighed(_weighed(a, weights, mirrored).T, weights, mirrored).T
+
+
+def _blur(a: np.ndarray, size: int) -> np.ndarray:
+    weights = np.array([math.comb(size - 1, i) for i in range(size)])
+    whole = int(weights.sum()) ** 2
+    return (_weighed_both(a, weights, True) + whole // 2) // whole
+
+
+def _smooth(a: np.ndarray) -> np.ndarray:
+    return np.where(_weighed_both(a, np.ones(3, int), False) >= 5 * 255, 255, 0)
+
+
+def _close(a: np.ndarray, k: int = 3) -> np.ndarray:
+    return _under(_under(a, k, k, np.maximum), k, k, np.minimum)
+
+
+def _open(a: np.ndarray, k: int) -> np.ndarray:
+    return _under(_under(a, k, k, np.minimum), k, k, np.maximum)
 
 
 def blurred(of: Lines, size: int, *keep: str) -> Lines:
     """Gaussian blur of 3 or 5 pixels by binomial weights, rounded half up."""
-    weights = [math.comb(size - 1, i) for i in range(size)]
-    whole = sum(weights) ** 2
-    once = turned(of.withColumn("vs", _blurred_along(F.col("vs"), weights)), *keep)
-    twice = once.withColumn("vs", _blurred_along(F.col("vs"), weights))
-    return turned(twice.withColumn("vs", F.transform("vs", lambda s: F.floor((s + whole // 2) / whole).cast("int"))), *keep)
+    return each(of, lambda a: _blur(a, size), *keep)
 
 
 def smoothed(of: Lines, *keep: str) -> Lines:
     """Of ink (255) and ground (0): what most of the nine pixels around are."""
-    three = lambda vs: _along(vs, lambda v, n, x: _at(v, _clamped(n, x - 1)) + _at(v, x) + _at(v, _clamped(n, x + 1)))
-    up = turned(of.withColumn("vs", three(F.col("vs"))), *keep).withColumn("vs", three(F.col("vs")))
-    return turned(up.withColumn("vs", F.transform("vs", lambda s: F.when(s >= 5 * 255, 255).otherwise(0))), *keep)
+    return each(of, _smooth, *keep)
 
 
-def local_means(of: Lines, block: Column | int, *keep: str) -> Lines:
-    """(glyph_id, y, vs of (v, m)): with each pixel the mean around it, weighted by a Gaussian of ``block`` pixels (odd, over 7) and rounded."""
-    b = F.lit(block) if isinstance(block, int) else block
-    r = F.floor(b / 2).cast("int")
-    sigma = 0.3 * ((b - 1) * 0.5 - 1) + 0.8
-    raw = F.transform(F.sequence(-r, r), lambda d: F.exp(-(d * d) / (2 * sigma * sigma)))
-    weights = let([raw], lambda g: F.transform(g, lambda x: x / F.aggregate(g, F.lit(0.0), lambda a, y: a + y)))
+def _mean_around(a: np.ndarray, block: int) -> np.ndarray:
+    sigma, r = 0.3 * ((block - 1) * 0.5 - 1) + 0.8, block // 2
+    raw = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    return np.rint(np.round(_weighed_both(a, raw / raw.sum(), False), 6))
 
-    def mean(vs: Column) -> Column:
-        return let([weights, r], lambda g, r: _along(vs, lambda v, n, x: F.aggregate(F.sequence(-r, r), F.lit(0.0), lambda a, d: a + _at(g, d + r) * _at(v, _clamped(n, x + d)))))
 
-    pair = lambda v, m: F.struct(v.alias("v"), m.alias("m"))
-    once = turned(of.withColumn("vs", F.zip_with("vs", mean(F.transform("vs", lambda v: v.cast("double"))), pair)), *keep)
-    back = lambda p, m: pair(p["v"], F.bround(F.round(m, 6)).cast("int"))
-    return turned(once.withColumn("vs", F.zip_with("vs", mean(F.transform("vs", lambda p: p["m"])), back)), *keep)
+def local_means(of: Lines, block: Column | int, *keep: str) -> Lines:
+    """(glyph_id, y, vs of (v, m)): with each pixel the mean around it, weighted by a Gaussian of ``block`` pixels (odd, over 7) and rounded."""
+    means = each(of, lambda a, block: a.astype(np.int64) * 1024 + _mean_around(a, block).astype(np.int64), *keep, about={"block": F.lit(block) if isinstance(block, int) else block})
+    return means.withColumn("vs", F.transform("vs", lambda p: F.struct(F.shiftright(p, 10).alias("v"), p.bitwiseAND(1023).alias("m"))))
 
 
 def _ink(test: Column) -> Column:
@@ -175,9 +216,17 @@ def above_means(means: Lines, offset: int) -> Lines:
     return means.withColumn("vs", F.transform("vs", lambda p: _ink(p["v"] - p["m"] > -offset)))
 
 
+def _levels(a: np.ndarray) -> np.ndarray:
+    """Ink above the grey level that best parts a picture in two, the lowest of equals."""
+    v, n = np.unique(a, return_counts=True)
+    n0, s0 = np.cumsum(n), np.cumsum(n * v)
+    apart = (s0 * n0[-1] - s0[-1] * n0).astype(float)
+    between = np.divide(apart * apart, n0 * (n0[-1] - n0.astype(float)), out=np.zeros(len(v)), where=n0 < n0[-1])
+    return np.where(a > v[np.round(between, 3).argmax()], 255, 0)
+
+
 def above_otsu(of: Lines, *keep: str) -> Lines:
-    t = P.otsu(pixels_of(of))
-    return of.join(t, "glyph_id").withColumn("vs", let([F.col("vs"), F.col("threshold")], lambda vs, t: F.transform(vs, lambda v: _ink(v > t)))).select("glyph_id", "y", *keep, "vs")
+    return each(of, _levels, *keep)
 
 
 # --- background and contrast
@@ -225,130 +274,173 @@ def resized(of: Lines, w: Column, h: Column, *keep: str) -> Lines:
     return turned(shrunk(up, h, *keep).withColumn("vs", F.transform("vs", lambda v: F.bround(F.round(v, 6)).cast("int"))), *keep)
 
 
+def _evened(a: np.ndarray, ground: np.ndarray) -> np.ndarray:
+    even = np.minimum(255, a * 128 // np.maximum(1, ground))
+    return even if even.mean() >= LEAST_MEAN else a
+
+
 def even_background(of: Lines) -> Lines:
     """Ink over an estimate of the ground's brightness, which is the picture closed by a large ellipse; pictures of little spread, and
     those that would come out too dark, stay as they are."""
-    about = pixels_of(of).groupBy("glyph_id").agg(F.stddev_pop("v").alias("spread"), (F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
-    busy = about.filter(F.col("spread") >= SPREAD)
+    of = staged(of, "pictures")
+    total = lambda f: F.sum(F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + f(v)))
+    n, s1, s2 = F.sum(F.size("vs")), total(lambda v: v), total(lambda v: v * v)
+    about = of.groupBy("glyph_id").agg((F.sqrt((n * s2 - s1 * s1).cast("double")) / n).alias("spread"), F.max(F.size("vs")).alias("w"), (F.max("y") + 1).cast("int").alias("h"))
     k = F.greatest(F.lit(KERNEL), _odd(F.least("w", "h") / PART))
     scale = SMALL_SIDE / F.greatest("w", "h")
-    large = F.greatest("w", "h") > SMALL_SIDE
+    is_large, busy = F.greatest("w", "h") > SMALL_SIDE, F.col("spread") >= SPREAD
+    small = lambda c: F.when(is_large, F.floor(F.col(c) * scale)).otherwise(F.col(c)).cast("int")
+    about = staged(about.select("glyph_id", "w", "h", F.when(is_large, F.greatest(F.lit(SMALL_KERNEL), _odd(k * scale))).otherwise(k).alias("k"), small("w").alias("sw"), small("h").alias("sh"), (is_large & busy).alias("large"), busy.alias("busy")), "about")
+    own = of.join(about, "glyph_id")
+
+    def evened(a: np.ndarray, k: int, busy: bool) -> np.ndarray:
+        return _evened(a, _under_ellipse(_under_ellipse(a, k, np.maximum), k, np.minimum)) if busy else a
+
+    rest = each(own.filter("not large"), evened, about={"k": F.col("k"), "busy": F.col("busy")})
+    if about.filter("large").isEmpty():
+        return rest
     keep = ("w", "h", "k", "sw", "sh")
-    small = lambda c: F.when(large, F.floor(F.col(c) * scale)).otherwise(F.col(c)).cast("int")
-    own = of.join(busy.select("glyph_id", "w", "h", F.when(large, F.greatest(F.lit(SMALL_KERNEL), _odd(k * scale))).otherwise(k).alias("k"), small("w").alias("sw"), small("h").alias("sh")), "glyph_id").select("glyph_id", "y", *keep, "vs")
-    is_large = F.col("sw") < F.col("w")
-    shrink = resized(own.filter(is_large), F.col("sw"), F.col("sh"), *keep)
-    stretch = stretched(closed_by_ellipse(shrink, F.col("k"), *keep), F.col("w"), F.col("h"), *keep)
-    ground = stretch.unionByName(closed_by_ellipse(own.filter(~is_large), F.col("k"), *keep)).select("glyph_id", "y", F.col("vs").alias("ground"))
-    ratio = F.zip_with("vs", "ground", lambda v, g: F.least(F.lit(255), F.floor(v * 128 / F.greatest(F.lit(1), g))).cast("int"))
-    even = of.join(ground, ["glyph_id", "y"]).select("glyph_id", "y", ratio.alias("even"))
-    total = F.sum(F.aggregate("even", F.lit(0).cast("long"), lambda a, v: a + v))
-    fine = even.groupBy("glyph_id").agg((total / F.sum(F.size("even"))).alias("mean")).filter(F.col("mean") >= LEAST_MEAN).select("glyph_id")
-    return of.join(even.join(fine, "glyph_id", "left_semi"), ["glyph_id", "y"], "left").select("glyph_id", "y", F.coalesce("even", "vs").alias("vs"))
+    shrunken = resized(own.filter("large").select("glyph_id", "y", *keep, "vs"), F.col("sw"), F.col("sh"), *keep)
+    ground = stretched(closed_by_ellipse(shrunken, F.col("k"), *keep), F.col("w"), F.col("h"), *keep).select("glyph_id", "y", F.col("vs").alias("ground"))
+    both = own.filter("large").join(ground, ["glyph_id", "y"]).select("glyph_id", "y", F.zip_with("vs", "ground", lambda v, g: v * 65536 + g).alias("vs"))
+    return rest.unionByName(each(both, lambda a: _evened(a >> 16, a & 65535)))
+
+
+def _curves(tiles: np.ndarray, clip: float) -> np.ndarray:
+    """The curve of each tile's (clipped) histogram; tiles: tiles x pixels."""
+    n, area = tiles.shape
+    counts = np.bincount((np.arange(n)[:, None] * 256 + tiles).ravel(), minlength=n * 256).reshape(n, 256)
+    most = max(1, int(clip * area / 256))
+    over = np.maximum(0, counts - most).sum(1)
+    batch, rest = over // 256, over % 256
+    step = np.maximum(1, 256 // np.maximum(1, rest))[:, None]
+    i = np.arange(256)
+    counts = np.minimum(counts, most) + batch[:, None] + ((i % step == 0) & (i // step < rest[:, None]))
+    return np.minimum(255, np.rint(np.round(np.cumsum(counts, 1) * 255.0 / area, 6))).astype(int)
+
+
+def _contrast(a: np.ndarray) -> np.ndarray:
+    h, w = a.shape
+    clip = next(c for least, c in CLIPS if least is None or a.mean() < least)
+    # a picture that does not fit is widened along both axes, by a whole tile's worth along one that fits; pixels beyond the frame repeat those before it, mirrored
+    th, tw = (h // TILES, w // TILES) if h % TILES == 0 and w % TILES == 0 else (h // TILES + 1, w // TILES + 1)
+    inside = lambda n, to: np.where(np.arange(to) < n, np.arange(to), 2 * (n - 1) - np.arange(to))
+    ey, ex = inside(h, th * TILES), inside(w, tw * TILES)
+    wide = a[np.maximum(ey, 0)][:, np.maximum(ex, 0)]
+    curves = _curves(wide.reshape(TILES, th, TILES, tw).swapaxes(1, 2).reshape(TILES * TILES, th * tw), clip).reshape(TILES, TILES, 256)
+
+    def near(n: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = np.arange(n) / t - 0.5
+        low = np.floor(f).astype(int)
+        return np.maximum(0, low), np.minimum(TILES - 1, low + 1), f - low
+
+    (y1, y2, b), (x1, x2, c) = near(h, th), near(w, tw)
+    at = lambda y: curves[y[:, None], x1[None, :], a] * (1 - c) + curves[y[:, None], x2[None, :], a] * c
+    return np.rint(np.round(at(y1) * (1 - b)[:, None] + at(y2) * b[:, None], 6))
 
 
 def equalized(of: Lines) -> Lines:
     """Contrast by the histograms of 8 x 8 tiles, clipped; a pixel takes the curves of the four nearest tiles, by distance."""
-    mean = pixels_of(of).groupBy("glyph_id").agg(F.avg("v").alias("mean"), (F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
-    clip = F.when(F.col("mean") < CLIPS[0][0], CLIPS[0][1]).when(F.col("mean") < CLIPS[1][0], CLIPS[1][1]).otherwise(CLIPS[2][1])
-    both_fit = (F.col("w") % TILES == 0) & (F.col("h") % TILES == 0)
-    # a picture that does not fit is widened along both axes, by a whole tile's worth along one that fits
-    grown = lambda c: F.when(both_fit, F.col(c) / TILES).otherwise(F.floor(F.col(c) / TILES) + 1).cast("int")
-    about = mean.select("glyph_id", "w", "h", clip.alias("clip"), grown("w").alias("tw"), grown("h").alias("th"))
-    about = about.withColumn("area", F.col("tw") * F.col("th")).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("clip") * F.col("area") / 256)).cast("int"))
-    # pixels beyond the frame repeat those before it, mirrored
-    p = pixels_of(of).join(about, "glyph_id")
-    again = lambda c, n, t: F.filter(F.array(F.col(c), 2 * (F.col(n) - 1) - F.col(c)), lambda i: (i < F.col(t) * TILES) & ((i == F.col(c)) | (i >= F.col(n))))
-    wide = p.withColumn("ex", F.explode(F.array_distinct(again("x", "w", "tw")))).withColumn("ey", F.explode(F.array_distinct(again("y", "h", "th"))))
-    tiles = wide.groupBy("glyph_id", F.floor(F.col("ey") / F.col("th")).cast("int").alias("ty"), F.floor(F.col("ex") / F.col("tw")).cast("int").alias("tx"), "area", "most", F.col("v")).agg(F.count("*").alias("n"))
-    tiles = tiles.groupBy("glyph_id", "ty", "tx", "area", "most").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("of"))
-    bins = F.sequence(F.lit(0), F.lit(255))
-    counts = let([F.col("of")], lambda of_: F.transform(bins, lambda i: F.coalesce(F.try_element_at(of_, i), F.lit(0)).cast("int")))
-    tiles = tiles.withColumn("counts", counts)
-    over = F.aggregate("counts", F.lit(0), lambda a, n: a + F.greatest(F.lit(0), n - F.col("most")))
-    tiles = tiles.withColumn("over", over)
-    batch, rest = F.floor(F.col("over") / 256).cast("int"), (F.col("over") % 256).cast("int")
-    step = F.greatest(F.lit(1), F.floor(256 / F.greatest(F.lit(1), rest))).cast("int")
-    more = let([F.col("counts"), batch, rest, step, F.col("most")], lambda c, b, r, s, m: F.transform(c, lambda n, i: F.least(n, m) + b + F.when((i % s == 0) & (i / s < r), 1).otherwise(0)))
-    tiles = tiles.withColumn("more", more)
-    start = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all"))
-    sums = F.aggregate("more", start, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["all"], F.array(a["sum"] + n)).alias("all")))["all"]
-    curve = let([sums, F.col("area")], lambda s, area: F.transform(s, lambda n: F.least(F.lit(255), F.bround(F.round(n * 255.0 / area, 6)).cast("int"))))
-    curves = tiles.select("glyph_id", "ty", "tx", curve.alias("curve"))
-    rows = curves.groupBy("glyph_id", "ty").agg(F.array_sort(F.collect_list(F.struct("tx", "curve"))).alias("c")).select("glyph_id", "ty", F.transform("c", lambda c: c["curve"]).alias("c"))
-
-    d = of.join(about.select("glyph_id", "tw", "th"), "glyph_id").withColumn("f", F.col("y") / F.col("th") - 0.5)
-    d = d.withColumns({"t1": F.greatest(F.lit(0), F.floor("f")).cast("int"), "t2": F.least(F.lit(TILES - 1), F.floor("f") + 1).cast("int"), "b": F.col("f") - F.floor("f")})
-    named = lambda t, c: rows.withColumnsRenamed({"ty": t, "c": c})
-    d = d.join(named("t1", "upper"), ["glyph_id", "t1"]).join(named("t2", "lower"), ["glyph_id", "t2"])
-
-    def mixed(vs, upper, lower, tw, b):
-        def one(v, x):
-            f = x / tw - 0.5
-            left, right, a = F.greatest(F.lit(0), F.floor(f)), F.least(F.lit(TILES - 1), F.floor(f) + 1), f - F.floor(f)
-            of_row = lambda row: _at(_at(row, left), v) * (1 - a) + _at(_at(row, right), v) * a
-            return F.bround(F.round(of_row(upper) * (1 - b) + of_row(lower) * b, 6)).cast("int")
-        return F.transform(vs, lambda v, x: one(v, x))
-
-    return d.select("glyph_id", "y", let([F.col(c) for c in ("vs", "upper", "lower", "tw", "b")], mixed).alias("vs"))
+    return each(of, _contrast)
 
 
 def enhanced(of: Lines) -> Lines:
     """Even background, contrast by tiles, a blur, and bright detail added again."""
-    soft = staged(blurred(equalized(staged(even_background(of), "even")), 5), "soft")
-    low = opened(soft, DETAIL, DETAIL).withColumnRenamed("vs", "low")
-    return soft.join(low, ["glyph_id", "y"]).select("glyph_id", "y", F.zip_with("vs", "low", lambda v, o: F.least(F.lit(255), 2 * v - o)).alias("vs"))
+    return each(even_background(of), _detailed)
 
 
-# --- ink of whole pictures and of characters
+def _detailed(a: np.ndarray) -> np.ndarray:
+    soft = _blur(_contrast(a).astype(int), 5)
+    return np.minimum(255, 2 * soft - _open(soft, DETAIL))
 
-def _block(c: tuple[int, float, int]) -> Column:
-    return F.least(F.lit(c[2]), F.greatest(F.lit(c[0]), F.bround(F.least("w", "h") * c[1]).cast("int").bitwiseOR(1)))
 
+# --- ink of whole pictures and of characters
 
 def without_small_parts(of: Lines, c: tuple[int, float]) -> Lines:
     """Ink in parts of some area, or else in the largest one."""
-    runs = P.labelled_runs(P.row_runs(pixels_of(of), F.col("v") > 0))
+    of = staged(of, "mask")
+    runs = staged(P.labelled_runs(runs_of(of)), "parts")
     least = sizes(of).select("glyph_id", F.greatest(F.lit(c[0]), F.floor(F.col("w") * F.col("h") * c[1])).alias("least"))
     parts = runs.groupBy("glyph_id", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).join(least, "glyph_id")
     return drawn_runs(of, runs.join(P.without_specks(parts, F.col("least")).select("glyph_id", "part"), ["glyph_id", "part"]))
 
 
+def runs_of(of: Lines) -> DataFrame:
+    """(glyph_id, y, x0, x1) of the runs of pixels above 0, x1 the last one."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.list_value_length(b.column("vs")).to_numpy()
+            ink, line = b.column("vs").flatten().to_numpy() > 0, np.repeat(np.arange(len(n)), n)
+            begins, same = (np.cumsum(n) - n)[line], line[1:] == line[:-1]
+            first, last = (np.flatnonzero(ink & ~np.concatenate(p)) for p in (([False], ink[:-1] & same), (ink[1:] & same, [False]))) if len(ink) else (np.empty(0, int),) * 2
+            x0, x1 = (pa.array((x - begins[x]).astype(np.int32)) for x in (first, last))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(line[first])) for c in ("glyph_id", "y")], x0, x1], ["glyph_id", "y", "x0", "x1"])
+
+    own = of.select("glyph_id", F.col("y").cast("int").alias("y"), "vs")
+    return own.mapInArrow(found, T.StructType([own.schema["glyph_id"], *[T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")]]))
+
+
 def drawn_runs(of: Lines, runs: DataFrame) -> Lines:
     """Pictures of the frames of ``of`` that have ink where ``runs`` (glyph_id, y, x0, x1) are."""
-    g = runs.groupBy("glyph_id", F.col("y").cast("int").alias("y")).agg(F.collect_list(F.struct("x0", "x1")).alias("runs"))
-    own = let([F.size("vs"), F.col("runs")], lambda n, r: F.transform(F.sequence(F.lit(0), n - 1), lambda x: _ink(F.coalesce(F.exists(r, lambda q: (q["x0"] <= x) & (x <= q["x1"])), F.lit(False)))))
-    return of.join(g, ["glyph_id", "y"], "left").select("glyph_id", "y", own.alias("vs"))
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, k = b.column("n").to_numpy(), pc.list_value_length(b.column("runs")).to_numpy()
+            end, r = np.cumsum(n), b.column("runs").flatten()
+            at = np.repeat(end - n, k)
+            turns = np.zeros(int(n.sum()) + 1, np.int32)
+            np.add.at(turns, at + r.field("x0").to_numpy(), 1)
+            np.add.at(turns, at + r.field("x1").to_numpy() + 1, -1)
+            vs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)).astype(np.int32)), pa.array(np.where(np.cumsum(turns)[:-1] > 0, 255, 0).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("glyph_id"), b.column("y"), vs], ["glyph_id", "y", "vs"])
+
+    g = runs.groupBy("glyph_id", F.col("y").cast("int").alias("y")).agg(F.collect_list(F.struct(F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))).alias("runs"))
+    own = of.select("glyph_id", F.col("y").cast("int").alias("y"), F.size("vs").alias("n")).join(g, ["glyph_id", "y"], "left")
+    own = own.withColumn("runs", F.coalesce("runs", F.expr("cast(array() as array<struct<x0:int,x1:int>>)")))
+    return own.mapInArrow(drawn, T.StructType([own.schema["glyph_id"], T.StructField("y", T.IntegerType()), T.StructField("vs", T.ArrayType(T.IntegerType()))]))
+
+
+def measured(of: Lines) -> DataFrame:
+    """(glyph_id, n, size, edge, width, height, box) of pixels above 0: how many, of how many, share of the frame (corners count twice), area of their box."""
+    ink = F.transform("vs", lambda v: v > 0)
+    at = lambda a: F.array_position(a, True).cast("int")
+    d = of.select("glyph_id", "y", F.size("vs").alias("w"), ink.alias("i")).select("glyph_id", "y", "w", F.size(F.filter("i", lambda v: v)).alias("k"), (F.get("i", 0).cast("int") + F.element_at("i", -1).cast("int")).alias("ends"), at(F.col("i")).alias("first"), (F.col("w") - at(F.reverse("i")) + 1).alias("last"))
+    some = lambda c: F.when(F.col("k") > 0, F.col(c))
+    width, height = F.max("w"), F.max("y") + 1
+    return d.groupBy("glyph_id").agg(
+        F.sum("k").alias("n"), F.sum("w").alias("size"), ((F.min_by("k", "y") + F.max_by("k", "y") + F.sum("ends")) / (2 * width + 2 * height)).alias("edge"), width.alias("width"), height.alias("height"),
+        ((F.max(some("last")) - F.min(some("first")) + 1) * (F.max(some("y")) - F.min(some("y")) + 1)).alias("box"))
 
 
 def binarized(of: Lines) -> Lines:
     """Ink of an enhanced picture by the best of two local thresholds and one for the whole picture."""
-    sized = of.join(sizes(of), "glyph_id")
-    means = staged(local_means(sized.select("glyph_id", "y", _block(BLOCKS).alias("block"), "vs"), F.col("block"), "block").drop("block"), "means")
-    found = [above_means(means, o) for o in OFFSETS] + [above_otsu(of)]
-    clean = [staged(without_small_parts(closed(smoothed(f), 3, 3), SPECKS).withColumn("candidate", F.lit(i)), "candidate") for i, f in enumerate(found)]
-    scores = [P.threshold_scores(pixels_of(c), F.col("v") > 0).withColumn("candidate", F.lit(i)) for i, c in enumerate(clean)]
+    of = staged(of, "enhanced")
+    block = lambda a: min(BLOCKS[2], max(BLOCKS[0], round(min(a.shape) * BLOCKS[1]) | 1))
+    local = lambda o: lambda a: _close(_smooth(np.where(a - _mean_around(a, block(a)) > -o, 255, 0)))
+    found = [each(of, local(o)) for o in OFFSETS] + [each(of, lambda a: _close(_smooth(_levels(a))))]
+    clean = [staged(without_small_parts(f, SPECKS).withColumn("candidate", F.lit(i)), "candidate") for i, f in enumerate(found)]
+    scores = [P.threshold_scored(measured(c), P.parts_of_runs(P.labelled_runs(runs_of(c)))).withColumn("candidate", F.lit(i)) for i, c in enumerate(clean)]
     best = P.best_thresholds(scores[0].unionByName(scores[1]).unionByName(scores[2]))
     return clean[0].unionByName(clean[1]).unionByName(clean[2]).join(best, ["glyph_id", "candidate"]).select("glyph_id", "y", "vs", "candidate")
 
 
 def dark_strokes(of: Lines) -> Lines:
     """Ink of a grey picture of dark strokes: what an elliptic closing fills."""
-    sized = of.join(sizes(of), "glyph_id").select("glyph_id", "y", _block(DARK_KERNEL).alias("k"), "vs")
-    full = closed_by_ellipse(sized, F.col("k"), "k").select("glyph_id", "y", F.col("vs").alias("full"))
-    hat = of.join(full, ["glyph_id", "y"]).select("glyph_id", "y", F.zip_with("full", "vs", lambda f, v: f - v).alias("vs"))
-    return without_small_parts(closed(smoothed(above_otsu(blurred(hat, 5))), 3, 3), DARK_SPECKS)
+    def hat(a: np.ndarray) -> np.ndarray:
+        k = min(DARK_KERNEL[2], max(DARK_KERNEL[0], round(min(a.shape) * DARK_KERNEL[1]) | 1))
+        return _under_ellipse(_under_ellipse(a, k, np.maximum), k, np.minimum) - a
+
+    return without_small_parts(each(of, lambda a: _close(_smooth(_levels(_blur(hat(a), 5))))), DARK_SPECKS)
 
 
 def canvas_strokes(of: Lines) -> Lines:
     """Ink of a grey canvas: darker than the whole picture's threshold."""
-    dark = above_otsu(blurred(of, 5)).withColumn("vs", F.transform("vs", lambda v: 255 - v))
-    return without_small_parts(closed(dark, 3, 3), SPECKS)
+    return without_small_parts(each(of, lambda a: _close(255 - _levels(_blur(a, 5)))), SPECKS)
 
 
 def one_character(of: Lines) -> Lines:
     """Ink of a character's largest part and of those that belong to it; one part or none stays as it is."""
-    runs = P.labelled_runs(P.row_runs(pixels_of(of), F.col("v") > 0))
+    of = staged(of, "mask")
+    runs = staged(P.labelled_runs(runs_of(of)), "parts")
     n = F.col("x1") - F.col("x0") + 1
     parts = runs.groupBy("glyph_id", "part").agg(
         F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum(n).alias("area"),
@@ -358,28 +450,32 @@ def one_character(of: Lines) -> Lines:
 
 def character_ink(of: Lines) -> Lines:
     """Ink of a character's ink map (light on dark) by the better of a threshold and local means."""
-    soft = blurred(of, 3)
-    found = [above_otsu(soft), above_means(local_means(soft, CHARACTER_BLOCK), OFFSETS[0])]
-    clean = [staged(one_character(opened(smoothed(f), 2, 2)).withColumn("candidate", F.lit(i)), "candidate") for i, f in enumerate(found)]
-    scores = [P.binary_scores(pixels_of(c), F.col("v") > 0).withColumn("candidate", F.lit(i)) for i, c in enumerate(clean)]
+    of = staged(of, "map")
+    own = lambda f: each(of, lambda a: _open(_smooth(f(_blur(a, 3))), 2))
+    found = [own(_levels), own(lambda a: np.where(a - _mean_around(a, CHARACTER_BLOCK) > -OFFSETS[0], 255, 0))]
+    clean = [staged(one_character(f).withColumn("candidate", F.lit(i)), "candidate") for i, f in enumerate(found)]
+    scores = [P.binary_scored(measured(c)).withColumn("candidate", F.lit(i)) for i, c in enumerate(clean)]
     every = sizes(of).select("glyph_id").withColumn("candidate", F.explode(F.array(F.lit(0), F.lit(1))))
     best = P.best_thresholds(every.join(scores[0].unionByName(scores[1]), ["glyph_id", "candidate"], "left"))
     return clean[0].unionByName(clean[1]).join(best, ["glyph_id", "candidate"]).select("glyph_id", "y", "vs", "candidate")
 
 
+def _strong(a: np.ndarray) -> np.ndarray:
+    two = lambda a, both: both(_shifted(a, -1, 0, 1, both), _shifted(a, -1, 0, 0, both))
+    healed = two(two(a, np.maximum), np.minimum)
+    y, x = np.nonzero(healed)
+    bw, bh = (np.ptp(x) + 1, np.ptp(y) + 1) if len(x) else (0, 0)
+    return two(healed, np.maximum) if min(bw, bh) >= 6 and len(x) / (bw * bh) < 0.20 else healed
+
+
 def strengthened(of: Lines) -> Lines:
     """Small breaks closed, and thin strokes widened, by a pixel to the left and above."""
-    def step(d: Lines, best: Callable, both: Callable) -> Lines:
-        above = F.lag("vs").over(Window.partitionBy("glyph_id").orderBy("y"))
-        return d.withColumn("above_", above).withColumn("vs", F.zip_with(slid(F.col("vs"), F.lit(-1), F.lit(0), best), F.coalesce("above_", "vs"), lambda a, b: both(a, b))).drop("above_")
-    healed = step(step(of, F.array_max, F.greatest), F.array_min, F.least)
-    thin = P.stroke_measures(pixels_of(healed), F.col("v") > 0).select("glyph_id", "thin")
-    d = step(healed.withColumn("own_", F.col("vs")), F.array_max, F.greatest).join(thin, "glyph_id")
-    return d.select("glyph_id", "y", F.when(F.col("thin"), F.col("vs")).otherwise(F.col("own_")).alias("vs"))
+    return each(of, _strong)
 
 
 def centred(of: Lines) -> Lines:
     """Characters of 28 x 28: the ink box resampled to the inner side, put in the middle, and moved by its centre of mass."""
+    of = staged(of, "characters")
     p = pixels_of(of)
     ink = F.col("v") > 0
     x, y = (F.when(ink, F.col(c)) for c in "xy")
@@ -392,10 +488,12 @@ def centred(of: Lines) -> Lines:
     tall = F.col("h") >= F.col("w")
     to = box.filter("n > 0").withColumn("inner", inner).withColumns({"nw": F.when(tall, other("w", "h")).otherwise(F.col("inner")), "nh": F.when(tall, F.col("inner")).otherwise(other("h", "w"))})
     keep = ("nw", "nh", "grows")
+    to = staged(to, "boxes")
     own = of.join(to, "glyph_id").filter("y >= y0 and y < y0 + h").select("glyph_id", (F.col("y") - F.col("y0")).cast("int").alias("y"), "nw", "nh", (F.greatest("nw", "nh") > F.greatest("w", "h")).alias("grows"), F.slice("vs", F.col("x0").cast("int") + 1, F.col("w")).alias("vs"))
     nw, nh = F.col("nw"), F.col("nh")
     scaled = stretched(own.filter("grows"), nw, nh, *keep).unionByName(resized(own.filter("not grows"), nw, nh, *keep))
     put = pixels_of(scaled, *keep).select("glyph_id", (F.col("y") + F.floor((SIDE - nh) / 2)).alias("y"), (F.col("x") + F.floor((SIDE - nw) / 2)).alias("x"), "v").filter("v > 0")
+    put = staged(put, "put")
     mass = put.groupBy("glyph_id").agg(*[F.bround(SIDE / 2 - F.sum(F.col("v") * F.col(c)) / F.sum("v")).cast("int").alias(f"d{c}") for c in "xy"])
     moved = put.join(mass, "glyph_id").select("glyph_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
     frame = of.select("glyph_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))

@@ -1,13 +1,16 @@
 """Pictures as pixel rows (glyph_id, y, x, v): ink, projections, boxes, densities, thresholds, components, features.
 
 A picture is a group; what looks at a picture's neighbours in a row or column is a window, and
-connected components are a fold over its runs of ink, so that small pictures don't leave the JVM.
+connected components are found by numpy in batches of pictures' runs of ink.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,17 +130,42 @@ def row_runs(pixels: DataFrame, ink: Column) -> DataFrame:
     return pixels.filter(ink).withColumn("isle", F.col("x") - F.row_number().over(order)).groupBy("glyph_id", "y", "isle").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("isle")
 
 
-#: Pictures of more runs have their parts found by numpy: the fold copies what it has for each run.
-FOLDED = 300
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of pictures that have ``most`` runs together, or of one that has more."""
+    end = np.cumsum(pc.list_value_length(batch.column("r")).to_numpy())
+    lo = 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+#: Runs whose parts are found at once; those of one picture always are.
+FOLDED = 1_000_000
 
 
 def labelled_runs(runs: DataFrame, corners: bool = True) -> DataFrame:
     """Runs with part: what hangs together in a picture, over ``corners`` too. Numbered by the part's first run.
 
-    Pictures of up to ``FOLDED`` runs are a fold in the JVM. Runs of larger ones are grouped by picture, whose parts cost little more than sorting them:
-    a task then holds one picture's runs, some sixty bytes each. Runs of one row don't overlap."""
-    own = runs.select("glyph_id", *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]).withColumn("n", F.count("*").over(_picture()))
-    return _folded(own.filter(F.col("n") <= FOLDED), int(corners)).unionByName(_grouped(own.filter(F.col("n") > FOLDED).drop("n"), int(corners)))
+    A picture's runs are one row, and the parts of a batch of pictures are found at once: they cost little more than sorting them. Runs of one row don't overlap."""
+    own = runs.groupBy("glyph_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]))).alias("r"))
+    reach, most = int(corners), FOLDED
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for whole in batches for piece in _pieces(whole, most)):
+            r = b.column("r").flatten()
+            if len(r):
+                n = pc.list_value_length(b.column("r")).to_numpy()
+                picture, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+                y, x0, x1 = (r.field(c).to_numpy() for c in ("y", "x0", "x1"))
+                # pictures lie below one another, two rows apart
+                low, high = np.minimum.reduceat(y, np.cumsum(n) - n).astype(np.int64), np.maximum.reduceat(y, np.cumsum(n) - n).astype(np.int64)
+                top = np.cumsum(high - low + 3) - (high - low + 3) - low
+                part = hanging_together(y + top[picture], x0, x1, reach) - first
+                yield pa.RecordBatch.from_arrays([b.column("glyph_id").take(pa.array(picture)), *[r.field(c) for c in ("y", "x0", "x1")], pa.array(part.astype(np.int32))], ["glyph_id", "y", "x0", "x1", "part"])
+
+    kinds = T.StructType([runs.schema["glyph_id"], *[T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1", "part")]])
+    return own.mapInArrow(labelled, kinds)
 
 
 def hanging_together(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
@@ -163,34 +191,15 @@ def hanging_together(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int)
             part = part[part]
 
 
-def _grouped(runs: DataFrame, reach: int) -> DataFrame:
-    def found(t: pa.Table) -> pa.Table:
-        y, x0, x1 = (t.column(c).to_numpy() for c in ("y", "x0", "x1"))
-        order = np.lexsort((x0, y))
-        part = hanging_together(y[order], x0[order], x1[order], reach)
-        return t.take(pa.array(order)).append_column("part", pa.array(part, pa.int32()))
-
-    return runs.groupBy("glyph_id").applyInArrow(found, T.StructType([*runs.schema.fields, T.StructField("part", T.IntegerType())]))
-
-
-def _folded(runs: DataFrame, reach: int) -> DataFrame:
-    g = runs.groupBy("glyph_id").agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("r"))
-
-    def step(acc: Column, r: Column) -> Column:
-        meets = F.filter(acc, lambda a: (a["y"] == r["y"] - 1) & (a["x0"] <= r["x1"] + reach) & (a["x1"] >= r["x0"] - reach))
-        parts = F.array_distinct(F.transform(meets, lambda a: a["part"]))
-        with_part = lambda a, part: F.struct(a["y"].alias("y"), a["x0"].alias("x0"), a["x1"].alias("x1"), part.cast("int").alias("part"))
-        named = lambda parts, own: F.when(F.size(parts) <= 1, acc).otherwise(F.transform(acc, lambda a: with_part(a, F.when(F.array_contains(parts, a["part"]), own).otherwise(a["part"]))))
-        return let([parts], lambda parts: let([parts, F.coalesce(F.array_min(parts), F.size(acc))], lambda parts, own: F.concat(named(parts, own), F.array(with_part(r, own)))))
-
-    out = F.aggregate("r", F.expr("cast(array() as array<struct<y:int,x0:int,x1:int,part:int>>)"), step)
-    return g.select("glyph_id", F.explode(out).alias("r")).select("glyph_id", "r.*")
-
-
 def parts_of(pixels: DataFrame, ink: Column, corners: bool = True) -> DataFrame:
     """(glyph_id, part, x, y, w, h, area, cx, cy): the connected parts of ``ink``."""
+    return parts_of_runs(labelled_runs(row_runs(pixels, ink), corners))
+
+
+def parts_of_runs(runs: DataFrame) -> DataFrame:
+    """The same of ``labelled_runs``."""
     n = F.col("x1") - F.col("x0") + 1
-    g = labelled_runs(row_runs(pixels, ink), corners).groupBy("glyph_id", "part").agg(
+    g = runs.groupBy("glyph_id", "part").agg(
         F.min("x0").alias("x"), F.min("y").alias("y"), F.max("x1").alias("r"), F.max("y").alias("b"), F.sum(n).alias("area"), F.sum(n * (F.col("x0") + F.col("x1")) / 2).alias("sx"), F.sum(n * F.col("y")).alias("sy"))
     return g.select("glyph_id", "part", "x", "y", (F.col("r") - F.col("x") + 1).alias("w"), (F.col("b") - F.col("y") + 1).alias("h"), "area", (F.col("sx") / F.col("area")).alias("cx"), (F.col("sy") / F.col("area")).alias("cy"))
 
@@ -257,8 +266,13 @@ def binary_scores(pixels: DataFrame, ink: Column) -> DataFrame:
     """(glyph_id, score): how well ``ink`` fits a character: a minority of the picture, off its frame, compact. Pictures without ink have none."""
     w = pixels.withColumns({"e": _edges(), "i": ink.cast("int")})
     x, y = (F.when(ink, F.col(c)) for c in "xy")
-    g = w.groupBy("glyph_id").agg(F.sum("i").alias("n"), F.count("*").alias("size"), (F.sum(F.col("e") * F.col("i")) / F.sum("e")).alias("edge"), ((F.max(x) - F.min(x) + 1) * (F.max(y) - F.min(y) + 1)).alias("box")).filter("n > 0")
-    return g.select("glyph_id", (-F.abs(F.col("n") / F.col("size") - 0.12) - F.col("edge") * 0.8 + F.least(F.col("n") / F.col("box"), F.lit(0.6)) * 0.18).alias("score"))
+    g = w.groupBy("glyph_id").agg(F.sum("i").alias("n"), F.count("*").alias("size"), (F.sum(F.col("e") * F.col("i")) / F.sum("e")).alias("edge"), ((F.max(x) - F.min(x) + 1) * (F.max(y) - F.min(y) + 1)).alias("box"))
+    return binary_scored(g)
+
+
+def binary_scored(measures: DataFrame) -> DataFrame:
+    """The same of (glyph_id, n, size, edge, box): pixels of ink and all, the frame's share of ink, the area of the ink's box."""
+    return measures.filter("n > 0").select("glyph_id", (-F.abs(F.col("n") / F.col("size") - 0.12) - F.col("edge") * 0.8 + F.least(F.col("n") / F.col("box"), F.lit(0.6)) * 0.18).alias("score"))
 
 
 # The score of a threshold of a whole picture.
@@ -267,10 +281,15 @@ THRESHOLD_SCORE = {"share": 0.15, "edge": 0.8, "noise_cap": 80, "noise": 0.01, "
 
 def threshold_scores(pixels: DataFrame, ink: Column) -> DataFrame:
     """(glyph_id, score) of a whole picture's ink by its share, frame, specks, lines and characters; null without ink."""
-    t = THRESHOLD_SCORE
     w = pixels.withColumns({"e": _edges(), "i": ink.cast("int")})
     whole = w.groupBy("glyph_id").agg(F.sum("i").alias("n"), F.count("*").alias("size"), (F.sum(F.col("e") * F.col("i")) / F.sum("e")).alias("edge"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    p = parts_of(pixels, ink).join(whole.select("glyph_id", "size", "width", "height"), "glyph_id")
+    return threshold_scored(whole, parts_of(pixels, ink))
+
+
+def threshold_scored(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same of pictures (glyph_id, n, size, edge, width, height) and their ``parts``."""
+    t = THRESHOLD_SCORE
+    p = parts.join(whole.select("glyph_id", "size", "width", "height"), "glyph_id")
     least = lambda pair, c: F.greatest(F.lit(pair[0]), F.floor(F.col(c) * pair[1]))
     counts = p.groupBy("glyph_id").agg(
         F.count_if(F.col("area") < F.greatest(F.lit(6), F.floor(F.col("size") * 0.00004))).alias("noise"),

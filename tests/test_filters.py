@@ -106,3 +106,10 @@ def test_only_pictures_of_28_by_28_are_taken_as_they_are(spark):
     got = {r.glyph_id: r.top for r in P.ink_map(colours(28).union(colours(30)), whole=False).filter("y = 3 and x = 11").select("glyph_id", F.col("v").alias("top")).collect()}
     assert got == {28: 250, 30: 5}
     assert {r.v for r in P.ink_map(colours(30)).filter("y = 3 and x = 11").collect()} == {250}
+
+
+def test_a_filter_shuffles_lines_once_and_no_pixels(characters):
+    df, _ = characters
+    for f in (filters.closed(df, 5, 5), filters.equalized(df), filters.strengthened(df)):
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
