@@ -233,7 +233,7 @@ def hole_counts(pixels: DataFrame, ink: Column) -> DataFrame:
     dots = runs.join(inner, ["glyph_id", "part"]).select("glyph_id", "part", "area", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     steps = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
     around = dots.select("glyph_id", "part", "area", steps.alias("p")).select("glyph_id", "part", "area", "p.*").distinct()
-    beside = around.join(dots.drop("area"), ["glyph_id", "part", "y", "x"], "left_anti").groupBy("glyph_id", "part", "area").agg(F.count("*").alias("beside"))
+    beside = around.join(dots.drop("area").hint("merge"), ["glyph_id", "part", "y", "x"], "left_anti").groupBy("glyph_id", "part", "area").agg(F.count("*").alias("beside"))
     n = beside.groupBy("glyph_id").agg(F.count_if(F.col("area") + F.col("beside") / 2 - 1 >= COUNTED).alias("n_holes"))
     return size.select("glyph_id").join(n, "glyph_id", "left").select("glyph_id", F.coalesce("n_holes", F.lit(0)).alias("n_holes"))
 
@@ -363,7 +363,7 @@ def glyph_features(pixels: DataFrame, ink: Column) -> DataFrame:
         share(middle("t", "ch")).alias("center_row"), share(middle("u", "cw")).alias("center_col"),
         (share(top & left) + share(bottom & right)).alias("diag_primary"), (share(top & right) + share(bottom & left)).alias("diag_secondary"))
     n = holes(pixels, ink).groupBy("glyph_id").agg(F.count("*").cast("int").alias("holes"))
-    return g.join(n, "glyph_id", "left").withColumn("holes", F.coalesce("holes", F.lit(0)))
+    return g.join(n.hint("merge"), "glyph_id", "left").withColumn("holes", F.coalesce("holes", F.lit(0)))
 
 
 def stroke_measures(pixels: DataFrame, ink: Column) -> DataFrame:

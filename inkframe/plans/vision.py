@@ -39,7 +39,7 @@ SELECT glyph_id, y, sum(whole*(x+1))::BIGINT AS whole, sum(one*(x+1))::BIGINT AS
 def ink_maps(spark, sf_dir):
     """Both ink maps, a checksum for each row of pixels."""
     c = _colours(spark, sf_dir)
-    row = lambda d, name: d.groupBy("glyph_id", "y").agg(F.sum(F.col("v") * (F.col("x") + 1)).alias(name))
+    row = lambda d, name: d.groupBy("glyph_id", "y").agg(F.sum(F.col("v") * (F.col("x") + 1)).alias(name)).hint("merge")
     return row(P.ink_map(c), "whole").join(row(P.ink_map(c, whole=False), "one"), ["glyph_id", "y"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task makes, about.
+DEALT = 500_000
+
+
+def dealt(rows: DataFrame, key: str, each: float = 1) -> DataFrame:
+    """``rows`` dealt by ``key`` to as many tasks as they need when each becomes ``each`` rows.
+
+    A small file is one task whatever its rows are made into, and Spark takes that for no larger than the file: without the hint, joins send
+    whole tables of pixels through the driver."""
+    parts = max(1, math.ceil(rows.count() * each / DEALT))
+    return rows.repartition(parts, key).hint("merge")
+
+
 def vocabulary_at(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in VOCABULARY]), (index + 1).cast("int"))
 
@@ -57,9 +72,14 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pictures(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """(glyph_id) of the suppliers' pictures of about ``each`` pixels."""
+    return dealt(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id")), "glyph_id", each)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(glyph_id, y, x, v): 28 x 28 pictures for the suppliers' keys, by formula."""
-    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
+    ids = _pictures(spark, sf_dir, 784)
     grid = ids.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(783))))
     y, x, g = F.floor(F.col("p") / 28), F.col("p") % 28, F.col("glyph_id")
     ink = (F.abs(x - 14) <= 2 + g % 5) & (y >= 3 + g % 4) & (y <= 24 - g % 3)
@@ -69,7 +89,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(glyph_id, y, x, v): ink maps of pages of some sizes for the suppliers' keys, by formula: strokes and ruled lines on uneven ground,
     every fourth one even and faint, every seventh one a screen of dots."""
-    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
+    ids = _pictures(spark, sf_dir, 3_500)
     g, x, y = F.col("glyph_id"), F.col("x"), F.col("y")
     grid = ids.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), 41 + g % 3 * 7))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), 59 + g % 4 * 8)))
     stroke = (F.abs((x + g) % 23 - 9 - F.floor(y / 9)) <= 1 + g % 2) & (y > 6) & (y < 36) & ((x * 5 + y * 3 + g) % 17 != 0)
@@ -82,7 +102,7 @@ def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def underlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(glyph_id, y, x, v): lines of characters on pages of some sizes for the suppliers' keys, by formula: rings, strokes and bars over an underline that
     touches them, lies apart, crosses the whole page or is absent, some joined to the next one, a second line on high pages, every eleventh page empty."""
-    ids = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("glyph_id"))
+    ids = _pictures(spark, sf_dir, 12_000)
     g, x, y = F.col("glyph_id"), F.col("x"), F.col("y")
     grid = ids.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), 47 + g % 3 * 26))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), 119 + g % 5 * 20)))
     row, cell, u = F.floor(y / 46), F.floor(x / 18), x % 18

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; the table goes when the driver ends.
 
-    A lost executor costs what it was writing. Only where that setting is absent is a folder of this machine taken."""
+    A lost executor costs what it was writing. Files of pixels and runs are packed far below what they hold, so Spark is asked not to
+    send such a table through the driver. Only where that setting is absent is a folder of this machine taken."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="inkframe-")
     place = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(place)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(place)
+    return spark.read.schema(df.schema).parquet(place).hint("merge")
