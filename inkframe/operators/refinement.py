@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import shapes as S
 from ..functions.columns import let
+from ..sources.staged import staged
 from .context import bonus, corrected, step
 from .lines import line_scores
 
@@ -50,8 +51,9 @@ def _set(item: Column, **values: Column) -> Column:
 
 
 def median(values: Column) -> Column:
+    """Null of no values."""
     s, n = F.sort_array(values), F.size(values)
-    return (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2.0
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
 def area(g: Column) -> Column:
@@ -199,7 +201,7 @@ def main_line(items: Column) -> Column:
         groups = F.filter(first_fit(core, F.greatest(F.lit(28.0), mh * 0.65)), lambda t: t["n"] >= 3)
         score = lambda t: t["n"] * 1000.0 + F.aggregate(t["items"], F.lit(0.0), lambda a, g: a + area(g)) - F.array_min(F.transform(t["items"], center_y))
         # the first of equally good rows
-        best = F.element_at(F.array_sort(F.transform(groups, lambda t, k: F.struct((-score(t)).alias("minus"), k.alias("k"), (t["total"] / t["n"]).alias("c")))), 1)["c"]
+        best = F.get(F.array_sort(F.transform(groups, lambda t, k: F.struct((-score(t)).alias("minus"), k.alias("k"), (t["total"] / t["n"]).alias("c")))), 0)["c"]
         near = let([best], lambda c: F.filter(all_, lambda g: F.abs(center_y(g) - c) <= F.greatest(F.lit(40.0), mh * 0.85)))
         one = (F.size(core) < 3) | (spread <= F.greatest(F.lit(120.0), mh * 1.65)) | (F.size(groups) <= 1)
         return F.when(one, all_).otherwise(F.when(F.size(near) > 0, near).otherwise(all_))
@@ -501,7 +503,7 @@ def refine_images(glyphs: DataFrame, together: DataFrame | None = None) -> DataF
     found = let([F.col("items")], lambda i: F.transform(first_fit(i, F.greatest(F.lit(60.0), median_height(i) * 1.25)), lambda t: t["items"]))
     each = g.select("image_id", "together", F.posexplode(let([found, F.col("items")], ordered)).alias("line", "items"))
     source = each.withColumn("source", F.col("items"))
-    done = refine(in_context(source)).filter(F.size("items") > 0)
+    done = staged(refine(in_context(source)).filter(F.size("items") > 0), "refined")  # read for the scores too
     score = scored_lines(done)
     by_image = Window.partitionBy("image_id")
     kept = score.withColumn("best", F.max("score").over(by_image)).withColumn("n_lines", F.count("*").over(by_image))

@@ -56,7 +56,8 @@ def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = {m: (F.element_at(F.array(*[F.lit(v) for v in values]), (k % 9 + 1).cast("int")) + (k * STEPS[m] % 11 - 5) / 50.0).cast("double") for m, values in TEMPLATES.items()}
     entry = lambda c, p: F.struct(c.alias("char"), p.alias("conf"))
     top = F.array(entry(F.lit("/"), share(11)), entry(D.vocabulary_at(k % 16), share(29)), entry(F.lit("("), share(17, 30)))
-    return D.read(spark, sf_dir, "orders").select(
+    # a glyph's lists and folds cost as much as some tens of plain rows
+    return D.dealt(D.read(spark, sf_dir, "orders"), "o_custkey", 25).select(
         F.col("o_custkey").alias("image_id"), k.alias("glyph_id"), (k * 37 % 960).alias("x"), (k % 23).alias("y"), (4 + k * 13 % 40).alias("w"), (6 + k * 17 % 60).alias("h"), D.vocabulary_at(k * 5 % 16).alias("char"), (k * 101 % 1000 / 1000.0).cast("double").alias("conf"),
         D.vocabulary_at(k * 7 % 16).alias("raw_char"), (k * 53 % 1000 / 1000.0).cast("double").alias("raw_conf"), *[v.alias(m) for m, v in near.items()], F.when(k % 9 == 8, k % 4).otherwise(0).cast("double").alias("holes"),
         F.when(k % 9 == 3, 3 + k % 5).otherwise(12 + k % 12).cast("double").alias("content_h"), (5 + k % 14).cast("double").alias("content_w"), F.when(k % 5 == 0, F.array().cast("array<struct<char:string,conf:double>>")).otherwise(top).alias("top_k"))
