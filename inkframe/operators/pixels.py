@@ -125,9 +125,18 @@ def coloured(colours: DataFrame) -> DataFrame:
 # --- runs and components
 
 def row_runs(pixels: DataFrame, ink: Column) -> DataFrame:
-    """(glyph_id, y, x0, x1) of the runs of ``ink`` pixels in each row, x1 the last one."""
-    order = Window.partitionBy("glyph_id", "y").orderBy("x")
-    return pixels.filter(ink).withColumn("isle", F.col("x") - F.row_number().over(order)).groupBy("glyph_id", "y", "isle").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("isle")
+    """(glyph_id, y, x0, x1) of the runs of ``ink`` pixels in each row, x1 the last one.
+
+    A row's places are gathered and cut where one is missing: no pixel is sorted among all others, and no filter on ``ink`` moves into
+    what the pixels are made by."""
+    rows = pixels.groupBy("glyph_id", "y").agg(F.sort_array(F.collect_list(F.when(ink, F.col("x")))).alias("xs"))
+    return rows.select("glyph_id", "y", F.inline(runs_in("xs")))
+
+
+def runs_in(places: str) -> Column:
+    """[(x0, x1)] of the runs in a sorted list of places."""
+    ends = lambda d: F.filter(places, lambda x, k: F.coalesce(F.get(places, k + d) != x + d, F.lit(True)))
+    return F.arrays_zip(ends(-1).alias("x0"), ends(1).alias("x1"))
 
 
 def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -44,8 +44,24 @@ def _marked(pixels: DataFrame, ink: Column) -> DataFrame:
     return pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(ink, F.lit(False)).alias("i"))
 
 
-def _frames(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+def _runs(marked: DataFrame) -> DataFrame:
+    """(image_id, y, x0, x1, i): the runs of ink and of ground in pictures (image_id, y, x, i), by one look at the pixels."""
+    places = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("x"))))
+    rows = marked.groupBy("image_id", "y").agg(places(F.col("i")).alias("ink"), places(~F.col("i")).alias("ground"))
+    own = lambda c, i: F.transform(P.runs_in(c), lambda r: F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"), F.lit(i).alias("i")))
+    return staged(rows.select("image_id", "y", F.inline(F.concat(own("ink", True), own("ground", False)))), "runs")
+
+
+def _frames(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("image_id").agg((F.max("x1") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def _inside(runs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``splitting.inside`` of runs: (glyph_id, y, x, i)."""
+    b = boxes.select("glyph_id", "image_id", *[F.col(c).alias(f"b{c}") for c in "xywh"])
+    met = runs.join(b, "image_id").filter("y >= by and y < by + bh and x1 >= bx and x0 < bx + bw")
+    x = F.explode(F.sequence(F.greatest("x0", "bx") - F.col("bx"), F.least(F.col("x1"), F.col("bx") + F.col("bw") - 1) - F.col("bx")))
+    return met.select("glyph_id", (F.col("y") - F.col("by")).alias("y"), x.alias("x"), "i")
 
 
 def outlines(marked: DataFrame) -> DataFrame:
@@ -53,14 +69,19 @@ def outlines(marked: DataFrame) -> DataFrame:
 
     What an outline shuts in belongs to it, so ink within a hole has none of its own. The area is that of the polygon through the outline's pixels: each two
     runs that overlap in neighbouring rows add the squares between them, and half a square at each end that only one of them goes beyond."""
-    own = marked.withColumnRenamed("image_id", "glyph_id")
-    size = _frames(marked).withColumnRenamed("image_id", "glyph_id")
+    return _outlines(_runs(marked))
+
+
+def _outlines(of: DataFrame) -> DataFrame:
+    """The same of ``_runs``."""
+    own = of.withColumnRenamed("image_id", "glyph_id")
+    size = _frames(of).withColumnRenamed("image_id", "glyph_id")
     places = ["glyph_id", "y", "x0", "x1"]
     runs = lambda d: d.select("glyph_id", *[F.col(c).cast("int").alias(c) for c in places[1:]])
-    ground = P.labelled_runs(P.row_runs(own, ~F.col("i")), corners=False)
+    ground = staged(P.labelled_runs(own.filter(~F.col("i")), corners=False), "ground")
     g = ground.groupBy("glyph_id", "part").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y").alias("top"), F.max("y").alias("end")).join(size, "glyph_id")
     shut = g.filter("left > 0 and top > 0 and right < width - 1 and end < height - 1").select("glyph_id", "part")
-    filled = masks.merged(runs(P.row_runs(own, F.col("i"))).unionByName(runs(ground.join(shut, ["glyph_id", "part"]))))
+    filled = masks.merged(runs(own.filter("i")).unionByName(runs(ground.join(shut, ["glyph_id", "part"]))))
     parts = staged(P.labelled_runs(filled), "outlines")
     over = parts.select("glyph_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     met = parts.join(over, ["glyph_id", "y"]).filter("a0 <= x1 and a1 >= x0")
@@ -81,8 +102,8 @@ def _components(found: DataFrame, frames: DataFrame) -> DataFrame:
 
 def components(pixels: DataFrame, ink: Column) -> DataFrame:
     """(image_id, glyph_id, x, y, w, h): boxes of outlines of some area that are not the page's frame."""
-    marked = _marked(pixels, ink)
-    return _components(outlines(marked), _frames(marked))
+    runs = _runs(_marked(pixels, ink))
+    return _components(_outlines(runs), _frames(runs))
 
 
 def _healed(marked: DataFrame) -> DataFrame:
@@ -94,10 +115,10 @@ def _healed(marked: DataFrame) -> DataFrame:
     return grown.withColumn("i", F.col("i") & before("i", "y", "x", True) & before("i", "x", "y", True))
 
 
-def _blobs(marked: DataFrame, found: DataFrame, frames: DataFrame) -> DataFrame:
+def _blobs(runs: DataFrame, found: DataFrame, frames: DataFrame) -> DataFrame:
     big = found.join(frames, "image_id").filter((F.col("w") >= _least(BLOB["w"], "width")) & (F.col("h") >= _least(BLOB["h"], "height")) & (F.col("w") >= F.greatest(F.col("h") * BLOB_ASPECT[0], F.lit(float(BLOB_ASPECT[1])))))
     named = staged(big.select(F.struct("image_id", "part").alias("glyph_id"), "image_id", *"xywh"), "blobs")
-    own = staged(splitting.inside(marked, named), "blob_pixels")
+    own = staged(_inside(runs, named), "blob_pixels")
     span = F.when(F.col("mx") + 1 >= LONG, LINE["span"][0]).otherwise(LINE["span"][1])
     lines = staged(masks.ruled_lines(masks.row_runs(own, F.col("i")), lower=True, span=span, gap=LINE["gap"], height=LINE["height"]), "lines")
     ruled = masks.pixels_of(lines).withColumn("on_line", F.lit(True))
@@ -123,26 +144,31 @@ def blobs_on_lines(pixels: DataFrame, ink: Column) -> DataFrame:
     """(image_id, glyph_id, x, y, w, h): what wide blobs hold when the line in their lower part is taken away, wide boxes split.
 
     A blob without a line among its runs gives nothing: slanted lines are not looked for."""
-    marked = staged(_marked(pixels, ink), "marked")
-    return _blobs(marked, staged(outlines(marked), "found"), _frames(marked))
+    runs = _runs(_marked(pixels, ink))
+    return _blobs(runs, staged(_outlines(runs), "found"), _frames(runs))
 
 
-def _recovered(marked: DataFrame) -> DataFrame:
-    found, frames = staged(outlines(marked), "found"), staged(_frames(marked), "frames")
-    return B.added_clear(_components(found, frames), _blobs(marked, found, frames))
+def _recovered(runs: DataFrame) -> DataFrame:
+    found, frames = staged(_outlines(runs), "found"), staged(_frames(runs), "frames")
+    return B.added_clear(_components(found, frames), _blobs(runs, found, frames))
 
 
 def components_with_blobs(pixels: DataFrame, ink: Column) -> DataFrame:
     """``components``, and those of ``blobs_on_lines`` that overlap none kept so far, from left to right."""
-    return _recovered(staged(_marked(pixels, ink), "marked"))
+    return _recovered(_runs(_marked(pixels, ink)))
 
 
 def density_bands(marked: DataFrame) -> DataFrame:
     """(image_id, k, y0, y1, height): stretches of rows whose smoothed ink is dense for their picture (image_id, y, x, i), y1 the row after them.
 
     Rows outside a picture count as empty. Sums are whole numbers up to the last step, so reruns agree. A stretch that ends before the picture does must be of some height."""
+    return _bands(marked.groupBy("image_id", "y").agg(F.count_if("i").alias("n")))
+
+
+def _bands(inked: DataFrame) -> DataFrame:
+    """The same of rows (image_id, y, n) with their ink."""
     order = Window.partitionBy("image_id").orderBy("y")
-    rows = marked.groupBy("image_id", "y").agg(F.count_if("i").alias("n")).withColumn("up", F.sum("n").over(order))
+    rows = inked.withColumn("up", F.sum("n").over(order))
     g = rows.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "up"))), lambda p: p["up"]).alias("ups")).withColumn("height", F.size("ups"))
     g = g.filter(F.col("height") >= BAND["kernel"]).withColumn("kernel", F.greatest(F.lit(BAND["kernel"]), F.floor(F.col("height") / BAND["step"]).cast("int") * 2 + 1))
     half = F.floor(F.col("kernel") / 2).cast("int")
@@ -159,10 +185,10 @@ def density_bands(marked: DataFrame) -> DataFrame:
     return some.select("image_id", F.row_number().over(Window.partitionBy("image_id").orderBy("y0")).alias("k"), "y0", "y1", "height")
 
 
-def proposals(marked: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(image_id, ord, x0, y0, x1, y1): regions of pictures (image_id, y, x, i) that may hold an expression, each once, in this order: around all
+def proposals(runs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(image_id, ord, x0, y0, x1, y1): regions of pictures, given as ``_runs``, that may hold an expression, each once, in this order: around all
     characters among ``boxes`` (image_id, glyph_id, x, y, w, h), around each row of them, dense bands, rows and bands that are near joined, the whole picture."""
-    frames = staged(_frames(marked), "frames")
+    frames = staged(_frames(runs), "frames")
     c, b, over = CHARACTER, Box(), Window.partitionBy("image_id")
     d = boxes.join(frames, "image_id").withColumns({"mw": F.median("w").over(over), "mh": F.median("h").over(over)})
     width, height, area = F.col("width"), F.col("height"), F.col("w") * F.col("h")
@@ -190,7 +216,8 @@ def proposals(marked: DataFrame, boxes: DataFrame) -> DataFrame:
 
     rows = around(["line"], ROW_PAD, ROW_PAD).filter((F.col("x1") - F.col("x0") >= _least(REGION[0], width)) & (F.col("y1") - F.col("y0") >= _least(REGION[1], height)))
     sizes = rowed.groupBy("image_id").agg(F.first("mh").alias("mh"), F.first("width").alias("width"))
-    bands = density_bands(marked).join(sizes, "image_id")
+    inked = runs.groupBy("image_id", "y").agg(F.sum(F.when(F.col("i"), F.col("x1") - F.col("x0") + 1).otherwise(0)).alias("n"))
+    bands = _bands(inked).join(sizes, "image_id")
     pad = F.greatest(F.lit(BAND["pad"]), F.floor("mh"))
     bands = bands.select("image_id", "k", F.lit(0).alias("x0"), F.greatest(F.lit(0), F.col("y0") - pad).alias("y0"), F.col("width").alias("x1"), F.least(height, F.col("y1") + pad).alias("y1"))
     parts = staged(kind(rows, 1, "line").unionByName(kind(bands, 2)), "regions")
@@ -206,5 +233,5 @@ def proposals(marked: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def proposed_regions(pixels: DataFrame, ink: Column) -> DataFrame:
     """``proposals`` of whole pictures by their ``components_with_blobs``."""
-    marked = staged(_marked(pixels, ink), "marked")
-    return proposals(marked, staged(_recovered(marked), "recovered"))
+    runs = _runs(_marked(pixels, ink))
+    return proposals(runs, staged(_recovered(runs), "recovered"))
