@@ -460,7 +460,8 @@ def row_reach(spark, sf_dir):
 # --- training pictures
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"))
+    # six pictures a number, a digest for each of their pixels
+    return D.dealt(D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number")), "number", 20_000)
 
 
 _U = lambda name: f"(('0x' || substr(md5('42:' || symbol || ':' || number || ':{name}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
