@@ -2,17 +2,22 @@
 
 Which glyphs are neighbours in a line is known only once small ones have gone, so all pairs are measured that may become halves of one
 digit: near, level with each other and narrow together, by bounds that the tests of a line can only tighten. Pairs meet in strips of
-an image as wide as two halves may be, and their pictures join them afterwards. A glyph's picture is a list of lines, and so is that of a pair.
+an image as wide as two halves may be, and their pictures join them afterwards. A glyph's picture is a row of bytes; a pair's is an array inside its task.
 
 Defined results: a glyph without a picture is in no pair; one without ink counts as its whole picture; where halves overlap, ink of either counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import let
 from . import pixels as P
 from . import refinement as R
 
@@ -20,23 +25,54 @@ from . import refinement as R
 HEIGHT, GAP, WIDTH, RATIO, OVERLAP = (84.0, 0.92), (8.0, 0.18), (60.0, 0.72), 1.15, 0.32
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels (image_id, place, y, x, i) of one picture that follow one another, as one row: places and ink as bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k) for k in ("image_id", "place")]
+        same = [pc.fill_null(pc.equal(k.slice(1), k.slice(0, len(k) - 1)), False).to_numpy(zero_copy_only=False) for k in keys]
+        a = np.concatenate(([0], np.flatnonzero(~(same[0] & same[1])) + 1))
+        whole = np.stack([batch.column(c).to_numpy().astype(np.int32) for c in ("y", "x", "i")], 1)
+        rows = [r.tobytes() for r in np.split(whole, a[1:])]
+        yield pa.RecordBatch.from_arrays([*[k.take(pa.array(a)) for k in keys], pa.array(rows, pa.binary())], ["image_id", "place", "dots"])
+
+
+def _cropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ink box of each picture, of all its packed rows."""
+    for batch in batches:
+        dots, wide = [], []
+        for parts in batch.column("dots").to_pylist():
+            y, x, i = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 3).T
+            ink = np.flatnonzero(i)
+            if not len(ink):
+                w, crop = int(x.max() - x.min()) + 1, np.zeros((int(x.max() - x.min()) + 1) * (int(y.max() - y.min()) + 1), np.uint8)
+            else:
+                y, x = y[ink], x[ink]
+                y, x = y - y.min(), x - x.min()
+                w = int(x.max()) + 1
+                crop = np.zeros((int(y.max()) + 1) * w, np.uint8)
+                crop[y * w + x] = 1
+            dots.append(crop.tobytes())
+            wide.append(w)
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("place"), pa.array(dots, pa.binary()), pa.array(wide, pa.int32())], ["image_id", "place", "dots", "wide"])
+
+
 def crops(pictures: DataFrame) -> DataFrame:
-    """(image_id, place, crop): the ink box of each glyph's picture (image_id, place, y, x, v) as lines of 0 and 1."""
-    key = ["image_id", "place"]
-    lines = pictures.groupBy(*key, "y").agg(F.array_sort(F.collect_list(F.struct("x", (F.col("v") > 0).cast("int").alias("i")))).alias("l"))
-    whole = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("y", F.transform("l", lambda p: p["i"]).alias("r")))).alias("p")).withColumn("p", F.transform("p", lambda p: p["r"]))
-    span = lambda a: F.struct((F.array_position(a, 1) - 1).cast("int").alias("first"), (F.size(a) - F.array_position(F.reverse(a), 1) + 1).cast("int").alias("end"))
-    rows = F.transform("p", lambda r: F.array_max(r))
-    columns = F.aggregate("p", F.transform(F.get("p", 0), lambda v: F.lit(0)), lambda a, r: F.zip_with(a, r, lambda u, v: F.greatest(u, v)))
-    cut = let([F.col("p"), span(rows), span(columns)], lambda p, y, x: F.transform(F.slice(p, y["first"] + 1, y["end"] - y["first"]), lambda r: F.slice(r, x["first"] + 1, x["end"] - x["first"])))
-    return whole.select(*key, F.when(F.array_max(rows) == 1, cut).otherwise(F.col("p")).alias("crop"))
+    """(image_id, place, dots, wide): the ink box of each glyph's picture (image_id, place, y, x, v), a byte of 0 or 1 for each dot, line by line.
+
+    Pixels are packed where they are, so a picture is one row, or few, before it travels; a pixel that is missing is ground."""
+    ink = F.coalesce(F.col("v") > 0, F.lit(False)).cast("int").alias("i")
+    key = [T.StructField(k, pictures.schema[k].dataType) for k in ("image_id", "place")]
+    packed = pictures.select("image_id", "place", "y", "x", ink).filter("image_id is not null and place is not null and y is not null and x is not null").mapInArrow(_packed, T.StructType([*key, T.StructField("dots", T.BinaryType())]))
+    whole = packed.groupBy("image_id", "place").agg(F.collect_list("dots").alias("dots"))
+    return whole.mapInArrow(_cropped, T.StructType([*key, T.StructField("dots", T.BinaryType()), T.StructField("wide", T.IntegerType())]))
 
 
 def pairs(glyphs: DataFrame) -> DataFrame:
     """(image_id, left, right, ax, ay, aw, ah, bx, by, bw, bh): glyphs (image_id, place, x, y, w, h) that may be halves of one digit."""
-    top = glyphs.groupBy("image_id").agg(F.max("h").alias("top"))
     most = lambda c: F.greatest(F.lit(c[0]), F.col("top") * c[1])
-    g = glyphs.join(top, "image_id").filter(F.col("h") <= most(HEIGHT)).withColumn("strip", F.floor(F.col("x") / most(WIDTH)))
+    g = glyphs.withColumn("top", F.max("h").over(Window.partitionBy("image_id"))).filter(F.col("h") <= most(HEIGHT)).withColumn("strip", F.floor(F.col("x") / most(WIDTH)))
     named = lambda p, place: [F.col("place").alias(place), *[F.col(c).alias(p + c) for c in "xywh"]]
     a = g.select("image_id", "top", *named("a", "left"), F.explode(F.array("strip", F.col("strip") + 1)).alias("strip"))
     b = g.select("image_id", "strip", *named("b", "right"))
@@ -47,35 +83,114 @@ def pairs(glyphs: DataFrame) -> DataFrame:
     return a.join(b, ["image_id", "strip"]).filter(fits).drop("strip", "top")
 
 
-def pasted(left: Column, right: Column) -> Column:
-    """The lines of both crops in their boxes (columns ax to bh), each stretched to its box by its nearest pixels."""
-    c = F.col
-    x0, y0 = F.least("ax", "bx"), F.least("ay", "by")
-    w, h = F.greatest(c("ax") + c("aw"), c("bx") + c("bw")) - x0, F.greatest(c("ay") + c("ah"), c("by") + c("bh")) - y0
-
-    def source(at: Column, size: Column, of: Column) -> Column:
-        return F.least(of - 1, F.floor(at * (1.0 / (size / of))).cast("int"))
-
-    def dot(crop: Column, p: str, y: Column, x: Column) -> Column:
-        u, v = x - (c(f"{p}x") - x0), y - (c(f"{p}y") - y0)
-        inside = (u >= 0) & (u < c(f"{p}w")) & (v >= 0) & (v < c(f"{p}h"))
-        return F.when(inside, F.get(F.get(crop, source(v, c(f"{p}h"), F.size(crop))), source(u, c(f"{p}w"), F.size(F.get(crop, 0))))).otherwise(0)
-
-    places = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
-    return let([left, right], lambda a, b: F.transform(places(h), lambda y: F.transform(places(w), lambda x: F.greatest(dot(a, "a", y, x), dot(b, "b", y, x)))))
+#: Pixels of pasted pictures that a task holds at a time, or those of one.
+HELD = 2_000_000
+
+
+def _pasted(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, dots: list[list[bytes]], wide: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Pictures of ``size`` (height, width) with the ink of both crops in their boxes, stretched to them by their nearest pixels.
+
+    All but size and dots have a line for the left crop and one for the right; places are counted from the picture's corner."""
+    out = np.zeros((x.shape[1], *size), bool)
+    for k, own in enumerate(dots):
+        n = np.array([len(d) for d in own])
+        flat = np.concatenate([np.zeros(1, bool), *[np.frombuffer(d, bool) for d in own]])
+        first = 1 + np.cumsum(n) - n
+
+        def source(at: np.ndarray, length: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """Where in a crop each place comes from; far below 0 outside its box."""
+            near = np.minimum(of[:, None] - 1, np.floor(at * (1.0 / (length / of))[:, None]).astype(np.int64))
+            return np.where((at >= 0) & (at < length[:, None]), near, -(1 << 40))
+
+        high = n // wide[k]
+        rows = source(np.arange(size[0]) - y[k][:, None], h[k], high) * wide[k][:, None] + first[:, None]
+        columns = source(np.arange(size[1]) - x[k][:, None], w[k], wide[k])
+        out |= np.take(flat, rows[:, :, None] + columns[:, None, :], mode="clip")
+    return out
+
+
+def _shares(ink: np.ndarray, w: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
+    """``pixels.glyph_features`` of pictures w wide and h high but for their holes, by running sums over rows and columns."""
+    sums = np.zeros((len(ink), ink.shape[1] + 1, ink.shape[2] + 1), np.int32)
+    np.cumsum(np.cumsum(ink, 1, dtype=np.int32), 2, out=sums[:, 1:, 1:])
+    rows, columns = ink.any(2), ink.any(1)
+    some, each = rows.any(1), np.arange(len(ink))
+    first = lambda of: np.where(some, of.argmax(1), 0)
+    last = lambda of, whole: np.where(some, of.shape[1] - of[:, ::-1].argmax(1), whole)
+    x0, y0 = first(columns), first(rows)
+    cw, ch = last(columns, w) - x0, last(rows, h) - y0
+
+    def share(x: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+        (x, x_end), (y, y_end) = ((np.maximum(a, 0), np.minimum(b, n)) for a, b, n in ((x, x_end, cw), (y, y_end, ch)))
+        at = lambda y, x: sums[each, y0 + y, x0 + x]
+        area = np.maximum(x_end - x, 0) * np.maximum(y_end - y, 0)
+        x_end, y_end = np.maximum(x_end, x), np.maximum(y_end, y)
+        return np.divide(at(y_end, x_end) - at(y, x_end) - at(y_end, x) + at(y, x), area, out=np.zeros(len(ink)), where=area > 0)
+
+    part = lambda n, d: np.maximum(1, n // d)
+    u, v, s, t, none = part(cw, 2), part(ch, 2), part(cw, 3), part(ch, 3), np.zeros_like(cw)
+    return {
+        "content_w": cw, "content_h": ch, "aspect": cw / ch, "fill": share(none, cw, none, ch), "left": share(none, u, none, ch), "right": share(cw - u, cw, none, ch), "top": share(none, cw, none, v), "bottom": share(none, cw, ch - v, ch),
+        "center": share(s, cw - s, t, ch - t), "center_row": share(none, cw, ch // 2 - 1, ch // 2 + 2), "center_col": share(cw // 2 - 1, cw // 2 + 2, none, ch),
+        "diag_primary": share(none, u, none, v) + share(cw - u, cw, ch - v, ch), "diag_secondary": share(cw - u, cw, none, v) + share(none, u, ch - v, ch)}
+
+
+def _holes(ink: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many parts of each picture's ground, corners apart, lie off its frame; the parts of all are found at once."""
+    n, high, width = ink.shape
+    ground = np.zeros((n, high, width + 1), bool)  # no run goes on in the next row
+    ground[:, :, :-1] = ~ink & (np.arange(high) < h[:, None])[:, :, None] & (np.arange(width) < w[:, None])[:, None, :]
+    flat = np.concatenate(([False], ground.ravel()))
+    ends = np.flatnonzero(flat[1:] != flat[:-1])
+    start, end = ends[::2], ends[1::2] - 1
+    if not len(start):
+        return np.zeros(n, np.int64)
+    row, x0 = np.divmod(start, width + 1)
+    of, y = np.divmod(row, high)
+    x1 = x0 + end - start
+    part = P.hanging_together(row + of, x0, x1, 0)  # a row between pictures
+    shut = part == np.arange(len(part))
+    shut[part[(y == 0) | (y == h[of] - 1) | (x0 == 0) | (x1 == w[of] - 1)]] = False
+    return np.bincount(of[shut], minlength=n)
+
+
+def _pieces(w: np.ndarray, h: np.ndarray) -> Iterator[slice]:
+    """Pictures that fit into ``HELD`` pixels when all are as large as the largest, or one that does not."""
+    lo = 0
+    while lo < len(w):
+        n = np.arange(1, len(w) - lo + 1)
+        fits = n * np.maximum.accumulate(w[lo:]) * np.maximum.accumulate(h[lo:]) <= HELD
+        hi = lo + max(1, int(fits.sum()))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs with both crops to their measures."""
+    keys = ["image_id", "left", "right"]
+    for batch in batches:
+        x, y, w, h = (np.stack([batch.column(p + c).to_numpy().astype(np.int64) for p in "ab"]) for c in "xywh")
+        wide = np.stack([batch.column(p + "_wide").to_numpy().astype(np.int64) for p in "ab"])
+        x, y = x - x.min(0), y - y.min(0)
+        width, high = (x + w).max(0), (y + h).max(0)
+        for at in _pieces(width, high):
+            own, (cw, ch) = batch.slice(at.start, at.stop - at.start), (width[at], high[at])
+            ink = _pasted(*[c[:, at] for c in (x, y, w, h)], [own.column(p + "_dots").to_pylist() for p in "ab"], wide[:, at], (int(ch.max()), int(cw.max())))
+            found = _shares(ink, cw, ch) | {"holes": _holes(ink, cw, ch)}
+            f = pa.StructArray.from_arrays([pa.array(found[m].astype(np.float64)) for m in R.MEASURES], list(R.MEASURES))
+            yield pa.RecordBatch.from_arrays([*[own.column(k) for k in keys], f], [*keys, "f"])
 
 
 def together(glyphs: DataFrame, pictures: DataFrame) -> DataFrame:
     """(image_id, left, right, f): the measures of all pairs that may be halves, for ``refine_images``.
 
-    glyphs: (image_id, place, x, y, w, h), boxes at least a pixel wide and high; pictures: (image_id, place, y, x, v), ink where v > 0."""
+    glyphs: (image_id, place, x, y, w, h), boxes at least a pixel wide and high; pictures: (image_id, place, y, x, v), ink where v > 0.
+    A pair's picture is made and measured in the task that has the pair: no row for a pixel."""
     crop = crops(pictures)
-    side = lambda name, at: crop.withColumnsRenamed({"place": at, "crop": name})
-    both = pairs(glyphs).join(side("a_crop", "left"), ["image_id", "left"]).join(side("b_crop", "right"), ["image_id", "right"])
-    canvas = both.select(F.struct("image_id", "left", "right").alias("glyph_id"), F.posexplode(pasted(F.col("a_crop"), F.col("b_crop"))).alias("y", "r"))
-    dots = canvas.select("glyph_id", F.col("y").cast("long").alias("y"), F.posexplode("r").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
-    f = P.glyph_features(dots, F.col("v") > 0)
-    return f.select("glyph_id.*", F.struct(*[F.col(m).cast("double").alias(m) for m in R.MEASURES]).alias("f"))
+    side = lambda p, at: crop.withColumnsRenamed({"place": at, "dots": f"{p}_dots", "wide": f"{p}_wide"})
+    both = pairs(glyphs).join(side("a", "left"), ["image_id", "left"]).join(side("b", "right"), ["image_id", "right"])
+    measures = T.StructType([T.StructField(m, T.DoubleType()) for m in R.MEASURES])
+    return both.mapInArrow(_measured, T.StructType([*[T.StructField(k, both.schema[k].dataType) for k in ("image_id", "left", "right")], T.StructField("f", measures)]))
 
 
 def refine_pictures(glyphs: DataFrame, pictures: DataFrame) -> DataFrame:
