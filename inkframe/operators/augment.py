@@ -10,6 +10,7 @@ a copy that comes out in one shade is empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ OTHER = (10.0, 0.90, 1.10, 0.08, 2.0, 6.0)
 SHIFT, CHANGED, WIDER, BLURRED, SOFT, INNER = 3, 0.35, 0.5, 0.18, (27, 202, 27), 20
 #: Parts of a training set whose rows are augmented.
 MADE = ("target", "feedback_more", "hard_more")
+#: Copies that a task makes, about.
+COPIES = 200
 
 
 def draws(copies: DataFrame, key: Sequence[str], seed: str = "42") -> DataFrame:
@@ -151,4 +154,6 @@ def training_pictures(rows: DataFrame, pictures: filters.Lines, seed: str = "42"
     both = rows.select(*key, "label").join(whole, "id")
     made = F.col("part").isin(*MADE)
     plain = both.filter(~made).select(*key, F.posexplode("picture").alias("y", "vs"))
-    return plain.unionByName(augmented(both.filter(made), key, seed))
+    # the rows of a training set are small and would all be one task, but what is made of them is not
+    tasks = max(1, math.ceil(rows.filter(made).count() / COPIES))
+    return plain.unionByName(augmented(both.filter(made).repartition(tasks, *key), key, seed))

@@ -102,3 +102,15 @@ def test_a_training_set_has_all_its_pictures(spark):
     again = A.training_pictures(rows.repartition(3), pictures.repartition(2))
     assert got.exceptAll(again).isEmpty()
     assert A.training_pictures(rows.limit(0), pictures).count() == A.training_pictures(rows, pictures.limit(0)).count() == 0
+
+
+def test_copies_are_dealt_to_tasks(spark, monkeypatch):
+    """A training set's rows are small, so Spark would make all its copies in one task."""
+    dealt = []
+    monkeypatch.setattr(A, "COPIES", 2, raising=False)
+    monkeypatch.setattr(A, "augmented", lambda copies, key, seed: dealt.append(copies) or copies.select(*key, F.lit(0).alias("y"), F.array(F.lit(0)).alias("vs")))
+    rows = spark.createDataFrame([("plain", 1, 0, "1")] + [("target", 1, k, "*") for k in range(5)], "part string, id long, copy int, label string")
+    pictures = spark.createDataFrame([(1, y, [0] * 28) for y in range(28)], "glyph_id long, y int, vs array<int>")
+    found = A.training_pictures(rows, pictures)
+    assert dealt[0].rdd.getNumPartitions() == 3 and dealt[0].count() == 5
+    assert found.groupBy("part").count().orderBy("part").collect() == [("plain", 28), ("target", 5)]
