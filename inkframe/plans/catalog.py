@@ -358,7 +358,8 @@ def feedback_stream(spark, sf_dir):
 # --- context
 
 def _sequence(spark, sf_dir):
-    return B.reading_order(D.glyphs(spark, sf_dir)).select("image_id", "place", "char", "conf")
+    # a glyph's options and readings cost as much as some plain rows
+    return B.reading_order(D.dealt(D.glyphs(spark, sf_dir), "image_id", 10)).select("image_id", "place", "char", "conf")
 
 
 _SEQ = _ROWS + ", s AS (SELECT image_id, char, conf, row_number() OVER (PARTITION BY image_id ORDER BY line, x, glyph_id) AS place FROM r)"

@@ -45,3 +45,11 @@ def test_images_of_specks_alone_have_no_lines(spark):
     assert [r.image_id for r in got.collect()] == [8]
     none = spark.range(1).select(R.median(F.array().cast("array<double>")).alias("m"), R.median(F.array(F.lit(3.0), F.lit(1.0))).alias("two"), R.median(F.array(F.lit(5.0), F.lit(1.0), F.lit(2.0))).alias("three"))
     assert none.first() == (None, 2.0, 2.0)
+
+
+def test_lines_of_reading_are_dealt_by_their_glyphs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "DEALT", 1000)
+    spark.range(1, 901).select(F.col("id").alias("o_orderkey"), (F.col("id") % 60).alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    s = catalog._sequence(spark, str(tmp_path))
+    assert s.rdd.getNumPartitions() == 9 and s.count() == 900
+    assert catalog.QUERIES["beam_select"](spark, str(tmp_path)).count() == 60
