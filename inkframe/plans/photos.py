@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import augment, filters, masks, regions, splitting
 from ..operators import metrics as M
 from ..sources import derived as D
+from ..sources.staged import staged
 from .registry import query
 
 
@@ -83,7 +84,7 @@ def ruled_line_runs(spark, sf_dir):
 
 @query()
 def ruled_lines_less_strokes(spark, sf_dir):
-    runs = masks.row_runs(D.photographs(spark, sf_dir), F.col("v") >= 70)
+    runs = staged(masks.row_runs(D.photographs(spark, sf_dir), F.col("v") >= 70), "runs", by="glyph_id")
     return _covered(masks.without_strokes(runs, masks.ruled_lines(runs)))
 
 

@@ -23,8 +23,11 @@ def dealt(rows: DataFrame, key: str, each: float = 1) -> DataFrame:
 
     A small file is one task whatever its rows are made into, and Spark takes that for no larger than the file: without the hint, joins send
     whole tables of pixels through the driver."""
-    parts = max(1, math.ceil(rows.count() * each / DEALT))
-    return rows.repartition(parts, key).hint("merge")
+    return rows.repartition(tasks_for(rows.count() * each), key).hint("merge")
+
+
+def tasks_for(rows: float) -> int:
+    return max(1, math.ceil(rows / DEALT))
 
 
 def vocabulary_at(index: Column) -> Column:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; the table goes when the driver ends.
+#: Rows of a staged table that a task takes, about: each of them may pass through a dozen sorts and groups, which hold them all at once.
+TAKEN = 100_000
+
+
+def tasks_of(table: DataFrame) -> int:
+    """How many tasks a staged ``table`` is dealt to: its rows are counted from its files' footers."""
+    return max(1, math.ceil(table.count() / TAKEN))
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written under ``spark.checkpoint.dir`` and read back; the table goes when the driver ends. Given ``by``, it is dealt by that key to as many tasks as its
+    rows need, so that what follows by this key stays there. Left alone, Spark sizes tasks by packed bytes, of which a few hold millions of runs.
 
     A lost executor costs what it was writing. Files of pixels and runs are packed far below what they hold, so Spark is asked not to
     send such a table through the driver. Only where that setting is absent is a folder of this machine taken."""
@@ -19,4 +30,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(place)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(place).hint("merge")
+    table = spark.read.schema(df.schema).parquet(place)
+    return (table.repartition(tasks_of(table), by) if by else table).hint("merge")

@@ -1,5 +1,7 @@
 """Tables that grow from small files: dealt to tasks by picture, never sent whole through the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from test_refinement import items, rows_of
@@ -53,3 +55,14 @@ def test_lines_of_reading_are_dealt_by_their_glyphs(spark, tmp_path, monkeypatch
     s = catalog._sequence(spark, str(tmp_path))
     assert s.rdd.getNumPartitions() == 9 and s.count() == 900
     assert catalog.QUERIES["beam_select"](spark, str(tmp_path)).count() == 60
+
+
+@pytest.mark.parametrize("name", ["ruled_line_runs", "ruled_lines_less_strokes"])
+def test_runs_stay_with_their_picture(spark, tmp_path, monkeypatch, name):
+    """Every shuffle after the pictures are made is by picture, to as many tasks as its rows need: none is left to the size of packed files."""
+    monkeypatch.setattr("inkframe.sources.staged.TAKEN", 20)
+    spark.range(1, 13).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?(.*?), (\d+)\), (\w+)", plan(found))
+    assert dealt and all(key == "glyph_id" and not more for key, more, *_ in dealt)
+    assert max(int(n) for *_, n, _ in dealt) > 1 and found.count() > 0
