@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import let
+from ..sources.staged import staged
 
 INK = 128
 
@@ -236,14 +237,15 @@ def hole_counts(pixels: DataFrame, ink: Column) -> DataFrame:
     That outline has the hole's pixels inside and the ink beside them on it, so its area is inside + outline / 2 - 1. Ink within a
     hole counts as outline; a hole that has any is larger than six."""
     size = pixels.groupBy("glyph_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    runs = labelled_runs(row_runs(pixels, ~ink), corners=False)
-    inner = runs.groupBy("glyph_id", "part").agg(F.min("x0").alias("x"), F.max("x1").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    inner = inner.join(size, "glyph_id").filter("x > 0 and t > 0 and r < mx and b < my").select("glyph_id", "part", "area")
-    dots = runs.join(inner, ["glyph_id", "part"]).select("glyph_id", "part", "area", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    steps = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
-    around = dots.select("glyph_id", "part", "area", steps.alias("p")).select("glyph_id", "part", "area", "p.*").distinct()
-    beside = around.join(dots.drop("area").hint("merge"), ["glyph_id", "part", "y", "x"], "left_anti").groupBy("glyph_id", "part", "area").agg(F.count("*").alias("beside"))
-    n = beside.groupBy("glyph_id").agg(F.count_if(F.col("area") + F.col("beside") / 2 - 1 >= COUNTED).alias("n_holes"))
+    runs = staged(labelled_runs(row_runs(pixels, ~ink), corners=False), "ground", by="glyph_id").join(size, "glyph_id")
+    part = Window.partitionBy("glyph_id", "part")
+    inner = runs.withColumns({"x": F.min("x0").over(part), "r": F.max("x1").over(part), "t": F.min("y").over(part), "b": F.max("y").over(part)}).filter("x > 0 and t > 0 and r < mx and b < my")
+    # each pixel of a hole, and its four neighbours: a place that is none of the hole's own is beside it
+    dots = inner.select("glyph_id", "part", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    steps = F.inline(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(dy == dx).alias("own")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))]))
+    places = dots.select("glyph_id", "part", steps).groupBy("glyph_id", "part", "y", "x").agg(F.max("own").alias("own"))
+    whole = places.groupBy("glyph_id", "part").agg(F.count_if("own").alias("area"), F.count_if(~F.col("own")).alias("beside"))
+    n = whole.groupBy("glyph_id").agg(F.count_if(F.col("area") + F.col("beside") / 2 - 1 >= COUNTED).alias("n_holes"))
     return size.select("glyph_id").join(n, "glyph_id", "left").select("glyph_id", F.coalesce("n_holes", F.lit(0)).alias("n_holes"))
 
 
