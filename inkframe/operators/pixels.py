@@ -403,9 +403,10 @@ def valleys(projection: DataFrame, most: float = 0.58, margin: float = 0.15) ->
     half = F.floor(k / 2)
     # a moving sum of a width that differs between pictures is a difference of running sums; columns outside count as empty
     p = projection.withColumn("up", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = F.array_sort(F.collect_list(F.struct("x", "up")).over(_picture()))
+    g = p.groupBy("glyph_id", "width").agg(F.array_sort(F.collect_list(F.struct("x", "up"))).alias("sums"))
     at = lambda i: F.when(i < 0, 0).otherwise(F.try_element_at(F.col("sums"), F.least(i, F.col("width") - 1).cast("int") + 1)["up"])
-    p = p.withColumn("sums", sums).withColumn("s", (at(F.col("x") + half) - at(F.col("x") - half - 1)) / k).drop("sums")
+    s = F.transform("sums", lambda c: F.struct(c["x"].alias("x"), ((at(c["x"] + half) - at(c["x"] - half - 1)) / k).alias("s")))
+    p = g.select("glyph_id", "width", F.inline(s))
     peak = lambda lo, hi: F.coalesce(F.max("s").over(order.rowsBetween(lo, hi)), F.lit(0.0))
     w = p.withColumns({"before": F.lag("s").over(order), "after": F.lead("s").over(order), "peak": F.greatest(peak(Window.unboundedPreceding, -1), peak(1, Window.unboundedFollowing), F.lit(1.0)), "top": F.max("s").over(_picture())})
     lo, hi = F.floor(F.col("width") * margin), F.floor(F.col("width") * (1.0 - margin))
@@ -419,8 +420,9 @@ def cut_at(pixels: DataFrame, ink: Column, cuts: DataFrame, least: int = 4) -> D
 
     Pieces narrower than ``least`` are left out; a box is two pixels wide and high at least."""
     size = pixels.groupBy("glyph_id").agg((F.max("x") + 1).alias("end"))
-    marks = cuts.select("glyph_id", "x").distinct().unionByName(size.select("glyph_id", F.col("end").alias("x")))
-    seg = marks.withColumn("x0", F.coalesce(F.lag("x").over(_picture().orderBy("x")), F.lit(0))).withColumnRenamed("x", "x1").filter(F.col("x1") - F.col("x0") >= least)
+    marks = size.join(cuts.groupBy("glyph_id").agg(F.collect_set("x").alias("xs")), "glyph_id", "left")
+    marks = marks.select("glyph_id", F.array_sort(F.array_append(F.coalesce("xs", F.array().cast(T.ArrayType(cuts.schema["x"].dataType))), F.col("end"))).alias("xs"))
+    seg = marks.select("glyph_id", "xs", F.posexplode("xs").alias("k", "x1")).withColumn("x0", F.coalesce(F.get("xs", F.col("k") - 1), F.lit(0))).drop("xs", "k").filter(F.col("x1") - F.col("x0") >= least)
     own = pixels.filter(ink).select("glyph_id", "y", "x").join(seg, "glyph_id").filter("x >= x0 and x < x1")
     box = own.groupBy("glyph_id", F.col("x0").alias("segment")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.lit(2), F.max("x") - F.min("x") + 1).alias("w"), F.greatest(F.lit(2), F.max("y") - F.min("y") + 1).alias("h"))
     return box.withColumn("k", F.count("*").over(_picture())).filter("k >= 2").drop("k")

@@ -1,7 +1,7 @@
 """Wide boxes split into characters, again and again until none is wide.
 
-The work list is a table. Each round takes its boxes' pixels from their pictures, cuts each box once (at its deepest valleys, else
-into parts that touch lightly, else evenly), and writes the pieces; only pieces that are still wide go into the next round. A piece that
+The work list is a table. Pictures are staged as lines of places, and each round takes its boxes' pixels from them, dealt by box; it cuts each box once (at its deepest valleys, else
+into parts that touch lightly, else evenly), writes what each way found before the next one is tried, and then the pieces; only pieces that are still wide go into the next round. A piece that
 is no smaller than its box is not cut again, so the sum of a box's open areas falls from round to round and the rounds end: a box of w pixels has at most w
 of them for cuts across, and one more for each part, and mostly one or two in all.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import capped_count
-from ..sources.staged import staged
+from ..sources.staged import PIXELS_TAKEN, staged, tasks_of
 from . import pixels as P
 
 # Least width and height of a wide box by the medians, of a piece that is cut again, of an even cut; least width; least part (pixels, share of the box), its height.
@@ -40,6 +40,19 @@ def inside(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     return pixels.join(rows, ["image_id", "y"]).filter("x >= x0 and x < x0 + w").select("glyph_id", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "i")
 
 
+def lines_of(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, ink, ground): the places of each line of pixels (image_id, y, x, i)."""
+    return pixels.groupBy("image_id", "y").agg(F.collect_list(F.when(F.col("i"), F.col("x"))).alias("ink"), F.collect_list(F.when(~F.col("i"), F.col("x"))).alias("ground"))
+
+
+def inside_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``inside`` of ``lines_of`` pixels."""
+    own = boxes.select("glyph_id", "image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
+    j = lines.join(own, "image_id").filter("y >= y0 and y < y0 + h")
+    near = lambda c, i: F.transform(F.filter(c, lambda x: (x >= F.col("x0")) & (x < F.col("x0") + F.col("w"))), lambda x: F.struct((x - F.col("x0")).alias("x"), F.lit(i).alias("i")))
+    return j.select("glyph_id", (F.col("y") - F.col("y0")).alias("y"), F.inline(F.concat(near("ink", True), near("ground", False))))
+
+
 def touching_parts(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """(glyph_id, segment, x, y, w, h): ink boxes of parts that hang together only where ink is one pixel thin, of pictures (glyph_id, y, x, i) with two or more such parts.
 
@@ -57,15 +70,16 @@ def touching_parts(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     return ink.groupBy("glyph_id", F.col("part").cast("long").alias("segment")).agg(F.min("x").alias("x"), F.min("y").alias("y"), side("x").alias("w"), side("y").alias("h"))
 
 
-def cut_once(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(glyph_id, segment, x, y, w, h, how): the pieces of boxes (glyph_id, n, w, mw, mh) that can be cut into n characters; pixels: (glyph_id, y, x, i)."""
+def cut_once(pixels: DataFrame, boxes: DataFrame, tasks: int) -> DataFrame:
+    """(glyph_id, segment, x, y, w, h, how): the pieces of boxes (glyph_id, n, w, mw, mh) that can be cut into n characters; pixels: (glyph_id, y, x, i). Both are dealt to ``tasks`` by glyph_id."""
     order = Window.partitionBy("glyph_id").orderBy("score", "x")
-    columns = pixels.groupBy("glyph_id", "x").agg(F.count_if("i").alias("n")).join(pixels.groupBy("glyph_id").agg((F.max("x") + 1).alias("width")), "glyph_id")
+    columns = pixels.groupBy("glyph_id", "x").agg(F.count_if("i").alias("n")).withColumn("width", F.max("x").over(Window.partitionBy("glyph_id")) + 1)
     valleys = P.valleys(columns).join(boxes.select("glyph_id", F.col("n").alias("want")), "glyph_id").withColumns({"k": F.row_number().over(order), "found": F.count("*").over(Window.partitionBy("glyph_id"))})
-    by_valley = P.cut_at(pixels, F.col("i"), valleys.filter("found >= want - 1 and k < want"))
-    rest = boxes.join(by_valley.select("glyph_id").distinct(), "glyph_id", "left_anti")
-    by_part = touching_parts(pixels, rest.filter("n = 2"))
-    rest = rest.join(by_part.select("glyph_id").distinct(), "glyph_id", "left_anti")
+    found = lambda d: d.select("glyph_id").distinct().repartition(tasks, "glyph_id")
+    by_valley = staged(P.cut_at(pixels, F.col("i"), valleys.filter("found >= want - 1 and k < want")), "by_valley")
+    rest = boxes.join(found(by_valley), "glyph_id", "left_anti")
+    by_part = staged(touching_parts(pixels, rest.filter("n = 2")), "by_part")
+    rest = rest.join(found(by_part), "glyph_id", "left_anti")
     evenly = P.cut_evenly(pixels, F.col("i"), rest.filter(F.col("w") >= F.greatest(F.col("mw") * EVEN[0], F.col("mh") * EVEN[1])).select("glyph_id", "n"))
     return reduce(DataFrame.unionByName, [d.select("glyph_id", F.col("segment").cast("long").alias("segment"), *[F.col(c).cast("long").alias(c) for c in BOX], F.lit(how).alias("how")) for d, how in ((by_valley, "valley"), (by_part, "part"), (evenly, "even"))])
 
@@ -76,15 +90,19 @@ def split_boxes(pixels: DataFrame, ink: Column, boxes: DataFrame) -> DataFrame:
     path says which piece of which piece a box is, '' for one left whole; how is valley, part, even, or whole."""
     places = ["image_id", "glyph_id", "path", *BOX, "how"]
     own = boxes.select("image_id", "glyph_id", *[F.col(c).cast("long").alias(c) for c in BOX]).dropna()
+    own = staged(own, "given", by="image_id")
     own = own.join(typical_sizes(own), "image_id").withColumns({"path": F.lit(""), "how": F.lit("whole")})
     wide = (F.col("n") >= 2) & (F.col("w") >= F.col("mw") * WIDE[0]) & (F.col("h") >= F.col("mh") * WIDE[1])
     own = staged(own.withColumn("open", wide).drop("n"), "boxes")
     marked = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(ink, F.lit(False)).alias("i"))
+    lines = staged(lines_of(marked), "lines", by="image_id")
     done, work = [own.filter("not open").select(places)], own.filter("open").drop("open")
     while not work.isEmpty():
         counted = work.withColumns({"n": capped_count(F.col("w"), F.col("mw"), F.col("mh")), "box": F.struct("image_id", "glyph_id", "path")})
         asked = counted.filter((F.col("n") >= 2) & (F.col("w") >= LEAST_WIDTH)).select(F.col("box").alias("glyph_id"), "image_id", *BOX, "n", "mw", "mh")
-        cut = cut_once(staged(inside(marked, asked), "inside"), asked).withColumnRenamed("glyph_id", "box")
+        own = staged(inside_lines(lines, asked.repartition(tasks_of(lines), "image_id")), "inside", by="glyph_id", taken=PIXELS_TAKEN)
+        tasks = tasks_of(own, PIXELS_TAKEN)
+        cut = cut_once(own, asked.repartition(tasks, "glyph_id").hint("merge"), tasks).withColumnRenamed("glyph_id", "box")
         number = F.row_number().over(Window.partitionBy("box").orderBy("segment", "x"))
         cut = cut.withColumn("number", number).withColumnsRenamed({c: f"{c}_" for c in (*BOX, "how")})
         j = counted.join(cut, "box", "left").withColumn("cut", F.col("number").isNotNull())

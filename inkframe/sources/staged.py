@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 TAKEN = 100_000
 
 
-def tasks_of(table: DataFrame) -> int:
+#: The same of a table of pixels, whose rows are small and soon counted.
+PIXELS_TAKEN = 400_000
+
+
+def tasks_of(table: DataFrame, taken: int | None = None) -> int:
     """How many tasks a staged ``table`` is dealt to: its rows are counted from its files' footers."""
-    return max(1, math.ceil(table.count() / TAKEN))
+    return max(1, math.ceil(table.count() / (taken or TAKEN)))
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None, taken: int | None = None) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; the table goes when the driver ends. Given ``by``, it is dealt by that key to as many tasks as its
     rows need, so that what follows by this key stays there. Left alone, Spark sizes tasks by packed bytes, of which a few hold millions of runs.
 
@@ -31,4 +35,4 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     table = spark.read.schema(df.schema).parquet(place)
-    return (table.repartition(tasks_of(table), by) if by else table).hint("merge")
+    return (table.repartition(tasks_of(table, taken), by) if by else table).hint("merge")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_refinement import items, rows_of
 
+from inkframe.operators import pixels as P
 from inkframe.operators import refinement as R
 from inkframe.plans import catalog
 from inkframe.sources import derived as D
@@ -66,3 +67,10 @@ def test_runs_stay_with_their_picture(spark, tmp_path, monkeypatch, name):
     dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?(.*?), (\d+)\), (\w+)", plan(found))
     assert dealt and all(key == "glyph_id" and not more for key, more, *_ in dealt)
     assert max(int(n) for *_, n, _ in dealt) > 1 and found.count() > 0
+
+
+def test_columns_are_slim_when_valleys_are_looked_for(spark):
+    """A picture's running sums are one row, not a copy of them on each of its columns."""
+    columns = spark.range(60).select(F.lit(1).alias("glyph_id"), F.col("id").alias("x"), (F.abs(F.col("id") - 30) + 1).alias("n"), F.lit(60).cast("long").alias("width"))
+    found = P.valleys(columns)
+    assert not re.search(r"Window \[[^\n]*collect_list", plan(found)) and [r.x for r in found.collect()] == [30]
