@@ -58,7 +58,7 @@ def test_lines_of_reading_are_dealt_by_their_glyphs(spark, tmp_path, monkeypatch
     assert catalog.QUERIES["beam_select"](spark, str(tmp_path)).count() == 60
 
 
-@pytest.mark.parametrize("name", ["ruled_line_runs", "ruled_lines_less_strokes", "hole_counts"])
+@pytest.mark.parametrize("name", ["ruled_line_runs", "ruled_lines_less_strokes", "page_grids", "hole_counts"])
 def test_runs_stay_with_their_picture(spark, tmp_path, monkeypatch, name):
     """Every shuffle after the pictures are made is by picture, to as many tasks as its rows need: none is left to the size of packed files."""
     monkeypatch.setattr("inkframe.sources.staged.TAKEN", 20)
