@@ -37,8 +37,12 @@ def messages(feedback: DataFrame) -> DataFrame:
 
 
 def confidence_summary(glyphs: DataFrame) -> DataFrame:
-    """Per image: average confidence in percent, rounded half up, and how many are below 0.8."""
-    return glyphs.groupBy("image_id").agg(F.floor(F.avg("conf") * 100 + 0.5).cast("long").alias("avg_percent"), F.count_if(F.col("conf") < 0.8).alias("n_low"))
+    """Per image: average confidence in percent, rounded half up, and how many are below 0.8.
+
+    A picture's confidences are added in the order of its glyphs: at a half, the order decides where a sum of doubles falls, and partial sums would follow the files' parts."""
+    whole = Window.partitionBy("image_id").orderBy("glyph_id", "conf").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = glyphs.withColumn("mean", F.avg("conf").over(whole))
+    return mean.groupBy("image_id").agg(F.floor(F.first("mean") * 100 + 0.5).cast("long").alias("avg_percent"), F.count_if(F.col("conf") < 0.8).alias("n_low"))
 
 
 def topk_text(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from inkframe.operators import boxes as B
 from inkframe.operators import context as C
 from inkframe.operators import feedback as K
 from inkframe.operators import metrics as M
+from inkframe.plans import catalog
 
 
 def test_priority_matches_published_metrics():
@@ -79,3 +80,19 @@ def test_scores_of_regions_take_bounds_exactly(spark):
 def test_spread_of_heights_is_exact_in_any_order(spark):
     rows = spark.range(3000).selectExpr("id % 2 AS k", "IF(id < 1500, 69, 11) AS h").repartition(7)
     assert {r.s for r in rows.groupBy("k").agg(B.spread(F.col("h")).alias("s")).collect()} == {29.0}
+
+
+def test_average_confidence_does_not_follow_the_parts_of_the_files(spark, tmp_path):
+    """At a half the order of adding decides; SQL on one thread adds rows as they come, which is by key."""
+    import duckdb
+
+    keys = [(i * 7919 + j * 104729 + j * j * 31, i) for i in range(3000) for j in range(10)]
+    rows = spark.createDataFrame(sorted(keys), "o_orderkey long, o_custkey long")
+    rows.coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"{tmp_path}/one")
+    rows.orderBy(F.xxhash64("o_orderkey")).repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/one/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(catalog.ORACLE["confidence_summary"]).fetchall()}
+    got = catalog.QUERIES["confidence_summary"](spark, str(tmp_path))
+    assert {r.image_id: (r.avg_percent, r.n_low) for r in got.collect()} == want
