@@ -9,15 +9,19 @@ nine rows has no bands; no rows give no rows. Other columns take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import Box
 from ..sources.staged import staged
 from . import boxes as B
-from . import filters, masks, splitting
+from . import masks, splitting
 from . import pixels as P
 
 # Fixed values of boxes: least area inside the outline (pixels, share of the picture), least width and height, share of a side from which on a box is the page's frame.
@@ -57,11 +61,11 @@ def _frames(runs: DataFrame) -> DataFrame:
 
 
 def _inside(runs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``splitting.inside`` of runs: (glyph_id, y, x, i)."""
+    """(glyph_id, y, x0, x1, mx, my): the parts of ``runs`` in each box (glyph_id, image_id, x, y, w, h), counted from its corner; mx and my are its last column and row."""
     b = boxes.select("glyph_id", "image_id", *[F.col(c).alias(f"b{c}") for c in "xywh"])
     met = runs.join(b, "image_id").filter("y >= by and y < by + bh and x1 >= bx and x0 < bx + bw")
-    x = F.explode(F.sequence(F.greatest("x0", "bx") - F.col("bx"), F.least(F.col("x1"), F.col("bx") + F.col("bw") - 1) - F.col("bx")))
-    return met.select("glyph_id", (F.col("y") - F.col("by")).alias("y"), x.alias("x"), "i")
+    ends = {"y": F.col("y") - F.col("by"), "x0": F.greatest("x0", "bx") - F.col("bx"), "x1": F.least(F.col("x1"), F.col("bx") + F.col("bw") - 1) - F.col("bx"), "mx": F.col("bw") - 1, "my": F.col("bh") - 1}
+    return met.select("glyph_id", *[v.cast("int").alias(k) for k, v in ends.items()])
 
 
 def outlines(marked: DataFrame) -> DataFrame:
@@ -106,31 +110,63 @@ def components(pixels: DataFrame, ink: Column) -> DataFrame:
     return _components(_outlines(runs), _frames(runs))
 
 
-def _healed(marked: DataFrame) -> DataFrame:
+def _closed(a: np.ndarray) -> np.ndarray:
     """Closing under a pixel, the one above and the one before it."""
-    def before(c: str, line: str, along: str, outside: bool) -> Column:
-        return F.lag(c, 1, outside).over(Window.partitionBy("glyph_id", line).orderBy(along))
+    grown = a.copy()
+    grown[:, 1:] |= a[:, :-1]
+    grown[1:] |= a[:-1]
+    out = grown.copy()
+    out[:, 1:] &= grown[:, :-1]
+    out[1:] &= grown[:-1]
+    return out
 
-    grown = marked.withColumn("i", F.col("i") | before("i", "y", "x", False) | before("i", "x", "y", False))
-    return grown.withColumn("i", F.col("i") & before("i", "y", "x", True) & before("i", "x", "y", True))
+
+def _healed(runs: DataFrame) -> DataFrame:
+    """(glyph_id, y, x0, x1) of pictures (glyph_id, y, x0, x1, mx, my), closed."""
+    places = ["y", "x0", "x1"]
+    own = runs.groupBy("glyph_id").agg(F.first("mx").alias("mx"), F.first("my").alias("my"), F.collect_list(F.struct(*places)).alias("r"))
+
+    def healed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                a = _closed(splitting.drawn(b.column("r")[i].values, b.column("mx")[i].as_py() + 1, b.column("my")[i].as_py() + 1))
+                turns = np.diff(a.astype(np.int8), axis=1, prepend=0, append=0)
+                (y, x0), x1 = np.nonzero(turns == 1), np.nonzero(turns == -1)[1] - 1
+                yield pa.RecordBatch.from_arrays([b.column("glyph_id").take(pa.array([i] * len(y), pa.int64())), *[pa.array(c.astype(np.int32)) for c in (y, x0, x1)]], ["glyph_id", *places])
+
+    return own.mapInArrow(healed, T.StructType([runs.schema["glyph_id"], *[T.StructField(c, T.IntegerType()) for c in places]]))
+
+
+def _with_ground(ink: DataFrame) -> DataFrame:
+    """``_runs`` of pictures' runs of ink (image_id, y, x0, x1, width, height)."""
+    own = ink.withColumnRenamed("image_id", "glyph_id")
+    rows = own.select("glyph_id", "width", "height").distinct().select("glyph_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), F.lit(0).alias("x0"), (F.col("width") - 1).alias("x1"))
+    ground = masks.without(rows, own)
+    return own.select(*rows.columns, F.lit(True).alias("i")).unionByName(ground.withColumn("i", F.lit(False))).withColumnRenamed("glyph_id", "image_id")
 
 
 def _blobs(runs: DataFrame, found: DataFrame, frames: DataFrame) -> DataFrame:
+    """All by runs; the only pictures that are drawn are a blob's while it is healed and while its boxes are cut, in their tasks."""
     big = found.join(frames, "image_id").filter((F.col("w") >= _least(BLOB["w"], "width")) & (F.col("h") >= _least(BLOB["h"], "height")) & (F.col("w") >= F.greatest(F.col("h") * BLOB_ASPECT[0], F.lit(float(BLOB_ASPECT[1])))))
     named = staged(big.select(F.struct("image_id", "part").alias("glyph_id"), "image_id", *"xywh"), "blobs")
-    own = staged(_inside(runs, named), "blob_pixels")
+    own = staged(_inside(runs.filter("i"), named), "blob_runs", by="glyph_id")
     span = F.when(F.col("mx") + 1 >= LONG, LINE["span"][0]).otherwise(LINE["span"][1])
-    lines = staged(masks.ruled_lines(masks.row_runs(own, F.col("i")), lower=True, span=span, gap=LINE["gap"], height=LINE["height"]), "lines")
-    ruled = masks.pixels_of(lines).withColumn("on_line", F.lit(True))
-    rest = own.join(lines.select("glyph_id").distinct(), "glyph_id", "left_semi").join(ruled, ["glyph_id", "y", "x"], "left").select("glyph_id", "y", "x", (F.col("i") & F.col("on_line").isNull()).alias("i"))
-    ink = _healed(rest).select("glyph_id", "y", "x", F.when(F.col("i"), 255).otherwise(0).alias("v"))
-    clean = staged(filters.pixels_of(filters.without_small_parts(filters.lines(ink), FOUND["specks"])).select(F.col("glyph_id").alias("image_id"), "y", "x", (F.col("v") > 0).alias("i")), "rest")
-    split = splitting.split_boxes(clean, F.col("i"), components(clean, F.col("i")))
+    lines = staged(masks.ruled_lines(own, lower=True, span=span, gap=LINE["gap"], height=LINE["height"]), "lines", by="glyph_id")
+    rest = masks.without(own.join(lines.select("glyph_id").distinct(), "glyph_id", "left_semi"), lines)
+    parts = staged(P.labelled_runs(_healed(rest)), "parts", by="glyph_id")
+    size = named.select("glyph_id", F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"))
+    areas = parts.groupBy("glyph_id", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).join(size, "glyph_id")
+    large = P.without_specks(areas, _least(FOUND["specks"], F.col("width") * F.col("height"))).drop("area")
+    clean = staged(parts.join(large, ["glyph_id", "part"]).drop("part").withColumnRenamed("glyph_id", "image_id"), "rest", by="image_id")
+    frame = clean.select("image_id", "width", "height").distinct()
+    pictures = clean.groupBy("image_id").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"), F.first("width").alias("width"), F.first("height").alias("height"))
+    split = splitting.split_pictures(pictures, _components(_outlines(staged(_with_ground(clean), "blob_ground", by="image_id")), frame))
     number = F.row_number().over(Window.partitionBy("image_id").orderBy("glyph_id", "path", "x", "y")).cast("long")
-    pieces = staged(split.select("image_id", number.alias("number"), *"xywh"), "found")
-    inked = splitting.inside(clean, pieces.withColumn("glyph_id", F.struct("image_id", "number"))).groupBy("glyph_id").agg(F.count_if("i").alias("n"))
+    pieces = staged(split.select("image_id", number.alias("number"), *"xywh"), "found", by="image_id")
+    inked = _inside(clean, pieces.withColumnRenamed("number", "glyph_id").select(F.struct("image_id", "glyph_id").alias("glyph_id"), "image_id", *"xywh"))
+    inked = inked.groupBy("glyph_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).select("glyph_id.image_id", F.col("glyph_id.glyph_id").alias("number"), "n")
     fill = F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), F.col("w") * F.col("h"))
-    d = pieces.withColumn("glyph_id", F.struct("image_id", "number")).join(inked, "glyph_id", "left").withColumn("fill", fill)
+    d = pieces.join(inked, ["image_id", "number"], "left").withColumn("fill", fill)
     d = d.select("*", F.col("image_id.part").alias("part")).join(named.select(F.col("glyph_id").alias("image_id"), *[F.col(c).alias(f"b{c}") for c in "xywh"]), "image_id")
     whole = (F.col("w") >= F.col("bw") * FOUND["whole"][0]) & (F.col("h") >= F.col("bh") * FOUND["whole"][1])
     kept = d.filter((F.col("w") * F.col("h") >= _least(FOUND["area"], F.col("bw") * F.col("bh"))) & (F.col("h") >= _least(FOUND["h"], "bh")) & (F.col("fill") >= FOUND["fill"]) & ~whole)

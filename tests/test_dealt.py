@@ -74,3 +74,28 @@ def test_columns_are_slim_when_valleys_are_looked_for(spark):
     columns = spark.range(60).select(F.lit(1).alias("glyph_id"), F.col("id").alias("x"), (F.abs(F.col("id") - 30) + 1).alias("n"), F.lit(60).cast("long").alias("width"))
     found = P.valleys(columns)
     assert not re.search(r"Window \[[^\n]*collect_list", plan(found)) and [r.x for r in found.collect()] == [30]
+
+
+def test_what_blobs_hold_is_found_without_a_row_for_a_pixel(spark, monkeypatch):
+    """No table that blobs stage is longer than the pages' own runs."""
+    from inkframe.operators import regions
+
+    rows = {}
+
+    def counted(df, name, *more, **named):
+        table = staged(df, name, *more, **named)
+        rows[name] = max(rows.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(regions, "staged", counted)
+    assert catalog.QUERIES["blobs_on_lines"](spark, "/root/testdata/sf0.001").count() > 10
+    assert rows["runs"] > 1000 and max(rows.values()) == rows["runs"]
+
+
+def test_wide_boxes_are_cut_in_one_pass(spark, tmp_path):
+    """Boxes that are cut again and again take no table and no job a round, and no shuffle but by picture."""
+    spark.range(1, 41).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalog.QUERIES["recursive_splits"](spark, str(tmp_path))
+    p = plan(found)
+    assert p.count("Scan parquet") == 2 and set(re.findall(r"hashpartitioning\((\w+)#", p)) <= {"glyph_id", "image_id", "s_suppkey"}
+    assert found.filter("path like '%.%'").count() > 0
