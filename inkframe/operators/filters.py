@@ -2,7 +2,7 @@
 
 A line is one row of a picture, so that work along x is a list function and is dealt out line by line. What looks at several lines takes a
 picture's lines together: ``each`` gathers them in one row and gives a small function the picture as an array, so a filter costs one shuffle of lines and none of
-pixels, and a task holds one batch of pictures. Pictures' parts, scores and choices are tables, joined by picture.
+pixels, and a task holds one batch of pictures. Characters' parts, scores and choices are tables, joined by picture; a page is made ink in one go.
 
 Results are those of the common 8-bit image operations: outside its frame a picture has nothing for minima and maxima, is mirrored without its
 last pixel for Gaussian blurs, and repeats its last pixel for medians and local means.
@@ -40,7 +40,7 @@ Lines = DataFrame
 
 def lines(pixels: DataFrame, *keep: str) -> Lines:
     """(glyph_id, y, *keep, vs) of a whole picture's pixels (glyph_id, y, x, v, *keep)."""
-    g = pixels.groupBy("glyph_id", F.col("y").cast("int").alias("y"), *keep).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), "v"))).alias("p"))
+    g = pixels.groupBy("glyph_id", F.col("y").cast("int").alias("y"), *keep).agg(F.sort_array(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), "v"))).alias("p"))
     return g.select("glyph_id", "y", *keep, F.transform("p", lambda p: p["v"]).alias("vs"))
 
 
@@ -59,7 +59,7 @@ def each(of: Lines, f: Callable[..., np.ndarray], *keep: str, about: dict[str, C
     named = {f"about_{k}": v for k, v in (about or {}).items()}
     names = list(about or {})
     whole = of.withColumns(named) if named else of
-    whole = whole.groupBy("glyph_id").agg(*[F.first(c).alias(c) for c in (*keep, *named)], F.array_sort(F.collect_list(F.struct("y", "vs"))).alias("l"))
+    whole = whole.groupBy("glyph_id").agg(*[F.first(c).alias(c) for c in (*keep, *named)], F.sort_array(F.collect_list(F.struct("y", "vs"))).alias("l"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,31 +279,42 @@ def _evened(a: np.ndarray, ground: np.ndarray) -> np.ndarray:
     return even if even.mean() >= LEAST_MEAN else a
 
 
-def even_background(of: Lines) -> Lines:
-    """Ink over an estimate of the ground's brightness, which is the picture closed by a large ellipse; pictures of little spread, and
-    those that would come out too dark, stay as they are."""
+def _even(a: np.ndarray) -> np.ndarray:
+    """``even_background`` of a picture that is not large."""
+    s1, s2, side = int(a.sum()), int((a.astype(np.int64) ** 2).sum()), min(a.shape)
+    if max(a.shape) > SMALL_SIDE or math.sqrt(float(a.size * s2 - s1 * s1)) / a.size < SPREAD:
+        return a
+    k = max(KERNEL, int(side / PART) | 1)
+    return _evened(a, _under_ellipse(_under_ellipse(a, k, np.maximum), k, np.minimum))
+
+
+def _evenly(of: Lines, then: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> Lines:
+    """``then`` of each picture with an even background; a picture that is not large passes both in one go."""
     of = staged(of, "pictures")
+    large = of.filter((F.size("vs") > SMALL_SIDE) | (F.col("y") >= SMALL_SIDE)).select("glyph_id").distinct()
+    if large.isEmpty():
+        return each(of, lambda a: then(_even(a)))
+    own = of.join(large, "glyph_id", "left_semi")
     total = lambda f: F.sum(F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + f(v)))
     n, s1, s2 = F.sum(F.size("vs")), total(lambda v: v), total(lambda v: v * v)
-    about = of.groupBy("glyph_id").agg((F.sqrt((n * s2 - s1 * s1).cast("double")) / n).alias("spread"), F.max(F.size("vs")).alias("w"), (F.max("y") + 1).cast("int").alias("h"))
-    k = F.greatest(F.lit(KERNEL), _odd(F.least("w", "h") / PART))
+    about = own.groupBy("glyph_id").agg((F.sqrt((n * s2 - s1 * s1).cast("double")) / n).alias("spread"), F.max(F.size("vs")).alias("w"), (F.max("y") + 1).cast("int").alias("h")).filter(F.col("spread") >= SPREAD)
     scale = SMALL_SIDE / F.greatest("w", "h")
-    is_large, busy = F.greatest("w", "h") > SMALL_SIDE, F.col("spread") >= SPREAD
-    small = lambda c: F.when(is_large, F.floor(F.col(c) * scale)).otherwise(F.col(c)).cast("int")
-    about = staged(about.select("glyph_id", "w", "h", F.when(is_large, F.greatest(F.lit(SMALL_KERNEL), _odd(k * scale))).otherwise(k).alias("k"), small("w").alias("sw"), small("h").alias("sh"), (is_large & busy).alias("large"), busy.alias("busy")), "about")
-    own = of.join(about, "glyph_id")
-
-    def evened(a: np.ndarray, k: int, busy: bool) -> np.ndarray:
-        return _evened(a, _under_ellipse(_under_ellipse(a, k, np.maximum), k, np.minimum)) if busy else a
-
-    rest = each(own.filter("not large"), evened, about={"k": F.col("k"), "busy": F.col("busy")})
-    if about.filter("large").isEmpty():
-        return rest
+    k = F.greatest(F.lit(SMALL_KERNEL), _odd(F.greatest(F.lit(KERNEL), _odd(F.least("w", "h") / PART)) * scale))
+    small = lambda c: F.floor(F.col(c) * scale).cast("int")
+    about = staged(about.select("glyph_id", "w", "h", k.alias("k"), small("w").alias("sw"), small("h").alias("sh")), "about")
+    rest = each(of.join(about, "glyph_id", "left_anti"), lambda a: then(_even(a)))
     keep = ("w", "h", "k", "sw", "sh")
-    shrunken = resized(own.filter("large").select("glyph_id", "y", *keep, "vs"), F.col("sw"), F.col("sh"), *keep)
+    own = own.join(about, "glyph_id")
+    shrunken = resized(own.select("glyph_id", "y", *keep, "vs"), F.col("sw"), F.col("sh"), *keep)
     ground = stretched(closed_by_ellipse(shrunken, F.col("k"), *keep), F.col("w"), F.col("h"), *keep).select("glyph_id", "y", F.col("vs").alias("ground"))
-    both = own.filter("large").join(ground, ["glyph_id", "y"]).select("glyph_id", "y", F.zip_with("vs", "ground", lambda v, g: v * 65536 + g).alias("vs"))
-    return rest.unionByName(each(both, lambda a: _evened(a >> 16, a & 65535)))
+    both = own.join(ground, ["glyph_id", "y"]).select("glyph_id", "y", F.zip_with("vs", "ground", lambda v, g: v * 65536 + g).alias("vs"))
+    return rest.unionByName(each(both, lambda a: then(_evened(a >> 16, a & 65535))))
+
+
+def even_background(of: Lines) -> Lines:
+    """Ink over an estimate of the ground's brightness, which is the picture closed by a large ellipse; pictures of little spread, and
+    those that would come out too dark, stay as they are."""
+    return _evenly(of)
 
 
 def _curves(tiles: np.ndarray, clip: float) -> np.ndarray:
@@ -346,7 +357,7 @@ def equalized(of: Lines) -> Lines:
 
 def enhanced(of: Lines) -> Lines:
     """Even background, contrast by tiles, a blur, and bright detail added again."""
-    return each(even_background(of), _detailed)
+    return _evenly(of, _detailed)
 
 
 def _detailed(a: np.ndarray) -> np.ndarray:
@@ -411,16 +422,69 @@ def measured(of: Lines) -> DataFrame:
         ((F.max(some("last")) - F.min(some("first")) + 1) * (F.max(some("y")) - F.min(some("y")) + 1)).alias("box"))
 
 
+def _runs(a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(y, x0, x1, part) of the runs of pixels above 0, part as in ``pixels.labelled_runs``."""
+    turns = np.diff((a > 0).astype(np.int8), axis=1, prepend=0, append=0)
+    (y, x0), x1 = np.nonzero(turns == 1), np.nonzero(turns == -1)[1] - 1
+    return y, x0, x1, P.hanging_together(y, x0, x1, 1) if len(y) else y
+
+
+def _large_parts(a: np.ndarray, c: tuple[int, float]) -> np.ndarray:
+    """``without_small_parts`` of one picture."""
+    y, x0, x1, part = _runs(a)
+    if not len(y):
+        return a
+    area = np.bincount(part, x1 - x0 + 1)
+    kept = area >= max(c[0], int(a.size * c[1]))
+    kept = kept if kept.any() else np.arange(len(area)) == area.argmax()
+    turns = np.zeros((a.shape[0], a.shape[1] + 1), np.int8)
+    own = kept[part]
+    turns[y[own], x0[own]] += 1
+    turns[y[own], x1[own] + 1] -= 1
+    return np.where(np.cumsum(turns, 1)[:, :-1] > 0, 255, 0)
+
+
+def _score(a: np.ndarray) -> float | None:
+    """``pixels.threshold_scored`` of one picture; none without ink."""
+    t, (height, width), ink = P.THRESHOLD_SCORE, a.shape, a > 0
+    y, x0, x1, part = _runs(a)
+    if not len(y):
+        return None
+    first, at = np.unique(part, return_inverse=True)
+    area = np.bincount(at, x1 - x0 + 1)
+    ends = lambda f, start, of: (out := np.full(len(first), start), f.at(out, at, of))[0]
+    w, h = ends(np.maximum, -1, x1) - ends(np.minimum, width, x0) + 1, ends(np.maximum, -1, y) - ends(np.minimum, height, y) + 1
+    least = lambda pair, of: max(pair[0], int(of * pair[1]))
+    noise = int((area < max(6, int(a.size * 0.00004))).sum())
+    lines = int(((w >= width * t["line_width"]) & (h <= least(t["line_height"], height))).sum())
+    chars = int(((h >= least(t["char_height"], height)) & (w <= least(t["char_width"], width))).sum())
+    edge = int(ink[0].sum() + ink[-1].sum() + ink[:, 0].sum() + ink[:, -1].sum()) / (2 * width + 2 * height)
+    return -abs(int(ink.sum()) / a.size - t["share"]) - edge * t["edge"] - min(noise, t["noise_cap"]) * t["noise"] - lines * t["line"] + min(chars, t["char_cap"]) * t["char"]
+
+
+def _binary(a: np.ndarray) -> np.ndarray:
+    """Ink by the best of the three thresholds, and which one it is, as 256 times its number."""
+    block = min(BLOCKS[2], max(BLOCKS[0], round(min(a.shape) * BLOCKS[1]) | 1))
+    apart = a - _mean_around(a, block)
+    found = [np.where(apart > -o, 255, 0) for o in OFFSETS] + [_levels(a)]
+    clean = [_large_parts(_close(_smooth(f)), SPECKS) for f in found]
+    scores = [-math.inf if s is None else s for s in map(_score, clean)]
+    best = scores.index(max(scores))
+    return clean[best] + 256 * best
+
+
+def _chosen(of: Lines) -> Lines:
+    return of.select("glyph_id", "y", F.transform("vs", lambda v: v.bitwiseAND(255)).alias("vs"), F.shiftright(F.get("vs", F.lit(0)), 8).alias("candidate"))
+
+
 def binarized(of: Lines) -> Lines:
     """Ink of an enhanced picture by the best of two local thresholds and one for the whole picture."""
-    of = staged(of, "enhanced")
-    block = lambda a: min(BLOCKS[2], max(BLOCKS[0], round(min(a.shape) * BLOCKS[1]) | 1))
-    local = lambda o: lambda a: _close(_smooth(np.where(a - _mean_around(a, block(a)) > -o, 255, 0)))
-    found = [each(of, local(o)) for o in OFFSETS] + [each(of, lambda a: _close(_smooth(_levels(a))))]
-    clean = [staged(without_small_parts(f, SPECKS).withColumn("candidate", F.lit(i)), "candidate") for i, f in enumerate(found)]
-    scores = [P.threshold_scored(measured(c), P.parts_of_runs(P.labelled_runs(runs_of(c)))).withColumn("candidate", F.lit(i)) for i, c in enumerate(clean)]
-    best = P.best_thresholds(scores[0].unionByName(scores[1]).unionByName(scores[2]))
-    return clean[0].unionByName(clean[1]).unionByName(clean[2]).join(best, ["glyph_id", "candidate"]).select("glyph_id", "y", "vs", "candidate")
+    return _chosen(each(of, _binary))
+
+
+def binarized_pages(of: Lines) -> Lines:
+    """``binarized`` of ``enhanced`` pictures, in one go."""
+    return _chosen(_evenly(of, lambda a: _binary(_detailed(a).astype(np.int32))))
 
 
 def dark_strokes(of: Lines) -> Lines:

@@ -40,7 +40,7 @@ def equalized_pages(spark, sf_dir):
 @query()
 def binarized_pages(spark, sf_dir):
     """Pages enhanced, then made ink by the best of three thresholds."""
-    return _sums(filters.binarized(filters.enhanced(_pages(spark, sf_dir))))
+    return _sums(filters.binarized_pages(_pages(spark, sf_dir)))
 
 
 @query()

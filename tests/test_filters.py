@@ -113,3 +113,21 @@ def test_a_filter_shuffles_lines_once_and_no_pixels(characters):
     for f in (filters.closed(df, 5, 5), filters.equalized(df), filters.strengthened(df)):
         plan = f._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
+def test_pages_are_made_ink_with_one_shuffle_of_lines(pages):
+    df, own = pages
+    y, x = np.mgrid[0:26, 0:640]
+    more = {5001: 30 + x // 5 + 70 * ((x // 7 + y) % 5 == 0), 5002: np.zeros((26, 640), int), 5003: np.full((7, 5), 9)}  # large and busy, large and even, small and even
+    rows = [(k, i, list(map(int, line))) for k, a in more.items() for i, line in enumerate(a)]
+    both = df.unionByName(df.sparkSession.createDataFrame(rows, "glyph_id long, y int, vs array<int>"))
+    want = {k: plain.binarized(plain.enhanced(a)) for k, a in (own | more).items()}
+    same(pictures(filters.binarized_pages(both)), want)
+
+
+def test_the_query_of_ink_pages_joins_nothing(spark):
+    from inkframe.plans import catalog
+
+    found = catalog.QUERIES["binarized_pages"](spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
