@@ -35,6 +35,9 @@ DARK_KERNEL = (15, 0.05, 61)
 # Fixed values of a normalised character: side, inner side, and how much larger it is below a fill, with the margin that stays.
 SIDE, INNER, THIN = 28, 22, ((0.18, 2, 4), (0.12, 4, 3))
 
+#: Lines of pages that a task filters, about.
+LINES_TAKEN = 20_000
+
 Lines = DataFrame
 
 
@@ -290,7 +293,7 @@ def _even(a: np.ndarray) -> np.ndarray:
 
 def _evenly(of: Lines, then: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> Lines:
     """``then`` of each picture with an even background; a picture that is not large passes both in one go."""
-    of = staged(of, "pictures")
+    of = staged(of, "pictures", by="glyph_id", taken=LINES_TAKEN)
     large = of.filter((F.size("vs") > SMALL_SIDE) | (F.col("y") >= SMALL_SIDE)).select("glyph_id").distinct()
     if large.isEmpty():
         return each(of, lambda a: then(_even(a)))
