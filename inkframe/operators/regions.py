@@ -76,25 +76,60 @@ def outlines(marked: DataFrame) -> DataFrame:
     return _outlines(_runs(marked))
 
 
+def _met(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in the order of rows and places, the pairs that overlap in neighbouring rows."""
+    wide = int(x1.max()) + 2
+    start, end = y.astype(np.int64) * wide + x0, y.astype(np.int64) * wide + x1
+    first, after = np.searchsorted(end, start + wide), np.searchsorted(start, end + wide, side="right")
+    count = np.maximum(after - first, 0)
+    u = np.repeat(np.arange(len(y)), count)
+    return u, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(u))
+
+
+def _ends(at: np.ndarray, n: int, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Left, right, top and lower end of ``n`` parts, of runs that belong to the parts ``at``."""
+    low, high = lambda of: np.full(n, of.max()), lambda of: np.full(n, of.min())
+    found = (np.minimum, low(x0), x0), (np.maximum, high(x1), x1), (np.minimum, low(y), y), (np.maximum, high(y), y)
+    for f, out, of in found:
+        f.at(out, at, of)
+    return tuple(out for _, out, _ in found)
+
+
+def _outlined(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, ink: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(part, x, y, w, h, area) of a picture's outlines, of its runs of ink and ground in the order of rows and places."""
+    kept, right, low = ink.copy(), x1.max(), y.max()
+    ground = np.flatnonzero(~ink)
+    if len(ground):
+        at = P.hanging_together(y[ground], x0[ground], x1[ground], 0)
+        a, b, c, d = _ends(at, len(ground), y[ground], x0[ground], x1[ground])
+        kept[ground] = ((a > 0) & (b < right) & (c > 0) & (d < low))[at]
+    y, x0, x1 = y[kept], x0[kept], x1[kept]
+    if not len(y):
+        return (y,) * 6
+    fresh = np.concatenate(([True], (y[1:] != y[:-1]) | (x0[1:] > x1[:-1] + 1)))
+    last = np.concatenate((fresh[1:], [True]))
+    y, x0, x1 = y[fresh], x0[fresh], x1[last]
+    part, at = np.unique(P.hanging_together(y, x0, x1, 1), return_inverse=True)
+    a, b, c, d = _ends(at, len(part), y, x0, x1)
+    u, v = _met(y, x0, x1)
+    square = np.minimum(x1[u], x1[v]) - np.maximum(x0[u], x0[v]) + (x0[u] != x0[v]) / 2 + (x1[u] != x1[v]) / 2
+    return part, a, c, b - a + 1, d - c + 1, np.bincount(at[u], square, len(part))
+
+
 def _outlines(of: DataFrame) -> DataFrame:
-    """The same of ``_runs``."""
-    own = of.withColumnRenamed("image_id", "glyph_id")
-    size = _frames(of).withColumnRenamed("image_id", "glyph_id")
-    places = ["glyph_id", "y", "x0", "x1"]
-    runs = lambda d: d.select("glyph_id", *[F.col(c).cast("int").alias(c) for c in places[1:]])
-    ground = staged(P.labelled_runs(own.filter(~F.col("i")), corners=False), "ground")
-    g = ground.groupBy("glyph_id", "part").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y").alias("top"), F.max("y").alias("end")).join(size, "glyph_id")
-    shut = g.filter("left > 0 and top > 0 and right < width - 1 and end < height - 1").select("glyph_id", "part")
-    filled = masks.merged(runs(own.filter("i")).unionByName(runs(ground.join(shut, ["glyph_id", "part"]))))
-    parts = staged(P.labelled_runs(filled), "outlines")
-    over = parts.select("glyph_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    met = parts.join(over, ["glyph_id", "y"]).filter("a0 <= x1 and a1 >= x0")
-    half = lambda test: F.when(test, 0.5).otherwise(0.0)
-    square = F.least("x1", "a1") - F.greatest("x0", "a0") + half(F.col("x0") != F.col("a0")) + half(F.col("x1") != F.col("a1"))
-    area = met.groupBy("glyph_id", "part").agg(F.sum(square).alias("area"))
-    box = parts.groupBy("glyph_id", "part").agg(F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    found = box.join(area, ["glyph_id", "part"], "left")
-    return found.select(F.col("glyph_id").alias("image_id"), F.col("part").cast("long").alias("part"), *[F.col(c).cast("long").alias(c) for c in "xywh"], F.coalesce("area", F.lit(0.0)).alias("area"))
+    """The same of ``_runs``: a picture's runs are one row, so they are shuffled once."""
+    own = of.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")], "i"))).alias("r"))
+    names = ["part", *"xywh", "area"]
+
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.column("r")[k].values
+                found = _outlined(*[r.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x0", "x1", "i")])
+                columns = [pa.array(c.astype(np.int64 if n != "area" else float)) for n, c in zip(names, found)]
+                yield pa.RecordBatch.from_arrays([b.column("image_id").take(pa.array(np.full(len(columns[0]), k))), *columns], ["image_id", *names])
+
+    return own.mapInArrow(outlined, T.StructType([of.schema["image_id"], *[T.StructField(c, T.LongType()) for c in names[:-1]], T.StructField("area", T.DoubleType())]))
 
 
 def _components(found: DataFrame, frames: DataFrame) -> DataFrame:

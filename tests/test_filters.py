@@ -125,9 +125,10 @@ def test_pages_are_made_ink_with_one_shuffle_of_lines(pages):
     same(pictures(filters.binarized_pages(both)), want)
 
 
-def test_the_query_of_ink_pages_joins_nothing(spark):
+def test_the_query_of_ink_pages_joins_nothing(spark, monkeypatch):
     from inkframe.plans import catalog
 
+    monkeypatch.setattr(filters, "LINES_TAKEN", 100)
     found = catalog.QUERIES["binarized_pages"](spark, DATA)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
