@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import Box
-from ..sources.staged import staged
+from ..sources.staged import staged, tasks_of
 from . import boxes as B
 from . import masks, splitting
 from . import pixels as P
@@ -117,8 +117,8 @@ def _outlined(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, ink: np.ndarray) ->
 
 
 def _outlines(of: DataFrame) -> DataFrame:
-    """The same of ``_runs``: a picture's runs are one row, so they are shuffled once."""
-    own = of.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")], "i"))).alias("r"))
+    """The same of ``_runs``: dealt by picture to as many tasks as the runs need, a picture's runs in one row, so that they are shuffled once."""
+    own = of.repartition(tasks_of(of), "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")], "i"))).alias("r"))
     names = ["part", *"xywh", "area"]
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def _blobs(runs: DataFrame, found: DataFrame, frames: DataFrame) -> DataFrame:
     clean = staged(parts.join(large, ["glyph_id", "part"]).drop("part").withColumnRenamed("glyph_id", "image_id"), "rest", by="image_id")
     frame = clean.select("image_id", "width", "height").distinct()
     pictures = clean.groupBy("image_id").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"), F.first("width").alias("width"), F.first("height").alias("height"))
-    split = splitting.split_pictures(pictures, _components(_outlines(staged(_with_ground(clean), "blob_ground", by="image_id")), frame))
+    split = splitting.split_pictures(pictures, _components(_outlines(staged(_with_ground(clean), "blob_ground")), frame))
     number = F.row_number().over(Window.partitionBy("image_id").orderBy("glyph_id", "path", "x", "y")).cast("long")
     pieces = staged(split.select("image_id", number.alias("number"), *"xywh"), "found", by="image_id")
     inked = _inside(clean, pieces.withColumnRenamed("number", "glyph_id").select(F.struct("image_id", "glyph_id").alias("glyph_id"), "image_id", *"xywh"))
